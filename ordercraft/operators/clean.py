@@ -36,7 +36,7 @@ def parse_timestamp(c, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
 def parse_us_date(c) -> Column:
     """``M/d/yyyy`` text to DATE (accepts ``1/5/2020`` and ``01/05/2020``)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.try_to_date(col, F.lit(US_DATE_FORMAT))
+    return F.try_to_date(col, US_DATE_FORMAT)
 
 
 def split_rejects(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:

@@ -121,9 +121,16 @@ def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[
     last, *tiebreaks). ``key`` itself is never filled.
 
     ``hot_keys``: keys to route through the chunked scan. ``()`` means none;
+    ``"all"`` routes every key through it;
     ``None`` probes the data with :func:`find_hot_keys`.
     """
     fill_cols = [c for c in fill_cols if c != key]
+    if isinstance(hot_keys, str):
+        if hot_keys != "all":
+            raise ValueError("hot_keys must be a sequence, None or 'all'")
+        keyed = _chunked_fill(df.filter(F.col(key).isNotNull()), key, order_first, tiebreaks,
+                              fill_cols, chunk_rows)
+        return keyed.unionByName(df.filter(F.col(key).isNull()))
     if hot_keys is None:
         hot_keys = find_hot_keys(df, key, hot_min_rows)
     hot_keys = list(hot_keys)
