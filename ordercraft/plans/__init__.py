@@ -5,7 +5,7 @@ Importing this package registers every analysis in ``catalog.QUERIES`` and
 """
 
 from . import catalog
-from . import order_queries, line_queries  # noqa: F401  (registers)
+from . import order_queries, line_queries, report_queries  # noqa: F401  (registers)
 
 QUERIES = catalog.QUERIES
 ORACLE = catalog.ORACLE
