@@ -150,3 +150,14 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
                            F.col("product_price") * F.col("product_quantity"))
     df = fill_nulls_by_type(df, skip=(id_col,))
     return df.withColumn("pre_post", pre_post(date_col, cutover))
+
+
+def columns_matching(df: DataFrame, fragment: str) -> DataFrame:
+    """The columns whose name contains ``fragment`` (case-insensitive)."""
+    return df.select(df.colRegex(f"`(?i).*{fragment}.*`"))
+
+
+def exclude_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
+    """Drop rows whose ``col`` is one of ``values`` (null rows are kept,
+    as a negated membership test in pandas keeps them)."""
+    return df.filter(~F.col(col).isin(list(values)) | F.col(col).isNull())

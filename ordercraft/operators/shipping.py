@@ -102,10 +102,13 @@ def clean_carrier_bill(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Q23: parse the M/d/yyyy date columns, rename, dedupe.
 
     Returns (clean rows, quarantined rows with an unparseable date).
-    The reference also sorts by invoice date; order is applied at output.
+    Sorted by invoice date when the bill has one (L2).
     """
     date_cols = [c for c in CARRIER_DATE_RENAMES if c in raw.columns]
     good, bad = parse_dates_with_rejects(raw, date_cols)
     renames = {k: v for k, v in {**CARRIER_DATE_RENAMES, **CARRIER_OTHER_RENAMES}.items()
                if k in raw.columns}
-    return good.withColumnsRenamed(renames).dropDuplicates(), bad
+    out = good.withColumnsRenamed(renames).dropDuplicates()
+    if "date_invoice" in out.columns:
+        out = out.orderBy("date_invoice")  # L2
+    return out, bad
