@@ -32,7 +32,7 @@ def test_no_python_udf_in_plan(spark, name):
 
 def test_date_bound_reaches_scan(spark):
     text = plan_text(entry_mod.queries()["q27_product_catalogue"](spark, SF_SMALL))
-    assert "GreaterThanOrEqual(o_orderdate" in text
+    assert "GreaterThanOrEqual(transaction_date" in text
 
 
 def test_fill_uses_one_window(spark):
