@@ -119,7 +119,7 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
                       order_tiebreaks: Sequence[str] = ("line_seq",),
                       drop_after_fill: Sequence[str] = ("line_seq",),
                       dedupe_raw: bool = False,
-                      hot_keys: Sequence | None = (),
+                      hot_keys: Sequence | str | None = None,
                       id_col: str = "transaction_id",
                       date_col: str = "transaction_date") -> DataFrame:
     """The composite cleaner.
@@ -130,6 +130,8 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
     columns removed before the dedupe so that they do not keep copies apart.
     ``dedupe_raw`` dedupes the raw lines before filling (avoids false extra
     lines when product-level fields are blank in overlapping pulls).
+    ``hot_keys`` (default: probe by sampling) routes very large orders
+    through the chunked fill; see :mod:`ordercraft.operators.fill`.
     """
     if date_col in df.columns and isinstance(df.schema[date_col].dataType, T.StringType):
         df = df.withColumn(date_col, parse_timestamp(date_col))
