@@ -66,3 +66,30 @@ def test_run_stamp_format(spark):
     from ordercraft.functions.dates import run_stamp
     txt = rows(spark.range(1).select(run_stamp().alias("s")))[0][0]
     dt.datetime.strptime(txt, "%m/%d/%Y - %I:%M %p")
+
+
+def test_margin_report_job(spark, tmp_path):
+    from ordercraft.plans import jobs
+    t = Tables(spark, SF_SMALL)
+    out = jobs.margin_report(t.sales, t.pricing, t.ship_log, str(tmp_path / "report"),
+                             since="2000-01-01", freight_since="2000-01-01",
+                             cutover="1998-01-01", as_of="2001-01-01")
+    import __spark_entry__ as entry_mod
+    margins = spark.read.parquet(out["Margin per Order"])
+    assert margins.count() == entry_mod.queries()["q15_margin_per_order"](spark, SF_SMALL).count()
+    assert spark.read.parquet(out["Summary"]).count() == 4
+    assert spark.read.parquet(out["missing_freight"]).count() == \
+        entry_mod.queries()["q06_missing_freight"](spark, SF_SMALL).count()
+
+
+def test_week_review_and_ship_log_jobs(spark, tmp_path):
+    from ordercraft.plans import jobs
+    t = Tables(spark, SF_SMALL)
+    out = jobs.week_review_report(t.sales, "1998-01-01", "1999-12-31", str(tmp_path / "wr"),
+                                  as_of="2001-01-01")
+    assert spark.read.parquet(out["daily_summary"]).count() == 8
+    log = str(tmp_path / "log")
+    t.ship_log.withColumnRenamed("order_no", "transaction_id").write.parquet(log)
+    new = jobs.ship_log_update(t.sales, t.ship_log, log)
+    total = spark.read.option("mergeSchema", True).parquet(log).count()
+    assert total == t.ship_log.count() + new.count()
