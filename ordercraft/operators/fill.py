@@ -142,3 +142,57 @@ def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[
     hot = _chunked_fill(df.filter(is_hot), key, order_first, tiebreaks, fill_cols,
                         chunk_rows)
     return cold.unionByName(hot)
+
+
+def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str = "line_seq",
+                hot_keys: Sequence | str | None = (), hot_min_rows: int = 5_000_000,
+                range_partitions: int = 200) -> DataFrame:
+    """Position (1, 2, ...) of each row within its ``key`` group in the order
+    ``order_cols`` (ascending, nulls first -- ``row_number`` semantics).
+
+    Ordinary keys use one ``row_number`` window. Hot keys (``None`` probes,
+    ``"all"`` forces every key) are range-partitioned on (key, order), which
+    splits a hot group into contiguous bounded ranges; the ranges are written
+    once to the checkpoint folder so their ids are stable, numbered locally,
+    and shifted by the row counts of the earlier ranges of the same key (a
+    prefix sum over one small row per range).
+    """
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    if hot_keys is None:
+        hot_keys = find_hot_keys(df, key, hot_min_rows)
+    if isinstance(hot_keys, str):
+        if hot_keys != "all":
+            raise ValueError("hot_keys must be a sequence, None or 'all'")
+        cold, hot = None, df
+    else:
+        hot_keys = list(hot_keys)
+        if not hot_keys:
+            cold, hot = df, None
+        else:
+            is_hot = F.col(key).isin(hot_keys)
+            cold = df.filter(~is_hot | F.col(key).isNull())
+            hot = df.filter(is_hot)
+    parts = []
+    if cold is not None:
+        w = Window.partitionBy(key).orderBy(*order)
+        parts.append(cold.withColumn(out_col, F.row_number().over(w).cast("long")))
+    if hot is not None:
+        from ..plans.jobs import materialize
+        ranged = materialize(
+            hot.repartitionByRange(range_partitions, F.col(key).asc_nulls_first(), *order)
+               .withColumn("__range", F.spark_partition_id()), "numbered_ranges")
+        w_local = Window.partitionBy(key, "__range").orderBy(*order)
+        local = ranged.withColumn("__rn", F.row_number().over(w_local))
+        counts = ranged.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+        w_prev = (Window.partitionBy(key).orderBy("__range")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        offsets = counts.select(key, "__range",
+                                F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"))
+        numbered = (local.join(offsets, [key, "__range"])
+                         .withColumn(out_col, (F.col("__off") + F.col("__rn")).cast("long"))
+                         .drop("__range", "__rn", "__off"))
+        parts.append(numbered.select(*df.columns, out_col))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -24,9 +24,10 @@ from __future__ import annotations
 import hashlib
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fill import number_rows
 from ..schemas import MONEY
 from ..session import checkpoint_root
 
@@ -48,10 +49,13 @@ class Tables:
     views derived from them (materialized once per application unless
     ``materialize=False``)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True,
+                 hot_orders=None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.materialize = materialize
+        # None: probe lineitem for very large orders; a list or "all" forces them
+        self.hot_orders = hot_orders
 
     def _read(self, path: str) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, path)
@@ -86,12 +90,11 @@ class Tables:
         """lineitem with ``line_seq``: position of the line within its order.
 
         (l_orderkey, l_linenumber) is not unique in the data, so the position
-        orders by the whole row.
+        orders by the whole row. Very large orders (found by a sampled count)
+        are numbered by range partitions instead of one window partition.
         """
-        w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-        return (self.lineitem
-                .select("l_orderkey", *LINE_ORDER)
-                .withColumn("line_seq", F.row_number().over(w).cast("long")))
+        return number_rows(self.lineitem.select("l_orderkey", *LINE_ORDER), "l_orderkey",
+                           LINE_ORDER, hot_keys=self.hot_orders)
 
     @cached_property
     def sales(self) -> DataFrame:

@@ -113,3 +113,16 @@ def test_single_pass_order_total_equals_reference_shape(spark):
 def test_cover_summary_labels(spark):
     df = entry_mod.queries()["q16_cover_summary"](spark, SF_SMALL)
     assert [r[0] for r in rows(df, "metric")] == [lab for _, lab in orders.SUMMARY_LABELS]
+
+
+@pytest.mark.parametrize("hot", ["all", "some"])
+def test_number_rows_range_path_matches_window(spark, hot):
+    from ordercraft.operators.fill import number_rows
+    from ordercraft.sources.fixtures import LINE_ORDER
+    li = Tables(spark, SF_SMALL).lineitem.select("l_orderkey", *LINE_ORDER)
+    plain = number_rows(li, "l_orderkey", LINE_ORDER)
+    keys = "all" if hot == "all" else [r[0] for r in li.select("l_orderkey").distinct()
+                                       .orderBy("l_orderkey").limit(50).collect()]
+    ranged = number_rows(li, "l_orderkey", LINE_ORDER, hot_keys=keys, range_partitions=13)
+    assert ranged.count() == plain.count()
+    assert plain.exceptAll(ranged).count() == 0 and ranged.exceptAll(plain).count() == 0
