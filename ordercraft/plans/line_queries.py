@@ -406,3 +406,24 @@ def q34_sales_summary(spark, sf_dir):
     return stats.sales_summary(tables(spark, sf_dir).sales, ["product_options"],
                                "customer_email", "customer_last_name", "product_quantity",
                                "transaction_date")
+
+
+# ------------------------------------------------------------------ P2, P12
+@register("p02_name_columns", with_views(["sales"], """
+select customer_first_name, customer_last_name, shipping_first_name, shipping_last_name,
+ product_name from sales"""))
+def p02_name_columns(spark, sf_dir):
+    return clean.columns_matching(tables(spark, sf_dir).sales, "nam")
+
+
+# Fixed values for the test tables: product options left out of a report.
+EXCLUDED_OPTIONS = ("Brand#1", "Brand#2")
+
+
+@register("p12_exclude_options", with_views(["sales"], f"""
+select transaction_id, line_seq, product_options from sales
+where product_options not in ({', '.join(repr(v) for v in EXCLUDED_OPTIONS)})
+ or product_options is null"""))
+def p12_exclude_options(spark, sf_dir):
+    s = tables(spark, sf_dir).sales.select("transaction_id", "line_seq", "product_options")
+    return clean.exclude_values(s, "product_options", EXCLUDED_OPTIONS)

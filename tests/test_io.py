@@ -93,3 +93,16 @@ def test_week_review_and_ship_log_jobs(spark, tmp_path):
     new = jobs.ship_log_update(t.sales, t.ship_log, log)
     total = spark.read.option("mergeSchema", True).parquet(log).count()
     assert total == t.ship_log.count() + new.count()
+
+
+def test_side_table_readers(spark, tmp_path):
+    from ordercraft.sources.tables import read_pricing, read_ship_log
+    (tmp_path / "log.csv").write_text("Order #,Actual Freight Expense,Note\n7,12.5,x\n8,,y\n")
+    log = read_ship_log(spark, str(tmp_path / "log.csv"))
+    assert log.columns == ["order_no", "actual_freight_expense"]
+    assert sorted(rows(log, "order_no")) == [(7,), (8,)]
+    assert "Note" in read_ship_log(spark, str(tmp_path / "log.csv"), all_columns=True).columns
+    t = Tables(spark, SF_SMALL)
+    p = str(tmp_path / "pricing")
+    t.pricing.write.parquet(p)
+    assert read_pricing(spark, p).count() == t.pricing.count()
