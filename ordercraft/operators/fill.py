@@ -177,7 +177,7 @@ def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str
         w = Window.partitionBy(key).orderBy(*order)
         parts.append(cold.withColumn(out_col, F.row_number().over(w).cast("long")))
     if hot is not None:
-        from ..plans.jobs import materialize
+        from ..session import materialize
         ranged = materialize(
             hot.repartitionByRange(range_partitions, F.col(key).asc_nulls_first(), *order)
                .withColumn("__range", F.spark_partition_id()), "numbered_ranges")

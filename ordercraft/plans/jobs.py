@@ -14,21 +14,14 @@ from that table, not from the raw inputs.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame
 
 from ..operators import calendar, enrich, orders, shipping
-from ..session import checkpoint_root
+from ..session import materialize
 from ..sources import sinks
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the session's checkpoint folder and read it back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/ordercraft-tables/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+__all__ = ["materialize", "margin_report", "week_review_report", "ship_log_update"]
 
 
 def margin_report(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame, out_dir: str, *,
@@ -38,8 +31,8 @@ def margin_report(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame, out
     """Entry 1: margin per order with its exception files."""
     as_of = as_of or dt.date.today().isoformat()
     out = out_dir.rstrip("/")
-    y = materialize(enrich.enrich_lines(enrich.prepare_lines(lines, cutover), pricing, ship_log),
-                    "enriched_lines")
+    y = materialize(enrich.enrich_lines(enrich.prepare_lines(lines, cutover), pricing, ship_log,
+                                        measure_sides=True), "enriched_lines")
     written = {
         "missing_products": sinks.write_exceptions(enrich.missing_price_lines(y),
                                                    f"{out}/missing_products"),

@@ -122,7 +122,8 @@ SALES_SQL_COLS = ", ".join(f"cast({c} as double) as {c}" if c in ("product_price
 select {SALES_SQL_COLS} from sales
 where transaction_id in (select transaction_id from sales group by 1 having count(*) > 2)"""))
 def q04_multi_line_orders(spark, sf_dir):
-    return decimals_to_double(customers.multi_line_orders(tables(spark, sf_dir).sales))
+    return decimals_to_double(customers.multi_line_orders(tables(spark, sf_dir).sales,
+                                                          measure_sides=True))
 
 
 # ------------------------------------------------------------------ Q17-Q19

@@ -104,10 +104,10 @@ def _dbl(cols: list[str]) -> str:
 
 
 # ---------------------------------------------------------------- Spark side
-def _y(spark, sf_dir):
+def _y(spark, sf_dir, measure_sides: bool = False):
     t = tables(spark, sf_dir)
     lines = enrich.prepare_lines(t.sales, cutover=CUTOVER)
-    return t, enrich.enrich_lines(lines, t.pricing, t.ship_log)
+    return t, enrich.enrich_lines(lines, t.pricing, t.ship_log, measure_sides=measure_sides)
 
 
 def _margin_table(spark, sf_dir):
@@ -128,7 +128,7 @@ Q5_OTHER = ["transaction_id", "transaction_date", "customer_first_name", "custom
 @register("q05_enriched_lines", _sql(
     f"select {', '.join(Q5_OTHER)}, {_dbl(Q5_MONEY)} from y", []))
 def q05_enriched_lines(spark, sf_dir):
-    _, y = _y(spark, sf_dir)
+    _, y = _y(spark, sf_dir, measure_sides=True)
     return decimals_to_double(y.select(*Q5_OTHER, *Q5_MONEY))
 
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes, splits
 # skewed join partitions and coalesces small shuffle partitions; the session
@@ -67,3 +69,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts the lineage (a lost executor recomputes from the table) and
+    fixes the data for repeated use in one plan."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/ordercraft-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+# Upper bound (bytes) for a side table broadcast after its size was measured.
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def _row_bytes(df: DataFrame) -> int:
+    width = 8  # row header
+    for f in df.schema.fields:
+        name = type(f.dataType).__name__
+        width += 32 if name in ("StringType", "BinaryType", "ArrayType", "MapType",
+                                "StructType") else 16 if name == "DecimalType" else 8
+    return width
+
+
+def bounded_side(df: DataFrame, name: str, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """A join side whose size is measured before the join is planned.
+
+    The side (an aggregate: one row per order, per key ...) is materialized
+    and counted; it is returned with a broadcast hint only when rows x row
+    width stays under ``limit_bytes``, otherwise as a plain table so the
+    planner uses a shuffle join. Deciding before planning lets the large
+    other side skip its shuffle, which AQE can no longer avoid once both
+    sides' stages have started.
+    """
+    side = materialize(df, name)
+    n = side.count()
+    return F.broadcast(side) if n * _row_bytes(side) <= limit_bytes else side

@@ -22,6 +22,7 @@ executor would otherwise have to recompute.
 from __future__ import annotations
 
 import hashlib
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,7 @@ from ..session import checkpoint_root
 # (application id, path) -> DataFrame over the base table / materialized view
 _READS: dict[tuple[str, str], DataFrame] = {}
 _VIEWS: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.RLock()
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -73,12 +75,13 @@ class Tables:
             return build()
         app = self.spark.sparkContext.applicationId
         key = (app, self.sf_dir, name)
-        if key not in _VIEWS:
-            tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
-            path = f"{checkpoint_root(self.spark).rstrip('/')}/ordercraft-views/{tag}/{name}"
-            build().write.mode("overwrite").parquet(path)
-            _VIEWS[key] = path
-        return self._read(_VIEWS[key])
+        with _LOCK:  # one writer per view even if analyses are planned from several threads
+            if key not in _VIEWS:
+                tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
+                path = f"{checkpoint_root(self.spark).rstrip('/')}/ordercraft-views/{tag}/{name}"
+                build().write.mode("overwrite").parquet(path)
+                _VIEWS[key] = path
+            return self._read(_VIEWS[key])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
