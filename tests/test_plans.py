@@ -126,3 +126,18 @@ def test_number_rows_range_path_matches_window(spark, hot):
     ranged = number_rows(li, "l_orderkey", LINE_ORDER, hot_keys=keys, range_partitions=13)
     assert ranged.count() == plain.count()
     assert plain.exceptAll(ranged).count() == 0 and ranged.exceptAll(plain).count() == 0
+
+
+def test_bounded_side_broadcasts_only_under_the_limit(spark):
+    from ordercraft.session import bounded_side
+    s = Tables(spark, SF_SMALL).sales
+    ids = s.groupBy("transaction_id").count()
+    small = s.join(bounded_side(ids, "ids_small"), "transaction_id")
+    assert "BroadcastHashJoin" in plan_text(small) or "broadcast" in plan_text(small).lower()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = s.join(bounded_side(ids, "ids_big", limit_bytes=10), "transaction_id")
+        assert "SortMergeJoin" in plan_text(big)
+        assert big.count() == small.count() == s.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
