@@ -107,3 +107,25 @@ def bounded_side(df: DataFrame, name: str, limit_bytes: int = BROADCAST_LIMIT_BY
     side = materialize(df, name)
     n = side.count()
     return F.broadcast(side) if n * _row_bytes(side) <= limit_bytes else side
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 512 * 1024 * 1024,
+               max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings sized for a large cluster run over ``input_bytes`` of input.
+
+    Shuffles start with about one partition per ``target_partition_bytes`` of
+    input (bounded, so the driver's map-output tracking stays manageable) and
+    AQE coalesces them toward 256 MiB; file splits are 256 MiB; a partition
+    counts as skewed at 4x the median and 512 MiB, and is then split.
+    """
+    initial = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        **DEFAULT_CONF,
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }

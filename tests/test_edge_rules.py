@@ -310,3 +310,19 @@ def test_densify_year_week_grid(spark):
     out = calendar.weekly_by_year(df, "2019-01-01")
     assert out.count() == 4  # 2 years x 2 weeks seen
     assert rows(out.filter("year = 2021 and week_of_year = 2"), "unique_transactions") == [(0,)]
+
+
+def test_order_grain_counts_order_total_once(spark):
+    df = spark.createDataFrame([(1, D(2024, 1, 2), 5), (1, D(2024, 1, 2), 5), (2, D(2024, 1, 2), 7)],
+                               "transaction_id long, transaction_date timestamp_ntz, order_total int")
+    parity = calendar.week_review(df, "2024-01-01", "2024-01-31")["daily_details"]
+    grain = calendar.week_review(df, "2024-01-01", "2024-01-31", order_grain=True)["daily_details"]
+    assert rows(parity, "revenue_by_day") == [(17,)]
+    assert rows(grain, "revenue_by_day") == [(12,)]
+
+
+def test_scale_conf_bounds():
+    from ordercraft.session import scale_conf
+    small, huge = scale_conf(10 * 2**30), scale_conf(100 * 2**40)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert int(huge["spark.sql.shuffle.partitions"]) == 100_000
