@@ -27,12 +27,20 @@ LOG_UPDATE_COLUMNS = ("transaction_date", "transaction_id", "shipping_first_name
                       "product_name", "item_code", "product_quantity")
 
 
+def zone_rows(bill: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (zone, state, tracking) bill rows with a numeric zone, and the
+    rows whose zone is not a number (kept aside instead of failing the job)."""
+    k = (bill.filter(F.col("pricing_zone").isNotNull() & (F.col("pricing_zone") != NON_ZONE))
+             .select("pricing_zone", "recipient_state", "tracking_no").distinct()
+             .withColumn("__zone", F.col("pricing_zone").try_cast("int")))
+    good = k.filter(F.col("__zone").isNotNull()).withColumn("pricing_zone", F.col("__zone"))
+    return good.drop("__zone"), k.filter(F.col("__zone").isNull()).drop("__zone")
+
+
 def zone_lookup(bill: DataFrame) -> DataFrame:
     """Q17: the most frequent pricing zone per recipient state (ties -> lowest
     zone), each zone's sorted state list and its ``2-['NY', 'PA']`` label."""
-    k = (bill.filter(F.col("pricing_zone").isNotNull() & (F.col("pricing_zone") != NON_ZONE))
-             .select("pricing_zone", "recipient_state", "tracking_no").distinct()
-             .withColumn("pricing_zone", F.col("pricing_zone").cast("int")))
+    k, _rejected = zone_rows(bill)
     counts = k.groupBy("recipient_state", "pricing_zone").agg(F.count(F.lit(1)).alias("n"))
     best = (counts.groupBy("recipient_state")
             .agg(F.max_by("pricing_zone", F.struct(F.col("n"), -F.col("pricing_zone")))

@@ -13,6 +13,7 @@ row keeps its source file in ``source_file`` (from ``_metadata``).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ def list_files(spark: SparkSession, pattern: str | Sequence[str]) -> list[str]:
 
 
 def _split_header(line: str, sep: str) -> tuple[str, ...]:
-    return tuple(h.strip().strip('"') for h in line.split(sep))
+    return tuple(h.strip() for h in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep)))
 
 
 def header_groups(spark: SparkSession, files: Sequence[str], sep: str = ",") -> dict:

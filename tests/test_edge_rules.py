@@ -326,3 +326,18 @@ def test_scale_conf_bounds():
     small, huge = scale_conf(10 * 2**30), scale_conf(100 * 2**40)
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert int(huge["spark.sql.shuffle.partitions"]) == 100_000
+
+
+def test_bad_zone_is_set_aside_not_fatal(spark):
+    bill = spark.createDataFrame([("2", "A", "t1"), ("x9", "A", "t2")],
+                                 "pricing_zone string, recipient_state string, tracking_no string")
+    good, bad = shipping.zone_rows(bill)
+    assert rows(good, "pricing_zone") == [(2,)] and rows(bad, "pricing_zone") == [("x9",)]
+    assert shipping.zone_lookup(bill).count() == 1
+
+
+def test_quoted_csv_header(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"Order #","Actual Freight Expense"\n1,2.5\n')
+    from ordercraft.sources.csv_exports import read_csv_exports
+    out = read_csv_exports(spark, str(tmp_path / "*.csv"), keep_source=False)
+    assert out.columns == ["Order #", "Actual Freight Expense"]
