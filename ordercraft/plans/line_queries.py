@@ -428,3 +428,39 @@ where product_options not in ({', '.join(repr(v) for v in EXCLUDED_OPTIONS)})
 def p12_exclude_options(spark, sf_dir):
     s = tables(spark, sf_dir).sales.select("transaction_id", "line_seq", "product_options")
     return clean.exclude_values(s, "product_options", EXCLUDED_OPTIONS)
+
+
+# ------------------------------------------------------------------ S1/S2 + C10
+def _export_schema():
+    from pyspark.sql import types as T
+    from ..schemas import MONEY
+    return T.StructType([
+        T.StructField("pull", T.IntegerType()), T.StructField("transaction_id", T.StringType()),
+        T.StructField("line_seq", T.LongType()), T.StructField("transaction_date", T.StringType()),
+        T.StructField("customer_last_name", T.StringType()),
+        T.StructField("customer_state", T.StringType()),
+        T.StructField("shipping_total", T.IntegerType()),
+        T.StructField("discount_total", T.IntegerType()), T.StructField("order_total", MONEY),
+        T.StructField("product_name", T.StringType()),
+        T.StructField("product_options", T.StringType()), T.StructField("product_price", MONEY),
+        T.StructField("product_weight", T.IntegerType()),
+        T.StructField("product_quantity", T.IntegerType())])
+
+
+@register("s01_clean_csv_exports", with_views(["raw_pulls"], _q1p_body, _q1p_ctes))
+def s01_clean_csv_exports(spark, sf_dir):
+    """The overlapping pulls as two CSV exports whose headers list the columns
+    in different orders, scanned back by column name (text ids and dates) and
+    cleaned: equals the overlapping-pulls cleaning of the typed tables."""
+    import uuid
+    from ..session import checkpoint_root
+    from ..sources.csv_exports import read_csv_exports, write_csv_export
+    pulls = tables(spark, sf_dir).raw_pulls
+    base = f"{checkpoint_root(spark).rstrip('/')}/ordercraft-exports/{uuid.uuid4().hex[:12]}"
+    cols = pulls.columns
+    write_csv_export(pulls.filter(F.col("pull") == 1), f"{base}/pull1", cols)
+    write_csv_export(pulls.filter(F.col("pull") == 2), f"{base}/pull2", list(reversed(cols)))
+    raw = read_csv_exports(spark, f"{base}/*/*.csv", _export_schema())
+    return decimals_to_double(clean.clean_order_lines(
+        raw, start=START, cutover=CUTOVER, order_tiebreaks=("pull", "line_seq"),
+        drop_after_fill=("pull", "line_seq", "source_file")))

@@ -6,8 +6,9 @@ their header line; each group is read with a schema in that group's column
 order (types from the declared schema, unknown columns as text) and the
 groups are stacked with ``unionByName(allowMissingColumns=True)``.
 
-Header probing reads one line per file (``limit(1)`` on a text scan); the
-number of distinct headers, not files, decides the number of scans. Each
+Header probing reads one line per file (``limit(1)`` on a text scan, several
+files at a time); the number of distinct headers, not files, decides the
+number of scans. Each
 row keeps its source file in ``source_file`` (from ``_metadata``).
 """
 
@@ -15,12 +16,14 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_HEADER_GROUPS = 64
+PROBE_THREADS = 16
 
 
 def list_files(spark: SparkSession, pattern: str | Sequence[str]) -> list[str]:
@@ -35,12 +38,18 @@ def _split_header(line: str, sep: str) -> tuple[str, ...]:
 
 def header_groups(spark: SparkSession, files: Sequence[str], sep: str = ",") -> dict:
     """Map each distinct header (tuple of names) to its files."""
+    def first_line(f: str):
+        rows = spark.read.text(f).limit(1).collect()
+        return rows[0][0] if rows else None
+
+    # one tiny job per file, several in flight at once (Spark accepts jobs
+    # from concurrent threads); each reads only the first line of its file
+    with ThreadPoolExecutor(max_workers=PROBE_THREADS) as pool:
+        heads = list(pool.map(first_line, files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        first = spark.read.text(f).limit(1).collect()
-        if not first:
-            continue
-        groups.setdefault(_split_header(first[0][0], sep), []).append(f)
+    for f, line in zip(files, heads):
+        if line is not None:
+            groups.setdefault(_split_header(line, sep), []).append(f)
     if len(groups) > MAX_HEADER_GROUPS:
         raise ValueError(f"{len(groups)} different headers; expected at most {MAX_HEADER_GROUPS}")
     return groups
@@ -82,3 +91,13 @@ def read_csv_exports(spark: SparkSession, pattern: str | Sequence[str],
                 out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
         out = out.select(*names, *extra)
     return out
+
+
+def write_csv_export(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> str:
+    """Write ``df`` the way the shop exports orders: CSV with a header, the
+    given column order, timestamps as ``yyyy-MM-dd HH:mm:ss`` text."""
+    out = df.select(*(columns or df.columns))
+    (out.write.mode("overwrite").option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    return path
