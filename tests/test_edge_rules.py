@@ -129,6 +129,22 @@ def test_margin_without_cost(spark):
     assert rows(t, "total_margin_order") == [(Decimal("10.00"),)]
 
 
+def test_order_margin_all_null_costs_is_zero(spark):
+    from ordercraft.operators import enrich
+    lines = spark.createDataFrame(
+        [(1, "n", "o", Decimal("10.00"), 1, 2, 0, 0, "-")],
+        "transaction_id long, product_name string, product_options string, "
+        "product_price decimal(18,2), product_weight int, product_quantity int, "
+        "shipping_total int, discount_total int, coupons_used string")
+    pricing = spark.createDataFrame([], "product_name string, product_options string, "
+                                        "product_price decimal(18,2), product_weight int, "
+                                        "product_normalized string, distributor_price "
+                                        "decimal(18,2), units_normalized long")
+    log = spark.createDataFrame([], "order_no long, actual_freight_expense decimal(18,2)")
+    y = enrich.enrich_lines(lines, pricing, log)
+    assert rows(y, "margin_per_product", "margin_per_order") == [(None, Decimal("0.00"))]
+
+
 def test_order_flags_nan_rules(spark):
     df = spark.createDataFrame([(None, None, "x"), (0, 0, "No_Shipping_Discount"), (-1, 5, "x")],
                                "net_margin int, discount_total int, shipping_tiers string")

@@ -141,3 +141,28 @@ def test_bounded_side_broadcasts_only_under_the_limit(spark):
         assert big.count() == small.count() == s.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+
+
+def test_hot_order_holding_a_third_of_the_lines(spark):
+    """One order holds about a third of all lines: the probe finds it, the
+    chunked fill and the range-partitioned numbering give the window results."""
+    from ordercraft.operators.fill import find_hot_keys, number_rows
+    raw = Tables(spark, SF_SMALL).raw_sales
+    hot_id = F.lit(-1).cast("long")
+    skewed = raw.select(
+        F.when(F.col("transaction_id") % 3 == 0, hot_id).otherwise(F.col("transaction_id"))
+         .alias("transaction_id"),
+        (F.col("transaction_id") * 100 + F.col("line_seq")).alias("line_seq"),
+        *[c for c in raw.columns if c not in ("transaction_id", "line_seq")])
+    n_hot = skewed.filter(F.col("transaction_id") == -1).count()
+    assert n_hot * 4 > skewed.count()  # the hot order is a large share of all lines
+    assert -1 in find_hot_keys(skewed, "transaction_id", min_rows=n_hot // 2, fraction=0.5)
+    args = ("transaction_id", "transaction_date", ["line_seq"], ORDER_LEVEL_FILL)
+    plain = forward_fill(skewed, *args)
+    auto = forward_fill(skewed, *args, hot_keys=None, hot_min_rows=n_hot // 2, chunk_rows=97)
+    assert plain.exceptAll(auto).count() == 0 and auto.exceptAll(plain).count() == 0
+    order = ["line_seq", "product_name"]
+    a = number_rows(skewed, "transaction_id", order, out_col="pos")
+    b = number_rows(skewed, "transaction_id", order, out_col="pos", hot_keys=[-1],
+                    range_partitions=11)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
