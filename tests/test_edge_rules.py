@@ -102,7 +102,7 @@ def test_bool_null_needs_own_fill(spark):
 
 
 def test_whitespace_collapse_python_rules(spark):
-    df = spark.createDataFrame([("a  b\x1cc ",)], "t string")
+    df = spark.createDataFrame([("a\u00a0 b\x1cc ",)], "t string")
     assert rows(df.select(text.collapse_whitespace("t").alias("t"))) == [("a b c ",)]
 
 
