@@ -59,7 +59,8 @@ def subtotals_wide(df: DataFrame, value_col: str, keys: Sequence[str],
     long = subtotals(df, value_col, keys, total_label)
     if pivot_values is None:
         pivot_values = distinct_values(long, keys[0])
-    return long.groupBy(*keys[1:]).pivot(keys[0], list(pivot_values)).agg(F.first(value_col))
+    wide = long.groupBy(*keys[1:]).pivot(keys[0], list(pivot_values)).agg(F.first(value_col))
+    return wide.orderBy(*keys[1:])  # L4: '[Total]' sorts after capitals, before lower case
 
 
 def period_filter(df: DataFrame, date_switch: str, date_col: str, month: int) -> DataFrame:

@@ -17,11 +17,12 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from ..operators import calendar, enrich, orders, shipping
+from ..operators import calendar, enrich, orders, packaging, shipping
 from ..session import materialize
 from ..sources import sinks
 
-__all__ = ["materialize", "margin_report", "week_review_report", "ship_log_update"]
+__all__ = ["materialize", "margin_report", "week_review_report", "ship_log_update",
+           "packaging_month_end"]
 
 
 def margin_report(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame, out_dir: str, *,
@@ -65,3 +66,17 @@ def ship_log_update(lines: DataFrame, ship_log: DataFrame, log_path: str) -> Dat
     new = materialize(shipping.ship_log_update(lines, ship_log), "ship_log_new_rows")
     sinks.append_rows(new, log_path)
     return new
+
+
+def packaging_month_end(inventory: DataFrame, production: DataFrame, months, month: int,
+                        year: int, out_dir: str, as_of: str | None = None) -> dict[str, str]:
+    """Entry 4: inventory counts by month with last month's use, and the
+    month's packaging use from production paperwork, bulk and retail (S11)."""
+    as_of = as_of or dt.date.today().isoformat()
+    tables = {
+        "pack_count": packaging.inventory_summary(inventory, months, "packaging"),
+        "retail_count": packaging.inventory_summary(inventory, months, "packaging_retail"),
+        "production": packaging.production_usage(production, month, year),
+        "production_retail": packaging.production_usage(production, month, year, retail=True),
+    }
+    return sinks.write_named_tables(tables, f"{out_dir.rstrip('/')}/packaging_as_of_{as_of}")

@@ -357,3 +357,11 @@ def test_quoted_csv_header(spark, tmp_path):
     from ordercraft.sources.csv_exports import read_csv_exports
     out = read_csv_exports(spark, str(tmp_path / "*.csv"), keep_source=False)
     assert out.columns == ["Order #", "Actual Freight Expense"]
+
+
+def test_month_name_and_fiscal_calendar(spark):
+    df = spark.createDataFrame([(9, dt.date(2019, 10, 1), dt.date(2019, 9, 30))],
+                               "m int, d date, e date")
+    out = df.select(dates.month_short_name("m").alias("n"), dates.fiscal_year_sep("d").alias("fy"),
+                    dates.month_end_months_back("e", 3).alias("q"))
+    assert rows(out) == [("Sep", 2020, dt.date(2019, 6, 30))]

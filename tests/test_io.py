@@ -106,3 +106,13 @@ def test_side_table_readers(spark, tmp_path):
     p = str(tmp_path / "pricing")
     t.pricing.write.parquet(p)
     assert read_pricing(spark, p).count() == t.pricing.count()
+
+
+def test_packaging_month_end_job(spark, tmp_path):
+    from ordercraft.plans import jobs
+    from ordercraft.plans.report_queries import LAST_MONTH_ENDS
+    t = Tables(spark, SF_SMALL)
+    out = jobs.packaging_month_end(t.inventory, t.production, LAST_MONTH_ENDS, 6, 1999,
+                                   str(tmp_path / "pack"), as_of="2001-12-01")
+    assert set(out) == {"pack_count", "retail_count", "production", "production_retail"}
+    assert spark.read.parquet(out["production"]).count() > 0
