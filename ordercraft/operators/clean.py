@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import ts_ntz
 from ..functions.text import collapse_whitespace
-from .fill import forward_fill
+from .fill import SPREAD, forward_fill
 
 # Fixed values (parameter defaults taken from the reference's reports).
 DEFAULT_START = "2018-01-01"        # keep orders from this date on
@@ -139,12 +139,16 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
         df = dedupe(df, [c for c in df.columns if c not in drop_after_fill])
     cols = list(fill_cols) if fill_cols is not None else columns_up_to(df, fill_through)
     cols = [c for c in cols if c not in (id_col, *order_tiebreaks)]
-    df = forward_fill(df, id_col, date_col, list(order_tiebreaks), cols, hot_keys=hot_keys)
-    if not isinstance(df.schema[id_col].dataType, T.LongType):
-        df, _rejected = cast_id(df, id_col)
+    business = [c for c in df.columns if c not in drop_after_fill]
+    df = forward_fill(df, id_col, date_col, list(order_tiebreaks), cols, hot_keys=hot_keys,
+                      keep_spread=True, spread_cols=business)
+    # Rows without a usable order id are rejected (see cast_id for them)
+    df, _rejected = cast_id(df, id_col)
     df = df.filter(F.col(date_col) >= ts_ntz(start))
     df = df.drop(*[c for c in drop_after_fill if c in df.columns])
-    df = dedupe(df)
+    # the dedupe keys include the id and the fill's spread column, so it runs
+    # on the fill's partitioning without another shuffle of the lines
+    df = dedupe(df).drop(SPREAD)
     if "product_name" in df.columns:
         df = df.withColumn("product_name", collapse_whitespace("product_name"))
     if "product_price" in df.columns and "product_quantity" in df.columns:

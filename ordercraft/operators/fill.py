@@ -59,12 +59,19 @@ def find_hot_keys(df: DataFrame, key: str, min_rows: int, fraction: float = 0.01
     return [r[0] for r in rows]
 
 
+SPREAD = "__spread"
+
+
 def _window_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[str],
-                 fill_cols: Sequence[str]) -> DataFrame:
+                 fill_cols: Sequence[str], spread_cols: Sequence[str] | None = None) -> DataFrame:
     # Null keys are never filled; spread them over partitions by a row hash
-    # so they do not form one giant window partition.
-    spread = F.when(F.col(key).isNull(), F.xxhash64(*df.columns))
-    w = (Window.partitionBy(F.col(key), spread)
+    # so they do not form one giant window partition. The spread is a column
+    # (null for keyed rows, a hash of the whole row otherwise) so that a later
+    # full-row dedupe that includes it can reuse this partitioning: equal rows
+    # have equal keys and equal hashes.
+    df = df.withColumn(SPREAD, F.when(F.col(key).isNull(),
+                                      F.xxhash64(*(spread_cols or df.columns))))
+    w = (Window.partitionBy(key, SPREAD)
          .orderBy(*_order_exprs(order_first, tiebreaks))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     filled = {c: F.when(F.col(key).isNull(), F.col(c))
@@ -116,32 +123,44 @@ def _chunked_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence
 
 def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[str],
                  fill_cols: Sequence[str], hot_keys: Sequence | None = (),
-                 hot_min_rows: int = 5_000_000, chunk_rows: int = 1_000_000) -> DataFrame:
+                 hot_min_rows: int = 5_000_000, chunk_rows: int = 1_000_000,
+                 keep_spread: bool = False,
+                 spread_cols: Sequence[str] | None = None) -> DataFrame:
     """Fill ``fill_cols`` forward within ``key`` in the order (order_first nulls
     last, *tiebreaks). ``key`` itself is never filled.
 
+    ``keep_spread`` keeps the ``__spread`` partitioning column (see
+    ``_window_fill``) for a following dedupe; it is null on keyed rows and a
+    hash of ``spread_cols`` (default: all columns) on rows without a key.
+
     ``hot_keys``: keys to route through the chunked scan. ``()`` means none;
     ``"all"`` routes every key through it;
     ``None`` probes the data with :func:`find_hot_keys`.
     """
     fill_cols = [c for c in fill_cols if c != key]
+    no_spread = F.lit(None).cast("long").alias(SPREAD)
     if isinstance(hot_keys, str):
         if hot_keys != "all":
             raise ValueError("hot_keys must be a sequence, None or 'all'")
         keyed = _chunked_fill(df.filter(F.col(key).isNotNull()), key, order_first, tiebreaks,
                               fill_cols, chunk_rows)
-        return keyed.unionByName(df.filter(F.col(key).isNull()))
-    if hot_keys is None:
-        hot_keys = find_hot_keys(df, key, hot_min_rows)
-    hot_keys = list(hot_keys)
-    if not hot_keys:
-        return _window_fill(df, key, order_first, tiebreaks, fill_cols)
-    is_hot = F.col(key).isin(hot_keys)
-    cold = _window_fill(df.filter(~is_hot | F.col(key).isNull()), key, order_first,
-                        tiebreaks, fill_cols)
-    hot = _chunked_fill(df.filter(is_hot), key, order_first, tiebreaks, fill_cols,
-                        chunk_rows)
-    return cold.unionByName(hot)
+        nulls = df.filter(F.col(key).isNull())
+        out = keyed.select("*", no_spread).unionByName(
+            nulls.withColumn(SPREAD, F.xxhash64(*(spread_cols or nulls.columns))))
+    else:
+        if hot_keys is None:
+            hot_keys = find_hot_keys(df, key, hot_min_rows)
+        hot_keys = list(hot_keys)
+        if not hot_keys:
+            out = _window_fill(df, key, order_first, tiebreaks, fill_cols, spread_cols)
+        else:
+            is_hot = F.col(key).isin(hot_keys)
+            cold = _window_fill(df.filter(~is_hot | F.col(key).isNull()), key, order_first,
+                                tiebreaks, fill_cols, spread_cols)
+            hot = _chunked_fill(df.filter(is_hot), key, order_first, tiebreaks, fill_cols,
+                                chunk_rows)
+            out = cold.unionByName(hot.select("*", no_spread))
+    return out if keep_spread else out.drop(SPREAD)
 
 
 def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str = "line_seq",

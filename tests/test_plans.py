@@ -166,3 +166,21 @@ def test_hot_order_holding_a_third_of_the_lines(spark):
     b = number_rows(skewed, "transaction_id", order, out_col="pos", hot_keys=[-1],
                     range_partitions=11)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_cleaner_shuffles_the_lines_once(spark):
+    text = plan_text(entry_mod.queries()["q01_clean_lines"](spark, SF_SMALL))
+    assert text.count("Arguments: hashpartitioning(") == 1
+
+
+def test_cleaner_rejects_null_ids(spark):
+    from ordercraft.operators.clean import clean_order_lines
+    import datetime as dt
+    df = spark.createDataFrame(
+        [(1, None, dt.datetime(2020, 1, 1), "a", 1), (2, None, dt.datetime(2020, 1, 1), "a", 1),
+         (1, 7, dt.datetime(2020, 1, 1), "b", 1), (2, 7, dt.datetime(2020, 1, 1), "b", 1)],
+        "pull int, transaction_id long, transaction_date timestamp_ntz, product_name string, "
+        "line_seq long")
+    out = clean_order_lines(df, start="2019-01-01", order_tiebreaks=("pull", "line_seq"),
+                            drop_after_fill=("pull", "line_seq"))
+    assert rows(out, "transaction_id", "product_name") == [(7, "b")]
