@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import date_lit, day_text, iso_week, ts_ntz, week_ending_sunday
+from ..functions.dates import day_text, iso_week, ts_ntz, week_ending_sunday
 from . import stats
 
 # The holiday windows used with the test tables (label, first
@@ -176,4 +176,4 @@ def product_catalogue(lines: DataFrame, since: str,
 
 __all__ = ["orders_per_day", "date_range", "bucket_orders", "daily_buckets", "weekly_buckets",
            "week_review", "weekly_by_year", "windows_table", "in_windows",
-           "holiday_comparison", "product_catalogue", "date_lit"]
+           "holiday_comparison", "product_catalogue"]
