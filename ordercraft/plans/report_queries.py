@@ -168,3 +168,15 @@ for _retail in (False, True):
                                           PROD_YEAR, retail=_r)
     register(f"q33_production_usage_{'retail' if _retail else 'bulk'}",
              _production_sql("packaging_retail" if _retail else "packaging", _retail))(_prod)
+
+
+YOY_SRC = ("yoy_src", "select cast(year(transaction_date) as integer) as year, * from sales")
+
+
+@register("q28_subtotals_yoy_by_year", with_views(["sales"], _wide_sql(
+    _stacked_levels_sql("yoy_src", YTD_KEYS, QTY_SUM), "year", YTD_KEYS[1:], SUB_VALUE, YEARS),
+    [YOY_SRC]))
+def q28_subtotals_yoy_by_year(spark, sf_dir):
+    s = tables(spark, sf_dir).sales.withColumn("year", F.year("transaction_date"))
+    return subtotals.subtotals_by_period(s, "yoy", "transaction_date", YTD_MONTH, SUB_VALUE,
+                                         YTD_KEYS, YEARS)
