@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import ts_ntz
@@ -45,9 +45,11 @@ def zone_lookup(bill: DataFrame) -> DataFrame:
     best = (counts.groupBy("recipient_state")
             .agg(F.max_by("pricing_zone", F.struct(F.col("n"), -F.col("pricing_zone")))
                  .alias("pricing_zone")))
-    lists = (best.groupBy("pricing_zone")
-             .agg(F.array_sort(F.collect_list("recipient_state")).alias("zone_states")))
-    return (best.join(lists, "pricing_zone")
+    # one row per state: the zone's state list is a window over this small table
+    by_zone = Window.partitionBy("pricing_zone").rowsBetween(Window.unboundedPreceding,
+                                                             Window.unboundedFollowing)
+    return (best.withColumn("zone_states",
+                            F.array_sort(F.collect_list("recipient_state").over(by_zone)))
                 .withColumn("zone_state", zone_label("pricing_zone", "zone_states")))
 
 
