@@ -41,12 +41,14 @@ def margin_report(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame, out
             enrich.missing_freight_lines(y, freight_since), f"{out}/missing_freight"),
         "lines": sinks.write_order_lines(y, f"{out}/enriched_lines"),
     }
-    margins = orders.margin_per_order(y, ship_log, since)
+    # contents text in export line order when the lines carry it, else by text
+    order_col = "line_seq" if "line_seq" in y.columns else "combined"
+    margins = orders.margin_per_order(y, ship_log, since, order_col=order_col)
     book = {
         "Summary": orders.cover_summary(margins),
         "Margin per Order": margins,
         "Details": orders.order_details(y, since),
-        "Backup": orders.order_total(y, since),
+        "Backup": orders.order_total(y, since, order_col=order_col),
     }
     written.update(sinks.write_named_tables(book, f"{out}/web_orders_as_of_{as_of}"))
     return written

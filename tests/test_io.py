@@ -116,3 +116,26 @@ def test_packaging_month_end_job(spark, tmp_path):
                                    str(tmp_path / "pack"), as_of="2001-12-01")
     assert set(out) == {"pack_count", "retail_count", "production", "production_retail"}
     assert spark.read.parquet(out["production"]).count() > 0
+
+
+def test_command_line_margin_report_from_csv_exports(spark, tmp_path):
+    from ordercraft.__main__ import main
+    from ordercraft.sources.csv_exports import write_csv_export
+    import __spark_entry__ as entry_mod
+    t = Tables(spark, SF_SMALL)
+    write_csv_export(t.raw_sales, str(tmp_path / "exports" / "pull1"))
+    t.pricing.write.parquet(str(tmp_path / "pricing"))
+    (t.ship_log.withColumnRenamed("order_no", "Order #")
+      .withColumnRenamed("actual_freight_expense", "Actual Freight Expense")
+      .coalesce(1).write.option("header", True).csv(str(tmp_path / "log_csv")))
+    log_file = next((tmp_path / "log_csv").glob("*.csv"))
+    out = main(["margin-report", "--exports", str(tmp_path / "exports" / "*" / "*.csv"),
+                "--pricing", str(tmp_path / "pricing"), "--ship-log", str(log_file),
+                "--out", str(tmp_path / "out"), "--start", "1995-01-01",
+                "--cutover", "1998-01-01", "--since", "2000-01-01"])
+    margins = spark.read.parquet(out["Margin per Order"])
+    expected = entry_mod.queries()["q15_margin_per_order"](spark, SF_SMALL)
+    assert margins.count() == expected.count()
+    got = margins.selectExpr("sum(cast(net_margin as double))").first()[0]
+    want = expected.selectExpr("sum(net_margin)").first()[0]
+    assert abs(got - want) < 1e-6
