@@ -121,7 +121,8 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
                       dedupe_raw: bool = False,
                       hot_keys: Sequence | str | None = None,
                       id_col: str = "transaction_id",
-                      date_col: str = "transaction_date") -> DataFrame:
+                      date_col: str = "transaction_date",
+                      rejects: list | None = None) -> DataFrame:
     """The composite cleaner.
 
     ``fill_cols`` defaults to every column up to ``fill_through`` (parity:
@@ -132,9 +133,16 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
     lines when product-level fields are blank in overlapping pulls).
     ``hot_keys`` (default: probe by sampling) routes very large orders
     through the chunked fill; see :mod:`ordercraft.operators.fill`.
+    ``rejects``: when a list is given, (reason, DataFrame) pairs of the
+    quarantined rows are appended to it -- text dates no format fits (C1) and
+    rows without a usable order id after the fill (C8, D31).
     """
     if date_col in df.columns and isinstance(df.schema[date_col].dataType, T.StringType):
-        df = df.withColumn(date_col, parse_timestamp(date_col))
+        parsed = df.withColumn("__ts", parse_timestamp(date_col))
+        if rejects is not None:
+            rejects.append(("unparsed_date", parsed.filter(
+                F.col(date_col).isNotNull() & F.col("__ts").isNull()).drop("__ts")))
+        df = parsed.withColumn(date_col, F.col("__ts")).drop("__ts")
     if dedupe_raw:
         df = dedupe(df, [c for c in df.columns if c not in drop_after_fill])
     cols = list(fill_cols) if fill_cols is not None else columns_up_to(df, fill_through)
@@ -143,7 +151,9 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
     df = forward_fill(df, id_col, date_col, list(order_tiebreaks), cols, hot_keys=hot_keys,
                       keep_spread=True, spread_cols=business)
     # Rows without a usable order id are rejected (see cast_id for them)
-    df, _rejected = cast_id(df, id_col)
+    df, bad_ids = cast_id(df, id_col)
+    if rejects is not None:
+        rejects.append(("no_order_id", bad_ids.drop(SPREAD)))
     df = df.filter(F.col(date_col) >= ts_ntz(start))
     df = df.drop(*[c for c in drop_after_fill if c in df.columns])
     # the dedupe keys include the id and the fill's spread column, so it runs

@@ -365,3 +365,15 @@ def test_month_name_and_fiscal_calendar(spark):
     out = df.select(dates.month_short_name("m").alias("n"), dates.fiscal_year_sep("d").alias("fy"),
                     dates.month_end_months_back("e", 3).alias("q"))
     assert rows(out) == [("Sep", 2020, dt.date(2019, 6, 30))]
+
+
+def test_cleaner_collects_rejects(spark):
+    df = spark.createDataFrame([("1", "2020-01-05 10:00:00", "a", 1), ("1", None, "b", 2),
+                                ("x", "2020-01-05", "c", 1), ("2", "13/45/2020", "d", 1)],
+                               "transaction_id string, transaction_date string, "
+                               "product_name string, line_seq long")
+    rejects = []
+    out = clean.clean_order_lines(df, start="2019-01-01", rejects=rejects)
+    assert sorted(rows(out, "transaction_id", "product_name")) == [(1, "a"), (1, "b")]
+    got = {reason: sorted(r[0] for r in rows(d, "transaction_id")) for reason, d in rejects}
+    assert got == {"unparsed_date": ["2"], "no_order_id": ["x"]}
