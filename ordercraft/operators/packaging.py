@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sorted_distinct_text
+from .subtotals import distinct_values
 
 # Blank marker, product-number prefixes, transfer codes, and the
 # retail multiplier for made (IR) units of an assembled product.
@@ -50,7 +51,8 @@ def with_packaging_used(df: DataFrame) -> DataFrame:
     })
 
 
-def inventory_summary(inv: DataFrame, months: Sequence, packaging_col: str = "packaging",
+def inventory_summary(inv: DataFrame, months: Sequence | None = None,
+                      packaging_col: str = "packaging",
                       used_col: str = "used_last_month") -> DataFrame:
     """Q32: counts per (packaging, item) with one column per month end and the
     use in the last month (latest minus previous; null if either is missing),
@@ -58,9 +60,11 @@ def inventory_summary(inv: DataFrame, months: Sequence, packaging_col: str = "pa
 
     ``months`` is the pivot value list in ascending order (its last two are
     the compared months); passing it avoids a distinct pass over the data.
+    ``None`` pivots on every month end present (as the reference does), taken
+    by one bounded distinct (see ``subtotals.distinct_values``).
     """
-    months = list(months)
     f = inv.filter((F.col(packaging_col) != BLANK) & (F.col("type") == PACKAGING_TYPE))
+    months = list(months) if months is not None else distinct_values(f, "date")
     wide = (f.groupBy(packaging_col, "item_code").pivot("date", months)
               .agg(F.sum("inventory_count")))
     names = [str(m) for m in months]

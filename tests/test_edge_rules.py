@@ -377,3 +377,15 @@ def test_cleaner_collects_rejects(spark):
     assert sorted(rows(out, "transaction_id", "product_name")) == [(1, "a"), (1, "b")]
     got = {reason: sorted(r[0] for r in rows(d, "transaction_id")) for reason, d in rejects}
     assert got == {"unparsed_date": ["2"], "no_order_id": ["x"]}
+
+
+def test_inventory_all_months_pivot(spark):
+    inv = spark.createDataFrame(
+        [("B", 1, dt.date(2020, 1, 31), 10.0), ("B", 1, dt.date(2020, 2, 29), 4.0),
+         ("B", 1, dt.date(2020, 3, 31), 1.0), ("C", 2, dt.date(2020, 1, 31), 5.0)],
+        "packaging string, item_code long, date date, inventory_count double") \
+        .withColumn("type", F.lit("packaging"))
+    full = packaging.inventory_summary(inv)
+    assert [c for c in full.columns if c.startswith("2020")] == [
+        "2020-01-31", "2020-02-29", "2020-03-31"]
+    assert rows(full, "packaging", "used_last_month") == [("B", -3.0), ("C", None)]
