@@ -96,8 +96,10 @@ def _chunked_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(w_local) for c in fill_cols})
 
-    # 3. last non-null value per chunk (inside a chunk only last_tb varies)
-    last_in_chunk = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(last_tb)))
+    # 3. last non-null value per chunk (inside a chunk only last_tb varies).
+    # The ordering value is a struct so a null tie-break still counts (it
+    # sorts first, as in the window) instead of making max_by skip the row.
+    last_in_chunk = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(last_tb))))
                      .alias(f"__last_{c}") for c in fill_cols]
     summary = rows.groupBy(key, *chunk_cols).agg(*last_in_chunk)
 

@@ -389,3 +389,14 @@ def test_inventory_all_months_pivot(spark):
     assert [c for c in full.columns if c.startswith("2020")] == [
         "2020-01-31", "2020-02-29", "2020-03-31"]
     assert rows(full, "packaging", "used_last_month") == [("B", -3.0), ("C", None)]
+
+
+def test_chunked_fill_carries_values_from_rows_without_tiebreak(spark):
+    df = spark.createDataFrame([(1, D(2020, 1, 1), "a", None), (1, None, None, 1),
+                                (1, None, None, 2)],
+                               "id long, date timestamp_ntz, x string, line_seq long")
+    expected = sorted(rows(forward_fill(df, "id", "date", ["line_seq"], ["x"]), "line_seq", "x"),
+                      key=str)
+    got = sorted(rows(forward_fill(df, "id", "date", ["line_seq"], ["x"], hot_keys="all",
+                                   chunk_rows=3), "line_seq", "x"), key=str)
+    assert got == expected == sorted([(None, "a"), (1, "a"), (2, "a")], key=str)
