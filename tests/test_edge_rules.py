@@ -400,3 +400,10 @@ def test_chunked_fill_carries_values_from_rows_without_tiebreak(spark):
     got = sorted(rows(forward_fill(df, "id", "date", ["line_seq"], ["x"], hot_keys="all",
                                    chunk_rows=3), "line_seq", "x"), key=str)
     assert got == expected == sorted([(None, "a"), (1, "a"), (2, "a")], key=str)
+
+
+def test_weekly_by_year_order_grain(spark):
+    df = spark.createDataFrame([(1, D(2020, 1, 1), 5), (1, D(2020, 1, 1), 5)],
+                               "transaction_id long, transaction_date timestamp_ntz, order_total int")
+    assert rows(calendar.weekly_by_year(df, "2019-01-01"), "sales") == [(10,)]
+    assert rows(calendar.weekly_by_year(df, "2019-01-01", order_grain=True), "sales") == [(5,)]
