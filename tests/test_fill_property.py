@@ -39,7 +39,8 @@ def python_fill(data):
     return sorted(out, key=str)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, derandomize=True, database=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(row, min_size=1, max_size=25), st.sampled_from([(), "all"]),
        st.integers(min_value=1, max_value=4))
 def test_fill_matches_python(spark, data, hot, chunk):
