@@ -89,3 +89,54 @@ def repeat_customers(lines: DataFrame, spec: Sequence[tuple[str, bool]], *,
                  F.max(F.when(sel, F.col("last_date"))).alias(f"{p}_last_date")]
     wide = g.groupBy(*keys).agg(*aggs)
     return wide.filter((F.col("pre_count") > 0) & (F.col("post_count") > 0))
+
+
+def repeat_customers_all(lines: DataFrame,
+                         specs: dict[str, Sequence[tuple[str, bool]]] | None = None, *,
+                         min_year: int | None = None, id_col: str = "transaction_id",
+                         date_col: str = "transaction_date",
+                         label_col: str = "pre_post") -> dict[str, DataFrame]:
+    """Q20 for several key specs in one pass over the lines.
+
+    Each line emits one (spec, key...) entry per spec; a single partial/final
+    aggregate chain then serves every spec (one scan, one set of shuffles
+    instead of one per spec). Returns spec name -> DataFrame with the same
+    columns as :func:`repeat_customers`.
+    """
+    specs = specs or REPEAT_KEY_SPECS
+    width = max(len(s) for s in specs.values())
+    df = lines
+    if min_year is not None:
+        df = df.filter(year_lower_bound(date_col, min_year))
+    entries = []
+    for name, spec in specs.items():
+        keys = [(F.lower(F.col(c)) if low else F.col(c)).cast("string") for c, low in spec]
+        keys += [F.lit(None).cast("string")] * (width - len(keys))
+        ok = F.lit(True)
+        for k in keys[:len(spec)]:
+            ok = ok & k.isNotNull()
+        entries.append(F.when(ok, F.struct(F.lit(name).alias("spec"),
+                                           *[k.alias(f"k{i}") for i, k in enumerate(keys)])))
+    e = (df.filter(F.col(label_col).isNotNull())
+           .select(id_col, date_col, label_col, F.explode(F.array(*entries)).alias("e"))
+           .filter(F.col("e").isNotNull())
+           .select(F.col("e.*"), id_col, date_col, label_col))
+    kcols = ["spec", *[f"k{i}" for i in range(width)]]
+    g = (e.groupBy(*kcols, label_col)
+          .agg(F.count_distinct(id_col).alias("n"), F.max(date_col).alias("last_date"),
+               F.min(date_col).alias("first_date")))
+    aggs = []
+    for lab in LABELS:
+        p, sel = lab.lower(), F.col(label_col) == lab
+        aggs += [F.max(F.when(sel, F.col("n"))).alias(f"{p}_count"),
+                 F.max(F.when(sel, F.col("first_date"))).alias(f"{p}_first_date"),
+                 F.max(F.when(sel, F.col("last_date"))).alias(f"{p}_last_date")]
+    wide = (g.groupBy(*kcols).agg(*aggs)
+             .filter((F.col("pre_count") > 0) & (F.col("post_count") > 0)))
+    out = {}
+    for name, spec in specs.items():
+        cols = [F.col(f"k{i}").alias(c) for i, (c, _) in enumerate(spec)]
+        out[name] = wide.filter(F.col("spec") == name).select(
+            *cols, *[f"{lab.lower()}_{m}" for lab in LABELS
+                     for m in ("count", "first_date", "last_date")])
+    return out

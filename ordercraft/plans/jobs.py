@@ -17,12 +17,12 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from ..operators import calendar, enrich, orders, packaging, shipping
+from ..operators import calendar, customers, enrich, orders, packaging, shipping
 from ..session import materialize
 from ..sources import sinks
 
 __all__ = ["materialize", "margin_report", "week_review_report", "ship_log_update",
-           "packaging_month_end"]
+           "packaging_month_end", "repeat_customers_report"]
 
 
 def margin_report(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame, out_dir: str, *,
@@ -82,3 +82,15 @@ def packaging_month_end(inventory: DataFrame, production: DataFrame, months, mon
         "production_retail": packaging.production_usage(production, month, year, retail=True),
     }
     return sinks.write_named_tables(tables, f"{out_dir.rstrip('/')}/packaging_as_of_{as_of}")
+
+
+def repeat_customers_report(lines: DataFrame, out_dir: str, *, min_year: int | None = None,
+                            cutover: str = "2020-03-17", as_of: str | None = None
+                            ) -> dict[str, str]:
+    """Q20: customers seen before and after the cut-over, by e-mail, by last
+    name and customer / shipping postal code, and by shipping name and postal
+    code -- four tables from one pass over the lines."""
+    as_of = as_of or dt.date.today().isoformat()
+    tables = customers.repeat_customers_all(enrich.prepare_lines(lines, cutover),
+                                            min_year=min_year)
+    return sinks.write_named_tables(tables, f"{out_dir.rstrip('/')}/repeat_customers_{as_of}")

@@ -139,3 +139,12 @@ def test_command_line_margin_report_from_csv_exports(spark, tmp_path):
     got = margins.selectExpr("sum(cast(net_margin as double))").first()[0]
     want = expected.selectExpr("sum(net_margin)").first()[0]
     assert abs(got - want) < 1e-6
+
+
+def test_repeat_customers_report_job(spark, tmp_path):
+    from ordercraft.plans import jobs
+    t = Tables(spark, SF_SMALL)
+    out = jobs.repeat_customers_report(t.sales, str(tmp_path / "rc"), cutover="1998-01-01",
+                                       as_of="2001-01-01")
+    assert set(out) == {"email", "cust_post", "ship_post", "ship_name"}
+    assert spark.read.parquet(out["email"]).count() > 0

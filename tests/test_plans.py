@@ -184,3 +184,14 @@ def test_cleaner_rejects_null_ids(spark):
     out = clean_order_lines(df, start="2019-01-01", order_tiebreaks=("pull", "line_seq"),
                             drop_after_fill=("pull", "line_seq"))
     assert rows(out, "transaction_id", "product_name") == [(7, "b")]
+
+
+def test_repeat_customers_single_pass_equals_separate(spark):
+    from ordercraft.operators import customers
+    lines = enrich.prepare_lines(Tables(spark, SF_SMALL).sales, cutover="1998-01-01")
+    together = customers.repeat_customers_all(lines, min_year=1995)
+    for name, spec in customers.REPEAT_KEY_SPECS.items():
+        alone = customers.repeat_customers(lines, spec, min_year=1995)
+        both = together[name]
+        assert both.columns == alone.columns
+        assert both.exceptAll(alone).count() == 0 and alone.exceptAll(both).count() == 0
