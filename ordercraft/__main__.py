@@ -6,6 +6,7 @@
         --end 2020-12-31 --out out/
     python -m ordercraft ship-log-update --exports 'exports/*.csv' --ship-log log/ \
         [--since 2018-01-01]
+    python -m ordercraft repeat-customers --exports 'exports/*.csv' --out out/ [--min-year 2012]
     python -m ordercraft packaging --inventory inv.parquet --production prod.parquet \
         --month 9 --year 2019 --months 2019-07-31,2019-08-31,2019-09-30 --out out/
 
@@ -47,7 +48,7 @@ def _clean_exports(spark, pattern: str, start: str, cutover: str):
 def main(argv: list[str] | None = None) -> dict:
     ap = argparse.ArgumentParser(prog="ordercraft")
     sub = ap.add_subparsers(dest="job", required=True)
-    for name in ("margin-report", "week-review", "ship-log-update"):
+    for name in ("margin-report", "week-review", "ship-log-update", "repeat-customers"):
         p = sub.add_parser(name)
         p.add_argument("--exports", required=True, help="glob of order-export CSV files")
         p.add_argument("--start", default=clean.DEFAULT_START, help="keep orders from this date")
@@ -62,6 +63,9 @@ def main(argv: list[str] | None = None) -> dict:
     wr.add_argument("--end", required=True)
     wr.add_argument("--out", required=True)
     wr.add_argument("--review-start", default=None)
+    rc = sub.choices["repeat-customers"]
+    rc.add_argument("--out", required=True)
+    rc.add_argument("--min-year", type=int, default=None)
     su = sub.choices["ship-log-update"]
     su.add_argument("--ship-log", required=True, help="ship-log table to append to (Parquet)")
     pk = sub.add_parser("packaging")
@@ -85,6 +89,9 @@ def main(argv: list[str] | None = None) -> dict:
                                   read_ship_log(spark, args.ship_log), args.out,
                                   since=args.since, freight_since=args.freight_since,
                                   cutover=args.cutover)
+    if args.job == "repeat-customers":
+        return jobs.repeat_customers_report(lines, args.out, min_year=args.min_year,
+                                            cutover=args.cutover)
     if args.job == "week-review":
         return jobs.week_review_report(lines, args.review_start or args.start, args.end, args.out)
     log = spark.read.parquet(args.ship_log)
