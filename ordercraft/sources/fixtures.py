@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fill import number_rows
 from ..schemas import MONEY
-from ..session import checkpoint_root
+from ..session import bounded_side, checkpoint_root
 
 # (application id, path) -> DataFrame over the base table / materialized view
 _READS: dict[tuple[str, str], DataFrame] = {}
@@ -100,13 +100,18 @@ class Tables:
                            LINE_ORDER, hot_keys=self.hot_orders)
 
     def _orders_with_customer(self) -> DataFrame:
-        """Orders with their customer and nation (one row per order)."""
+        """Orders with their customer and nation (one row per order), measured
+        before the lines join it: broadcast while small, otherwise a shuffle
+        join on the order key. Measuring keeps the planner from broadcasting
+        the (narrow, numbered) lines side instead, which would collapse the
+        result into the partitions of the orders scan."""
         o = self.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
                                "o_orderpriority")
         c = self.customer.select("c_custkey", "c_name", "c_nationkey")
         n = F.broadcast(self.nation.select("n_nationkey", "n_name"))
-        return (o.join(c, o.o_custkey == c.c_custkey)
-                 .join(n, c.c_nationkey == n.n_nationkey))
+        oc = (o.join(c, o.o_custkey == c.c_custkey)
+               .join(n, c.c_nationkey == n.n_nationkey))
+        return bounded_side(oc, "orders_with_customer")
 
     @cached_property
     def sales(self) -> DataFrame:
