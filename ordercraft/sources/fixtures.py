@@ -99,6 +99,7 @@ class Tables:
         return number_rows(self.lineitem.select("l_orderkey", *LINE_ORDER), "l_orderkey",
                            LINE_ORDER, hot_keys=self.hot_orders)
 
+    @cached_property
     def _orders_with_customer(self) -> DataFrame:
         """Orders with their customer and nation (one row per order), measured
         before the lines join it: broadcast while small, otherwise a shuffle
@@ -124,7 +125,7 @@ class Tables:
         # customer and nation join the orders first (order-level rows); the lines
         # then meet that on the order key, which the line-numbering window has
         # already partitioned them by -- one line-level shuffle fewer at scale
-        j = (li.join(self._orders_with_customer(), li.l_orderkey == F.col("o_orderkey"))
+        j = (li.join(self._orders_with_customer, li.l_orderkey == F.col("o_orderkey"))
                .join(p, li.l_partkey == p.p_partkey))
         ok = F.col("o_orderkey")
         return j.select(
@@ -218,7 +219,7 @@ class Tables:
 
     def _build_fedex(self) -> DataFrame:
         li = self.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
-        j = li.join(self._orders_with_customer(), li.l_orderkey == F.col("o_orderkey"))
+        j = li.join(self._orders_with_customer, li.l_orderkey == F.col("o_orderkey"))
         return j.select(
             F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
              .when(F.col("l_linenumber") == 6, F.lit("Non Zone"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ ID = "transaction_id"
 def _log_ids(spark: SparkSession, log_path: str) -> DataFrame:
     try:
         return spark.read.parquet(log_path).select(ID).filter(F.col(ID).isNotNull())
-    except Exception:  # noqa: BLE001  -- first batch: the log does not exist yet
+    except AnalysisException:  # first batch: the log does not exist yet
         return spark.createDataFrame([], T.StructType([T.StructField(ID, T.LongType())]))
 
 
