@@ -9,11 +9,11 @@ sequences inside a band: linked if the aligned shingles are at least
 ``SIMILARITY`` of all (aligned / (a + b - aligned)).
 
 Scale: texts with equal words are one node from the start. A bucket of equal
-sketches never emits all its pairs: first every member is compared with the
-bucket's smallest member only (``ROUNDS`` times, with the members of one
-component counting as one), and only members that still lie in different
-components are compared with each other. Components are found by distributed
-rounds. Node ids are 64-bit hashes of the words.
+sketches never emits its pairs: first every member is compared with the
+bucket's smallest member only; buckets whose members then still lie in
+different components are compared in full inside tasks, in blocks of
+``BLOCK`` members, and give only the links that join components. Components
+are found by distributed rounds. Node ids are 64-bit hashes of the words.
 
 Texts without words are copies of each other only if their bytes are equal;
 null and empty texts are never linked.
@@ -33,7 +33,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 PICKS = 4
-ROUNDS = 2
+BLOCK = 512  # members of a bucket that are compared in one go
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 FIELDS = "c1 long, n int, sketch array<long>, words binary"
@@ -195,6 +195,103 @@ def verify_pairs(pairs: DataFrame, words: DataFrame, similarity: float) -> DataF
                 .mapInArrow(check, "a long, b long")
 
 
+def bucket_links(band: int, node, root, side, sketch, seqs, similarity: float) -> list[tuple]:
+    """Links that join different components within one bucket, or between its
+    two sides. Pairs that agree in an earlier sketch are left to that bucket.
+    The shared shingles of all pairs are counted by a matrix product; only
+    pairs that could still be similar are aligned."""
+    g, size = len(node), np.array([len(x) for x in seqs])
+    lab = [np.unique(labelled(x)) for x in seqs]
+    flat, owner = np.concatenate(lab), np.repeat(np.arange(g), size)
+    uniq, inv, cnt = np.unique(flat, return_inverse=True, return_counts=True)
+    common = np.cumsum(cnt > 1) - 1
+    keep = cnt[inv] > 1
+    col, owner = common[inv[keep]], owner[keep]
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[order]
+    shared = np.zeros((g, g), np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        i, j = np.searchsorted(col, [lo, lo + 4096])
+        m = np.zeros((g, 4096), np.float32)
+        m[owner[i:j], col[i:j] - lo] = 1
+        shared += m @ m.T
+    need = similarity / (1 + similarity) * (size[:, None] + size[None, :]) - 1e-3
+    ok = np.triu(shared >= need, 1) & (root[:, None] != root[None, :])
+    if side is not None:
+        ok &= side[:, None] != side[None, :]
+    ia, ib = np.nonzero(ok)
+    fresh = ~(sketch[ia, :band] == sketch[ib, :band]).any(1)
+    ia, ib = ia[fresh], ib[fresh]
+    best = np.argsort(-shared[ia, ib] / need[ia, ib], kind="stable")
+    parent: dict = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in zip(ia[best].tolist(), ib[best].tolist()):
+        ra, rb = find(root[i]), find(root[j])
+        if ra != rb and aligned(seqs[i], seqs[j], similarity):
+            parent[max(ra, rb)] = min(ra, rb)
+            links.append((node[i], node[j]))
+    return links
+
+
+def compare_buckets(live: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links between the components inside each (band, sig) bucket; ``live`` has
+    node, root and m, the size of the bucket. A bucket of more than ``BLOCK``
+    members is dealt to pairs of blocks, so that no task holds more than two."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    live = live.withColumn("blocks", blocks).withColumn(
+        "x", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int"))
+    live = live.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    live = live.select("band", "sig", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"),
+                       (F.col("x") > F.col("y")).cast("int").alias("side"), "node", "root")
+    rows = live.join(words, F.col("node") == F.col("c1")).drop("c1") \
+               .repartition("band", "sig", "i", "j").sortWithinPartitions("band", "sig", "i", "j")
+    key = ["band", "sig", "i", "j"]
+
+    def run(batches):
+        held, now = [], None
+
+        def links():
+            t = pa.Table.from_batches(held)
+            if t.num_rows < 2:
+                return []
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            seqs = [shingles(np.frombuffer(x.as_buffer(), np.uint32)) for x in t.column("words")]
+            sk = np.array(t.column("sketch").to_pylist(), np.int64)
+            side = None if i == j else t.column("side").to_numpy()
+            return bucket_links(now[0], t.column("node").to_numpy(), t.column("root").to_numpy(),
+                                side, sk, seqs, similarity)
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in key]))
+            at = 0
+            while at < len(keys):
+                to = at
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if keys[at] != now and held:
+                    yield _pairs(links())
+                    held = []
+                now = keys[at]
+                held.append(batch.slice(at, to - at))
+                at = to
+        if held:
+            yield _pairs(links())
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _pairs(links: list[tuple]) -> pa.RecordBatch:
+    a, b = (np.array(x, np.int64) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
+                                      names=["a", "b"])
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             similarity: float = SIMILARITY) -> DataFrame:
     """One row per document row: id, k1, k2, n (shingles), class_id (smallest
@@ -213,42 +310,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = F.expr(f"least(n, n_low) >= {similarity} * greatest(n, n_low)")
     used = members.select("node").distinct()
     pick = nodes.join(used, F.col("c1") == F.col("node")).select("c1", "k1", "k2")
-    words = rows.join(pick, ["c1", "k1", "k2"]).select("c1", "k1", "k2", "words") \
-                .dropDuplicates(["c1", "k1", "k2"]).select("c1", "words")
+    words = rows.join(pick, ["c1", "k1", "k2"]).select("c1", "k1", "k2", "sketch", "words") \
+                .dropDuplicates(["c1", "k1", "k2"]).select("c1", "sketch", "words")
     words = materialize(words, "omh-words")
 
-    edges, tested, comp, live = None, None, None, members
-    for step in range(ROUNDS):
-        # one comparison per member: with the first member of its bucket that is
-        # of another component than it
-        key = F.col("node") if comp is None else F.col("root")
-        live = live.withColumn(f"{TMP}key", key)
-        lead = live.groupBy("band", "sig").agg(
-            F.min(F.struct(f"{TMP}key", "node", "n")).alias("l"),
-            F.max(f"{TMP}key").alias("last")).where(f"last > l.{TMP}key")
-        pairs = live.join(lead, ["band", "sig"]).where(F.col(f"{TMP}key") != F.col(f"l.{TMP}key")) \
-            .withColumn("n_low", F.col("l.n")).where(near) \
-            .select(F.least("l.node", "node").alias("a"), F.greatest("l.node", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "omh-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialize(verify_pairs(pairs, words, similarity), "omh-links")
-        edges = found if edges is None else edges.unionByName(found)
-        comp = components(edges, "omh")
-        live = members.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # what is left: members of one bucket in different components, each pair once
+    # every member against the first of its bucket
+    lead = members.groupBy("band", "sig").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("m"))
+    pairs = members.join(lead, ["band", "sig"]).withColumn("n_low", F.col("l.n")) \
+        .where("node > l.node").where(near).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+    found = verify_pairs(materialize(pairs.distinct(), "omh-pairs"), words, similarity)
+    edges = materialize(found, "omh-links")
+    # what is left: larger buckets whose members lie in different components
+    live = members.join(components(edges, "omh"), "node", "left") \
+                  .withColumn("root", F.coalesce("root", "node"))
     live = materialize(live, "omh-live")
-    mixed = live.groupBy("band", "sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
-                .where("hi > lo").select("band", "sig")
-    rest = live.join(mixed, ["band", "sig"])
-    left = rest.select("band", "sig", F.col("node").alias("a"), F.col("root").alias("ra"), "n")
-    right = rest.select("band", "sig", F.col("node").alias("b"), F.col("root").alias("rb"),
-                        F.col("n").alias("n_low"))
-    pairs = left.join(right, ["band", "sig"]).where("a < b AND ra != rb").where(near) \
-                .select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    found = verify_pairs(materialize(pairs, "omh-rest"), words, similarity)
-    comp = components(edges.unionByName(materialize(found, "omh-links")), "omh")
+    mixed = live.groupBy("band", "sig").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")) \
+        .where("hi > lo AND m > 2").select("band", "sig", "m")
+    rest = compare_buckets(live.join(mixed, ["band", "sig"]), words, similarity)
+    comp = components(edges.unionByName(materialize(rest, "omh-links")), "omh")
 
     ids = rows.select("id", "k1", "k2", "n", "c1")
     ids = ids.join(comp, F.col("c1") == F.col("node"), "left") \
