@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, interleave, order_minhash, poisson_mix, ppm_langid
+from . import (decontaminate, interleave, order_minhash, poisson_mix, ppm_langid, pruned_graph,
+               token_histogram, toxicity)
 from .common import crc_bucket, table
 
 
@@ -20,11 +21,24 @@ def op1_suffix_decontamination(spark, sf_dir):
         decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op2_length_histogram(spark, sf_dir):
+    """Documents per encoded length with prefix, suffix and truncated totals."""
+    return token_histogram.length_histogram(table(spark, sf_dir, "documents"))
+
+
 def op4_stratified_interleaving(spark, sf_dir):
     """Shard and slot of every document under the law ``rows``."""
     return interleave.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of every document; learned where crc32(doc_id) mod 5 is not 0."""
+    held = crc_bucket("doc_id", 5) == 0
+    return toxicity.score(table(spark, sf_dir, "documents").withColumn("held_out", held),
+                          table(spark, sf_dir, "labels"), ~F.col("held_out"),
+                          keep=["doc_id", "held_out"])
+
+
 def op6_poisson_mixture(spark, sf_dir):
     """Every document repeated by its Poisson draw, in shuffled order."""
     return poisson_mix.poisson_mix(table(spark, sf_dir, "documents"))
@@ -36,6 +50,12 @@ def op8_order_minhash(spark, sf_dir):
         F.col("id").alias("doc_id"), "class_id", "kept", F.col("n").alias("n_shingles"))
 
 
+def op9_pruned_graph(spark, sf_dir):
+    """Links, component and verdict of every vector at cosine 0.95."""
+    d = pruned_graph.links(table(spark, sf_dir, "embeddings"))
+    return d.withColumnRenamed("id", "vec_id")
+
+
 def op10_ppm_language(spark, sf_dir):
     """Language of every document; learned where crc32(doc_id) mod 3 is not 1."""
     held = crc_bucket("doc_id", 3) == 1
@@ -46,7 +66,8 @@ def op10_ppm_language(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_decontamination, op4_stratified_interleaving, op6_poisson_mixture,
-    op8_order_minhash, op10_ppm_language)}
+    op1_suffix_decontamination, op2_length_histogram, op4_stratified_interleaving, op5_toxicity,
+    op6_poisson_mixture,
+    op8_order_minhash, op9_pruned_graph, op10_ppm_language)}
 
 ORACLE: dict[str, str] = {}
