@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, interleave, order_minhash, poisson_mix, ppm_langid, pruned_graph,
-               token_histogram, toxicity)
+from . import (decontaminate, ef_trie_lm, interleave, order_minhash, poisson_mix, ppm_langid,
+               pruned_graph, token_histogram, toxicity)
 from .common import crc_bucket, table
 
 
@@ -44,6 +44,14 @@ def op6_poisson_mixture(spark, sf_dir):
     return poisson_mix.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op7_trie_scores(spark, sf_dir):
+    """Model and base score of every document; learned where crc32(doc_id) mod 5 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    d = ef_trie_lm.score(docs, crc_bucket("doc_id", 5) != 1)
+    return d.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens",
+                    "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_order_minhash(spark, sf_dir):
     """Class of every document: smallest id of its near copies, and whether it stays."""
     return order_minhash.classes(table(spark, sf_dir, "documents")).select(
@@ -67,7 +75,7 @@ def op10_ppm_language(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_decontamination, op2_length_histogram, op4_stratified_interleaving, op5_toxicity,
-    op6_poisson_mixture,
+    op6_poisson_mixture, op7_trie_scores,
     op8_order_minhash, op9_pruned_graph, op10_ppm_language)}
 
 ORACLE: dict[str, str] = {}
