@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, ef_trie_lm, interleave, order_minhash, poisson_mix, ppm_langid,
+from . import (decontaminate, ef_trie_lm, interleave, kneser_ney, order_minhash, poisson_mix, ppm_langid,
                pruned_graph, token_histogram, toxicity)
 from .common import crc_bucket, table
 
@@ -26,6 +26,14 @@ def op2_length_histogram(spark, sf_dir):
     return token_histogram.length_histogram(table(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney(spark, sf_dir):
+    """Perplexity of every document under a model of trusted text, and the verdict."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    trusted = docs.join(good, F.col("doc_id") == F.col("good_id")).select("text")
+    return kneser_ney.classify(docs, trusted, keep=["doc_id", "lang"])
+
+
 def op4_stratified_interleaving(spark, sf_dir):
     """Shard and slot of every document under the law ``rows``."""
     return interleave.shard_documents(table(spark, sf_dir, "documents"))
@@ -74,7 +82,7 @@ def op10_ppm_language(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_decontamination, op2_length_histogram, op4_stratified_interleaving, op5_toxicity,
+    op1_suffix_decontamination, op2_length_histogram, op3_kneser_ney, op4_stratified_interleaving, op5_toxicity,
     op6_poisson_mixture, op7_trie_scores,
     op8_order_minhash, op9_pruned_graph, op10_ppm_language)}
 
