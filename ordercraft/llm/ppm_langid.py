@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, annotate, flat_text, lower_table
+from .common import TMP, annotate, flat_text, lower_table, materialize
 
 ORDER = 3  # longest context in bytes
 SAMPLE_BYTES = 1_000_000  # expected training bytes per language
 PAD = 10  # each text is preceded by ORDER newlines
 DENSE = 1 << 16  # contexts above which children are found by binary search
+MAX_BROADCAST = 10_000  # languages whose sizes are broadcast
 UNKNOWN = "und"
 
 
@@ -34,6 +35,9 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str, train: Column,
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
                .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("double")).alias("n"))
+    sizes = materialize(sizes, "ppm-sizes")
+    if sizes.count() <= MAX_BROADCAST:  # else a shuffle join; the texts then move once
+        sizes = F.broadcast(sizes)
     share = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(sizes.withColumnRenamed("lang", f"{TMP}l"), F.col("lang") == F.col(f"{TMP}l")) \
                  .where(share * F.col("n") < sample_bytes).select("lang", "text")
