@@ -131,12 +131,15 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     label = F.col(f"`{label_col}`")
     marks = labels.where(label.isin(0, 1) & F.col(f"`{id_col}`").isNotNull()) \
         .groupBy(F.col(f"`{id_col}`").alias(f"{TMP}id")).agg(F.max(label).cast("double").alias("label"))
-    known = docs.where(train).join(marks, F.col(f"`{id_col}`") == F.col(f"{TMP}id")) \
-        .select("label", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
-                F.pmod(F.xxhash64(F.lit(11), f"{TMP}id"), F.lit(1 << 30)).alias("h"))
     n = marks.count()
     share = min(1.0, sample_rows / n) if n else 1.0
-    sample = materialize(known.where(F.col("h") < int(share * (1 << 30))), "toxic-sample")
+    # the hash filters the documents before the join, so only sampled texts move
+    chosen = docs.where(train).select(
+        F.col(f"`{id_col}`").alias(f"{TMP}d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        F.pmod(F.xxhash64(F.lit(11), F.col(f"`{id_col}`")), F.lit(1 << 30)).alias("h")) \
+        .where(F.col("h") < int(share * (1 << 30)))
+    sample = materialize(chosen.join(marks, F.col(f"{TMP}d") == F.col(f"{TMP}id"))
+                         .select("label", "text", "h"), "toxic-sample")
     size = sample.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
     rows, positive = size["n"], size["p"] or 0.0
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
