@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import WordHasher, flat_text, materialize, space_table, text_chunks
 
-BATCH_BYTES = 8 << 20  # text in a batch
+BATCH_BYTES = 5 << 20  # text in a batch
 SHARD_BYTES = 16 << 20  # text per shard: their number follows the corpus
 DISCOUNT = 0.75
 HEAVY = 512
@@ -183,7 +183,11 @@ def batch_pairs(n: np.ndarray, train: np.ndarray, idx: np.ndarray, vocab: np.nda
     before = np.empty(len(after), np.int64)
     before[1:] = after[:-1]
     before[np.cumsum(n + 1) - (n + 1)] = bos
-    pair, number = np.unique(before << 32 | after, return_inverse=True)
+    before <<= 32
+    before |= after
+    del after, is_word
+    pair, number = np.unique(before, return_inverse=True)
+    del before
     count = np.bincount(number[np.repeat(train, n + 1)], minlength=len(pair))
     v, w = pair >> 32, pair & 0xFFFFFFFF
     shard = words[v] % np.uint64(shards)
@@ -281,9 +285,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def ask(batches):
         for b in batches:
-            for row in b.to_pylist():
-                n, tr, idx, vocab = _batch_of(row)
-                words, _, shard, v, w, count = batch_pairs(n, tr, idx, vocab, heavy, shards)
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                words, number, shard, v, w, count = batch_pairs(*_batch_of(row), heavy, shards)
+                del number
                 succ = words[w] & np.uint64((1 << SUCC) - 1)
                 for s, a, z, ctx, ns in shard_cells(words, shard, v, heavy, shards):
                     if len(ctx):
