@@ -29,7 +29,10 @@ from .sources.csv_exports import read_csv_exports
 from .sources.tables import read_pricing, read_ship_log, read_table
 
 
-def _clean_exports(spark, pattern: str, start: str, cutover: str):
+def _clean_exports(spark, pattern: str, start: str, cutover: str, rejects_dir: str):
+    """Cleaned lines, written once; rows that cannot be used go to ``rejects_dir``
+    with the reason, one folder each."""
+    rejects: list = []
     raw = read_csv_exports(spark, pattern, ORDER_LINES_CSV)
     # Lines of one order are ordered by date (blank last) and, when the export
     # carries a line number column ``line_seq``, by that number. Without it the
@@ -39,10 +42,13 @@ def _clean_exports(spark, pattern: str, start: str, cutover: str):
         raw = raw.withColumn("line_seq", raw["line_seq"].try_cast("long"))
         tiebreaks = ("line_seq",)
     # the chunked skew path needs a numeric tie-break; without one, the window path
-    return clean.clean_order_lines(raw, start=start, cutover=cutover,
-                                   order_tiebreaks=tiebreaks,
-                                   drop_after_fill=("source_file",),
-                                   hot_keys=None if tiebreaks else ())
+    lines = clean.clean_order_lines(raw, start=start, cutover=cutover,
+                                    order_tiebreaks=tiebreaks,
+                                    drop_after_fill=("source_file",),
+                                    hot_keys=None if tiebreaks else (), rejects=rejects)
+    for reason, rows in rejects:
+        rows.write.mode("overwrite").option("header", True).csv(f"{rejects_dir}/{reason}")
+    return jobs.materialize(lines, "clean_lines")
 
 
 def main(argv: list[str] | None = None) -> dict:
@@ -53,6 +59,8 @@ def main(argv: list[str] | None = None) -> dict:
         p.add_argument("--exports", required=True, help="glob of order-export CSV files")
         p.add_argument("--start", default=clean.DEFAULT_START, help="keep orders from this date")
         p.add_argument("--cutover", default=clean.DEFAULT_CUTOVER)
+        p.add_argument("--rejects", default=None,
+                       help="folder for unusable rows (default: rejects under --out, or beside the log)")
     mr = sub.choices["margin-report"]
     mr.add_argument("--pricing", required=True)
     mr.add_argument("--ship-log", required=True)
@@ -73,17 +81,20 @@ def main(argv: list[str] | None = None) -> dict:
     pk.add_argument("--production", required=True)
     pk.add_argument("--month", type=int, required=True)
     pk.add_argument("--year", type=int, required=True)
-    pk.add_argument("--months", required=True, help="comma-separated month ends, ascending")
+    pk.add_argument("--months", default=None,
+                    help="comma-separated month ends, ascending (default: all in the counts)")
     pk.add_argument("--out", required=True)
     args = ap.parse_args(argv)
 
     spark = get_session()
     if args.job == "packaging":
-        months = [dt.date.fromisoformat(m) for m in args.months.split(",")]
+        months = [dt.date.fromisoformat(m) for m in args.months.split(",")] if args.months else None
         return jobs.packaging_month_end(read_table(spark, args.inventory),
                                         read_table(spark, args.production), months, args.month,
                                         args.year, args.out)
-    lines = _clean_exports(spark, args.exports, args.start, args.cutover)
+    base = args.ship_log.rstrip("/") + "_" if args.job == "ship-log-update" else args.out.rstrip("/") + "/"
+    lines = _clean_exports(spark, args.exports, args.start, args.cutover,
+                           args.rejects or f"{base}rejects")
     if args.job == "margin-report":
         return jobs.margin_report(lines, read_pricing(spark, args.pricing),
                                   read_ship_log(spark, args.ship_log), args.out,

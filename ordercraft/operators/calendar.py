@@ -172,7 +172,7 @@ def holiday_comparison(lines: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def product_catalogue(lines: DataFrame, since: str,
-                      keys: Sequence[str] = ("product_name", "item_code", "product_options",
+                      keys: Sequence[str] = ("product_name", "product_code", "product_options",
                                              "product_weight", "product_price")) -> DataFrame:
     """Q27: every product sold since ``since`` with its last sale date."""
     return (lines.filter(F.col("transaction_date") >= ts_ntz(since))

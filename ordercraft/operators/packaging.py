@@ -61,14 +61,16 @@ def inventory_summary(inv: DataFrame, months: Sequence | None = None,
     ``months`` is the pivot value list in ascending order (its last two are
     the compared months); passing it avoids a distinct pass over the data.
     ``None`` pivots on every month end present (as the reference does), taken
-    by one bounded distinct (see ``subtotals.distinct_values``).
+    by one distinct over the filtered dates. With fewer than two months the use
+    is null.
     """
     f = inv.filter((F.col(packaging_col) != BLANK) & (F.col("type") == PACKAGING_TYPE))
     months = list(months) if months is not None else distinct_values(f, "date")
     wide = (f.groupBy(packaging_col, "item_code").pivot("date", months)
               .agg(F.sum("inventory_count")))
     names = [str(m) for m in months]
-    wide = wide.withColumn(used_col, F.col(f"`{names[-1]}`") - F.col(f"`{names[-2]}`"))
+    wide = wide.withColumn(used_col, F.col(f"`{names[-1]}`") - F.col(f"`{names[-2]}`")
+                           if len(names) > 1 else F.lit(None).cast("double"))
     return wide.orderBy(F.col(used_col).asc_nulls_last(), packaging_col, "item_code")
 
 

@@ -21,10 +21,11 @@ from .clean import parse_dates_with_rejects
 
 # The carrier's marker for shipments outside the zone system.
 NON_ZONE = "Non Zone"
-# Columns the ship-log update lists for new orders (those the fixtures carry).
+# The columns the ship-log update lists for new orders.
 LOG_UPDATE_COLUMNS = ("transaction_date", "transaction_id", "shipping_first_name",
-                      "shipping_last_name", "shipping_postal_code", "customer_email",
-                      "product_name", "item_code", "product_quantity")
+                      "shipping_last_name", "shipping_address1", "shipping_city",
+                      "shipping_state", "shipping_postal_code", "shipping_phone",
+                      "customer_email", "product_name", "product_code", "product_quantity")
 
 
 def zone_rows(bill: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +76,7 @@ def ship_log_printout(enriched: DataFrame, ship_log: DataFrame, start: str) -> D
                            ship_log)
     return todo.select("transaction_id",
                        full_name("shipping_first_name", "shipping_last_name").alias("customer"),
+                       "customer_phone",
                        "item_code", "product_normalized", "units_total")
 
 

@@ -9,7 +9,7 @@ but has no row of its own; a null first key is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 # The label of an aggregated-away key, and the period switches.
 TOTAL_LABEL = "[Total]"
 PERIOD_ALL, PERIOD_TO_DATE = "yoy", "ytd"
-DEFAULT_PIVOT_LIMIT = 1000
 
 
 def subtotals(df: DataFrame, value_cols: str | Sequence[str], keys: Sequence[str],
-              total_label: str = TOTAL_LABEL) -> DataFrame:
-    """Long-form nested subtotals of one or several summed columns.
+              total_label: str = TOTAL_LABEL,
+              aggregates: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
+    """Long-form nested subtotals of one or several columns.
 
-    Needs at least two keys (with one key there is nothing to nest).
+    ``aggregates`` names the aggregate of a value column (``F.max``, ``F.avg``,
+    ``F.count_distinct`` ...); a column without one is summed, where a sum over
+    nulls only is 0. Needs at least two keys (with one there is nothing to nest).
     """
     keys = list(keys)
     if len(keys) < 2:
@@ -32,7 +34,8 @@ def subtotals(df: DataFrame, value_cols: str | Sequence[str], keys: Sequence[str
     values = [value_cols] if isinstance(value_cols, str) else list(value_cols)
     sets = [keys[:i] for i in range(1, len(keys) + 1)]
     g = (df.groupingSets(sets, *keys)
-           .agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values],
+           .agg(*[(aggregates[v](v) if aggregates and v in aggregates
+                   else F.coalesce(F.sum(v), F.lit(0))).alias(v) for v in values],
                 *[F.grouping(k).alias(f"__g_{k}") for k in keys[1:]]))
     keep = F.col(keys[0]).isNotNull()
     for k in keys[1:]:
@@ -43,11 +46,10 @@ def subtotals(df: DataFrame, value_cols: str | Sequence[str], keys: Sequence[str
     return g.filter(keep).select(*labelled, *values)
 
 
-def distinct_values(df: DataFrame, col: str, limit: int = DEFAULT_PIVOT_LIMIT) -> list:
-    """Sorted distinct values of a pivot column, refusing more than ``limit``."""
-    rows = df.select(col).distinct().filter(F.col(col).isNotNull()).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct values in {col}; pass them explicitly")
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a pivot column: each becomes a column of the
+    result, so they are the one thing of the data that planning has to know."""
+    rows = df.select(col).distinct().filter(F.col(col).isNotNull()).collect()
     return sorted(r[0] for r in rows)
 
 
@@ -58,7 +60,7 @@ def subtotals_wide(df: DataFrame, value_col: str, keys: Sequence[str],
     keys = list(keys)
     long = subtotals(df, value_col, keys, total_label)
     if pivot_values is None:
-        pivot_values = distinct_values(long, keys[0])
+        pivot_values = distinct_values(df, keys[0])
     wide = long.groupBy(*keys[1:]).pivot(keys[0], list(pivot_values)).agg(F.first(value_col))
     return wide.orderBy(*keys[1:])  # L4: '[Total]' sorts after capitals, before lower case
 
@@ -93,8 +95,3 @@ def diff_and_percent(df: DataFrame, period_cols: Sequence[str]) -> DataFrame:
         "difference": last - prev,
         "difference_pct": F.try_divide(last.cast("double"), prev.cast("double")) - F.lit(1.0),
     })
-
-
-def latest_change(last: Column, prev: Column) -> Column:
-    """Latest period minus the one before; null if either is missing."""
-    return last - prev

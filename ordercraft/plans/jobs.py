@@ -91,6 +91,7 @@ def repeat_customers_report(lines: DataFrame, out_dir: str, *, min_year: int | N
     name and customer / shipping postal code, and by shipping name and postal
     code -- four tables from one pass over the lines."""
     as_of = as_of or dt.date.today().isoformat()
-    tables = customers.repeat_customers_all(enrich.prepare_lines(lines, cutover),
-                                            min_year=min_year)
+    # the four tables read the prepared lines from one written table
+    tables = customers.repeat_customers_all(
+        materialize(enrich.prepare_lines(lines, cutover), "repeat_lines"), min_year=min_year)
     return sinks.write_named_tables(tables, f"{out_dir.rstrip('/')}/repeat_customers_{as_of}")

@@ -232,14 +232,17 @@ for _key, _spec in customers.REPEAT_KEY_SPECS.items():
 
 # ------------------------------------------------------------------ Q21-Q23
 @register("q21_ship_log_printout", with_views(Y_VIEWS, f"""
-select transaction_id, shipping_first_name || ' ' || shipping_last_name as customer, item_code,
+select transaction_id, shipping_first_name || ' ' || shipping_last_name as customer,
+ customer_phone, item_code,
  product_normalized, units_total
 from y where transaction_date >= TIMESTAMP '{SINCE}'
  and transaction_id is not null
  and transaction_id not in (select order_no from ship_log where order_no is not null)""", Y_CTES))
 def q21_ship_log_printout(spark, sf_dir):
     t = tables(spark, sf_dir)
-    y = enrich.enrich_lines(enrich.prepare_lines(t.sales, CUTOVER), t.pricing, t.ship_log)
+    # orders that have a log row drop out before the lines are joined to anything
+    todo = shipping.not_in_ship_log(t.sales, t.ship_log)
+    y = enrich.enrich_lines(enrich.prepare_lines(todo, CUTOVER), t.pricing, t.ship_log)
     return shipping.ship_log_printout(y, t.ship_log, SINCE)
 
 
@@ -388,10 +391,10 @@ def q26_holiday_windows(spark, sf_dir):
 
 
 @register("q27_product_catalogue", with_views(["sales"], f"""
-select product_name, item_code, product_options, product_weight,
+select product_name, product_code, product_options, product_weight,
  cast(product_price as double) as product_price, max(transaction_date) as max_date
 from sales where transaction_date >= TIMESTAMP '{SINCE}'
-group by product_name, item_code, product_options, product_weight, product_price"""))
+group by product_name, product_code, product_options, product_weight, product_price"""))
 def q27_product_catalogue(spark, sf_dir):
     return decimals_to_double(calendar.product_catalogue(tables(spark, sf_dir).sales, SINCE))
 

@@ -3,24 +3,18 @@ period differences (Q29) and packaging usage (Q30-Q33)."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from ..operators import packaging, subtotals
 from .catalog import decimals_to_double, register, tables
 from .views_sql import with_views
 
-# Fixed values for the test tables: T7 keys/measure (FIXTURES.md), the pivot
-# value lists (nation names follow the rule NATION_<n>; years of the data; the
-# last three month ends of the inventory counts) and the report months.
+# Fixed values for the test tables: T7 keys/measure (FIXTURES.md) and the report
+# months. Pivot columns (states, years, month ends) come from the data.
 SUB_KEYS = ["customer_state", "product_options", "product_name"]
 SUB_VALUE = "product_quantity"
-NATIONS = sorted(f"NATION_{i}" for i in range(25))
-YEARS = list(range(1995, 2002))
 YTD_MONTH = 6
 YTD_KEYS = ["year", "customer_state", "product_options"]
-LAST_MONTH_ENDS = [dt.date(2001, 9, 30), dt.date(2001, 10, 31), dt.date(2001, 11, 30)]
 PROD_MONTH, PROD_YEAR = 6, 1999
 
 
@@ -46,16 +40,17 @@ def q28_subtotals_long(spark, sf_dir):
     return subtotals.subtotals(tables(spark, sf_dir).sales, SUB_VALUE, SUB_KEYS)
 
 
-def _wide_sql(long_sql: str, first: str, rest: list[str], value: str, values: list) -> str:
-    cols = ", ".join(f"max({value}) FILTER (WHERE {first} = {v!r}) as \"{v}\"" for v in values)
-    return f"select {', '.join(rest)}, {cols} from ({long_sql}) l group by {', '.join(rest)}"
+def _wide_sql(first: str, rest: list[str], value: str, src: str = "long_form") -> str:
+    """One column per value of ``first`` that the data holds."""
+    return (f"select * from (pivot {src} on {first} using max({value}) "
+            f"group by {', '.join(rest)}) w")
 
 
-@register("q28_subtotals_wide", with_views(["sales"], _wide_sql(
-    _stacked_levels_sql("sales", SUB_KEYS, QTY_SUM), SUB_KEYS[0], SUB_KEYS[1:], SUB_VALUE,
-    NATIONS)))
+@register("q28_subtotals_wide", with_views(
+    ["sales"], _wide_sql(SUB_KEYS[0], SUB_KEYS[1:], SUB_VALUE),
+    [("long_form", _stacked_levels_sql("sales", SUB_KEYS, QTY_SUM))]))
 def q28_subtotals_wide(spark, sf_dir):
-    return subtotals.subtotals_wide(tables(spark, sf_dir).sales, SUB_VALUE, SUB_KEYS, NATIONS)
+    return subtotals.subtotals_wide(tables(spark, sf_dir).sales, SUB_VALUE, SUB_KEYS)
 
 
 MULTI_VALUES = QTY_SUM + [("product_price_x_quantity",
@@ -73,31 +68,41 @@ def q28_subtotals_multi_measure(spark, sf_dir):
 
 YTD_SRC = ("ytd_src", f"""select cast(year(transaction_date) as integer) as year, *
   from sales where month(transaction_date) <= {YTD_MONTH}""")
-YTD_WIDE_SQL = _wide_sql(_stacked_levels_sql("ytd_src", YTD_KEYS, QTY_SUM), "year",
-                         YTD_KEYS[1:], SUB_VALUE, YEARS)
+YTD_LONG = ("long_form", _stacked_levels_sql("ytd_src", YTD_KEYS, QTY_SUM))
 
 
 def _ytd_wide(spark, sf_dir):
     s = tables(spark, sf_dir).sales.withColumn("year", F.year("transaction_date"))
     return subtotals.subtotals_by_period(s, "ytd", "transaction_date", YTD_MONTH, SUB_VALUE,
-                                         YTD_KEYS, YEARS)
+                                         YTD_KEYS)
 
 
-@register("q28_subtotals_ytd_by_year", with_views(["sales"], YTD_WIDE_SQL, [YTD_SRC]))
+@register("q28_subtotals_ytd_by_year", with_views(
+    ["sales"], _wide_sql("year", YTD_KEYS[1:], SUB_VALUE), [YTD_SRC, YTD_LONG]))
 def q28_subtotals_ytd_by_year(spark, sf_dir):
     return _ytd_wide(spark, sf_dir)
 
 
-_filled = ", ".join(f"coalesce(\"{y}\", 0) as \"{y}\"" for y in YEARS)
-_last, _prev = f"\"{YEARS[-1]}\"", f"\"{YEARS[-2]}\""
+_rest = ", ".join(YTD_KEYS[1:])
 
 
 @register("q29_period_difference", with_views(["sales"], f"""
-select *, {_last} - {_prev} as difference,
- cast({_last} as double) / nullif(cast({_prev} as double), 0) - 1.0 as difference_pct
-from (select {', '.join(YTD_KEYS[1:])}, {_filled} from ({YTD_WIDE_SQL}) w) f""", [YTD_SRC]))
+select w.*, d.last - d.prev as difference,
+ cast(d.last as double) / nullif(cast(d.prev as double), 0) - 1.0 as difference_pct
+from (pivot dense on year using max({SUB_VALUE}) group by {_rest}) w join diff d using ({_rest})""", [
+    YTD_SRC, YTD_LONG,
+    ("dense", f"""select k.*, y.year, coalesce(l.{SUB_VALUE}, 0) as {SUB_VALUE}
+       from (select distinct {_rest} from long_form) k
+       cross join (select distinct year from long_form) y
+       left join long_form l using ({_rest}, year)"""),
+    ("diff", f"""select {_rest},
+       max(case when year = (select max(year) from dense) then {SUB_VALUE} end) as last,
+       max(case when year = (select max(year) from dense
+             where year < (select max(year) from dense)) then {SUB_VALUE} end) as prev
+       from dense group by {_rest}""")]))
 def q29_period_difference(spark, sf_dir):
-    return subtotals.diff_and_percent(_ytd_wide(spark, sf_dir), [str(y) for y in YEARS])
+    wide = _ytd_wide(spark, sf_dir)
+    return subtotals.diff_and_percent(wide, [c for c in wide.columns if c not in YTD_KEYS])
 
 
 # ------------------------------------------------------------------ Q30-Q33
@@ -134,18 +139,22 @@ def q31_packaging_used_retail(spark, sf_dir):
 
 
 def _inventory_sql(pack: str) -> str:
-    names = [str(m) for m in LAST_MONTH_ENDS]
-    cols = ", ".join(f"sum(inventory_count) FILTER (WHERE date = DATE '{n}') as \"{n}\""
-                     for n in names)
+    last = "(select max(date) from counts)"
+    prev = f"(select max(date) from counts where date < {last})"
     return with_views(["inventory"], f"""
-select *, "{names[-1]}" - "{names[-2]}" as used_last_month from (
-  select {pack}, item_code, {cols} from inventory
-  where {pack} <> '-' and type = 'packaging' group by 1, 2) w""")
+select w.*, d.used_last_month
+from (pivot counts on date using sum(inventory_count) group by {pack}, item_code) w
+join (select {pack}, item_code,
+        sum(inventory_count) filter (where date = {last})
+        - sum(inventory_count) filter (where date = {prev}) as used_last_month
+      from counts group by 1, 2) d using ({pack}, item_code)""", [
+        ("counts", f"select {pack}, item_code, date, inventory_count from inventory "
+                   f"where {pack} <> '-' and type = 'packaging'")])
 
 
 for _pack in ("packaging", "packaging_retail"):
     def _inv(spark, sf_dir, _p=_pack):
-        return packaging.inventory_summary(tables(spark, sf_dir).inventory, LAST_MONTH_ENDS, _p)
+        return packaging.inventory_summary(tables(spark, sf_dir).inventory, None, _p)
     register(f"q32_inventory_summary_{'bulk' if _pack == 'packaging' else 'retail'}",
              _inventory_sql(_pack))(_inv)
 
@@ -173,10 +182,10 @@ for _retail in (False, True):
 YOY_SRC = ("yoy_src", "select cast(year(transaction_date) as integer) as year, * from sales")
 
 
-@register("q28_subtotals_yoy_by_year", with_views(["sales"], _wide_sql(
-    _stacked_levels_sql("yoy_src", YTD_KEYS, QTY_SUM), "year", YTD_KEYS[1:], SUB_VALUE, YEARS),
-    [YOY_SRC]))
+@register("q28_subtotals_yoy_by_year", with_views(
+    ["sales"], _wide_sql("year", YTD_KEYS[1:], SUB_VALUE),
+    [YOY_SRC, ("long_form", _stacked_levels_sql("yoy_src", YTD_KEYS, QTY_SUM))]))
 def q28_subtotals_yoy_by_year(spark, sf_dir):
     s = tables(spark, sf_dir).sales.withColumn("year", F.year("transaction_date"))
     return subtotals.subtotals_by_period(s, "yoy", "transaction_date", YTD_MONTH, SUB_VALUE,
-                                         YTD_KEYS, YEARS)
+                                         YTD_KEYS)

@@ -16,6 +16,11 @@ select l.l_orderkey as transaction_id, o.o_orderdate as transaction_date,
  'Ship' as shipping_first_name,
  case when o.o_orderkey % 9 = 0 then 'Gift Desk' else c.c_name end as shipping_last_name,
  cast(200 + c.c_nationkey as varchar) as shipping_postal_code,
+ concat('555-', cast(c.c_custkey as varchar)) as customer_phone,
+ concat(cast(o.o_orderkey % 100 as varchar), ' Main St') as shipping_address1,
+ concat('City ', cast(c.c_nationkey as varchar)) as shipping_city, n.n_name as shipping_state,
+ concat('556-', cast(c.c_custkey as varchar)) as shipping_phone,
+ concat('PC', cast(p.p_partkey as varchar)) as product_code,
  p.p_name as product_name, p.p_brand as product_options, p.p_partkey as item_code,
  cast(p.p_retailprice as decimal(18,2)) as product_price, p.p_size as product_weight,
  cast(l.l_quantity as int) as product_quantity,

@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    # split a skewed join even if an aggregate above then has to shuffle again
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
@@ -64,7 +66,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local runs/tests where the cluster names no folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder "
+                               "that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="ordercraft-ckpt-",
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
@@ -85,28 +89,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def _row_bytes(df: DataFrame) -> int:
-    width = 8  # row header
+def _total_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: strings and binaries by their length, nested values by
+    the length of their JSON text, other columns by a fixed width."""
+    width = F.lit(8)  # row header
     for f in df.schema.fields:
-        name = type(f.dataType).__name__
-        width += 32 if name in ("StringType", "BinaryType", "ArrayType", "MapType",
-                                "StructType") else 16 if name == "DecimalType" else 8
-    return width
+        name, col = type(f.dataType).__name__, F.col(f"`{f.name}`")
+        if name in ("StringType", "BinaryType"):
+            width += F.lit(16) + F.coalesce(F.octet_length(col), F.lit(0))
+        elif name in ("ArrayType", "MapType", "StructType"):
+            width += F.lit(32) + F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) * 4
+        else:
+            width += F.lit(16 if name == "DecimalType" else 8)
+    return int(df.agg(F.sum(width.cast("long"))).first()[0] or 0)
 
 
 def bounded_side(df: DataFrame, name: str, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """A join side whose size is measured before the join is planned.
 
     The side (an aggregate: one row per order, per key ...) is materialized
-    and counted; it is returned with a broadcast hint only when rows x row
-    width stays under ``limit_bytes``, otherwise as a plain table so the
+    and its bytes are summed; it is returned with a broadcast hint only when
+    they stay under ``limit_bytes``, otherwise as a plain table so the
     planner uses a shuffle join. Deciding before planning lets the large
     other side skip its shuffle, which AQE can no longer avoid once both
     sides' stages have started.
     """
     side = materialize(df, name)
-    n = side.count()
-    return F.broadcast(side) if n * _row_bytes(side) <= limit_bytes else side
+    return F.broadcast(side) if _total_bytes(side) <= limit_bytes else side
 
 
 def scale_conf(input_bytes: int, target_partition_bytes: int = 512 * 1024 * 1024,

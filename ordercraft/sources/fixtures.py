@@ -141,6 +141,12 @@ class Tables:
             F.when(ok % 9 == 0, F.lit("Gift Desk")).otherwise(F.col("c_name"))
              .alias("shipping_last_name"),
             (F.lit(200) + F.col("c_nationkey")).cast("string").alias("shipping_postal_code"),
+            F.concat(F.lit("555-"), F.col("c_custkey").cast("string")).alias("customer_phone"),
+            F.concat((ok % 100).cast("string"), F.lit(" Main St")).alias("shipping_address1"),
+            F.concat(F.lit("City "), F.col("c_nationkey").cast("string")).alias("shipping_city"),
+            F.col("n_name").alias("shipping_state"),
+            F.concat(F.lit("556-"), F.col("c_custkey").cast("string")).alias("shipping_phone"),
+            F.concat(F.lit("PC"), F.col("p_partkey").cast("string")).alias("product_code"),
             F.col("p_name").alias("product_name"),
             F.col("p_brand").alias("product_options"),
             F.col("p_partkey").alias("item_code"),

@@ -15,20 +15,19 @@ from pyspark.sql import types as T
 from ..schemas import PRICING, SHIP_LOG
 
 # The ship log's column headers as typed in the office sheet.
-SHIP_LOG_HEADERS = {"Order #": "order_no", "Actual Freight Expense": "actual_freight_expense"}
+SHIP_LOG_HEADERS = {"Order #": "order_no", "transaction_id": "order_no",
+                    "Actual Freight Expense": "actual_freight_expense"}
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str | None = None) -> DataFrame:
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     reader = spark.read
-    if fmt == "csv":
-        reader = reader.option("header", True)
-        if schema is not None:
-            reader = reader.schema(schema)
+    if fmt == "csv":  # all text, then cast by name: a given schema would map by position
+        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     df = reader.format(fmt).load(path)
-    if schema is not None and fmt != "csv":
-        df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields
+    if schema is not None:
+        df = df.select(*[F.col(f.name).try_cast(f.dataType) for f in schema.fields
                          if f.name in df.columns])
     return df
 

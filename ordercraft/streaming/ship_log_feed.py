@@ -25,7 +25,9 @@ ID = "transaction_id"
 def _log_ids(spark: SparkSession, log_path: str) -> DataFrame:
     try:
         return spark.read.parquet(log_path).select(ID).filter(F.col(ID).isNotNull())
-    except AnalysisException:  # first batch: the log does not exist yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything but the first batch's missing log
+            raise
         return spark.createDataFrame([], T.StructType([T.StructField(ID, T.LongType())]))
 
 

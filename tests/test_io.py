@@ -110,9 +110,10 @@ def test_side_table_readers(spark, tmp_path):
 
 def test_packaging_month_end_job(spark, tmp_path):
     from ordercraft.plans import jobs
-    from ordercraft.plans.report_queries import LAST_MONTH_ENDS
+    import datetime as dt
+    ends = [dt.date(2001, 9, 30), dt.date(2001, 10, 31), dt.date(2001, 11, 30)]
     t = Tables(spark, SF_SMALL)
-    out = jobs.packaging_month_end(t.inventory, t.production, LAST_MONTH_ENDS, 6, 1999,
+    out = jobs.packaging_month_end(t.inventory, t.production, ends, 6, 1999,
                                    str(tmp_path / "pack"), as_of="2001-12-01")
     assert set(out) == {"pack_count", "retail_count", "production", "production_retail"}
     assert spark.read.parquet(out["production"]).count() > 0
