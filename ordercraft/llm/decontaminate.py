@@ -162,7 +162,7 @@ def shard_matches(text: pa.Array, index: ItemIndex, table: bytes) -> list[pa.Arr
     new = np.ones(len(pos), bool)
     new[1:] = (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] != pos[:-1] + 1)
     s = np.flatnonzero(new)
-    e = np.append(s[1:], len(pos)) - 1
+    e = np.append(s[1:], len(pos))[:len(s)] - 1
     item, i_start, d_start = item[s], start[s], pos[s]
     length = pos[e] + width[e] - d_start
     doc = np.searchsorted(begin, d_start, "right") - 1

@@ -77,9 +77,10 @@ class Trees:
         self.keys, counts = {}, {}
         for n in range(1, ORDER + 2):
             g, l, c = grams[n]
-            self.keys[n], inv = np.unique(g, return_inverse=True)
+            pad = int.from_bytes(bytes([PAD]) * n, "big")  # a context, though never counted itself
+            self.keys[n], inv = np.unique(np.append(g, pad), return_inverse=True)
             counts[n] = np.zeros((len(self.keys[n]) + 1, size))
-            np.add.at(counts[n], (inv + 1, l), c)  # row 0: not seen at all
+            np.add.at(counts[n], (inv[:-1] + 1, l), c)  # row 0: not seen at all
         self.cost, self.escape = {}, {}
         total = counts[1].sum(0)
         distinct = (counts[1] > 0).sum(0)

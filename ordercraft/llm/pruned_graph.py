@@ -333,14 +333,20 @@ def audit_recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id",
 
     def run(ask):
         spread = vectors.sparkSession.sparkContext.broadcast(
-            (np.array([r["id"] for r in ask]), np.array([r["v"] for r in ask])))
+            (np.array([r["id"] for r in ask]), [r["v"] for r in ask]))
 
         def count(batches):
-            ids, q = spread.value
+            ids, asked = spread.value
             total = np.zeros(len(ids), np.int64)
+            width = np.array([len(v) for v in asked])
             for b in batches:
-                hit = _matrix(pa.chunked_array([b.column("v")])) @ q.T >= threshold
-                total += hit.sum(0)
+                size = pa.compute.list_value_length(b.column("v"))
+                for dim in np.unique(width):
+                    own = np.flatnonzero(width == dim)
+                    v = b.column("v").filter(pa.compute.equal(size, int(dim)))
+                    if len(v):
+                        q = np.array([asked[i] for i in own])
+                        total[own] += (_matrix(pa.chunked_array([v])) @ q.T >= threshold).sum(0)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "t"])
 
         got = unit.mapInArrow(count, "id long, t long").groupBy("id").agg((F.sum("t") - 1).alias("t"))
