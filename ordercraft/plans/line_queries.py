@@ -110,8 +110,10 @@ def q03_distinct_customers(spark, sf_dir):
 
 
 SALES_COLS = ["transaction_id", "transaction_date", "customer_first_name", "customer_last_name",
-              "customer_state", "customer_postal_code", "customer_email", "shipping_first_name",
-              "shipping_last_name", "shipping_postal_code", "product_name", "product_options",
+              "customer_state", "customer_postal_code", "customer_email", "customer_phone",
+              "shipping_first_name", "shipping_last_name", "shipping_address1", "shipping_city",
+              "shipping_state", "shipping_postal_code", "shipping_phone", "product_name",
+              "product_code", "product_options",
               "item_code", "product_price", "product_weight", "product_quantity",
               "shipping_total", "discount_total", "order_total", "coupons_used", "line_seq"]
 SALES_SQL_COLS = ", ".join(f"cast({c} as double) as {c}" if c in ("product_price", "order_total")
