@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TMP, annotate
+from .common import TMP, annotate, materialize
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK = 4096  # lengths in a block of the two-level sums
+BLOCK = 64  # lengths in a block of the two-level sums
 
 
 def load_encoding(path: str | None = None):
@@ -59,6 +59,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text",
     every document is cut to this length) and ``share_upto``."""
     lengths = token_lengths(docs, text_col, [], vocabulary, f"{TMP}t")
     hist = lengths.groupBy(F.col(f"{TMP}t.n").alias("length")).agg(F.count("*").alias("n_docs"))
+    hist = materialize(hist, "lengths")  # used twice below; the texts are encoded once
     hist = hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")) \
                .withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
