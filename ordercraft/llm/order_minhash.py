@@ -13,7 +13,10 @@ sketches never emits its pairs: first every member is compared with the
 bucket's smallest member only; buckets whose members then still lie in
 different components are compared in full inside tasks, in blocks of
 ``BLOCK`` members, and give only the links that join components. Components
-are found by distributed rounds. Node ids are 64-bit hashes of the words.
+are found by distributed rounds. Node ids are 64-bit hashes of the words. Rows
+meet their node's and their class's row by a shuffle; nodes and classes with
+more than 1 / ``HOT_KEYS`` of all rows, of which there are fewer than
+``HOT_KEYS``, are sent to the rows instead, so no task gets a hot class.
 
 Texts without words are copies of each other only if their bytes are equal;
 null and empty texts are never linked.
@@ -34,6 +37,7 @@ SIMILARITY = 0.8
 SKETCHES = 24
 PICKS = 4
 BLOCK = 512  # members of a bucket that are compared in one go
+HOT_KEYS = 1000  # a key with more than 1 / HOT_KEYS of all rows is joined by broadcast
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 FIELDS = "c1 long, n int, sketch array<long>, words binary"
@@ -292,6 +296,15 @@ def _pairs(links: list[tuple]) -> pa.RecordBatch:
                                       names=["a", "b"])
 
 
+def join_spread(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``side`` (one row per key). The rows of the ``hot``
+    keys, fewer than ``HOT_KEYS``, stay where they are."""
+    hot = F.broadcast(hot.select(key))
+    few = F.broadcast(side.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(
+        rows.join(hot, key, "left_anti").join(side, key, how))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             similarity: float = SIMILARITY) -> DataFrame:
     """One row per document row: id, k1, k2, n (shingles), class_id (smallest
@@ -299,8 +312,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id; of rows equal in id and text all are marked, see ``near_dedup``)."""
     rows = materialize(sketch_table(docs, id_col, text_col), "omh-sketch")
     nodes = rows.groupBy("c1").agg(
-        F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("r"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes.where("n > 0").select("c1", "n", "r.k1", "r.k2", "sketch"), "omh-nodes")
+        F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("r"), F.first("sketch").alias("sketch"),
+        F.count("*").alias("rows"))
+    every = materialize(nodes.select("c1", "n", "r.k1", "r.k2", "sketch", "rows"), "omh-nodes")
+    nodes = every.where("n > 0").drop("rows")
+    hot_rows = rows.count() / HOT_KEYS
 
     bands = nodes.select(F.col("c1").alias("node"), "n", F.posexplode("sketch").alias("band", "sig"))
     full = bands.groupBy("band", "sig").agg(F.count("*").alias("m"), F.min("node").alias("low")).where("m > 1")
@@ -330,12 +346,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = compare_buckets(live.join(mixed, ["band", "sig"]), words, similarity)
     comp = components(edges.unionByName(materialize(rest, "omh-links")), "omh")
 
-    ids = rows.select("id", "k1", "k2", "n", "c1")
-    ids = ids.join(comp, F.col("c1") == F.col("node"), "left") \
-             .withColumn("root", F.coalesce("root", "c1")).drop("c1", "node")
-    ids = materialize(ids, "omh-ids")
-    first = ids.groupBy("root").agg(F.min(F.struct("id", "k1", "k2")).alias("f"))
-    return ids.join(first, "root").select(
+    ids = join_spread(rows.select("id", "k1", "k2", "n", "c1"), comp.withColumnRenamed("node", "c1"),
+                      "c1", every.where(F.col("rows") > hot_rows), "left")
+    ids = materialize(ids.withColumn("root", F.coalesce("root", "c1")).drop("c1"), "omh-ids")
+    first = ids.groupBy("root").agg(F.min(F.struct("id", "k1", "k2")).alias("f"),
+                                    F.count("*").alias("rows"))
+    first = materialize(first, "omh-first")
+    return join_spread(ids, first.drop("rows"), "root",
+                       first.where(F.col("rows") > hot_rows), "inner").select(
         "id", "k1", "k2", "n", F.col("f.id").alias("class_id"),
         (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("k1") == F.col("f.k1"))
          & (F.col("k2") == F.col("f.k2"))).alias("kept"))

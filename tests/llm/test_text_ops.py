@@ -149,7 +149,11 @@ def test_poisson_mixture(spark, docs, rows):
     assert poisson_mix.poisson_mix(docs.limit(0)).count() == 0
 
 
-def test_order_minhash(spark, docs, rows):
+@pytest.mark.parametrize("hot_keys", [1000, 6, 1])
+def test_order_minhash(spark, docs, rows, monkeypatch, hot_keys):
+    """All keys, the two large groups, or no key take the broadcast way."""
+    monkeypatch.setattr(order_minhash, "HOT_KEYS", hot_keys)
+
     def shingles(t):
         w = words(t)
         return frozenset(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
