@@ -41,11 +41,10 @@ def _clean_exports(spark, pattern: str, start: str, cutover: str, rejects_dir: s
     if "line_seq" in raw.columns:
         raw = raw.withColumn("line_seq", raw["line_seq"].try_cast("long"))
         tiebreaks = ("line_seq",)
-    # the chunked skew path needs a numeric tie-break; without one, the window path
     lines = clean.clean_order_lines(raw, start=start, cutover=cutover,
                                     order_tiebreaks=tiebreaks,
                                     drop_after_fill=("source_file",),
-                                    hot_keys=None if tiebreaks else (), rejects=rejects)
+                                    rejects=rejects)
     for reason, rows in rejects:
         rows.write.mode("overwrite").option("header", True).csv(f"{rejects_dir}/{reason}")
     return jobs.materialize(lines, "clean_lines")

@@ -12,9 +12,10 @@ Plan shape
   one key would put the whole group into one task. Those keys are processed
   as a segmented scan over bounded chunks instead:
 
-  1. each row gets a chunk id that is monotone in the sort order
-     (the leading sort columns plus ``last_tiebreak div chunk_rows``), so
-     every chunk is a contiguous, bounded run of the group;
+  1. rows are numbered within their key (``number_rows``: range partitions,
+     so no task holds a whole group) and cut into chunks of ``chunk_rows``
+     consecutive rows, whatever their dates and tie-breaks are; the numbered
+     rows are written once, so equal sort keys keep their places;
   2. fill inside each chunk with a window on (key, chunk);
   3. aggregate one row per chunk holding each column's last non-null value
      (partial aggregation, no skew);
@@ -23,10 +24,9 @@ Plan shape
   5. join the carry back on (key, chunk) and use it where the chunk-local
      fill is still blank.
 
-  Hot keys are found with a sampled count (``find_hot_keys``); the list is
-  bounded by construction and applied as an ``IN`` filter, so no join is
-  needed to split the input. A missed hot key is still filled correctly by
-  the window path, only slower.
+  Hot keys are found with a sampled count (``find_hot_keys``) and applied as
+  an ``IN`` filter, so no join is needed to split the input. A missed hot key
+  is still filled correctly by the window path, only slower.
 """
 
 from __future__ import annotations
@@ -36,25 +36,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _order_exprs(first: str, tiebreaks: Sequence[str]) -> list[Column]:
     return [F.col(first).asc_nulls_last(), *[F.col(t).asc() for t in tiebreaks]]
 
 
 def find_hot_keys(df: DataFrame, key: str, min_rows: int, fraction: float = 0.01,
-                  max_keys: int = 1000, seed: int = 17) -> list:
-    """Keys estimated (by a sampled count) to hold at least ``min_rows`` rows.
+                  seed: int = 17) -> list:
+    """All keys estimated (by a sampled count) to hold at least ``min_rows`` rows.
 
-    The result is bounded: at most ``max_keys`` keys, taken in descending
-    estimated size. Sampling keeps the probe to one cheap pass.
+    There are at most about rows / ``min_rows`` of them. Sampling keeps the
+    probe to one cheap pass.
     """
     est = F.count(F.lit(1)) / F.lit(fraction)
     rows = (df.select(key).filter(F.col(key).isNotNull())
               .sample(fraction=fraction, seed=seed)
               .groupBy(key).agg(est.alias("est"))
               .filter(F.col("est") >= min_rows)
-              .orderBy(F.col("est").desc())
-              .limit(max_keys)
               .collect())
     return [r[0] for r in rows]
 
@@ -80,47 +80,50 @@ def _window_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[
     return df.withColumns(filled)
 
 
+POS, CHUNK = "__pos", "__chunk"
+
+
+def number_chunks(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[str],
+                  chunk_rows: int) -> DataFrame:
+    """``df`` (no null keys) with each row's place within its key and its chunk:
+    ``chunk_rows`` consecutive places. Without a tie-break column, rows of equal
+    ``order_first`` are ordered by a hash of the row."""
+    ties = list(tiebreaks)
+    if not ties:
+        ties = ["__tie"]
+        df = df.withColumn("__tie", F.xxhash64(*df.columns))
+    numbered = number_rows(df, key, [order_first, *ties], POS, hot_keys="all",
+                           nulls_last=(order_first,)).drop("__tie")
+    chunk = F.floor((F.col(POS) - 1) / F.lit(chunk_rows))
+    return materialize(numbered.withColumn(CHUNK, chunk), "fill_chunks")
+
+
 def _chunked_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[str],
                   fill_cols: Sequence[str], chunk_rows: int) -> DataFrame:
-    if not tiebreaks:
-        raise ValueError("chunked fill needs a numeric tie-break column (e.g. line_seq)")
-    last_tb = tiebreaks[-1]
-    chunk_cols = [f"__chunk_{i}" for i in range(len(tiebreaks) + 1)]
-    chunk_exprs = ([F.col(order_first)] + [F.col(t) for t in tiebreaks[:-1]]
-                   + [F.floor(F.col(last_tb) / F.lit(chunk_rows))])
-    rows = df.withColumns(dict(zip(chunk_cols, chunk_exprs)))
-
-    # 2. fill inside each bounded chunk
-    w_local = (Window.partitionBy(key, *chunk_cols)
-               .orderBy(*_order_exprs(order_first, tiebreaks))
+    rows = number_chunks(df, key, order_first, tiebreaks, chunk_rows)
+
+    # 2. fill inside each chunk
+    w_local = (Window.partitionBy(key, CHUNK).orderBy(POS)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(w_local) for c in fill_cols})
+    filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(w_local) for c in fill_cols})
 
-    # 3. last non-null value per chunk (inside a chunk only last_tb varies).
-    # The ordering value is a struct so a null tie-break still counts (it
-    # sorts first, as in the window) instead of making max_by skip the row.
-    last_in_chunk = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(last_tb))))
-                     .alias(f"__last_{c}") for c in fill_cols]
-    summary = rows.groupBy(key, *chunk_cols).agg(*last_in_chunk)
+    # 3. last non-null value per chunk
+    summary = rows.groupBy(key, CHUNK).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"__last_{c}")
+          for c in fill_cols])
 
     # 4. carry across the chunks of one key (small: one row per chunk)
-    chunk_order = [F.col(chunk_cols[0]).asc_nulls_last(),
-                   *[F.col(c).asc() for c in chunk_cols[1:]]]
-    w_carry = (Window.partitionBy(key).orderBy(*chunk_order)
+    w_carry = (Window.partitionBy(key).orderBy(CHUNK)
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = summary.select(
-        key, *chunk_cols,
+        key, CHUNK,
         *[F.last(f"__last_{c}", ignorenulls=True).over(w_carry).alias(f"__carry_{c}")
           for c in fill_cols])
 
-    # 5. join back; the leading sort column may be null, so compare null-safe
-    r = carry.alias("r")
-    cond = [F.col(f"l.{key}") == F.col(f"r.{key}")] + [
-        F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in chunk_cols]
-    joined = rows.alias("l").join(r, cond, "left")
-    out = [F.coalesce(F.col(f"l.{c}"), F.col(f"r.__carry_{c}")).alias(c)
-           if c in fill_cols else F.col(f"l.{c}") for c in df.columns]
-    return joined.select(*out)
+    # 5. join back
+    joined = filled.join(carry, [key, CHUNK], "left")
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"__carry_{c}")).alias(c)
+                           if c in fill_cols else F.col(c) for c in df.columns])
 
 
 def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[str],
@@ -167,18 +170,22 @@ def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[
 
 def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str = "line_seq",
                 hot_keys: Sequence | str | None = (), hot_min_rows: int = 5_000_000,
-                range_partitions: int = 200) -> DataFrame:
+                range_partitions: int | None = None, range_rows: int = 1_000_000,
+                nulls_last: Sequence[str] = ()) -> DataFrame:
     """Position (1, 2, ...) of each row within its ``key`` group in the order
-    ``order_cols`` (ascending, nulls first -- ``row_number`` semantics).
+    ``order_cols`` (ascending, nulls first -- ``row_number`` semantics -- but
+    last in the ``nulls_last`` columns).
 
     Ordinary keys use one ``row_number`` window. Hot keys (``None`` probes,
     ``"all"`` forces every key) are range-partitioned on (key, order), which
-    splits a hot group into contiguous bounded ranges; the ranges are written
+    splits a hot group into contiguous ranges of about ``range_rows`` rows
+    (unless ``range_partitions`` gives their number); the ranges are written
     once to the checkpoint folder so their ids are stable, numbered locally,
     and shifted by the row counts of the earlier ranges of the same key (a
     prefix sum over one small row per range).
     """
-    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    order = [F.col(c).asc_nulls_last() if c in nulls_last else F.col(c).asc_nulls_first()
+             for c in order_cols]
     if hot_keys is None:
         hot_keys = find_hot_keys(df, key, hot_min_rows)
     if isinstance(hot_keys, str):
@@ -198,7 +205,10 @@ def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str
         w = Window.partitionBy(key).orderBy(*order)
         parts.append(cold.withColumn(out_col, F.row_number().over(w).cast("long")))
     if hot is not None:
-        from ..session import materialize
+        if range_partitions is None:
+            hot = materialize(hot, "hot_rows")  # counted and sampled for the ranges
+            least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            range_partitions = max(least, -(-hot.count() // range_rows))
         ranged = materialize(
             hot.repartitionByRange(range_partitions, F.col(key).asc_nulls_first(), *order)
                .withColumn("__range", F.spark_partition_id()), "numbered_ranges")
@@ -207,11 +217,11 @@ def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str
         counts = ranged.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
         w_prev = (Window.partitionBy(key).orderBy("__range")
                   .rowsBetween(Window.unboundedPreceding, -1))
-        offsets = counts.select(key, "__range",
+        offsets = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__r"),
                                 F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"))
-        numbered = (local.join(offsets, [key, "__range"])
-                         .withColumn(out_col, (F.col("__off") + F.col("__rn")).cast("long"))
-                         .drop("__range", "__rn", "__off"))
+        numbered = local.join(offsets, F.col(key).eqNullSafe(F.col("__key"))
+                              & (F.col("__range") == F.col("__r"))) \
+            .withColumn(out_col, (F.col("__off") + F.col("__rn")).cast("long"))
         parts.append(numbered.select(*df.columns, out_col))
     out = parts[0]
     for p in parts[1:]:

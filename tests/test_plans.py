@@ -195,3 +195,32 @@ def test_repeat_customers_single_pass_equals_separate(spark):
         both = together[name]
         assert both.columns == alone.columns
         assert both.exceptAll(alone).count() == 0 and alone.exceptAll(both).count() == 0
+
+
+def test_hot_order_with_dated_lines_is_cut_into_bounded_chunks(spark):
+    """Half of all lines in one order, every line with its own date or none."""
+    from ordercraft.operators.fill import number_chunks
+    n = 4000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") % 10 < 7, F.expr("timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, int(id))"))
+         .alias("d"),
+        F.when(F.col("id") % 50 == 0, F.col("id")).alias("x"), F.col("id").alias("seq"))
+    chunks = number_chunks(df.filter("k = 7"), "k", "d", ["seq"], 64)
+    sizes = [r["count"] for r in chunks.groupBy("k", "__chunk").count().collect()]
+    assert max(sizes) == 64 and len(sizes) == -(-(n // 2) // 64)
+    args = (df, "k", "d", ["seq"], ["x", "d"])
+    want = sorted(map(str, forward_fill(*args).collect()))
+    got = forward_fill(*args, hot_keys=None, hot_min_rows=n // 4, chunk_rows=64)
+    assert sorted(map(str, got.collect())) == want
+    # exports without a line number take the same path
+    untied = number_chunks(df.filter("k = 7"), "k", "d", [], 64)
+    assert max(r["count"] for r in untied.groupBy("__chunk").count().collect()) == 64
+
+
+def test_number_rows_keeps_null_keys_on_the_range_path(spark):
+    from ordercraft.operators.fill import number_rows
+    df = spark.range(60).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), "id")
+    got = number_rows(df, "k", ["id"], "pos", hot_keys="all", range_partitions=5)
+    want = number_rows(df, "k", ["id"], "pos")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
