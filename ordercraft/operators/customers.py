@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import year_lower_bound
-from ..session import bounded_side
+from ..session import bounded_side, materialize
 
 # The four ways of recognising the same customer.
 REPEAT_KEY_SPECS: dict[str, tuple[tuple[str, bool], ...]] = {
@@ -100,7 +100,8 @@ def repeat_customers_all(lines: DataFrame,
 
     Each line emits one (spec, key...) entry per spec; a single partial/final
     aggregate chain then serves every spec (one scan, one set of shuffles
-    instead of one per spec). Returns spec name -> DataFrame with the same
+    instead of one per spec). The repeat customers of all specs are written
+    once when called and split after that. Returns spec name -> DataFrame with the same
     columns as :func:`repeat_customers`.
     """
     specs = specs or REPEAT_KEY_SPECS
@@ -131,8 +132,9 @@ def repeat_customers_all(lines: DataFrame,
         aggs += [F.max(F.when(sel, F.col("n"))).alias(f"{p}_count"),
                  F.max(F.when(sel, F.col("first_date"))).alias(f"{p}_first_date"),
                  F.max(F.when(sel, F.col("last_date"))).alias(f"{p}_last_date")]
-    wide = (g.groupBy(*kcols).agg(*aggs)
-             .filter((F.col("pre_count") > 0) & (F.col("post_count") > 0)))
+    wide = materialize(g.groupBy(*kcols).agg(*aggs)
+                        .filter((F.col("pre_count") > 0) & (F.col("post_count") > 0)),
+                       "repeat_customers")
     out = {}
     for name, spec in specs.items():
         cols = [F.col(f"k{i}").alias(c) for i, (c, _) in enumerate(spec)]

@@ -43,7 +43,8 @@ def margin_report(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame, out
     }
     # contents text in export line order when the lines carry it, else by text
     order_col = "line_seq" if "line_seq" in y.columns else "combined"
-    margins = orders.margin_per_order(y, ship_log, since, order_col=order_col)
+    margins = materialize(orders.margin_per_order(y, ship_log, since, order_col=order_col),
+                          "margin_per_order")
     book = {
         "Summary": orders.cover_summary(margins),
         "Margin per Order": margins,
@@ -91,7 +92,5 @@ def repeat_customers_report(lines: DataFrame, out_dir: str, *, min_year: int | N
     name and customer / shipping postal code, and by shipping name and postal
     code -- four tables from one pass over the lines."""
     as_of = as_of or dt.date.today().isoformat()
-    # the four tables read the prepared lines from one written table
-    tables = customers.repeat_customers_all(
-        materialize(enrich.prepare_lines(lines, cutover), "repeat_lines"), min_year=min_year)
+    tables = customers.repeat_customers_all(enrich.prepare_lines(lines, cutover), min_year=min_year)
     return sinks.write_named_tables(tables, f"{out_dir.rstrip('/')}/repeat_customers_{as_of}")
