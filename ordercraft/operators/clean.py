@@ -89,11 +89,6 @@ def dedupe(df: DataFrame, business_cols: Sequence[str] | None = None) -> DataFra
     return df.dropDuplicates(list(business_cols)) if business_cols else df.dropDuplicates()
 
 
-def distinct_projection(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct values of a column list."""
-    return df.select(*cols).distinct()
-
-
 def cast_id(df: DataFrame, col: str = "transaction_id") -> tuple[DataFrame, DataFrame]:
     """Cast the id to BIGINT; rows with a null or non-numeric id are rejected."""
     casted = df.withColumn("__id", F.col(col).try_cast("long"))

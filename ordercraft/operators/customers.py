@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import year_lower_bound
-from ..session import bounded_side, materialize
+from ..session import materialize
 
 # The four ways of recognising the same customer.
 REPEAT_KEY_SPECS: dict[str, tuple[tuple[str, bool], ...]] = {
@@ -36,19 +36,16 @@ def distinct_customers(lines: DataFrame) -> DataFrame:
     return lines.select("customer_email", "customer_first_name", "customer_last_name").distinct()
 
 
-def multi_line_orders(lines: DataFrame, min_lines: int = 2, id_col: str = "transaction_id",
-                      measure_sides: bool = False) -> DataFrame:
+def multi_line_orders(lines: DataFrame, min_lines: int = 2,
+                      id_col: str = "transaction_id") -> DataFrame:
     """All lines of orders with more than ``min_lines`` lines.
 
     Group sizes come from a partial/final aggregate and are applied with a
     semi join, which AQE can split when one order is very large (a window
-    count would put the whole order in one task). ``measure_sides`` measures
-    the id list first and broadcasts it when small (no shuffle of the lines).
+    count would put the whole order in one task).
     """
     big = (lines.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
                 .filter(F.col("__n") > min_lines).select(id_col))
-    if measure_sides:
-        big = bounded_side(big, "multi_line_ids")
     return lines.join(big, id_col, "left_semi")
 
 

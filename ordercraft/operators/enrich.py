@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import ts_ntz
 from ..functions.text import coupon_code, units_label
 from ..schemas import PRICE_KEYS
-from ..session import bounded_side
 from .clean import pre_post
 
 # Fixed values (parameter defaults taken from the reference's reports).
@@ -42,14 +41,11 @@ def join_ship_log(lines: DataFrame, ship_log: DataFrame) -> DataFrame:
                  .drop("order_no"))
 
 
-def enrich_lines(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame,
-                 measure_sides: bool = False) -> DataFrame:
+def enrich_lines(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame) -> DataFrame:
     """Q5 (combine): priced, freighted lines with margins and order income.
 
-    ``measure_sides`` materializes and measures the per-order totals before
-    joining them back (broadcast when small, shuffle join otherwise), so the
-    wide line rows are not shuffled when they need not be. It runs a job at
-    call time; leave it off to keep the call lazy.
+    Lazy: the per-order totals aggregate on the partitioning that the ship-log
+    join has made, and join back on it.
     """
     y = join_ship_log(join_pricing(lines, pricing), ship_log)
     y = y.withColumns({
@@ -63,8 +59,6 @@ def enrich_lines(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame,
     per_order = (y.groupBy("transaction_id")
                   .agg(F.coalesce(F.sum("margin_per_product"), F.lit(0))
                        .alias("margin_per_order")))
-    if measure_sides:
-        per_order = bounded_side(per_order, "per_order_margin")
     y = y.join(per_order, "transaction_id", "left")
     return y.withColumn("income_order",
                         F.col("margin_per_order") + F.col("shipping_total")

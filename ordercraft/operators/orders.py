@@ -97,6 +97,16 @@ def order_summary_units(y: DataFrame, since: str = DEFAULT_SINCE,
             .agg(_ordered_text("combined", order_col).alias("combined")))
 
 
+def order_contents_lines(y: DataFrame, since: str = DEFAULT_SINCE,
+                         order_col: str = "line_seq") -> DataFrame:
+    """Q10 in long form: the parts of an order's contents, one row each, so an
+    order may have any number of lines; sorted by order and line."""
+    return (since_filter(y, since).filter(_not_null(ORDER_KEYS))
+            .filter(F.col("combined").isNotNull())
+            .select(*dict.fromkeys([*ORDER_KEYS, order_col, "combined"]))
+            .orderBy(*ORDER_KEYS, order_col))
+
+
 def order_total(y: DataFrame, since: str = DEFAULT_SINCE, order_col: str = "line_seq") -> DataFrame:
     """Q11: contents text + margin totals per order, in a single aggregate."""
     q = _not_null(DETAIL_KEYS)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sorted_distinct_text
+from .stats import group_values
 from .subtotals import distinct_values
 
 # Blank marker, product-number prefixes, transfer codes, and the
@@ -43,14 +44,6 @@ def packaging_used_expr(packaging_col: str = "packaging", retail: bool = False)
     return e.cast("double")
 
 
-def with_packaging_used(df: DataFrame) -> DataFrame:
-    """Both usage columns on production rows."""
-    return df.withColumns({
-        "packaging_used": packaging_used_expr("packaging", retail=False),
-        "packaging_used_retail": packaging_used_expr("packaging_retail", retail=True),
-    })
-
-
 def inventory_summary(inv: DataFrame, months: Sequence | None = None,
                       packaging_col: str = "packaging",
                       used_col: str = "used_last_month") -> DataFrame:
@@ -90,3 +83,10 @@ def production_usage(prod: DataFrame, month: int, year: int, retail: bool = Fals
     return (rows.groupBy(pack)
                 .agg(F.coalesce(F.sum(used), F.lit(0.0)).alias(used),
                      sorted_distinct_text("product").alias("product")))
+
+
+def production_products(prod: DataFrame, month: int, year: int, retail: bool = False) -> DataFrame:
+    """Q33 in long form: the distinct products per packaging, one row each."""
+    pack = "packaging_retail" if retail else "packaging"
+    return group_values(prod.filter(month_mask(month, year) & (F.col(pack) != BLANK)),
+                        [pack], "product")

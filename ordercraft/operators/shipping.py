@@ -114,7 +114,8 @@ def clean_carrier_bill(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Q23: parse the M/d/yyyy date columns, rename, dedupe.
 
     Returns (clean rows, quarantined rows with an unparseable date).
-    Sorted by invoice date when the bill has one (L2).
+    Sorted by invoice date when the bill has one (L2), then by tracking
+    number, so that the rows of one invoice can be ranged over several tasks.
     """
     date_cols = [c for c in CARRIER_DATE_RENAMES if c in raw.columns]
     good, bad = parse_dates_with_rejects(raw, date_cols)
@@ -122,5 +123,6 @@ def clean_carrier_bill(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
                if k in raw.columns}
     out = good.withColumnsRenamed(renames).dropDuplicates()
     if "date_invoice" in out.columns:
-        out = out.orderBy("date_invoice")  # L2
+        ties = [c for c in ("tracking_no",) if c in out.columns]
+        out = out.orderBy("date_invoice", *ties)  # L2
     return out, bad

@@ -14,21 +14,19 @@ from ..functions.text import sorted_distinct_text
 STAT_NAMES = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max per column.
 
     One row in -> std null; no rows -> count 0 and the rest null. Quartiles
     are exact (``percentile``), not the approximate ones of ``summary()``;
     this is meant for bucket tables (one row per day or week), not raw lines.
-    Values are rounded to ``digits`` decimals so results do not depend on the
-    order partial sums were combined in.
     """
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         parts = [F.count(x).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x),
                  F.percentile(x, 0.25), F.percentile(x, 0.5), F.percentile(x, 0.75), F.max(x)]
-        aggs += [F.round(p, digits).alias(f"__{c}_{i}") for i, p in enumerate(parts)]
+        aggs += [p.alias(f"__{c}_{i}") for i, p in enumerate(parts)]
     one = df.agg(*aggs)
     rows = ", ".join(
         f"'{name}', " + ", ".join(f"`__{c}_{i}`" for c in cols)
@@ -66,6 +64,16 @@ def joint_distribution(orders: DataFrame, x: str = "product_price_x_quantity",
     return split_histogram(light, [x, y], hue, hue_option, bin_width)
 
 
+def group_values(df: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
+    """A8 in long form: the distinct non-null values of every group, in order.
+
+    One row per value, so a group may have any number of them; the sort is by
+    group and value, so a large group spans many partitions.
+    """
+    return (df.filter(F.col(value).isNotNull()).select(*group_cols, value).distinct()
+              .orderBy(*group_cols, value))
+
+
 def sales_summary(df: DataFrame, group_cols: Sequence[str], customer_abbr: str,
                   customer: str, units: str, date_col: str) -> DataFrame:
     """Q34 (A18): distinct customers, sorted customer list, units, last date."""

@@ -32,8 +32,8 @@ def margin_report(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame, out
     """Entry 1: margin per order with its exception files."""
     as_of = as_of or dt.date.today().isoformat()
     out = out_dir.rstrip("/")
-    y = materialize(enrich.enrich_lines(enrich.prepare_lines(lines, cutover), pricing, ship_log,
-                                        measure_sides=True), "enriched_lines")
+    y = materialize(enrich.enrich_lines(enrich.prepare_lines(lines, cutover), pricing, ship_log),
+                    "enriched_lines")
     written = {
         "missing_products": sinks.write_exceptions(enrich.missing_price_lines(y),
                                                    f"{out}/missing_products"),

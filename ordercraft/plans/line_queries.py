@@ -281,13 +281,50 @@ def q22_ship_log_latest(spark, sf_dir):
     return shipping.latest_rows(todo, 50, ["transaction_id", "line_seq"])
 
 
-@register("q23_carrier_bill_clean", with_views(["fedex"], """
-select distinct cast(date_shipment as date) as date_shipment, pricing_zone, recipient_state,
- tracking_no from fedex"""))
+BILL_SQL = ("cast(date_shipment as date) as date_shipment, "
+            "cast(date_delivery as date) as date_delivery, pricing_zone, recipient_state, "
+            "tracking_no")
+
+
+@register("q23_carrier_bill_clean", with_views(["fedex"], f"""
+select distinct {BILL_SQL}, cast(date_invoice as date) as date_invoice from fedex"""))
 def q23_carrier_bill_clean(spark, sf_dir):
     raw = shipping.carrier_bill_export_form(tables(spark, sf_dir).fedex)
     good, _bad = shipping.clean_carrier_bill(raw)
-    return good.select("date_shipment", "pricing_zone", "recipient_state", "tracking_no")
+    return good
+
+
+@register("s02_carrier_bill_csv", with_views(["fedex"], f"""
+select distinct {BILL_SQL}, cast(date_invoice as date) as date_invoice, false as rejected
+from fedex where tracking_no not like '%-3'
+union all by name
+select {BILL_SQL}, null::date as date_invoice, true as rejected
+from fedex where tracking_no like '%-3'"""))
+def s02_carrier_bill_csv(spark, sf_dir):
+    """The carrier bill as two CSV files with their columns in different orders,
+    every third parcel with an invoice date that is none: scanned by name, three
+    dates parsed, the unusable rows set aside."""
+    import uuid
+    from ..schemas import CARRIER_BILL_CSV, CARRIER_DATE_RENAMES, CARRIER_OTHER_RENAMES
+    from ..session import checkpoint_root
+    from ..sources.csv_exports import read_csv_exports, write_csv_export
+    bill = shipping.carrier_bill_export_form(tables(spark, sf_dir).fedex)
+    no, invoice = (F.col(f"`{c}`") for c in ("Shipment Tracking Number",
+                                             "Invoice Date (mm/dd/yyyy)"))
+    bill = bill.withColumn("Invoice Date (mm/dd/yyyy)",
+                           F.when(no.endswith("-3"), F.lit("pending")).otherwise(invoice))
+    base = f"{checkpoint_root(spark).rstrip('/')}/ordercraft-bills/{uuid.uuid4().hex[:12]}"
+    cols = bill.columns
+    first = F.coalesce(F.col("`Recipient State/Province`") < "J", F.lit(False))
+    write_csv_export(bill.filter(first), f"{base}/a", [f"`{c}`" for c in cols])
+    write_csv_export(bill.filter(~first), f"{base}/b", [f"`{c}`" for c in reversed(cols)])
+    good, bad = shipping.clean_carrier_bill(
+        read_csv_exports(spark, f"{base}/*/*.csv", CARRIER_BILL_CSV, keep_source=False))
+    renames = {**CARRIER_DATE_RENAMES, **CARRIER_OTHER_RENAMES}
+    bad = bad.withColumnsRenamed(renames).withColumns(
+        {c: clean.parse_us_date(c) for c in CARRIER_DATE_RENAMES.values()})
+    return good.withColumn("rejected", F.lit(False)).unionByName(
+        bad.withColumn("rejected", F.lit(True)))
 
 
 # ------------------------------------------------------------------ B1, B2, Q24
@@ -350,7 +387,8 @@ for _part, _bucket, _bname, _step in (("daily", DAY_SQL, "day", 1),
         return decimals_to_double(_review(spark, sf_dir)[f"{_p}_details"])
 
     def _summary(spark, sf_dir, _p=_part):
-        return _review(spark, sf_dir)[f"{_p}_summary"]
+        s = _review(spark, sf_dir)[f"{_p}_summary"]
+        return s.withColumns({c: F.round(c, 6) for c in STAT_COLS})
 
     _ctes = _bucket_sql(REVIEW_WHERE, _bucket, _bname, _step)
     register(f"q24_week_review_{_part}_details",
@@ -413,6 +451,14 @@ def q34_sales_summary(spark, sf_dir):
                                "transaction_date")
 
 
+@register("q34_sales_customers", with_views(["sales"], """
+select distinct product_options, customer_last_name from sales
+where customer_last_name is not null"""))
+def q34_sales_customers(spark, sf_dir):
+    return stats.group_values(tables(spark, sf_dir).sales, ["product_options"],
+                              "customer_last_name")
+
+
 # ------------------------------------------------------------------ P2, P12
 @register("p02_name_columns", with_views(["sales"], """
 select customer_first_name, customer_last_name, shipping_first_name, shipping_last_name,

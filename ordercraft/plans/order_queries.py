@@ -103,10 +103,10 @@ def _dbl(cols: list[str]) -> str:
 
 
 # ---------------------------------------------------------------- Spark side
-def _y(spark, sf_dir, measure_sides: bool = False):
+def _y(spark, sf_dir):
     t = tables(spark, sf_dir)
     lines = enrich.prepare_lines(t.sales, cutover=CUTOVER)
-    return t, enrich.enrich_lines(lines, t.pricing, t.ship_log, measure_sides=measure_sides)
+    return t, enrich.enrich_lines(lines, t.pricing, t.ship_log)
 
 
 def _margin_table(spark, sf_dir):
@@ -127,7 +127,7 @@ Q5_OTHER = ["transaction_id", "transaction_date", "customer_first_name", "custom
 @register("q05_enriched_lines", _sql(
     f"select {', '.join(Q5_OTHER)}, {_dbl(Q5_MONEY)} from y", []))
 def q05_enriched_lines(spark, sf_dir):
-    _, y = _y(spark, sf_dir, measure_sides=True)
+    _, y = _y(spark, sf_dir)
     return decimals_to_double(y.select(*Q5_OTHER, *Q5_MONEY))
 
 
@@ -170,6 +170,46 @@ def q06_duplicate_ship_orders(spark, sf_dir):
     return enrich.duplicate_keys(t.ship_log, ["order_no"])
 
 
+# Side tables with repeated keys: a price row in six and a log row in eleven are
+# there twice, so lines fan out (D11) and the key reports have rows.
+REPEATED_CTES = [
+    ("pricing2", "select * from pricing union all select * from pricing where units_normalized = 1"),
+    ("ship2", "select * from ship_log union all select * from ship_log where order_no % 11 = 0"),
+]
+REPEATED_Y = [(name, sql.replace("join pricing p", "join pricing2 p")
+               .replace("join ship_log sl", "join ship2 sl")) for name, sql in Y_CTES]
+
+
+def _repeated_sides(t):
+    return (t.pricing.unionByName(t.pricing.filter("units_normalized = 1")),
+            t.ship_log.unionByName(t.ship_log.filter("order_no % 11 = 0")))
+
+
+@register("q05_enriched_lines_repeated_keys", with_views(Y_VIEWS, f"""
+select transaction_id, line_seq, combined, {_dbl(["margin_per_product", "margin_per_order",
+ "actual_freight_expense"])} from y""", REPEATED_CTES + REPEATED_Y))
+def q05_enriched_lines_repeated_keys(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    y = enrich.enrich_lines(enrich.prepare_lines(t.sales, CUTOVER), *_repeated_sides(t))
+    return decimals_to_double(y.select("transaction_id", "line_seq", "combined",
+                                       "margin_per_product", "margin_per_order",
+                                       "actual_freight_expense"))
+
+
+@register("q06_repeated_keys", with_views(["pricing", "ship_log"], f"""
+select {', '.join(k if k != 'product_price' else 'cast(product_price as double) as product_price'
+                  for k in PRICE_KEYS)}, null::bigint as order_no, count(*) as n_rows
+from pricing2 group by {', '.join(PRICE_KEYS)} having count(*) > 1
+union all by name
+select order_no, count(*) as n_rows from ship2 group by order_no having count(*) > 1""",
+                                      REPEATED_CTES))
+def q06_repeated_keys(spark, sf_dir):
+    prices, log = _repeated_sides(tables(spark, sf_dir))
+    return decimals_to_double(
+        enrich.duplicate_keys(prices, list(PRICE_KEYS)).unionByName(
+            enrich.duplicate_keys(log, ["order_no"]), allowMissingColumns=True))
+
+
 @register("q07_price_table_candidates", with_views(["sales", "pricing"], """
 select p.product_normalized, s.product_name, s.product_options,
  cast(s.product_price as double) as product_price, s.product_weight,
@@ -214,6 +254,15 @@ def q10_order_contents(spark, sf_dir):
     return orders.order_summary_units(y, SINCE)
 
 
+@register("q10_order_contents_lines", _sql(
+    f"select {ORDER_KEYS_SQL}, line_seq, combined from y "
+    f"where transaction_date >= TIMESTAMP '{SINCE}' and {ORDER_NOT_NULL} "
+    "and combined is not null", []))
+def q10_order_contents_lines(spark, sf_dir):
+    _, y = _y(spark, sf_dir)
+    return orders.order_contents_lines(y, SINCE)
+
+
 TOTAL_MONEY = ["product_price_x_quantity", "total_margin_order"]
 
 

@@ -66,6 +66,19 @@ def q28_subtotals_multi_measure(spark, sf_dir):
         s, [SUB_VALUE, "product_price_x_quantity"], SUB_KEYS))
 
 
+@register("q28_subtotals_any_aggregate", with_views(["sales"], _stacked_levels_sql(
+    "sales", SUB_KEYS, [
+        (SUB_VALUE, f"max({SUB_VALUE})"),
+        ("product_price", "cast(min(product_price) as double)"),
+        ("customer_email", "count(distinct customer_email)"),
+        ("product_weight", "avg(product_weight)")])))
+def q28_subtotals_any_aggregate(spark, sf_dir):
+    how = {SUB_VALUE: F.max, "product_price": F.min, "customer_email": F.count_distinct,
+           "product_weight": F.avg}
+    return decimals_to_double(subtotals.subtotals(tables(spark, sf_dir).sales, list(how), SUB_KEYS,
+                                                  aggregates=how))
+
+
 YTD_SRC = ("ytd_src", f"""select cast(year(transaction_date) as integer) as year, *
   from sales where month(transaction_date) <= {YTD_MONTH}""")
 YTD_LONG = ("long_form", _stacked_levels_sql("ytd_src", YTD_KEYS, QTY_SUM))
@@ -179,6 +192,22 @@ for _retail in (False, True):
              _production_sql("packaging_retail" if _retail else "packaging", _retail))(_prod)
 
 
+def _products_sql(pack: str) -> str:
+    return with_views(["production"], f"""
+select distinct {pack}, product from production
+where (month(date_transaction) = {PROD_MONTH} or month(date_production) = {PROD_MONTH})
+  and (year(date_transaction) = {PROD_YEAR} or year(date_production) = {PROD_YEAR})
+  and {pack} <> '-' and product is not null""")
+
+
+for _retail in (False, True):
+    def _products(spark, sf_dir, _r=_retail):
+        return packaging.production_products(tables(spark, sf_dir).production, PROD_MONTH,
+                                             PROD_YEAR, retail=_r)
+    register(f"q33_production_products_{'retail' if _retail else 'bulk'}",
+             _products_sql("packaging_retail" if _retail else "packaging"))(_products)
+
+
 YOY_SRC = ("yoy_src", "select cast(year(transaction_date) as integer) as year, * from sales")
 
 

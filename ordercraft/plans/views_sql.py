@@ -63,7 +63,8 @@ select case when l.l_linenumber = 7 then null when l.l_linenumber = 6 then 'Non
    else cast(l.l_suppkey % 7 + 2 as varchar) end as pricing_zone,
  n.n_name as recipient_state,
  concat(cast(l.l_orderkey as varchar), '-', cast(l.l_linenumber as varchar)) as tracking_no,
- l.l_shipdate as date_shipment
+ l.l_shipdate as date_shipment, l.l_shipdate + interval 3 day as date_delivery,
+ last_day(l.l_shipdate) as date_invoice
 from lineitem l join orders o on l.l_orderkey = o.o_orderkey
  join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey"""),
     "inventory": ((), """

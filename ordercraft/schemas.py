@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
+WEIGHT = T.DecimalType(18, 6)  # a join key, so exact
 
 # One row per product in an order, as exported by the web shop. Column
 # order matters: the forward fill covers every column up to ``category_code``.
@@ -42,7 +43,7 @@ ORDER_LINES_CSV = T.StructType([
     T.StructField("product_code", T.StringType()),
     T.StructField("product_options", T.StringType()),
     T.StructField("product_price", MONEY),
-    T.StructField("product_weight", T.DoubleType()),
+    T.StructField("product_weight", WEIGHT),
     T.StructField("product_quantity", T.IntegerType()),
     T.StructField("product_total", MONEY),
 ])
@@ -52,7 +53,7 @@ PRICING = T.StructType([
     T.StructField("product_name", T.StringType()),
     T.StructField("product_options", T.StringType()),
     T.StructField("product_price", MONEY),
-    T.StructField("product_weight", T.DoubleType()),
+    T.StructField("product_weight", WEIGHT),
     T.StructField("product_normalized", T.StringType()),
     T.StructField("distributor_price", MONEY),
     T.StructField("units_normalized", T.LongType()),
@@ -87,36 +88,5 @@ CARRIER_OTHER_RENAMES = {
     "Shipment Tracking Number": "tracking_no",
 }
 
-# T5: month-end inventory counts.
-INVENTORY = T.StructType([
-    T.StructField("packaging", T.StringType()),
-    T.StructField("packaging_retail", T.StringType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("item_code", T.LongType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("inventory_count", T.DoubleType()),
-])
-
-# Production transactions (II issued, IR made).
-PRODUCTION = T.StructType([
-    T.StructField("packaging", T.StringType()),
-    T.StructField("packaging_retail", T.StringType()),
-    T.StructField("product", T.StringType()),
-    T.StructField("product_num", T.StringType()),
-    T.StructField("transfer_code", T.StringType()),
-    T.StructField("transaction_units", T.DoubleType()),
-    T.StructField("date_transaction", T.TimestampNTZType()),
-    T.StructField("date_production", T.TimestampNTZType()),
-])
-
-# Order-level columns of T1: present on the first line of an order only.
-ORDER_LEVEL_COLUMNS = (
-    "transaction_date", "customer_email", "customer_first_name", "customer_last_name",
-    "customer_state", "customer_postal_code", "customer_phone",
-    "shipping_first_name", "shipping_last_name", "shipping_address1", "shipping_address2",
-    "shipping_city", "shipping_state", "shipping_postal_code", "shipping_country",
-    "shipping_phone", "shipping_total", "discount_total", "order_total", "coupons_used",
-)
-
 # Key of the price table join.
 PRICE_KEYS = ("product_name", "product_options", "product_price", "product_weight")

@@ -3,7 +3,7 @@
 Each builder returns a lazy DataFrame derived from the base Parquet tables, so
 its size grows with the scale factor and Catalyst prunes the columns each
 analysis does not use. The definitions are the ones in ``FIXTURES.md``; the
-SQL twins used by the oracle live in ``ordercraft.plans.oracle``.
+SQL twins used by the oracle live in ``ordercraft.plans.views_sql``.
 
 Join strategy: ``nation`` (25 rows by definition of the schema) is broadcast
 explicitly. ``customer`` and ``part`` are left to the planner's size check
@@ -234,6 +234,8 @@ class Tables:
             F.concat(F.col("l_orderkey").cast("string"), F.lit("-"),
                      F.col("l_linenumber").cast("string")).alias("tracking_no"),
             F.col("l_shipdate").alias("date_shipment"),
+            (F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")).alias("date_delivery"),
+            F.last_day(F.col("l_shipdate")).alias("date_invoice"),
         )
 
     # -- T5 / T6 ------------------------------------------------------------
