@@ -364,11 +364,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each class, with its own columns: the smallest id, and
     of rows that agree in id and text one. Null ids come first; rows with null
     or empty texts are in a class of their own. Any other column passes."""
-    from pyspark.sql import Window
     kept = classes(docs, id_col, text_col, similarity).where("kept") \
         .select(F.col("k1").alias(f"{TMP}k1"), F.col("k2").alias(f"{TMP}k2")).distinct()
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    same = Window.partitionBy(f"{TMP}k1", f"{TMP}k2").orderBy(F.lit(0))
-    return keyed.join(kept, [f"{TMP}k1", f"{TMP}k2"], "left_semi") \
-        .withColumn(f"{TMP}i", F.row_number().over(same)).where(f"{TMP}i = 1") \
-        .drop(f"{TMP}k1", f"{TMP}k2", f"{TMP}i")
+    # repeated rows go before the shuffle that the join needs, not after it
+    keyed = docs.select("*", *row_key(id_col, text_col)).dropDuplicates([f"{TMP}k1", f"{TMP}k2"])
+    return keyed.join(kept, [f"{TMP}k1", f"{TMP}k2"], "left_semi").drop(f"{TMP}k1", f"{TMP}k2")
