@@ -98,9 +98,9 @@ def week_review(lines: DataFrame, start: str, end: str, *, end_inclusive_day: bo
     weekly = weekly_buckets(x)
     cols = ["num_of_transactions", "revenue_by_day"]
     return {
-        "daily_summary": stats.describe(daily, cols),
+        "daily_summary": stats.describe(daily, cols, digits=None),
         "daily_details": daily,
-        "weekly_summary": stats.describe(weekly, cols),
+        "weekly_summary": stats.describe(weekly, cols, digits=None),
         "weekly_details": weekly,
     }
 

@@ -14,19 +14,21 @@ from ..functions.text import sorted_distinct_text
 STAT_NAMES = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max per column.
 
     One row in -> std null; no rows -> count 0 and the rest null. Quartiles
     are exact (``percentile``), not the approximate ones of ``summary()``;
     this is meant for bucket tables (one row per day or week), not raw lines.
+    Values are rounded to ``digits`` decimals, or left as they are with None.
     """
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         parts = [F.count(x).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x),
                  F.percentile(x, 0.25), F.percentile(x, 0.5), F.percentile(x, 0.75), F.max(x)]
-        aggs += [p.alias(f"__{c}_{i}") for i, p in enumerate(parts)]
+        aggs += [(p if digits is None else F.round(p, digits)).alias(f"__{c}_{i}")
+                 for i, p in enumerate(parts)]
     one = df.agg(*aggs)
     rows = ", ".join(
         f"'{name}', " + ", ".join(f"`__{c}_{i}`" for c in cols)
