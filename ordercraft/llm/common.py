@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,6 +134,89 @@ def spill_lists(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
 
 
+# ---------------------------------------------------------------- bounded samples
+
+SHARE = 64  # a text counts for at most 1 / SHARE of its language's bound while that fills the bound
+SPARE = 4  # candidates: so many times the bound, by expectation
+MAX_BROADCAST = 10_000  # languages whose bounds are broadcast
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def language_sample(rows: DataFrame, name: str, sample_bytes: int, run: int, cut: Callable,
+                    sample_rows: int | None = None, total_bytes: int | None = None) -> DataFrame:
+    """(lang, piece): a training sample of ``rows`` (lang, text; no nulls), filled for
+    each language by itself to ``sample_bytes`` (and ``sample_rows`` texts at most).
+
+    Distinct texts are taken in hash order until the bound is reached; copies count
+    once. A text counts for at most 1 / SHARE of the bound; in a language that does
+    not fill the bound so, this share doubles until it does, and all its texts are
+    taken (up to twice the bound). A text above its share gives runs of ``run``
+    bytes that are spread evenly over the whole text. ``cut(raw, start, stop)`` is
+    the piece (bytes) for such a run. ``total_bytes``: with more languages than it
+    holds bounds, every language's bound is an equal part of it.
+
+    The running sums go over candidates by hash, SPARE times the bound, so that
+    they are bounded too; these hold less than the bound with less than
+    exp(-72), and are then taken whole."""
+    h = F.xxhash64(F.lit(7), "text")
+    texts = rows.select("lang", h.alias("h"), F.octet_length("text").cast("long").alias("b")).where("b > 0")
+    texts = materialize(texts.groupBy("lang", "h").agg(F.max("b").alias("b")), f"{name}-texts")
+    if total_bytes is not None:
+        sample_bytes = min(sample_bytes, total_bytes // max(texts.select("lang").distinct().count(), 1))
+    caps = [max(sample_bytes // SHARE, 1)]
+    while caps[-1] < sample_bytes:
+        caps.append(min(2 * caps[-1], sample_bytes))
+    limit = sample_rows if sample_rows is not None else (1 << 62)
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"), *[
+        F.sum(F.least("b", F.lit(c)).cast("double")).alias(f"s{i}") for i, c in enumerate(caps)])
+    cap = F.lit(caps[-1])
+    for i, c in reversed(list(enumerate(caps))):
+        cap = F.when((F.col(f"s{i}") >= sample_bytes) | (F.col("n") > limit), c).otherwise(cap)
+    full = (F.col("n") > limit) | (F.col("s0") > sample_bytes)
+    rate = SPARE * F.least(sample_bytes / F.col("s0"), F.lit(float(max(limit, SHARE))) / F.col("n"))
+    sizes = small(materialize(sizes.select(F.col("lang").alias("l"), cap.cast("long").alias("cap"), full.alias("full"),
+                                           F.when(full, rate).otherwise(1.0).alias("rate")), f"{name}-sizes"))
+    place = F.col("h") / float(1 << 64) + 0.5
+    near = texts.join(sizes, F.col("lang") == F.col("l")).where(F.col("full") & (place < F.col("rate")))
+    order = Window.partitionBy("lang").orderBy("h")
+    near = near.select("lang", "h", F.row_number().over(order).alias("k"),
+                       F.sum(F.least("b", "cap")).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("s"))
+    last = near.where((F.col("k") <= limit) & (F.coalesce("s", F.lit(0)) < sample_bytes)) \
+               .groupBy(F.col("lang").alias("m")).agg(F.max("h").alias("last"))
+    bounds = sizes.join(last, F.col("l") == F.col("m"), "left") \
+                  .select("l", "cap", F.coalesce("last", F.lit((1 << 63) - 1)).alias("last"))
+    bounds = small(materialize(bounds, f"{name}-bounds"))
+    picked = rows.withColumn("h", h).join(bounds, F.col("lang") == F.col("l")).where("h <= last")
+
+    def pieces(batches):
+        seen = set()
+        for batch in batches:
+            lang, key, cap, text = (batch.column(i) for i in range(4))
+            out = []
+            for i, at in enumerate(zip(lang.to_pylist(), key.to_pylist())):
+                if at in seen:
+                    continue
+                seen.add(at)
+                raw, most = flat_text(text.slice(i, 1))[0], cap[i].as_py()
+                if len(raw) <= most:
+                    out.append((*at, 0, cut(raw, 0, len(raw))))
+                    continue
+                size = min(run, most)
+                starts = np.linspace(0, len(raw) - size, max(most // size, 1)).astype(np.int64)
+                out += [(*at, j, cut(raw, int(x), int(x) + size)) for j, x in enumerate(starts)]
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
+                     pa.array(cols[3], pa.binary())], names=["lang", "h", "part", "piece"])
+
+    return picked.select("lang", "h", "cap", "text").mapInArrow(pieces, "lang string, h long, part int, piece binary") \
+                 .groupBy("lang", "h", "part").agg(F.max("piece").alias("piece")).select("lang", "piece")
+
+
 # ---------------------------------------------------------------- word hashing
 
 class WordHasher:

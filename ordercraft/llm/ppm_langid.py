@@ -6,9 +6,10 @@ escape (method C: distinct / (total + distinct)) for every context in which
 it was not seen; the statistics stay frozen while scoring. A text's language
 is the one with the shortest code.
 
-The trees are learned on a bounded sample of labelled rows (about
-``SAMPLE_BYTES`` of text per language, chosen by hash); the n-grams are
-counted in Spark and the counts, bounded by the sample, are broadcast. All
+The trees are learned on a bounded sample of labelled rows: for each language
+its distinct texts in hash order up to ``SAMPLE_BYTES``, or all of them; a very
+long text gives runs spread over it (``common.language_sample``). The n-grams
+are counted in Spark and the counts, bounded by the sample, are broadcast. All
 rows are scored whole, by table look-ups over arrays of bytes.
 """
 
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, annotate, flat_text, lower_table, materialize
+from .common import annotate, flat_text, language_sample, lower_table
 
 ORDER = 3  # longest context in bytes
-SAMPLE_BYTES = 1_000_000  # expected training bytes per language
+SAMPLE_BYTES = 1_000_000  # training bytes per language
+RUN = 1024  # bytes of a run of a text that is longer than its share of the sample
 PAD = 10  # each text is preceded by ORDER newlines
 DENSE = 1 << 16  # contexts above which children are found by binary search
-MAX_BROADCAST = 10_000  # languages whose sizes are broadcast
 UNKNOWN = "und"
 
 
@@ -34,26 +35,25 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str, train: Column,
     """(lang, n, gram, c): byte n-gram counts of the training sample."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
                .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("double")).alias("n"))
-    sizes = materialize(sizes, "ppm-sizes")
-    if sizes.count() <= MAX_BROADCAST:  # else a shuffle join; the texts then move once
-        sizes = F.broadcast(sizes)
-    share = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(sizes.withColumnRenamed("lang", f"{TMP}l"), F.col("lang") == F.col(f"{TMP}l")) \
-                 .where(share * F.col("n") < sample_bytes).select("lang", "text")
+
+    def cut(raw, start, stop):  # after the bytes before it
+        held = np.concatenate([np.full(ORDER, PAD, np.uint8), raw])
+        return held[start:stop + ORDER].tobytes()
+
+    sample = language_sample(rows, "ppm", sample_bytes, RUN, cut)
 
     def count(batches):
         table = lower_table()
         held: dict = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                x = np.concatenate([np.full(ORDER, PAD, np.uint8), table[raw]]).astype(np.int64)
+            for lang, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = table[np.frombuffer(piece, np.uint8)].astype(np.int64)
+                size = len(x) - ORDER
                 for n in range(1, ORDER + 2):
-                    g = np.zeros(len(raw), np.int64)
+                    g = np.zeros(size, np.int64)
                     for j in range(n):
                         at = ORDER - n + 1 + j
-                        g = g * 256 + x[at:at + len(raw)]
+                        g = g * 256 + x[at:at + size]
                     u, c = np.unique(g, return_counts=True)
                     d = held.setdefault((lang, n), {})
                     for k, v in zip(u.tolist(), c.tolist()):

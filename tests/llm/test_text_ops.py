@@ -219,6 +219,31 @@ def test_language(spark):
     assert {r.ppm.lang for r in none} == {"und"}
 
 
+def test_language_sample_with_a_long_text_and_a_hot_group(spark):
+    """One very long text or copy group neither empties a language's sample nor fills it alone."""
+    rng = np.random.default_rng(12)
+    bound = 20_000
+    data = [("plain", f"{i} " + prose(rng, 300)) for i in range(200)]
+    data += [("long", f"{i} " + prose(rng, 20)) for i in range(40)] + [("long", prose(rng, 300_000))]
+    data += [("hot", f"{i} " + prose(rng, 20)) for i in range(40)] + [("hot", "copy " * 100)] * 3000
+    d = spark.createDataFrame(data, "lang string, text string").repartition(5).cache()
+    own = {x: sum(len(t) for t in {t for l, t in data if l == x}) for x in ("plain", "long", "hot")}
+
+    def table(d):
+        rows = ppm_langid.gram_counts(d, "lang", "text", F.lit(True), bound).where("n = 1").collect()
+        return {x: sum(r.c for r in rows if r.lang == x) for x in own}
+
+    n = table(d)
+    assert bound <= n["plain"] <= bound * 1.1
+    assert n["hot"] == own["hot"]  # all distinct texts, the copies once
+    assert bound <= n["long"] <= 2 * bound and n == table(d.repartition(2))
+    short = sum(len(t) for l, t in data if l == "long" and len(t) < 1000)
+    assert n["long"] - short <= bound  # the short texts are all in it
+    for seed in range(3):  # in whatever order the hashes come
+        e = d.withColumn("text", F.concat(F.lit(f"{seed}"), "text"))
+        assert all(x >= min(bound, own["hot"]) for x in table(e).values())
+
+
 def test_code_lengths_equal_a_plain_model():
     text = b"abracadabra banana"
     grams = {n: Counter() for n in range(1, 5)}
