@@ -165,7 +165,7 @@ def language_sample(rows: DataFrame, name: str, sample_bytes: int, run: int, cut
     texts = rows.select("lang", h.alias("h"), F.octet_length("text").cast("long").alias("b")).where("b > 0")
     texts = materialize(texts.groupBy("lang", "h").agg(F.max("b").alias("b")), f"{name}-texts")
     if total_bytes is not None:
-        sample_bytes = min(sample_bytes, total_bytes // max(texts.select("lang").distinct().count(), 1))
+        sample_bytes = max(min(sample_bytes, total_bytes // max(texts.select("lang").distinct().count(), 1)), 1)
     caps = [max(sample_bytes // SHARE, 1)]
     while caps[-1] < sample_bytes:
         caps.append(min(2 * caps[-1], sample_bytes))
@@ -214,7 +214,8 @@ def language_sample(rows: DataFrame, name: str, sample_bytes: int, run: int, cut
                      pa.array(cols[3], pa.binary())], names=["lang", "h", "part", "piece"])
 
     return picked.select("lang", "h", "cap", "text").mapInArrow(pieces, "lang string, h long, part int, piece binary") \
-                 .groupBy("lang", "h", "part").agg(F.max("piece").alias("piece")).select("lang", "piece")
+                 .groupBy("lang", "h", "part").agg(F.max("piece").alias("piece")) \
+                 .where(F.octet_length("piece") > 0).select("lang", "piece")
 
 
 # ---------------------------------------------------------------- word hashing

@@ -348,6 +348,42 @@ def test_kneser_ney(spark, docs):
     assert kneser_ney.classify(docs.limit(0), docs.select("text").limit(0)).count() == 0
 
 
+def test_kneser_ney_learns_a_rare_language(spark):
+    """A language with one of a hundred trusted texts is learned from all it has."""
+    rng = np.random.default_rng(13)
+
+    def text(mark, order):
+        w = [f"{mark}{i}" for i in range(40)]
+        start = int(rng.integers(0, 40))
+        return " ".join(w[(start + i) % 40] if order else w[int(rng.integers(0, 40))] for i in range(60))
+
+    big = [(i, f"n{i} " + text("b", True), "big") for i in range(3000)]
+    rare = [(i, f"n{i} " + text("r", True), "rare") for i in range(3000, 3030)]
+    none = [(i, f"n{i} " + text("z", True), None) for i in range(3030, 3040)]
+    trusted = spark.createDataFrame(big + rare + none, "doc_id long, text string, lang string")
+    probe = [(i, text(m, i < 5), {"b": "big", "r": "rare"}.get(m), m) for m in "brz" for i in range(10)]
+    docs = spark.createDataFrame(probe, "doc_id long, text string, lang string, mark string")
+    got = kneser_ney.perplexities(docs, trusted, keep=["doc_id", "mark"], sample_rows=50).collect()
+    worst = {m: max(r.kn.perplexity for r in got if r.mark == m and r.doc_id < 5) for m in "brz"}
+    assert max(worst.values()) < 3  # the next word is nearly certain
+    assert all(r.kn.perplexity > 10 for r in got if r.doc_id >= 5)
+    n = {r.lang: r.n for r in kneser_ney.trusted_sample(trusted, sample_rows=50).groupBy("lang").agg(
+        F.count("*").alias("n")).collect()}
+    assert n == {"=big": 50, "=rare": 30, "": 10}
+
+
+def test_kneser_ney_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TOTAL_BYTES", 40_000)
+    monkeypatch.setattr(kneser_ney, "RUN", 500)
+    rng = np.random.default_rng(14)
+    data = [("a", f"{i} " + prose(rng, 100)) for i in range(300)] + [("b", prose(rng, 50_000)), ("b", "é " * 40), ("a", "x" * 90_000)]
+    rows = kneser_ney.trusted_sample(spark.createDataFrame(data, "lang string, text string")).collect()
+    size = {x: sum(len(r.text.encode()) for r in rows if r.lang == x) for x in ("=a", "=b")}
+    assert 19_000 <= size["=a"] <= 22_000 and 15_000 <= size["=b"] <= 40_000
+    seen = {w for _, t in data for w in t.split()}
+    assert all(w in seen for r in rows for w in r.text.split())  # no word is cut
+
+
 def test_toxicity(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
