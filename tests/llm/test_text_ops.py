@@ -372,6 +372,14 @@ def test_kneser_ney_learns_a_rare_language(spark):
     assert n == {"=big": 50, "=rare": 30, "": 10}
 
 
+def test_kneser_ney_packed_tables():
+    rng = np.random.default_rng(15)
+    keys = np.append(rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64))
+    got, value = kneser_ney.unpacked(*kneser_ney.packed(keys, np.arange(len(keys))))
+    order = np.argsort(keys)
+    assert (got == keys[order]).all() and (value == order).all()
+
+
 def test_kneser_ney_sample_is_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TOTAL_BYTES", 40_000)
     monkeypatch.setattr(kneser_ney, "RUN", 500)
