@@ -4,7 +4,9 @@ New order-line files land in a folder; each micro-batch keeps the lines whose
 order is not yet in the ship log (``left_anti``), drops repeated lines, and
 appends them to the log table. Re-running a batch after a failure is safe:
 orders appended by the failed attempt are already in the log and the anti
-join skips them, so the sink is effectively idempotent per order.
+join skips them, so the sink is effectively idempotent per order. The same
+join drops lines of an order that arrive in a later batch than its first
+lines: they are not written anywhere.
 """
 
 from __future__ import annotations
