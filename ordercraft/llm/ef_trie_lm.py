@@ -8,7 +8,8 @@ builds a trie of two levels: the contexts, and for each context its
 successors. Contexts, the pointers into the successors and the successors
 themselves are monotone sequences in Elias-Fano code, the smoothed
 probabilities are 16-bit logarithms; the levels lie in one file that is mapped
-into memory. The shard answers every pair of every batch by a successor
+into memory. The high bits are unpacked on load (8 bytes and more an element), so
+only the stored form is compact. The shard answers every pair of every batch by a successor
 search relative to its context, and sends back the codes, the context's count
 and its number of successors. The batches then add up their documents.
 
