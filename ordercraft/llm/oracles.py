@@ -65,5 +65,63 @@ p AS (SELECT *, row_number() OVER (ORDER BY f, h, doc_id, size, text_crc32) - 1
 SELECT doc_id, lang, source, size, text_crc32, 'rows' AS law, CAST(pos * 40 // n AS INTEGER) AS shard,
   pos - ((pos * 40 // n) * n + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
 
+# The checksum of short texts (decimal ids) by the same rule.
+CRC_TABLE = """crc_tab AS (SELECT list(c ORDER BY i) AS crc FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+  FROM range(256) r(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text expression, next to ``crc_tab``."""
+    return (f"xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), "
+            f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+            f"lambda a, x: xor(a >> 8, crc[xor(a & 255, x) + 1])))")
+
+
+def _merkle_sql(levels: int = 6, top_levels: int = 4) -> str:
+    """The levels of the trees one by one: enough for 16 ** levels rows of a source
+    and 16 ** top_levels sources."""
+    value = "coalesce(CAST(octet_length(encode({0})) AS VARCHAR) || ':' || {0}, '-')"
+
+    def leaf(text):
+        vals = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(value.format(v) for v in vals) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [CRC_TABLE, f"""
+d AS (SELECT *, row_number() OVER () AS rid, coalesce('s' || source, 'n') AS s, {leaf('text')} AS leaf,
+  CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {leaf(lower)} END AS changed FROM documents, crc_tab)""", """
+d0 AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+  count(*) OVER (PARTITION BY s) AS n, coalesce(changed, leaf) AS cur, '' AS proof FROM d)""", """
+n0 AS (SELECT s, p, n, leaf AS x FROM d0)"""]
+
+    def climb(k, total, doc, node):
+        for i in range(k, total):
+            ctes.append(f"""
+r{node}{i} AS (SELECT s, p // 16 AS p, any_value(n) AS n, string_agg(x, '' ORDER BY p) AS run FROM {node}{i} GROUP BY s, p // 16)""")
+            ctes.append(f"""
+{node}{i + 1} AS (SELECT s, p, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS x FROM r{node}{i})""")
+            ctes.append(f"""
+{doc}{i + 1} AS (SELECT t.* REPLACE (t.p // 16 AS p, (t.n + 15) // 16 AS n,
+    CASE WHEN t.n > 1 THEN sha256(substr(run, 1, 64 * (t.p % 16)) || cur || substr(run, 64 * (t.p % 16) + 65)) ELSE cur END AS cur,
+    CASE WHEN t.n > 1 THEN proof || substr(run, 1, 64 * (t.p % 16)) || substr(run, 64 * (t.p % 16) + 65) ELSE proof END AS proof)
+  FROM {doc}{i} t JOIN r{node}{i} r ON r.s = t.s AND r.p = t.p // 16)""")
+
+    climb(0, levels, "d", "n")
+    ctes.append(f"""
+subs AS (SELECT s, x AS subroot, row_number() OVER (ORDER BY CASE WHEN s = 'n' THEN NULL ELSE s END NULLS FIRST) - 1 AS p,
+  count(*) OVER () AS n FROM n{levels})""")
+    ctes.append("""
+m0 AS (SELECT 'all' AS s, p, n, subroot AS x FROM subs)""")
+    ctes.append(f"""
+e0 AS (SELECT 'all' AS s, u.p, u.n, doc_id, leaf, subroot, cur, proof FROM d{levels} t JOIN subs u ON u.s = t.s)""")
+    climb(0, top_levels, "e", "m")
+    return "WITH " + ",".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, x AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = x AS verified
+FROM e{top_levels} JOIN m{top_levels} USING (s)"""
+
+
+OP11 = _merkle_sql()
+
 ORACLE = {"op1_suffix_decontamination": OP1, "op4_stratified_interleaving": OP4,
-          "op6_poisson_mixture": OP6}
+          "op6_poisson_mixture": OP6, "op11_merkle_manifest": OP11}

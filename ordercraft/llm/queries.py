@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
-from . import (decontaminate, ef_trie_lm, interleave, kneser_ney, order_minhash, poisson_mix, ppm_langid,
-               pruned_graph, token_histogram, toxicity)
+from . import (decontaminate, ef_trie_lm, forced_bpe, interleave, kneser_ney, merkle_manifest, order_minhash,
+               poisson_mix, ppm_langid, pruned_graph, token_histogram, toxicity)
 from .common import crc_bucket, table
 from .oracles import ORACLE  # noqa: F401  (read by the entry file)
 
@@ -82,7 +84,29 @@ def op10_ppm_language(spark, sf_dir):
                     F.col("ppm.score").alias("score"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    """Leaf, roots, proof and recomputed root of every document; where 5 divides
+    crc32(doc_id), a version with the text's A-Z in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = F.when(crc_bucket("doc_id", 5) == 0, merkle_manifest.leaf_digest([*rest, lower]))
+    d = merkle_manifest.manifest(docs.select(
+        F.col("doc_id").alias("id"), "source", merkle_manifest.leaf_digest([*rest, F.col("text")]).alias("leaf"),
+        changed.alias("changed")))
+    return d.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_forced_boundary_bpe(spark, sf_dir):
+    """Number and digest of every document's token ids, and digest of what they decode to."""
+    d = forced_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return d.select("doc_id", F.floor(F.octet_length("bpe.ids") / 4).alias("n_tokens"),
+                    F.sha2("bpe.ids", 256).alias("ids_sha256"),
+                    F.sha2(F.encode("bpe.decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_decontamination, op2_length_histogram, op3_kneser_ney, op4_stratified_interleaving, op5_toxicity,
     op6_poisson_mixture, op7_trie_scores,
-    op8_order_minhash, op9_pruned_graph, op10_ppm_language)}
+    op8_order_minhash, op9_pruned_graph, op10_ppm_language, op11_merkle_manifest, op13_forced_boundary_bpe)}
