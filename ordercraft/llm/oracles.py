@@ -123,5 +123,35 @@ FROM e{top_levels} JOIN m{top_levels} USING (s)"""
 
 OP11 = _merkle_sql()
 
+# Prefixes are running lists of turn digests; a node's subtree totals come from
+# joining every node to the prefixes of its smallest member.
+OP12 = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id AS c, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+  octet_length(encode(coalesce(text, ''))) AS bytes,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+cv AS (SELECT o.c, o.c - o.c % 5 AS b, {crc32_sql('CAST(o.c AS VARCHAR)')} % 9 AS h, o.n FROM own o, crc_tab),
+cw AS (SELECT cv.*, least(h, coalesce(own.n, 0)) AS taken FROM cv LEFT JOIN own ON own.c = cv.b),
+r AS (SELECT cw.c, t.pos, x, bytes FROM cw JOIN t ON t.c = cw.b AND t.pos <= cw.h
+  UNION ALL SELECT cw.c, t.pos - h + taken, x, bytes FROM cw JOIN t ON t.c = cw.c AND t.pos > cw.h),
+p AS (SELECT c, pos AS depth, bytes, md5(string_agg(x, '') OVER (PARTITION BY c ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS k,
+  lead(pos) OVER (PARTITION BY c ORDER BY pos) IS NULL AS ends FROM r
+  UNION ALL SELECT cw.c, 0, 0, 'root', c NOT IN (SELECT c FROM r) FROM cw),
+nodes AS (SELECT depth, k, min(c) AS c, count(*) AS n_convs, max(bytes) AS bytes,
+  sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM p GROUP BY depth, k),
+up AS (SELECT v.depth, v.k, u.c AS parent FROM nodes v JOIN p q ON q.c = v.c AND q.depth = v.depth - 1
+  JOIN nodes u ON u.depth = q.depth AND u.k = q.k),
+kids AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM up GROUP BY ALL),
+w AS (SELECT v.*, coalesce(kids.n, 0) AS n_children FROM nodes v LEFT JOIN kids ON kids.parent = v.c AND kids.depth = v.depth),
+sub AS (SELECT q.depth, q.k, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+  sum((v.n_convs - 1) * v.bytes) AS saved FROM w v JOIN p q ON q.c = v.c AND q.depth <= v.depth GROUP BY q.depth, q.k)
+SELECT w.c AS conv_id, CAST(w.depth AS BIGINT) AS depth, up.parent AS parent_conv_id, w.n_convs, w.n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN sub USING (depth, k) LEFT JOIN up USING (depth, k)"""
+
 ORACLE = {"op1_suffix_decontamination": OP1, "op4_stratified_interleaving": OP4,
-          "op6_poisson_mixture": OP6, "op11_merkle_manifest": OP11}
+          "op6_poisson_mixture": OP6, "op11_merkle_manifest": OP11,
+          "op12_prefix_trie": OP12}

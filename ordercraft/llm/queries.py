@@ -7,7 +7,7 @@ import string
 from pyspark.sql import functions as F
 
 from . import (decontaminate, ef_trie_lm, forced_bpe, interleave, kneser_ney, merkle_manifest, order_minhash,
-               poisson_mix, ppm_langid, pruned_graph, token_histogram, toxicity)
+               poisson_mix, ppm_langid, prefix_trie, pruned_graph, token_histogram, toxicity)
 from .common import crc_bucket, table
 from .oracles import ORACLE  # noqa: F401  (read by the entry file)
 
@@ -98,6 +98,12 @@ def op11_merkle_manifest(spark, sf_dir):
                     (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    """Nodes of the trie over the rebuilt conversations with their subtree totals."""
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuild(turns))
+
+
 def op13_forced_boundary_bpe(spark, sf_dir):
     """Number and digest of every document's token ids, and digest of what they decode to."""
     d = forced_bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -109,4 +115,5 @@ def op13_forced_boundary_bpe(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_suffix_decontamination, op2_length_histogram, op3_kneser_ney, op4_stratified_interleaving, op5_toxicity,
     op6_poisson_mixture, op7_trie_scores,
-    op8_order_minhash, op9_pruned_graph, op10_ppm_language, op11_merkle_manifest, op13_forced_boundary_bpe)}
+    op8_order_minhash, op9_pruned_graph, op10_ppm_language, op11_merkle_manifest,
+    op12_prefix_trie, op13_forced_boundary_bpe)}
