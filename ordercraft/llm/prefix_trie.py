@@ -13,8 +13,10 @@ spliced out; the run's weight moves to the node above it, and the node below
 it is attached there) until the root is raked. Nodes with the same smallest
 member form one downward path, so runs are found by windows over aligned
 blocks of depths of a path, which grow from round to round; no task holds a
-whole long conversation. A chain of any length takes two or three rounds, and
-each round at least halves what is left of a branching trie. Then the rounds
+whole long conversation, and a chain on one path takes two or three rounds
+whatever its length. Chains that go from path to path are shortened by joins
+of neighbours under a coin, in the rounds after one that has left more than half of its
+nodes; so the rounds grow with the logarithm of the trie. Then the rounds
 are undone in reverse: a spliced node's total is the weight of its run from
 it downwards plus the total of the node below the run. Every round is a
 written table.
@@ -186,21 +188,26 @@ NODE = ["conv", "depth", "parent", "parent_depth", "kids", "w1", "w2"]
 def contract(state: DataFrame) -> DataFrame:
     """Subtree totals (conv, depth, w1, w2) of the weights w1 and w2 of ``state``
     (conv, depth, parent, parent_depth, kids, w1, w2), one row per node."""
-    rounds, moved, block = [], None, CHUNK
-    active, raked = state, []
-    while True:
+    rounds, moved, block, turn = [], None, CHUNK, 0
+    active, raked, before, slow = state, [], state.count(), False
+    while before:
         leaf = F.col("kids") == 0
         raked.append(active.where(leaf).select("conv", "depth", "w1", "w2"))
-        table = materialize(_compress(_rake(active, moved), block), "trie-round")
-        left, spliced = table.agg(F.count_if(~F.col("spliced")), F.count_if("spliced")).first()
+        inner = _rake(active, moved)
+        if slow:
+            table, turn, slow = materialize(_mate(materialize(inner, "trie-raked"), turn), "trie-round"), turn + 1, False
+            left, spliced = table.agg(F.count_if(~F.col("spliced")), F.count_if("spliced")).first()
+        else:
+            table = materialize(_compress(inner, block), "trie-round")
+            left, spliced = table.agg(F.count_if(~F.col("spliced")), F.count_if("spliced")).first()
+            block, slow = min(block * GROWTH, 1 << 60), 2 * left > before
         if spliced:
-            rounds.append(table.where("spliced").select("conv", "depth", "below", "w1", "w2"))
-        if not left:
-            break
-        active = table.where(~F.col("spliced")).select(*NODE)
-        moved = table.where("m1 is not null").select("parent", "parent_depth", F.col("m1").alias("w1"),
-                                                     F.col("m2").alias("w2"), F.lit(0).cast("long").alias("kids"))
-        block *= GROWTH
+            rounds.append(table.where("spliced").select("conv", "depth", "below_conv", "below", "w1", "w2"))
+        active, before = table.where(~F.col("spliced")).select(*NODE), left
+        moved = table.where("not spliced and m1 is not null").select(
+            "parent", "parent_depth", F.col("m1").alias("w1"), F.col("m2").alias("w2"), F.lit(0).cast("long").alias("kids"))
+    if not raked:
+        return state.select("conv", "depth", "w1", "w2")
     known = raked[0]
     for r in raked[1:]:
         known = known.unionByName(r)
@@ -245,14 +252,41 @@ def _compress(left: DataFrame, block: int) -> DataFrame:
     return rows.select(
         "conv", "depth", F.first("parent").over(whole).alias("parent"),
         F.first("parent_depth").over(whole).alias("parent_depth"), "kids", "spliced",
-        F.max("depth").over(whole).alias("below"),
+        F.col("conv").alias("below_conv"), F.max("depth").over(whole).alias("below"),
         *[F.when(F.col("spliced"), weight(c, down)).otherwise(F.col(c)).alias(c) for c in ("w1", "w2")],
         *[F.when(~F.col("spliced"), weight(c, whole)).alias(f"m{c[1]}") for c in ("w1", "w2")])
 
 
+def _mate(left: DataFrame, turn: int) -> DataFrame:
+    """As ``_compress``, for runs of nodes with a single child that go from path to
+    path: of such a node and the node below it the upper one is spliced out when
+    its coin shows heads and the lower one will stay, so no two neighbours go."""
+    def single(d: str) -> Column:
+        return (F.col(f"{d}kids") == 1) & F.col(f"{d}parent").isNotNull() & (
+            F.xxhash64(F.lit(turn), F.col(f"{d}conv"), F.col(f"{d}depth")) % 2 == 0)
+
+    above = left.select(*[F.col(c).alias(f"v_{c}") for c in NODE]).where(single("v_"))
+    pairs = left.join(above, (F.col("parent") == F.col("v_conv")) & (F.col("parent_depth") == F.col("v_depth")) & ~(
+        F.coalesce(single(""), F.lit(False))), "left")
+    pairs = materialize(pairs, "trie-mates")
+    goes = F.col("v_conv").isNotNull()
+    none = F.lit(None).cast("long")
+    gone = pairs.where(goes).select(
+        F.col("v_conv").alias("conv"), F.col("v_depth").alias("depth"), F.col("v_parent").alias("parent"),
+        F.col("v_parent_depth").alias("parent_depth"), F.col("v_kids").alias("kids"), F.lit(True).alias("spliced"),
+        F.col("conv").alias("below_conv"), F.col("depth").alias("below"), F.col("v_w1").alias("w1"),
+        F.col("v_w2").alias("w2"), none.alias("m1"), none.alias("m2"))
+    stay = pairs.select(
+        "conv", "depth", F.when(goes, F.col("v_parent")).otherwise(F.col("parent")).alias("parent"),
+        F.when(goes, F.col("v_parent_depth")).otherwise(F.col("parent_depth")).alias("parent_depth"), "kids",
+        F.lit(False).alias("spliced"), none.alias("below_conv"), none.alias("below"), "w1", "w2",
+        F.col("v_w1").alias("m1"), F.col("v_w2").alias("m2")).join(gone.select("conv", "depth"), ["conv", "depth"], "left_anti")
+    return stay.unionByName(gone)
+
+
 def _expand(gone: DataFrame, known: DataFrame) -> DataFrame:
     """Totals of the nodes that one round has spliced out."""
     k = known.select(F.col("conv").alias("k_conv"), F.col("depth").alias("k_depth"),
                      F.col("w1").alias("k1"), F.col("w2").alias("k2"))
-    return gone.join(k, (F.col("conv") == F.col("k_conv")) & (F.col("below") == F.col("k_depth"))).select(
+    return gone.join(k, (F.col("below_conv") == F.col("k_conv")) & (F.col("below") == F.col("k_depth"))).select(
         "conv", "depth", (F.col("w1") + F.col("k1")).alias("w1"), (F.col("w2") + F.col("k2")).alias("w2"))
