@@ -25,29 +25,24 @@ from .operators import clean
 from .plans import jobs
 from .schemas import ORDER_LINES_CSV
 from .session import get_session
-from .sources.csv_exports import read_csv_exports
+from .sources.csv_exports import PLACE, REASON, scan_exports
 from .sources.tables import read_pricing, read_ship_log, read_table
 
 
 def _clean_exports(spark, pattern: str, start: str, cutover: str, rejects_dir: str):
-    """Cleaned lines, written once; rows that cannot be used go to ``rejects_dir``
-    with the reason, one folder each."""
-    rejects: list = []
-    raw = read_csv_exports(spark, pattern, ORDER_LINES_CSV)
-    # Lines of one order are ordered by date (blank last) and, when the export
-    # carries a line number column ``line_seq``, by that number. Without it the
-    # order among an order's undated lines is not defined by the files.
-    tiebreaks = ()
-    if "line_seq" in raw.columns:
-        raw = raw.withColumn("line_seq", raw["line_seq"].try_cast("long"))
-        tiebreaks = ("line_seq",)
-    lines = clean.clean_order_lines(raw, start=start, cutover=cutover,
-                                    order_tiebreaks=tiebreaks,
-                                    drop_after_fill=("source_file",),
-                                    rejects=rejects)
-    for reason, rows in rejects:
-        rows.write.mode("overwrite").option("header", True).csv(f"{rejects_dir}/{reason}")
-    return jobs.materialize(lines, "clean_lines")
+    """Cleaned lines, written once, with ``line_seq``: the export's own line number
+    (which keeps equal lines of an order apart) or the place in the files. Rows that cannot be used go to ``rejects_dir``, one folder per reason, with
+    their file, place and raw line, and the number of rows per outcome beside them."""
+    found = scan_exports(spark, pattern, ORDER_LINES_CSV)
+    done = clean.clean_exports(found, start=start, cutover=cutover)
+    lines = jobs.materialize(done.lines, "clean_lines")
+    done.rejects.write.mode("overwrite").partitionBy(REASON).option("header", True).csv(f"{rejects_dir}/rows")
+    clean.Cleaned(lines, done.rejects, done.early).account().coalesce(1) \
+        .write.mode("overwrite").option("header", True).csv(f"{rejects_dir}/account")
+    lines = lines.drop(clean.COPIES)
+    if "line_seq" in found.columns:
+        return lines.drop(PLACE).withColumn("line_seq", lines["line_seq"].try_cast("long"))
+    return lines.withColumnRenamed(PLACE, "line_seq")
 
 
 def main(argv: list[str] | None = None) -> dict:

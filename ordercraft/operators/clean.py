@@ -9,6 +9,7 @@ is blank (they take the order's date first).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions.dates import ts_ntz
 from ..functions.text import collapse_whitespace
+from ..session import bounded_side
+from ..sources.csv_exports import FIELDS, PLACE, RAW, REASON, SOURCE, Exports, read_typed
 from .fill import SPREAD, forward_fill
 
 # Fixed values (parameter defaults taken from the reference's reports).
@@ -154,6 +157,11 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
     # the dedupe keys include the id and the fill's spread column, so it runs
     # on the fill's partitioning without another shuffle of the lines
     df = dedupe(df).drop(SPREAD)
+    return _derive(df, id_col, date_col, cutover)
+
+
+def _derive(df: DataFrame, id_col: str, date_col: str, cutover: str) -> DataFrame:
+    """The cleaner's last steps: whitespace, line amount, null fill, label."""
     if "product_name" in df.columns:
         df = df.withColumn("product_name", collapse_whitespace("product_name"))
     if "product_price" in df.columns and "product_quantity" in df.columns:
@@ -163,6 +171,90 @@ def clean_order_lines(df: DataFrame, *, start: str = DEFAULT_START,
     return df.withColumn("pre_post", pre_post(date_col, cutover))
 
 
+# Reasons for which a row cannot be used, besides those of the scan.
+NO_ID, BAD_DATE, NO_DATE, BAD_ORDER = "no_order_id", "unreadable_date", "no_date", "order_incomplete"
+COPIES = "export_copies"
+
+
+@dataclass
+class Cleaned:
+    """Every row of the exports once: merged into ``lines`` (``export_copies``
+    equal rows each, at the place ``export_line`` of the first), in ``rejects``
+    (file, place, order id, reason, fields, raw line) or in ``early`` (dated
+    before the start)."""
+
+    lines: DataFrame
+    rejects: DataFrame
+    early: DataFrame
+
+    def account(self, by: Sequence[str] = ()) -> DataFrame:
+        """Rows of the exports per outcome (and order id, with ``by``)."""
+        parts = [self.lines.select(*by, F.lit("reported").alias("outcome"), F.col(COPIES).alias("n")),
+                 self.rejects.select(*by, F.col(REASON).alias("outcome"), F.lit(1).cast("long").alias("n")),
+                 self.early.select(*by, F.lit("before_start").alias("outcome"), F.lit(1).cast("long").alias("n"))]
+        rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return rows.groupBy(*by, "outcome").agg(F.sum("n").alias("n_rows"))
+
+
+def bad_orders(rows: DataFrame, why: Column, id_col: str) -> DataFrame:
+    """Ids of the orders with a row that cannot be used: few, measured before
+    the join, so the lines stay where they are while the ids fit a broadcast."""
+    ids = rows.where(why.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("bad_id")).distinct()
+    return bounded_side(ids, "bad_orders")
+
+
+def clean_exports(found: Exports, *, start: str = DEFAULT_START, cutover: str = DEFAULT_CUTOVER,
+                  fill_through: str = "category_code", fill_cols: Sequence[str] | None = None,
+                  drop: Sequence[str] = (), hot_keys: Sequence | str | None = None,
+                  id_col: str = "transaction_id", date_col: str = "transaction_date") -> Cleaned:
+    """C10/Q1 over scanned exports: fill in file order, reject whole orders.
+
+    An order is reported whole or not at all: if one of its rows cannot be
+    read, or bears an unreadable date, all rows of the order are rejected (the
+    others as ``order_incomplete``), and so is an order without any date. Rows
+    without a usable id are rejected by themselves. Lines of one order are
+    filled in the order (date, blanks last; place in the exports), over the
+    columns that the files list up to ``fill_through``. ``drop``: columns left
+    out (an export's own line numbers, say). Equal rows of overlapping exports
+    are merged; the place of the first is kept.
+    """
+    rows = found.rows.drop(*drop)
+    rows = rows.withColumns({id_col: read_typed(F.col(id_col).cast("string"), T.LongType()),
+                             "__ts": parse_timestamp(date_col)})
+    why = F.coalesce(F.col(REASON), F.when(F.col(id_col).isNull(), F.lit(NO_ID)),
+                     F.when(F.col(date_col).isNotNull() & F.col("__ts").isNull(), F.lit(BAD_DATE)))
+    rows = rows.withColumn("__why", why)
+    bad = bad_orders(rows, F.col("__why"), id_col)
+    of_bad = F.col(id_col) == F.col("bad_id")
+    whole = rows.where("__why is null")
+    out = [SOURCE, PLACE, id_col]
+
+    def rejected(df: DataFrame, reason: Column) -> DataFrame:
+        return df.select(*out, reason.alias(REASON), FIELDS, RAW)
+
+    rejects = rejected(rows.where("__why is not null"), F.col("__why")).unionByName(
+        rejected(whole.join(bad, of_bad, "left_semi"), F.lit(BAD_ORDER)))
+
+    good = whole.join(bad, of_bad, "left_anti").withColumn(date_col, F.col("__ts")).drop("__why", "__ts")
+    listed = [c for c in found.columns if c not in drop]
+    cols = list(fill_cols) if fill_cols is not None else listed[:listed.index(fill_through) + 1] \
+        if fill_through in listed else listed
+    filled = forward_fill(good, id_col, date_col, [PLACE], [c for c in cols if c != id_col], hot_keys=hot_keys,
+                          keep_spread=True)
+    rejects = rejects.unionByName(rejected(filled.where(F.col(date_col).isNull()), F.lit(NO_DATE)))
+    bound = ts_ntz(start)
+    early = filled.where(F.col(date_col) < bound).drop(SPREAD, REASON, FIELDS)
+    lines = filled.where(F.col(date_col) >= bound)
+    # the keys of the merge include the id and the spread, so it runs on the
+    # fill's partitioning without another shuffle of the lines
+    business = [c for c in lines.columns if c not in (SOURCE, PLACE, RAW, REASON, FIELDS)]
+    lines = lines.groupBy(*[F.col(f"`{c}`") for c in business]).agg(
+        F.min(PLACE).alias(PLACE), F.count(F.lit(1)).alias(COPIES)).drop(SPREAD)
+    places = lines.columns[-2:]
+    derived = _derive(lines, id_col, date_col, cutover)
+    return Cleaned(derived.select(*[c for c in derived.columns if c not in places], *places), rejects, early)
+
+
 def columns_matching(df: DataFrame, fragment: str) -> DataFrame:
     """The columns whose name contains ``fragment`` (case-insensitive)."""
     return df.select(df.colRegex(f"`(?i).*{fragment}.*`"))

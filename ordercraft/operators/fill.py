@@ -39,6 +39,17 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+TIE = "__tie"
+
+
+def _with_tie(df: DataFrame, tiebreaks: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Without tie-break columns rows of equal place are ordered by a hash of the
+    row, so that both paths of the fill see one order."""
+    if tiebreaks:
+        return df, list(tiebreaks)
+    return df.withColumn(TIE, F.xxhash64(*df.columns)), [TIE]
+
+
 def _order_exprs(first: str, tiebreaks: Sequence[str]) -> list[Column]:
     return [F.col(first).asc_nulls_last(), *[F.col(t).asc() for t in tiebreaks]]
 
@@ -88,12 +99,9 @@ def number_chunks(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence
     """``df`` (no null keys) with each row's place within its key and its chunk:
     ``chunk_rows`` consecutive places. Without a tie-break column, rows of equal
     ``order_first`` are ordered by a hash of the row."""
-    ties = list(tiebreaks)
-    if not ties:
-        ties = ["__tie"]
-        df = df.withColumn("__tie", F.xxhash64(*df.columns))
+    df, ties = _with_tie(df, tiebreaks)
     numbered = number_rows(df, key, [order_first, *ties], POS, hot_keys="all",
-                           nulls_last=(order_first,)).drop("__tie")
+                           nulls_last=(order_first,)).drop(TIE)
     chunk = F.floor((F.col(POS) - 1) / F.lit(chunk_rows))
     return materialize(numbered.withColumn(CHUNK, chunk), "fill_chunks")
 
@@ -143,6 +151,9 @@ def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[
     ``None`` probes the data with :func:`find_hot_keys`.
     """
     fill_cols = [c for c in fill_cols if c != key]
+    names = list(df.columns)
+    df, tiebreaks = _with_tie(df, tiebreaks)
+    spread_cols = spread_cols or names
     no_spread = F.lit(None).cast("long").alias(SPREAD)
     if isinstance(hot_keys, str):
         if hot_keys != "all":
@@ -165,7 +176,7 @@ def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[
             hot = _chunked_fill(df.filter(is_hot), key, order_first, tiebreaks, fill_cols,
                                 chunk_rows)
             out = cold.unionByName(hot.select("*", no_spread))
-    return out if keep_spread else out.drop(SPREAD)
+    return out.select(*names, SPREAD) if keep_spread else out.select(*names)
 
 
 def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str = "line_seq",

@@ -514,3 +514,141 @@ def s01_clean_csv_exports(spark, sf_dir):
     return decimals_to_double(clean.clean_order_lines(
         raw, start=START, cutover=CUTOVER, order_tiebreaks=("pull", "line_seq"),
         drop_after_fill=("pull", "line_seq", "source_file")))
+
+
+# The faults put into the exports, as (order id modulo, remainder).
+FAULTS = {"amount": (5, 1), "whole": (7, 2), "word": (43, 5), "date": (47, 7), "blank": (53, 11),
+          "surplus": (59, 13), "no_id": (61, 17)}
+EXPORT_PARTS = 4
+
+
+def _faulty_exports(spark, sf_dir) -> str:
+    """The raw lines as CSV exports without line numbers, orders whole in one file
+    and the last file with its columns reversed; some values written another way
+    (``$3.00``, ``2.0``), some unusable (``two``, a date by points, no date at all,
+    a field too many, no id). Returns the folder."""
+    import uuid
+    from ..session import checkpoint_root
+    raw = tables(spark, sf_dir).raw_sales
+    cols = ["transaction_id", *RAW_FILL_COLS[:6], "category_code", *RAW_FILL_COLS[6:]]
+    oid, seq = F.col("transaction_id"), F.col("line_seq")
+
+    def at(fault, *more):
+        mod, rest = FAULTS[fault]
+        cond = oid % mod == rest
+        for m in more:
+            cond = cond & m
+        return cond
+
+    text = {c: F.col(c).cast("string") for c in cols if c != "category_code"}
+    text["category_code"] = F.when(seq == 1, F.concat(F.lit("cat"), oid.cast("string")))
+    text["transaction_date"] = (F.when(at("date", seq == 1), F.date_format("transaction_date", "dd.MM.yyyy"))
+                                .when(~at("blank"), F.date_format("transaction_date", "yyyy-MM-dd HH:mm:ss")))
+    text["product_price"] = F.when(at("amount"), F.concat(F.lit("$"), text["product_price"])).otherwise(text["product_price"])
+    text["product_quantity"] = (F.when(at("word", seq == 2), F.lit("two"))
+                                .when(at("whole"), F.concat(text["product_quantity"], F.lit(".0")))
+                                .otherwise(text["product_quantity"]))
+    text["transaction_id"] = F.when(~at("no_id", seq == 3), text["transaction_id"])
+
+    def line(names, more):
+        return F.concat(F.to_csv(F.struct(*[text[c].alias(c) for c in names])), more)
+
+    part = (oid % EXPORT_PARTS).cast("int")
+    more = F.when(at("surplus", seq == 1), F.lit(",more")).otherwise(F.lit(""))
+    value = F.when(part == EXPORT_PARTS - 1, line(cols[::-1], more)).otherwise(line(cols, more))
+    lines = raw.select(part.alias("part"), oid.alias("id"), seq.cast("long").alias("seq"), value.alias("value"))
+    head = F.when(F.col("id") == EXPORT_PARTS - 1, F.lit(",".join(cols[::-1]))).otherwise(F.lit(",".join(cols)))
+    heads = spark.range(EXPORT_PARTS).select(F.col("id").cast("int").alias("part"), F.lit(-1).cast("long").alias("seq"),
+                                             head.alias("value"), "id")
+    lines = lines.unionByName(heads.withColumn("id", F.lit(-1).cast("long")))
+    base = f"{checkpoint_root(spark).rstrip('/')}/ordercraft-exports/{uuid.uuid4().hex[:12]}"
+    lines.repartition("part").sortWithinPartitions("part", "id", "seq").select("part", "value") \
+         .write.partitionBy("part").text(base)
+    return f"{base}/*/*.txt"
+
+
+def _faulty_schema():
+    from pyspark.sql import types as T
+    from ..schemas import MONEY
+    kinds = {"shipping_total": T.IntegerType(), "discount_total": T.IntegerType(), "order_total": MONEY,
+             "product_price": MONEY, "product_weight": T.IntegerType(), "product_quantity": T.IntegerType()}
+    return T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in
+                         ["transaction_id", *RAW_FILL_COLS, "category_code"]])
+
+
+def _clean_faulty(spark, sf_dir):
+    from ..sources.csv_exports import scan_exports
+    found = scan_exports(spark, _faulty_exports(spark, sf_dir), _faulty_schema())
+    return clean.clean_exports(found, start=START, cutover=CUTOVER)
+
+
+def _fault(name, alias="r"):
+    return f"{alias}.transaction_id % {FAULTS[name][0]} = {FAULTS[name][1]}"
+
+
+FAULTY_CTES = [
+    ("own", f"""select r.*, case when {_fault('no_id')} and line_seq = 3 then 'no_order_id'
+  when {_fault('surplus')} and line_seq = 1 then 'surplus_fields'
+  when {_fault('word')} and line_seq = 2 then 'unreadable_value'
+  when {_fault('date')} and line_seq = 1 and not ({_fault('blank')}) then 'unreadable_date'
+  when {_fault('date')} and line_seq = 1 then 'unreadable_date' end as own_reason from raw_sales r"""),
+    ("why", """select *, case when own_reason is not null then own_reason
+  when max(case when own_reason <> 'no_order_id' then 1 end) over (partition by transaction_id) = 1
+  then 'order_incomplete' end as reason from own"""),
+    ("good", f"""select r.* replace (case when {_fault('blank')} then null else transaction_date end as transaction_date),
+  case when line_seq = 1 then 'cat' || transaction_id end as category_code from why r where reason is null"""),
+    ("filled", f"""select r.*, {', '.join(f'last_value(r.{c} IGNORE NULLS) OVER w AS f_{c}' for c in [*RAW_FILL_COLS[:6], 'category_code'])}
+  from good r window w as (partition by r.transaction_id order by r.transaction_date asc nulls last, r.line_seq
+  rows between unbounded preceding and current row)"""),
+    ("fates", f"""select transaction_id, line_seq, case when f_transaction_date is null then 'no_date'
+  when f_transaction_date < TIMESTAMP '{START}' then 'before_start' else 'reported' end as outcome from filled
+  union all select case when reason = 'no_order_id' then null else transaction_id end, line_seq, reason from why
+  where reason is not null"""),
+]
+
+
+@register("s01_export_account", with_views(["raw_sales"], """
+select transaction_id, outcome, count(*) as n_rows from fates group by 1, 2""", FAULTY_CTES))
+def s01_export_account(spark, sf_dir):
+    """Every row of faulty exports once: per order the rows reported, rejected (by
+    reason) or dated before the start."""
+    return _clean_faulty(spark, sf_dir).account(["transaction_id"])
+
+
+@register("s01_export_rejects", with_views(["raw_sales"], """
+select case when reason = 'no_order_id' then null else transaction_id end as transaction_id, reason as reject_reason,
+ case when reason = 'unreadable_value' then 'product_quantity' else '' end as reject_fields,
+ count(*) as n_rows from why where reason is not null group by 1, 2, 3
+union all by name
+select transaction_id, 'no_date' as reject_reason, '' as reject_fields, count(*) as n_rows
+from fates where outcome = 'no_date' group by 1""", FAULTY_CTES))
+def s01_export_rejects(spark, sf_dir):
+    """The rejects of faulty exports by order, reason and unreadable columns."""
+    return _clean_faulty(spark, sf_dir).rejects.groupBy("transaction_id", "reject_reason", "reject_fields") \
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+FILE_OUT = ["customer_last_name", "customer_state", "category_code"]
+
+
+@register("q01_clean_file_order", with_views(["raw_sales"], f"""
+select transaction_id, f_transaction_date as transaction_date,
+ {', '.join(f"coalesce(f_{c}, '-') as {c}" for c in FILE_OUT)},
+ coalesce(f_shipping_total, 0) as shipping_total, coalesce(f_discount_total, 0) as discount_total,
+ cast(coalesce(f_order_total, 0) as double) as order_total,
+ coalesce(regexp_replace(product_name, '\\s+', ' ', 'g'), '-') as product_name,
+ coalesce(product_options, '-') as product_options, cast(coalesce(product_price, 0) as double) as product_price,
+ coalesce(product_weight, 0) as product_weight, coalesce(product_quantity, 0) as product_quantity,
+ cast(coalesce(product_price * product_quantity, 0) as double) as product_price_x_quantity,
+ case when f_transaction_date >= TIMESTAMP '{CUTOVER}' then 'Post' else 'Pre' end as pre_post,
+ count(*) as export_copies, row_number() over (partition by transaction_id order by min(line_seq)) as place_in_order
+from filled where f_transaction_date >= TIMESTAMP '{START}' group by all""".replace("group by all", """group by transaction_id,
+ f_transaction_date, f_customer_last_name, f_customer_state, f_category_code, f_shipping_total, f_discount_total,
+ f_order_total, product_name, product_options, product_price, product_weight, product_quantity"""), FAULTY_CTES))
+def q01_clean_file_order(spark, sf_dir):
+    """Exports without line numbers: filled up to category_code in file order, equal
+    rows merged; the place of a line within its order follows the files."""
+    from pyspark.sql import Window
+    lines = decimals_to_double(_clean_faulty(spark, sf_dir).lines)
+    place = Window.partitionBy("transaction_id").orderBy("export_line")
+    return lines.withColumn("place_in_order", F.row_number().over(place).cast("long")).drop("export_line")
