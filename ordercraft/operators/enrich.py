@@ -2,24 +2,29 @@
 
 J1 joins the lines to the price table on four product columns (price as
 DECIMAL so equality is exact); J2 joins the ship log on the order id. The
-per-order margin total (W2) is a grouped aggregate joined back on the id
-rather than a window: the aggregate combines map-side, and the join lets AQE
-split a skewed (very large) order across tasks, which a window cannot.
+per-order margin total (W2) is a window on the partitioning that the ship-log
+join needs anyway; tables with a very large order take an aggregate joined
+back instead, which AQE can split across tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import ts_ntz
 from ..functions.text import coupon_code, units_label
 from ..schemas import PRICE_KEYS
 from .clean import pre_post
+from .fill import find_hot_keys
 
 # Fixed values (parameter defaults taken from the reference's reports).
 DEFAULT_FREIGHT_SINCE = "2020-01-01"
 
+HOT_ORDER_LINES = 5_000_000  # lines from which an order is too large for one task
+
 
 def prepare_lines(sales: DataFrame, cutover: str = "2020-03-17") -> DataFrame:
     """Complete order lines -> the cleaner's derived columns (line amount, label)."""
@@ -41,14 +46,8 @@ def join_ship_log(lines: DataFrame, ship_log: DataFrame) -> DataFrame:
                  .drop("order_no"))
 
 
-def enrich_lines(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame) -> DataFrame:
-    """Q5 (combine): priced, freighted lines with margins and order income.
-
-    Lazy: the per-order totals aggregate on the partitioning that the ship-log
-    join has made, and join back on it.
-    """
-    y = join_ship_log(join_pricing(lines, pricing), ship_log)
-    y = y.withColumns({
+def _line_columns(priced: DataFrame) -> DataFrame:
+    return priced.withColumns({
         "combined": units_label("product_normalized", "product_quantity"),
         "units_total": F.col("product_quantity") * F.col("units_normalized"),
         "weight_total": F.col("product_quantity") * F.col("product_weight"),
@@ -56,10 +55,37 @@ def enrich_lines(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame) -> D
         "margin_per_product": (F.col("product_price") - F.col("distributor_price"))
                               * F.col("product_quantity"),
     })
-    per_order = (y.groupBy("transaction_id")
-                  .agg(F.coalesce(F.sum("margin_per_product"), F.lit(0))
-                       .alias("margin_per_order")))
-    y = y.join(per_order, "transaction_id", "left")
+
+
+def enrich_lines(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame,
+                 hot_orders: Sequence | None = None) -> DataFrame:
+    """Q5 (combine): priced, freighted lines with margins and order income.
+
+    The total per order (W2) is taken before the ship-log join fans lines out,
+    and multiplied by the order's number of log rows, so both joins run once and
+    the lines are shuffled once by order: total and log join share that
+    partitioning. With very large orders (``hot_orders``; None looks for them by
+    a sampled count) the totals are an aggregate that is joined back, which
+    combines before its shuffle and lets AQE split the order.
+    """
+    if hot_orders is None:
+        hot_orders = find_hot_keys(lines, "transaction_id", HOT_ORDER_LINES)
+    if hot_orders:
+        y = _line_columns(join_ship_log(join_pricing(lines, pricing), ship_log))
+        per_order = (y.groupBy("transaction_id")
+                      .agg(F.coalesce(F.sum("margin_per_product"), F.lit(0))
+                           .alias("margin_per_order")))
+        y = y.join(per_order, "transaction_id", "left")
+    else:
+        y = _line_columns(join_pricing(lines, pricing))
+        total = F.sum("margin_per_product").over(Window.partitionBy("transaction_id"))
+        y = y.withColumn("margin_per_order", F.when(F.col("transaction_id").isNotNull(),
+                                                    F.coalesce(total, F.lit(0))))
+        log = ship_log.select("order_no", "actual_freight_expense", F.count(F.lit(1)).over(
+            Window.partitionBy("order_no")).cast("int").alias("__n"))
+        y = y.join(log, y["transaction_id"] == log["order_no"], "left").drop("order_no")
+        y = y.withColumn("margin_per_order", F.col("margin_per_order")
+                         * F.coalesce("__n", F.lit(1))).drop("__n")
     return y.withColumn("income_order",
                         F.col("margin_per_order") + F.col("shipping_total")
                         + F.col("discount_total") - F.col("actual_freight_expense"))

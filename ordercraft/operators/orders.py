@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import ts_ntz
@@ -152,6 +152,49 @@ def order_total_ship_log(orders: DataFrame, ship_log: DataFrame, y: DataFrame) -
     return out.withColumn("shipping_tiers", tier).drop("__free", "__disc")
 
 
+def order_master(y: DataFrame, since: str = DEFAULT_SINCE, order_col: str = "line_seq",
+                 contents: bool = True) -> DataFrame:
+    """Q11-Q13 in one pass over the enriched lines.
+
+    One aggregate per order group over all history: contents text and sums (of
+    groups dated since ``since``), distinct discounts and freights, shipping
+    flags. An order's groups share what belongs to the order (a window over the
+    aggregated rows, on the same partitioning); old groups then drop out. The
+    freights are those of the enriched lines, so the log is not joined again.
+    ``contents=False`` leaves the text out (its length grows with the order)."""
+    q, keyed = _not_null(DETAIL_KEYS), _not_null(ORDER_KEYS)
+    recent = F.col("transaction_date") >= ts_ntz(since)
+    line_margin = F.col("product_quantity") * (
+        F.coalesce(F.col("product_price"), F.lit(0))
+        - F.coalesce(F.col("distributor_price"), F.lit(0)))
+    has_detail = F.max(q.cast("int")) == 1
+
+    def detail_sum(c: Column) -> Column:
+        return F.when(has_detail, F.coalesce(F.sum(F.when(q, c)), F.lit(0)))
+
+    g = y.filter(F.col("transaction_id").isNotNull()).withColumn(
+        "__text", F.when(recent & keyed, F.col("combined")))
+    text = [_ordered_text("__text", order_col).alias("combined")] if contents else []
+    g = g.groupBy(*ORDER_KEYS).agg(
+        *text, detail_sum(F.col("weight_total")).alias("weight_total"),
+        detail_sum(F.col("product_price_x_quantity")).alias("product_price_x_quantity"),
+        detail_sum(line_margin).alias("total_margin_order"),
+        F.collect_set(F.struct("discount_total")).alias("__d"),
+        F.collect_set(F.struct("actual_freight_expense")).alias("__f"),
+        F.max((F.col("shipping_total") == FREE_CHARGE).cast("int")).alias("__free"),
+        F.max((F.col("shipping_total") == DISCOUNTED_CHARGE).cast("int")).alias("__disc"))
+    order = Window.partitionBy("transaction_id")
+    g = g.withColumns({**{c: F.array_distinct(F.flatten(F.collect_list(c).over(order))) for c in ("__d", "__f")},
+                       **{c: F.max(c).over(order) for c in ("__free", "__disc")}})
+    g = g.filter(recent & keyed)
+    tier = (F.when(F.col("__free") == 1, F.lit(TIER_FREE))
+            .when(F.col("__disc") == 1, F.lit(TIER_DISCOUNTED))
+            .otherwise(F.lit(TIER_NONE)))
+    g = g.withColumn("shipping_tiers", tier).withColumn("__d", F.explode("__d")).withColumn("__f", F.explode("__f"))
+    return g.withColumns({"actual_freight_expense": F.col("__f.actual_freight_expense"),
+                          "discount_total": F.col("__d.discount_total")}).drop("__d", "__f", "__free", "__disc")
+
+
 def net_margin(df: DataFrame, add_back: dict[str, int] | None = None) -> DataFrame:
     """Q14: margin + discount + tier add-back - freight (null without freight)."""
     add_back = add_back or TIER_ADD_BACK
@@ -177,11 +220,11 @@ def order_flags(df: DataFrame) -> DataFrame:
     })
 
 
-def margin_per_order(y: DataFrame, ship_log: DataFrame, since: str = DEFAULT_SINCE,
-                     order_col: str = "line_seq") -> DataFrame:
-    """Q11 -> Q15 in one plan: the 'margin per order' table."""
-    t = order_total(y, since, order_col)
-    return order_flags(net_margin(order_total_ship_log(t, ship_log, y)))
+def margin_per_order(y: DataFrame, ship_log: DataFrame | None = None, since: str = DEFAULT_SINCE,
+                     order_col: str = "line_seq", contents: bool = True) -> DataFrame:
+    """Q11 -> Q15 in one plan: the 'margin per order' table. The enriched lines
+    carry the log's freights, so ``ship_log`` is not read again."""
+    return order_flags(net_margin(order_master(y, since, order_col, contents)))
 
 
 def cover_summary(margins: DataFrame) -> DataFrame:

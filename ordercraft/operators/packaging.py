@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sorted_distinct_text
+from ..session import materialize
 from .stats import group_values
-from .subtotals import distinct_values
+from .subtotals import dense_periods, distinct_values, previous_period
 
 # Blank marker, product-number prefixes, transfer codes, and the
 # retail multiplier for made (IR) units of an assembled product.
@@ -44,6 +45,19 @@ def packaging_used_expr(packaging_col: str = "packaging", retail: bool = False)
     return e.cast("double")
 
 
+def inventory_by_month(inv: DataFrame, packaging_col: str = "packaging",
+                       used_col: str = "used_last_month") -> DataFrame:
+    """Q32 in long form (W5): one row per (packaging, item, month end) on the dense
+    grid, with the count and the use since the month before (null if either month
+    has no count). Any number of months; nothing is collected."""
+    f = inv.filter((F.col(packaging_col) != BLANK) & (F.col("type") == PACKAGING_TYPE))
+    keys = [packaging_col, "item_code"]
+    counts = f.groupBy(*keys, "date").agg(F.sum("inventory_count").alias("inventory_count"))
+    dense = dense_periods(counts.filter(F.col("date").isNotNull()), keys, "date")
+    return dense.withColumn(used_col, F.col("inventory_count")
+                            - previous_period(dense, keys, "date", "inventory_count"))
+
+
 def inventory_summary(inv: DataFrame, months: Sequence | None = None,
                       packaging_col: str = "packaging",
                       used_col: str = "used_last_month") -> DataFrame:
@@ -52,19 +66,23 @@ def inventory_summary(inv: DataFrame, months: Sequence | None = None,
     sorted by that use (nulls last).
 
     ``months`` is the pivot value list in ascending order (its last two are
-    the compared months); passing it avoids a distinct pass over the data.
-    ``None`` pivots on every month end present (as the reference does), taken
-    by one distinct over the filtered dates. With fewer than two months the use
-    is null.
+    the compared months). ``None`` takes every month end present (as the
+    reference does) from the long form, which is written once. With fewer than
+    two months the use is null.
     """
-    f = inv.filter((F.col(packaging_col) != BLANK) & (F.col("type") == PACKAGING_TYPE))
-    months = list(months) if months is not None else distinct_values(f, "date")
-    wide = (f.groupBy(packaging_col, "item_code").pivot("date", months)
-              .agg(F.sum("inventory_count")))
+    keys = [packaging_col, "item_code"]
+    if months is not None:
+        f = inv.filter((F.col(packaging_col) != BLANK) & (F.col("type") == PACKAGING_TYPE))
+        long = f.groupBy(*keys, "date").agg(F.sum("inventory_count").alias("inventory_count"))
+        months = list(months)
+    else:
+        long = materialize(inventory_by_month(inv, packaging_col, used_col), "inventory_by_month")
+        months = distinct_values(long, "date")
+    wide = long.groupBy(*keys).pivot("date", months).agg(F.first("inventory_count", ignorenulls=True))
     names = [str(m) for m in months]
     wide = wide.withColumn(used_col, F.col(f"`{names[-1]}`") - F.col(f"`{names[-2]}`")
                            if len(names) > 1 else F.lit(None).cast("double"))
-    return wide.orderBy(F.col(used_col).asc_nulls_last(), packaging_col, "item_code")
+    return wide.orderBy(F.col(used_col).asc_nulls_last(), *keys)
 
 
 def month_mask(month: int, year: int, a: str = "date_transaction",

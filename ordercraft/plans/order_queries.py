@@ -282,18 +282,16 @@ SHIP_MONEY = TOTAL_MONEY + ["actual_freight_expense"]
     f"select {ORDER_KEYS_SQL}, combined, weight_total, discount_total, {_dbl(SHIP_MONEY)} "
     f"from osl", SHIP_CTES))
 def q12_order_freight(spark, sf_dir):
-    t, y = _y(spark, sf_dir)
-    o = orders.order_total_ship_log(orders.order_total(y, SINCE), t.ship_log, y)
-    return decimals_to_double(o.drop("shipping_tiers"))
+    _, y = _y(spark, sf_dir)
+    return decimals_to_double(orders.order_master(y, SINCE).drop("shipping_tiers"))
 
 
 @register("q13_shipping_tiers", _sql(
     f"select {ORDER_KEYS_SQL}, combined, weight_total, discount_total, shipping_tiers, "
     f"{_dbl(SHIP_MONEY)} from tiers", SHIP_CTES + [TIER_CTE]))
 def q13_shipping_tiers(spark, sf_dir):
-    t, y = _y(spark, sf_dir)
-    return decimals_to_double(orders.order_total_ship_log(orders.order_total(y, SINCE),
-                                                          t.ship_log, y))
+    _, y = _y(spark, sf_dir)
+    return decimals_to_double(orders.order_master(y, SINCE))
 
 
 NET_MONEY = SHIP_MONEY + ["net_margin"]
@@ -303,9 +301,8 @@ NET_MONEY = SHIP_MONEY + ["net_margin"]
     f"select {ORDER_KEYS_SQL}, combined, weight_total, discount_total, shipping_tiers, "
     f"{_dbl(NET_MONEY)} from net", SHIP_CTES + [TIER_CTE, NET_CTE]))
 def q14_net_margin(spark, sf_dir):
-    t, y = _y(spark, sf_dir)
-    return decimals_to_double(orders.net_margin(
-        orders.order_total_ship_log(orders.order_total(y, SINCE), t.ship_log, y)))
+    _, y = _y(spark, sf_dir)
+    return decimals_to_double(orders.net_margin(orders.order_master(y, SINCE)))
 
 
 MARGIN_TABLE_SQL_COLS = (f"{ORDER_KEYS_SQL}, combined, weight_total, discount_total, "

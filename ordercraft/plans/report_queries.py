@@ -3,6 +3,9 @@ period differences (Q29) and packaging usage (Q30-Q33)."""
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import packaging, subtotals
@@ -40,14 +43,26 @@ def q28_subtotals_long(spark, sf_dir):
     return subtotals.subtotals(tables(spark, sf_dir).sales, SUB_VALUE, SUB_KEYS)
 
 
-def _wide_sql(first: str, rest: list[str], value: str, src: str = "long_form") -> str:
-    """One column per value of ``first`` that the data holds."""
-    return (f"select * from (pivot {src} on {first} using max({value}) "
-            f"group by {', '.join(rest)}) w")
+# Fixed values of the test tables: the states, years and month ends that become
+# columns. The Spark side takes its columns from the data, so a missing or new
+# one shows as a difference.
+STATES = [f"NATION_{i}" for i in range(25)]
+YEARS = list(range(1995, 2002))
+MONTH_ENDS = [dt.date(y, m, calendar.monthrange(y, m)[1]).isoformat()
+              for y in YEARS for m in range(1, 13) if (y, m) <= (2001, 11)]
+
+
+def _columns_sql(first: str, wanted: list, value: str, how: str = "max") -> str:
+    return ", ".join(f"""{how}(case when {first} = '{x}' then {value} end) as "{x}" """ for x in wanted)
+
+
+def _wide_sql(first: str, wanted: list, rest: list[str], value: str, src: str = "long_form") -> str:
+    """One column per wanted value of ``first``."""
+    return f"select {', '.join(rest)}, {_columns_sql(first, wanted, value)} from {src} group by {', '.join(rest)}"
 
 
 @register("q28_subtotals_wide", with_views(
-    ["sales"], _wide_sql(SUB_KEYS[0], SUB_KEYS[1:], SUB_VALUE),
+    ["sales"], _wide_sql(SUB_KEYS[0], STATES, SUB_KEYS[1:], SUB_VALUE),
     [("long_form", _stacked_levels_sql("sales", SUB_KEYS, QTY_SUM))]))
 def q28_subtotals_wide(spark, sf_dir):
     return subtotals.subtotals_wide(tables(spark, sf_dir).sales, SUB_VALUE, SUB_KEYS)
@@ -91,7 +106,7 @@ def _ytd_wide(spark, sf_dir):
 
 
 @register("q28_subtotals_ytd_by_year", with_views(
-    ["sales"], _wide_sql("year", YTD_KEYS[1:], SUB_VALUE), [YTD_SRC, YTD_LONG]))
+    ["sales"], _wide_sql("year", YEARS, YTD_KEYS[1:], SUB_VALUE), [YTD_SRC, YTD_LONG]))
 def q28_subtotals_ytd_by_year(spark, sf_dir):
     return _ytd_wide(spark, sf_dir)
 
@@ -99,15 +114,17 @@ def q28_subtotals_ytd_by_year(spark, sf_dir):
 _rest = ", ".join(YTD_KEYS[1:])
 
 
+DENSE_CTE = ("dense", f"""select k.*, y.year, coalesce(l.{SUB_VALUE}, 0) as {SUB_VALUE}
+       from (select distinct {_rest} from long_form) k
+       cross join (select distinct year from long_form) y
+       left join long_form l using ({_rest}, year)""")
+
+
 @register("q29_period_difference", with_views(["sales"], f"""
 select w.*, d.last - d.prev as difference,
  cast(d.last as double) / nullif(cast(d.prev as double), 0) - 1.0 as difference_pct
-from (pivot dense on year using max({SUB_VALUE}) group by {_rest}) w join diff d using ({_rest})""", [
-    YTD_SRC, YTD_LONG,
-    ("dense", f"""select k.*, y.year, coalesce(l.{SUB_VALUE}, 0) as {SUB_VALUE}
-       from (select distinct {_rest} from long_form) k
-       cross join (select distinct year from long_form) y
-       left join long_form l using ({_rest}, year)"""),
+from (select {_rest}, {_columns_sql('year', YEARS, SUB_VALUE)} from dense group by {_rest}) w join diff d using ({_rest})""", [
+    YTD_SRC, YTD_LONG, DENSE_CTE,
     ("diff", f"""select {_rest},
        max(case when year = (select max(year) from dense) then {SUB_VALUE} end) as last,
        max(case when year = (select max(year) from dense
@@ -118,6 +135,17 @@ def q29_period_difference(spark, sf_dir):
     return subtotals.diff_and_percent(wide, [c for c in wide.columns if c not in YTD_KEYS])
 
 
+@register("q29_period_difference_long", with_views(["sales"], f"""
+select {_rest}, year, {SUB_VALUE}, {SUB_VALUE} - lag({SUB_VALUE}) over w as difference,
+ cast({SUB_VALUE} as double) / nullif(cast(lag({SUB_VALUE}) over w as double), 0) - 1.0 as difference_pct
+from dense window w as (partition by {_rest} order by year)""", [YTD_SRC, YTD_LONG, DENSE_CTE]))
+def q29_period_difference_long(spark, sf_dir):
+    """Every year against the one before, for all nested keys, without a pivot."""
+    s = tables(spark, sf_dir).sales.withColumn("year", F.year("transaction_date"))
+    long = subtotals.subtotals(subtotals.period_filter(s, "ytd", "transaction_date", YTD_MONTH), SUB_VALUE, YTD_KEYS)
+    return subtotals.period_differences(long, YTD_KEYS[1:], "year", SUB_VALUE)
+
+
 # ------------------------------------------------------------------ Q30-Q33
 def _used_sql(pack: str, retail: bool) -> str:
     mult = packaging.RETAIL_UNITS_PER_ASSEMBLY if retail else 1
@@ -156,7 +184,8 @@ def _inventory_sql(pack: str) -> str:
     prev = f"(select max(date) from counts where date < {last})"
     return with_views(["inventory"], f"""
 select w.*, d.used_last_month
-from (pivot counts on date using sum(inventory_count) group by {pack}, item_code) w
+from (select {pack}, item_code, {_columns_sql('date', MONTH_ENDS, 'inventory_count', 'sum')}
+      from counts group by {pack}, item_code) w
 join (select {pack}, item_code,
         sum(inventory_count) filter (where date = {last})
         - sum(inventory_count) filter (where date = {prev}) as used_last_month
@@ -172,6 +201,23 @@ for _pack in ("packaging", "packaging_retail"):
              _inventory_sql(_pack))(_inv)
 
 
+def _inventory_long_sql(pack: str) -> str:
+    return with_views(["inventory"], f"""
+select {pack}, item_code, date, inventory_count, inventory_count - lag(inventory_count)
+  over (partition by {pack}, item_code order by date) as used_last_month
+from (select k.*, m.date, c.inventory_count from (select distinct {pack}, item_code from counts) k
+      cross join (select distinct date from counts) m left join counts c using ({pack}, item_code, date)) g""", [
+        ("counts", f"select {pack}, item_code, date, sum(inventory_count) as inventory_count from inventory "
+                   f"where {pack} <> '-' and type = 'packaging' group by all")])
+
+
+for _pack in ("packaging", "packaging_retail"):
+    def _inv_long(spark, sf_dir, _p=_pack):
+        return packaging.inventory_by_month(tables(spark, sf_dir).inventory, _p)
+    register(f"q32_inventory_by_month_{'bulk' if _pack == 'packaging' else 'retail'}",
+             _inventory_long_sql(_pack))(_inv_long)
+
+
 def _production_sql(pack: str, retail: bool) -> str:
     used = "packaging_used_retail" if retail else "packaging_used"
     return with_views(["production"], f"""
@@ -212,7 +258,7 @@ YOY_SRC = ("yoy_src", "select cast(year(transaction_date) as integer) as year, *
 
 
 @register("q28_subtotals_yoy_by_year", with_views(
-    ["sales"], _wide_sql("year", YTD_KEYS[1:], SUB_VALUE),
+    ["sales"], _wide_sql("year", YEARS, YTD_KEYS[1:], SUB_VALUE),
     [YOY_SRC, ("long_form", _stacked_levels_sql("yoy_src", YTD_KEYS, QTY_SUM))]))
 def q28_subtotals_yoy_by_year(spark, sf_dir):
     s = tables(spark, sf_dir).sales.withColumn("year", F.year("transaction_date"))
