@@ -7,6 +7,10 @@
     python -m ordercraft ship-log-update --exports 'exports/*.csv' --ship-log log/ \
         [--since 2018-01-01]
     python -m ordercraft repeat-customers --exports 'exports/*.csv' --out out/ [--min-year 2012]
+    python -m ordercraft price-refresh --exports 'exports/*.csv' --prices prices/ [--pricing pricing.parquet]
+    python -m ordercraft ship-log-printout --exports 'exports/*.csv' --pricing pricing.parquet \
+        --ship-log ship_log.csv --out out/
+    python -m ordercraft carrier-zones --bill 'bills/*.csv' --out out/ [--margins margins.parquet]
     python -m ordercraft packaging --inventory inv.parquet --production prod.parquet \
         --month 9 --year 2019 --months 2019-07-31,2019-08-31,2019-09-30 --out out/
 
@@ -23,9 +27,9 @@ import json
 
 from .operators import clean
 from .plans import jobs
-from .schemas import ORDER_LINES_CSV
+from .schemas import CARRIER_BILL_CSV, ORDER_LINES_CSV
 from .session import get_session
-from .sources.csv_exports import PLACE, REASON, scan_exports
+from .sources.csv_exports import PLACE, REASON, SOURCE, scan_exports
 from .sources.tables import read_pricing, read_ship_log, read_table
 
 
@@ -48,7 +52,8 @@ def _clean_exports(spark, pattern: str, start: str, cutover: str, rejects_dir: s
 def main(argv: list[str] | None = None) -> dict:
     ap = argparse.ArgumentParser(prog="ordercraft")
     sub = ap.add_subparsers(dest="job", required=True)
-    for name in ("margin-report", "week-review", "ship-log-update", "repeat-customers"):
+    for name in ("margin-report", "week-review", "ship-log-update", "repeat-customers", "price-refresh",
+                 "ship-log-printout"):
         p = sub.add_parser(name)
         p.add_argument("--exports", required=True, help="glob of order-export CSV files")
         p.add_argument("--start", default=clean.DEFAULT_START, help="keep orders from this date")
@@ -70,6 +75,16 @@ def main(argv: list[str] | None = None) -> dict:
     rc.add_argument("--min-year", type=int, default=None)
     su = sub.choices["ship-log-update"]
     su.add_argument("--ship-log", required=True, help="ship-log table to append to (Parquet)")
+    pr = sub.choices["price-refresh"]
+    pr.add_argument("--prices", required=True, help="folder of the published price tables")
+    pr.add_argument("--pricing", default=None, help="price table to start from (default: the one published last)")
+    po = sub.choices["ship-log-printout"]
+    for arg in ("--pricing", "--ship-log", "--out"):
+        po.add_argument(arg, required=True)
+    cz = sub.add_parser("carrier-zones")
+    cz.add_argument("--bill", required=True, help="glob of carrier-bill CSV files")
+    cz.add_argument("--margins", default=None, help="margin-per-order table (Parquet)")
+    cz.add_argument("--out", required=True)
     pk = sub.add_parser("packaging")
     pk.add_argument("--inventory", required=True)
     pk.add_argument("--production", required=True)
@@ -86,7 +101,13 @@ def main(argv: list[str] | None = None) -> dict:
         return jobs.packaging_month_end(read_table(spark, args.inventory),
                                         read_table(spark, args.production), months, args.month,
                                         args.year, args.out)
-    base = args.ship_log.rstrip("/") + "_" if args.job == "ship-log-update" else args.out.rstrip("/") + "/"
+    if args.job == "carrier-zones":
+        found = scan_exports(spark, args.bill, CARRIER_BILL_CSV)
+        found.rejects.write.mode("overwrite").option("header", True).csv(f"{args.out.rstrip('/')}/rejects/rows")
+        return jobs.carrier_zones(found.lines.drop(SOURCE, PLACE), args.out,
+                                  spark.read.parquet(args.margins) if args.margins else None)
+    base = {"ship-log-update": lambda: args.ship_log.rstrip("/") + "_",
+            "price-refresh": lambda: args.prices.rstrip("/") + "/"}.get(args.job, lambda: args.out.rstrip("/") + "/")()
     lines = _clean_exports(spark, args.exports, args.start, args.cutover,
                            args.rejects or f"{base}rejects")
     if args.job == "margin-report":
@@ -99,9 +120,12 @@ def main(argv: list[str] | None = None) -> dict:
                                             cutover=args.cutover)
     if args.job == "week-review":
         return jobs.week_review_report(lines, args.review_start or args.start, args.end, args.out)
-    log = spark.read.parquet(args.ship_log)
-    new = jobs.ship_log_update(lines, log.withColumnRenamed("transaction_id", "order_no"),
-                               args.ship_log)
+    if args.job == "price-refresh":
+        return jobs.price_table_refresh(lines, args.prices, read_pricing(spark, args.pricing) if args.pricing else None)
+    if args.job == "ship-log-printout":
+        return {"to_add": jobs.ship_log_printout(lines, read_pricing(spark, args.pricing),
+                                                 read_ship_log(spark, args.ship_log), args.out, args.start)}
+    new = jobs.ship_log_update(lines, None, args.ship_log)
     return {"appended_to": args.ship_log, "rows": new.count()}
 
 

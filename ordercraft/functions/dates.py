@@ -64,6 +64,21 @@ def fiscal_year_sep(c) -> Column:
     return F.year(F.add_months(F.to_date(_as_col(c)), 3))
 
 
+def fiscal_quarter_sep(c) -> Column:
+    """quarter (1-4) of the fiscal year ending in September; October starts the first."""
+    return F.quarter(F.add_months(F.to_date(_as_col(c)), 3))
+
+
+def fiscal_quarter_end(c) -> Column:
+    """last day of the fiscal quarter of a date."""
+    return F.last_day(F.add_months(F.trunc(_as_col(c), "quarter"), 2))
+
+
+def fiscal_year_end(c) -> Column:
+    """last day (30 September) of the fiscal year of a date."""
+    return F.make_date(fiscal_year_sep(c), F.lit(9), F.lit(30))
+
+
 def month_end_months_back(c, months: int = 3) -> Column:
     """the month end ``months`` months before the month of ``c``."""
     return F.last_day(F.add_months(F.to_date(_as_col(c)), -months))

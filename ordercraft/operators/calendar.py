@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import day_text, iso_week, ts_ntz, week_ending_sunday
+from ..functions.dates import (day_text, fiscal_quarter_end, fiscal_quarter_sep, fiscal_year_end, fiscal_year_sep,
+                               iso_week, month_end_months_back, ts_ntz, week_ending_sunday)
+from ..session import bounded_side, materialize
 from . import stats
 
 # The holiday windows used with the test tables (label, first
@@ -85,17 +87,21 @@ def weekly_buckets(lines: DataFrame, amount_col: str = "order_total") -> DataFra
 
 
 def week_review(lines: DataFrame, start: str, end: str, *, end_inclusive_day: bool = False,
-                order_grain: bool = False) -> dict[str, DataFrame]:
+                order_grain: bool = False, written: bool = False) -> dict[str, DataFrame]:
     """Q24: daily and weekly buckets with descriptive statistics of each.
 
     Parity sums ``order_total`` over lines (the value repeats on each line of
     an order); ``order_grain=True`` first keeps one row per order and day.
+    ``written`` writes the two bucket tables once, so that a job which writes all
+    four results reads the lines once per bucket table.
     """
     x = date_range(lines, start, end, end_inclusive_day=end_inclusive_day)
     if order_grain:
         x = x.dropDuplicates(["transaction_id", "transaction_date", "order_total"])
     daily = daily_buckets(x)
     weekly = weekly_buckets(x)
+    if written:
+        daily, weekly = materialize(daily, "daily_buckets"), materialize(weekly, "weekly_buckets")
     cols = ["num_of_transactions", "revenue_by_day"]
     return {
         "daily_summary": stats.describe(daily, cols, digits=None),
@@ -140,27 +146,68 @@ def windows_table(spark: SparkSession,
                          F.to_date("end_day").alias("end_day")))
 
 
+WINDOW_GRAIN_DAYS = 32
+
+
 def in_windows(lines: DataFrame, windows: DataFrame,
-               date_col: str = "transaction_date") -> DataFrame:
-    """Label lines by the named window (``start <= d <= end``, end at
-    midnight) they fall in.
-
-    The windows are expanded to their days and broadcast (their size is the
-    number of window days, independent of the data), so the lines meet them
-    in a hash join instead of a nested-loop range join. A pre-filter on the
-    overall span reaches the scan.
+               date_col: str = "transaction_date", grain_days: int = WINDOW_GRAIN_DAYS) -> DataFrame:
+    """Label lines by the named windows (``start <= d <= end``, end at
+    midnight) they fall in; a line in several windows comes once for each.
+
+    Windows are cut into bins of ``grain_days``, so lines meet them in an
+    equality join on the bin instead of a range join. The binned windows are
+    written and measured: broadcast while small, a shuffle join (which AQE can
+    split) otherwise. A filter on the overall span reaches the scan.
     """
-    days = (windows.select("window_label", "end_day",
-                           F.explode(F.sequence("start_day", "end_day")).alias("__day")))
+    def bin_of(c):
+        return F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / F.lit(grain_days))
+
+    binned = windows.filter(F.col("start_day") <= F.col("end_day")).select(
+        "window_label", "start_day", "end_day",
+        F.explode(F.sequence(bin_of(F.col("start_day")), bin_of(F.col("end_day")))).alias("__bin"))
     span = windows.agg(F.min("start_day"), F.max("end_day")).first()
     x = lines
     if span is not None and span[0] is not None:
         x = x.filter((F.col(date_col) >= ts_ntz(span[0]))
                      & (F.col(date_col) <= ts_ntz(span[1])))
-    x = x.withColumn("__day", F.to_date(date_col))
-    j = x.join(F.broadcast(days), "__day")
-    j = j.filter(F.col(date_col) <= F.col("end_day").cast("timestamp_ntz"))
-    return j.drop("__day", "end_day")
+    x = x.withColumn("__bin", bin_of(F.to_date(date_col)))
+    j = x.join(bounded_side(binned, "windows"), "__bin")
+    j = j.filter((F.col(date_col) >= F.col("start_day").cast("timestamp_ntz"))
+                 & (F.col(date_col) <= F.col("end_day").cast("timestamp_ntz")))
+    return j.drop("__bin", "start_day", "end_day")
+
+
+FISCAL_GRAINS = {"quarter": 3, "year": 12}
+
+
+def as_of(df: DataFrame, date_col: str = "transaction_date") -> str | None:
+    """the data's own as-of day (its latest date) as ``YYYY-MM-DD``."""
+    return df.agg(F.date_format(F.max(date_col), "yyyy-MM-dd")).first()[0]
+
+
+def fiscal_buckets(lines: DataFrame, grain: str, amount_col: str = "order_total",
+                   id_col: str = "transaction_id", date_col: str = "transaction_date") -> DataFrame:
+    """distinct orders and amount per fiscal quarter or year (years end in
+    September), labelled by the period's last day, empty periods included, with
+    the month end three months before it and the data's as-of day."""
+    months = FISCAL_GRAINS[grain]
+    end = fiscal_quarter_end(date_col) if grain == "quarter" else fiscal_year_end(date_col)
+    rows = lines.filter(F.col(date_col).isNotNull())
+    agg = rows.groupBy(end.alias("period_end")).agg(
+        F.count_distinct(id_col).alias("num_of_transactions"),
+        F.coalesce(F.sum(amount_col), F.lit(0)).alias("revenue"), F.max(date_col).alias("__last"))
+    bounds = agg.agg(F.min("period_end").alias("lo"), F.max("period_end").alias("hi"),
+                     F.to_date(F.max("__last")).alias("as_of"))
+    axis = bounds.select(F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"),
+                                              F.expr(f"INTERVAL {months} MONTH"))).alias("__m"), "as_of")
+    axis = axis.select(F.last_day("__m").alias("period_end"), "as_of")
+    zero = F.lit(0).cast(agg.schema["revenue"].dataType)
+    return axis.join(agg.drop("__last"), "period_end", "left").select(
+        F.lit(grain).alias("grain"), "period_end", fiscal_year_sep("period_end").alias("fiscal_year"),
+        fiscal_quarter_sep("period_end").alias("fiscal_quarter"),
+        month_end_months_back("period_end").alias("three_months_back"), "as_of",
+        F.coalesce("num_of_transactions", F.lit(0).cast("long")).alias("num_of_transactions"),
+        F.coalesce("revenue", zero).alias("revenue"))
 
 
 def holiday_comparison(lines: DataFrame, windows: DataFrame) -> DataFrame:
@@ -182,4 +229,4 @@ def product_catalogue(lines: DataFrame, since: str,
 
 __all__ = ["orders_per_day", "date_range", "bucket_orders", "daily_buckets", "weekly_buckets",
            "week_review", "weekly_by_year", "windows_table", "in_windows",
-           "holiday_comparison", "product_catalogue"]
+           "holiday_comparison", "product_catalogue", "as_of", "fiscal_buckets"]

@@ -14,13 +14,13 @@ from ..functions.text import sorted_distinct_text
 STAT_NAMES = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def describe(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max per column.
 
     One row in -> std null; no rows -> count 0 and the rest null. Quartiles
     are exact (``percentile``), not the approximate ones of ``summary()``;
     this is meant for bucket tables (one row per day or week), not raw lines.
-    Values are rounded to ``digits`` decimals, or left as they are with None.
+    Values are left as they are, or rounded to ``digits`` decimals.
     """
     aggs = []
     for c in cols:

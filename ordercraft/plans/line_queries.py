@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calendar, clean, customers, enrich, shipping, stats
+from ..operators import calendar, clean, customers, enrich, positions, shipping, stats
 from ..operators.fill import forward_fill
 from .catalog import (CUTOVER, SINCE, START, decimals_to_double, register, tables)
 from .order_queries import MARGIN_CTES, Y_CTES, Y_VIEWS, _margin_table
@@ -652,3 +652,65 @@ def q01_clean_file_order(spark, sf_dir):
     lines = decimals_to_double(_clean_faulty(spark, sf_dir).lines)
     place = Window.partitionBy("transaction_id").orderBy("export_line")
     return lines.withColumn("place_in_order", F.row_number().over(place).cast("long")).drop("export_line")
+
+
+# ------------------------------------------------------------------ P19, F6, J10
+POSITIONS = (1, 2, 777, 5000, -3, -1, 10**12)
+
+
+@register("p19_rows_at_positions", with_views(["sales"], f"""
+select transaction_id, line_seq, product_name, position from (
+ select transaction_id, line_seq, product_name, row_number() over (order by transaction_id, line_seq) as position,
+  count(*) over () as n from sales) s
+where {' or '.join(f"position = {p if p > 0 else f'n + 1 - {-p}'}" for p in POSITIONS)}"""))
+def p19_rows_at_positions(spark, sf_dir):
+    """Rows at positions of the whole table in order, from the start and the end."""
+    s = tables(spark, sf_dir).sales.select("transaction_id", "line_seq", "product_name")
+    return positions.rows_at(s, POSITIONS, ["transaction_id", "line_seq"])
+
+
+def _fiscal_sql(grain: str, months: int) -> str:
+    end = ("last_day(date_trunc('quarter', transaction_date) + interval 2 month)" if grain == "quarter" else
+           "make_date(year(transaction_date + interval 3 month), 9, 30)")
+    return f"""select '{grain}' as grain, m.period_end,
+ cast(year(m.period_end + interval 3 month) as integer) as fiscal_year,
+ cast(quarter(m.period_end + interval 3 month) as integer) as fiscal_quarter,
+ last_day(m.period_end - interval 3 month) as three_months_back,
+ (select cast(max(transaction_date) as date) from sales) as as_of,
+ coalesce(b.n, 0) as num_of_transactions, cast(coalesce(b.revenue, 0) as double) as revenue
+from (select last_day(unnest(generate_series(lo, hi, interval {months} month))) as period_end
+      from (select date_trunc('month', min({end})) as lo, date_trunc('month', max({end})) as hi from sales) x) m
+left join (select cast({end} as date) as period_end, count(distinct transaction_id) as n, sum(order_total) as revenue
+      from sales where transaction_date is not null group by 1) b on b.period_end = m.period_end"""
+
+
+@register("f06_fiscal_periods", with_views(["sales"], "\nunion all\n".join(
+    _fiscal_sql(g, m) for g, m in calendar.FISCAL_GRAINS.items())))
+def f06_fiscal_periods(spark, sf_dir):
+    """Fiscal quarters and years (ending in September) with the data's as-of day."""
+    s = tables(spark, sf_dir).sales
+    quarters, years = (calendar.fiscal_buckets(s, g) for g in calendar.FISCAL_GRAINS)
+    return decimals_to_double(quarters.unionByName(years))
+
+
+@register("j10_supplier_windows", with_views(["sales"], """
+select w.window_label, count(*) as n_lines, count(distinct s.transaction_id) as n_orders
+from sales s join (select 's' || s_suppkey as window_label,
+   DATE '1995-01-01' + cast(s_suppkey * 37 % 2400 as integer) as start_day,
+   DATE '1995-01-01' + cast(s_suppkey * 37 % 2400 + (case when s_suppkey % 10 = 0 then 3650 else s_suppkey % 40 end) as integer) as end_day
+  from supplier) w
+ on s.transaction_date >= cast(w.start_day as timestamp) and s.transaction_date <= cast(w.end_day as timestamp)
+group by 1"""))
+def j10_supplier_windows(spark, sf_dir):
+    """Lines per date window, with one window per supplier: overlapping ones, of a
+    day to ten years, as many as the table has rows."""
+    t = tables(spark, sf_dir)
+    k = F.col("s_suppkey")
+    day = F.lit("1995-01-01").cast("date")
+    length = F.when(k % 10 == 0, 3650).otherwise(k % 40)
+    w = t.supplier.select(F.concat(F.lit("s"), k.cast("string")).alias("window_label"),
+                          F.date_add(day, (k * 37 % 2400).cast("int")).alias("start_day"),
+                          F.date_add(day, (k * 37 % 2400 + length).cast("int")).alias("end_day"))
+    lines = t.sales.select("transaction_id", "transaction_date")
+    return calendar.in_windows(lines, w).groupBy("window_label").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("transaction_id").alias("n_orders"))

@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes, splits
@@ -89,8 +89,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def _total_bytes(df: DataFrame) -> int:
-    """Bytes of all rows: strings and binaries by their length, nested values by
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: strings and binaries by their length, nested values by
     the length of their JSON text, other columns by a fixed width."""
     width = F.lit(8)  # row header
     for f in df.schema.fields:
@@ -101,7 +101,11 @@ def _total_bytes(df: DataFrame) -> int:
             width += F.lit(32) + F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) * 4
         else:
             width += F.lit(16 if name == "DecimalType" else 8)
-    return int(df.agg(F.sum(width.cast("long"))).first()[0] or 0)
+    return width
+
+
+def _total_bytes(df: DataFrame) -> int:
+    return int(df.agg(F.sum(row_bytes(df).cast("long"))).first()[0] or 0)
 
 
 def bounded_side(df: DataFrame, name: str, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:

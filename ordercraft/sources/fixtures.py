@@ -78,7 +78,7 @@ class Tables:
         with _LOCK:  # one writer per view even if analyses are planned from several threads
             if key not in _VIEWS:
                 tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
-                path = f"{checkpoint_root(self.spark).rstrip('/')}/ordercraft-views/{tag}/{name}"
+                path = f"{checkpoint_root(self.spark).rstrip('/')}/ordercraft-views/{app}/{tag}/{name}"
                 build().write.mode("overwrite").parquet(path)
                 _VIEWS[key] = path
             return self._read(_VIEWS[key])

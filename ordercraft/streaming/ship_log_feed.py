@@ -1,12 +1,10 @@
 """Incremental ship-log update (J9 + S13) on Structured Streaming.
 
-New order-line files land in a folder; each micro-batch keeps the lines whose
-order is not yet in the ship log (``left_anti``), drops repeated lines, and
-appends them to the log table. Re-running a batch after a failure is safe:
-orders appended by the failed attempt are already in the log and the anti
-join skips them, so the sink is effectively idempotent per order. The same
-join drops lines of an order that arrive in a later batch than its first
-lines: they are not written anywhere.
+New order-line files land in a folder; each micro-batch keeps the lines of
+orders that were not typed into the log by hand and that the log does not
+hold yet, line by line, and appends them. Re-running a batch after a failure
+adds only the lines that the failed attempt has not written, and lines of an
+order that arrive in a later batch than its first ones are added then.
 """
 
 from __future__ import annotations
@@ -20,25 +18,29 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.shipping import LOG_UPDATE_COLUMNS
+from ..sources.ship_log import key_of, read_log
 
-ID = "transaction_id"
+ID, PRODUCT = "transaction_id", "product_name"
 
 
-def _log_ids(spark: SparkSession, log_path: str) -> DataFrame:
+def _log(spark: SparkSession, log_path: str) -> DataFrame:
     try:
-        return spark.read.parquet(log_path).select(ID).filter(F.col(ID).isNotNull())
+        log = read_log(spark, log_path)
+        return log.withColumnRenamed(key_of(log), ID)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":  # anything but the first batch's missing log
             raise
         return spark.createDataFrame([], T.StructType([T.StructField(ID, T.LongType())]))
 
 
-def new_log_rows(batch: DataFrame, log_ids: DataFrame,
+def new_log_rows(batch: DataFrame, log: DataFrame,
                  columns: Sequence[str] = LOG_UPDATE_COLUMNS) -> DataFrame:
-    """Lines of orders missing from the log, in log columns, without repeats."""
-    return (batch.filter(F.col(ID).isNotNull())
-                 .join(log_ids.distinct(), ID, "left_anti")
-                 .select(*columns).dropDuplicates())
+    """Lines missing from the log, in log columns, without repeats: an order typed
+    in by hand (a log row without a product) is complete, the others grow by line."""
+    rows = batch.filter(F.col(ID).isNotNull()).select(*columns).dropDuplicates()
+    fed = F.col(PRODUCT).isNotNull() if PRODUCT in log.columns else F.lit(False)
+    rows = rows.join(log.filter(F.col(ID).isNotNull() & ~fed).select(ID).distinct(), ID, "left_anti").select(*columns)
+    return rows.subtract(log.filter(fed).select(*columns)) if PRODUCT in log.columns else rows
 
 
 def start_ship_log_feed(spark: SparkSession, lines_dir: str, schema: T.StructType,
@@ -55,7 +57,7 @@ def start_ship_log_feed(spark: SparkSession, lines_dir: str, schema: T.StructTyp
               .parquet(lines_dir))
 
     def append_batch(batch: DataFrame, _epoch: int) -> None:
-        new = new_log_rows(batch, _log_ids(batch.sparkSession, log_path), columns)
+        new = new_log_rows(batch, _log(batch.sparkSession, log_path), columns)
         new.write.mode("append").parquet(log_path)
 
     writer = (stream.writeStream.foreachBatch(append_batch)
