@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root
+from ..session import bounded_side, checkpoint_root
 
 TMP = "__oc_"  # prefix of internal columns, so that users' names never clash
 CHUNK_BYTES = 8 << 20  # text bytes that a Python worker handles at once
@@ -107,7 +107,7 @@ def annotate(df: DataFrame, text_col: str, make: Callable, fields: str, out: str
     from the whole texts. ``make()`` is called once per task and returns a
     function from a string array to one array per field. A column that is
     already called ``out`` is replaced."""
-    names = [c for c in (df.columns if keep is None else keep) if c != out]
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     cols = [F.col(f"`{c}`") for c in names]
     at, n = names.index(text_col) if text_col in names else len(names), len(names)
     if at == n:
@@ -141,12 +141,18 @@ SPARE = 4  # candidates: so many times the bound, by expectation
 MAX_BROADCAST = 10_000  # languages whose bounds are broadcast
 
 
+def text_hash(text: Column) -> Column:
+    """The hash by which texts are told apart and drawn."""
+    return F.xxhash64(F.lit(7), text)
+
+
 def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
 def language_sample(rows: DataFrame, name: str, sample_bytes: int, run: int, cut: Callable,
-                    sample_rows: int | None = None, total_bytes: int | None = None) -> DataFrame:
+                    sample_rows: int | None = None, total_bytes: int | None = None,
+                    keys: DataFrame | None = None) -> DataFrame:
     """(lang, piece): a training sample of ``rows`` (lang, text; no nulls), filled for
     each language by itself to ``sample_bytes`` (and ``sample_rows`` texts at most).
 
@@ -160,9 +166,11 @@ def language_sample(rows: DataFrame, name: str, sample_bytes: int, run: int, cut
 
     The running sums go over candidates by hash, SPARE times the bound, so that
     they are bounded too; these hold less than the bound with less than
-    exp(-72), and are then taken whole."""
-    h = F.xxhash64(F.lit(7), "text")
-    texts = rows.select("lang", h.alias("h"), F.octet_length("text").cast("long").alias("b")).where("b > 0")
+    exp(-72), and are then taken whole. ``keys`` (lang, h, b: hash and bytes): the
+    texts to choose from, if not all of ``rows``; only those chosen are fetched."""
+    h = text_hash(F.col("text"))
+    texts = rows.select("lang", h.alias("h"), F.octet_length("text").cast("long").alias("b")) if keys is None else keys
+    texts = texts.where("b > 0")
     texts = materialize(texts.groupBy("lang", "h").agg(F.max("b").alias("b")), f"{name}-texts")
     if total_bytes is not None:
         sample_bytes = max(min(sample_bytes, total_bytes // max(texts.select("lang").distinct().count(), 1)), 1)
@@ -189,7 +197,13 @@ def language_sample(rows: DataFrame, name: str, sample_bytes: int, run: int, cut
     bounds = sizes.join(last, F.col("l") == F.col("m"), "left") \
                   .select("l", "cap", F.coalesce("last", F.lit((1 << 63) - 1)).alias("last"))
     bounds = small(materialize(bounds, f"{name}-bounds"))
-    picked = rows.withColumn("h", h).join(bounds, F.col("lang") == F.col("l")).where("h <= last")
+    if keys is None:
+        picked = rows.withColumn("h", h).join(bounds, F.col("lang") == F.col("l")).where("h <= last")
+    else:  # bounded by the sample
+        chosen = texts.join(bounds, F.col("lang") == F.col("l")).where("h <= last") \
+                      .select(F.col("l"), F.col("h").alias("chosen"), "cap")
+        picked = rows.withColumn("h", h).join(bounded_side(chosen, f"{name}-chosen"),
+                                              (F.col("lang") == F.col("l")) & (F.col("h") == F.col("chosen")))
 
     def pieces(batches):
         seen = set()

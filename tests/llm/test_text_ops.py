@@ -331,23 +331,85 @@ def test_trie_scores(docs, rows, spark):
     assert {r.n_known for r in ef_trie_lm.score(train.limit(3), F.lit(False)).collect()} == {0}
 
 
+def brute_kneser_ney(sample, texts):
+    """log10 probability of each text: interpolated modified Kneser-Ney trigrams by plain counting."""
+    def stream(t):
+        w = ["<s>", "<s>", *SPACED.findall(t.translate(LOW)), "</s>"]
+        return [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+
+    tri = Counter(x for t in sample for x in stream(t))
+    bi = Counter(x[1:] for x in tri)  # continuations
+    uni = Counter(x[1] for x in bi)
+    orders = [tri, bi, Counter({(w,): c for w, c in uni.items()})]
+    cuts, total, mass = [], [], []
+    for counts in orders:
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        if n[0] and n[1]:
+            y = n[0] / (n[0] + 2 * n[1])
+            raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
+            d = [min(max(v, 0.05), k - 0.05) for v, k in zip(raw, (1, 2, 3))]
+        else:
+            d = [0.5, 0.75, 0.9]
+        cuts.append(d)
+        total.append(defaultdict(float))
+        mass.append(defaultdict(float))
+        for x, c in counts.items():
+            total[-1][x[:-1]] += c
+            mass[-1][x[:-1]] += d[min(c, 3) - 1]
+
+    def p(gram, k=0):
+        if k == 3:
+            return 1 / (len(uni) + 1)
+        context, c = gram[:-1], orders[k].get(gram, 0)
+        if context not in total[k]:
+            return p(gram[1:], k + 1)
+        share = (c - cuts[k][min(c, 3) - 1]) / total[k][context] if c else 0
+        return share + mass[k][context] / total[k][context] * (p(gram[1:], k + 1) if k < 2 else 1 / (len(uni) + 1))
+
+    return [sum(math.log10(p(x)) for x in stream(t)) for t in texts]
+
+
+def test_kneser_ney_against_plain_counts(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    sample = [prose(rng, int(n), 30) for n in rng.integers(0, 60, 80)] + ["a b c a b d", "B C a b c", "c c a", "c c a"]
+    texts = [prose(rng, int(n), 35) for n in rng.integers(0, 50, 40)] + ["", "never seen words", "a", "a b c a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trusted = spark.createDataFrame([(t,) for t in sample], "text string")
+    got = {r.doc_id: r for r in kneser_ney.perplexities(docs, trusted).collect()}
+    want = brute_kneser_ney(sorted({t for t in sample if t}), texts)
+    for i, (t, x) in enumerate(zip(texts, want)):
+        assert abs(got[i].kn.log10_prob - x) < 1e-4 * max(1, abs(x)), t
+        assert got[i].kn.n_tokens == len(t.split()) + 1
+
+
 def test_kneser_ney(spark, docs):
     sample = spark.createDataFrame([("a b c a b d",), ("b c a b c",), ("c c a",)], "text string")
-    model = kneser_ney.train(sample)
-    words_seen = len(model["a1"][0])
-    m = {k: kneser_ney.Shards(*x) if isinstance(x, tuple) else x for k, x in model.items()}
-    m["words"] = words_seen
-    vocab = model["a1"][0]
+    m = kneser_ney.unpack_model(kneser_ney.train(sample))
+    vocab = np.concatenate([k for k, _ in m["a1"].parts])
+    assert len(vocab) == m["words"] == 5
     for u, v in ((1, 1), (int(vocab[0]), int(vocab[1])), (77, 78)):
         u, v = (np.full(len(vocab) + 1, x, np.uint64) for x in (u, v))
         p = 10 ** kneser_ney.log_probabilities(m, u, v, np.append(vocab, np.uint64(99)))
-        assert abs(p.sum() - 1) < 1e-9
+        assert abs(p.sum() - 1) < 1e-6
     got = {r.doc_id: r for r in kneser_ney.classify(docs, docs.where("doc_id >= 10").select("text")).collect()}
     assert got[0].perplexity is None and not got[0].good and got[90].good
     assert got[90].perplexity < got[3].perplexity
     assert kneser_ney.classify(docs.limit(0), docs.select("text").limit(0)).count() == 0
 
 
+def test_kneser_ney_ids_clashes_and_repeats(spark, docs):
+    """Trusted rows by id give the model of these rows; repeated rows, long texts and
+    columns with the results' names in other letters do no harm."""
+    ids = docs.where("doc_id >= 10").select("doc_id")
+    a = kneser_ney.classify(docs, docs, ids=ids)
+    b = kneser_ney.classify(docs, docs.join(ids.distinct(), "doc_id"))
+    cols = ["doc_id", "n_tokens", "log10_prob", "good"]
+    assert a.count() == docs.count() and a.select(cols).exceptAll(b.select(cols)).count() == 0
+    odd = docs.select("doc_id", "text", F.lit("mine").alias("Perplexity"), F.lit(1).alias("GOOD"))
+    out = kneser_ney.classify(odd, docs)
+    assert out.count() == docs.count() and sorted(c.lower() for c in out.columns).count("good") == 1
+
+
 def test_kneser_ney_learns_a_rare_language(spark):
     """A language with one of a hundred trusted texts is learned from all it has."""
     rng = np.random.default_rng(13)
@@ -374,8 +436,9 @@ def test_kneser_ney_learns_a_rare_language(spark):
 
 def test_kneser_ney_packed_tables():
     rng = np.random.default_rng(15)
-    keys = np.append(rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64))
-    got, value = kneser_ney.unpacked(*kneser_ney.packed(keys, np.arange(len(keys))))
+    keys = rng.integers(0, 1 << 60, 5000, dtype=np.uint64) | np.uint64(11 << 60)
+    keys = np.append(keys, np.array([11 << 60, (12 << 60) - 1], np.uint64))
+    got, value = kneser_ney.unpacked(11, *kneser_ney.packed(keys, np.arange(len(keys))))
     order = np.argsort(keys)
     assert (got == keys[order]).all() and (value == order).all()
 
