@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,13 @@ PIECE_BYTES = 4 << 20  # of a long text, split at a time
 LONG = 64  # bytes from which a piece is cut by array operations
 WORD_BYTES, CACHE_WORDS = 64, 400_000  # longest word and number of words that a task remembers
 
-# The vocabulary's end mark and, for ASCII, its splitting rule.
+# The vocabulary's end mark and the forms that its splitting rule keeps whole.
 END_MARK = "</w>"
-ASCII_PIECES = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+SHORT_FORMS = "'s|'t|'re|'ve|'m|'ll|'d"
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
-ODD = re.compile(rb"[\x1c-\x1f\x80-\xff]")  # blank or not by Unicode's rules: left to the library's splitter
+# Latin letters before U+0250 have no other normal form; for the separators and all
+# other scripts the library's normaliser and splitter decide
+LATIN = re.compile("[^\x1c-\x1f\u0250-\U0010ffff]*")
 
 
 def read_vocabulary(path: str | None = None) -> str:
@@ -59,6 +62,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def latin_pieces() -> str:
+    """The splitting rule for characters before U+0250: short forms, runs of letters,
+    single digits, runs of anything else but white space."""
+    kind = {c: unicodedata.category(chr(c))[0] for c in range(0x250)}
+    letters, digits = ("".join(chr(c) for c in kind if kind[c] == k) for k in "LN")
+    return f"{SHORT_FORMS}|[{letters}]+|[{digits}]|[^\\s{letters}{digits}]+"
+
+
 class ForcedBoundaryEncoder:
     """Encodes the bytes of whole texts with the vocabulary in ``source`` (JSON)."""
 
@@ -83,9 +94,9 @@ class ForcedBoundaryEncoder:
             self.special[t["content"].encode()] = t["id"]
         marks = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.marks = re.compile(b"(" + b"|".join(marks) + b")") if marks else None
-        self.ascii_pieces = re.compile(ASCII_PIECES)
+        self.latin_pieces = re.compile(latin_pieces())
         self.joins, self.last_joins = self._joins(vocab)
-        self.words, self.fragments = _Memo(self._word), _Memo(self._fragment)
+        self.words, self.ids = _Memo(self._word), _Memo(self._piece)
 
     def _joins(self, vocab) -> tuple[bytes, bytes]:
         """Whether some token holds the pair (256 x first + second), inside it or
@@ -117,30 +128,25 @@ class ForcedBoundaryEncoder:
     def _word(self, word: bytes) -> bytes:
         """The ids of a run without ASCII white space."""
         if self.marks is None or b"<" not in word:
-            return self._plain(word)
-        out = []
-        for part in self.marks.split(word):
-            out.append(_pack([self.special[part]]) if part in self.special else self._plain(part))
-        return b"".join(out)
+            return b"".join(map(self.ids.__getitem__, self.pieces(word)))
+        return b"".join(_pack([self.special[part]]) if part in self.special
+                        else b"".join(map(self.ids.__getitem__, self.pieces(part))) for part in self.marks.split(word))
 
-    def _plain(self, word: bytes) -> bytes:
+    def pieces(self, word: bytes) -> list[str]:
+        """The normalised pieces of a run that the vocabulary treats apart."""
+        text = word.decode("utf-8", "replace")
+        low = text.lower()
+        if LATIN.fullmatch(text) and LATIN.fullmatch(low):
+            return [low] if low.isalpha() else self.latin_pieces.findall(low)
+        pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) if text else []
+        return [bytes(map(self.byte_of.__getitem__, p)).decode("utf-8", "surrogateescape") for p, _ in pieces]
+
+    def _piece(self, piece: str) -> bytes:
         out: list[int] = []
-        for piece in self.pieces(word):
-            for fragment, ends in self.cut(piece):
-                out += self.fragments[fragment, ends]
+        for fragment, ends in self.cut(piece.encode("utf-8", "surrogateescape")):
+            out += self._fragment(fragment, ends)
         return _pack(out)
 
-    def pieces(self, word: bytes) -> list[bytes]:
-        """The normalised pieces of a run that the vocabulary treats apart."""
-        if not word:
-            return []
-        if word.isalpha():  # ASCII letters only
-            return [word.lower()]
-        if not ODD.search(word):
-            return self.ascii_pieces.findall(word.lower())
-        text = self.normalizer.normalize_str(word.decode("utf-8", "replace"))
-        return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.splitter.pre_tokenize_str(text)]
-
     def cut(self, piece: bytes) -> list[tuple[bytes, bool]]:
         """``piece`` cut at its certain cuts; the last fragment bears the end mark."""
         n, joins = len(piece), self.joins
@@ -158,9 +164,8 @@ class ForcedBoundaryEncoder:
             return [(piece, True)]
         return [(piece[i:j], j == n) for i, j in zip([0, *at], [*at, n])]
 
-    def _fragment(self, key: tuple[bytes, bool]) -> list[int]:
+    def _fragment(self, fragment: bytes, ends: bool) -> list[int]:
         """The ids of one fragment, by the vocabulary's merges alone."""
-        fragment, ends = key
         return [t.id for t in self.models[ends].tokenize(fragment.decode("latin-1").translate(self.letters))]
 
     # ------------------------------------------------------------ decoding
@@ -179,7 +184,7 @@ class _Memo(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(key if isinstance(key, bytes) else key[0]) <= WORD_BYTES:
+        if len(key) <= WORD_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.clear()
             self[key] = value
