@@ -4,8 +4,10 @@ The documents are cut into shards of a few MB inside the tasks that read
 them. A shard's words become integers (the benchmark's vocabulary; any other
 word is 0 and ends a match) and a suffix array is sorted over all positions
 by prefix doubling. Every suffix of every benchmark item is then searched by
-binary search; occurrences that continue on the same diagonal are joined to
-the longest verbatim matches, reported with their places in both texts.
+binary search, each distinct window once; from every place that is found the
+longest verbatim match follows from the ranks of the windows after it, and is
+reported with its places in both texts. Repetitive texts cost what others do:
+no pair of occurrences is listed.
 
 The job has no shuffle: a document lies in one shard, so its hits are
 complete there, and a lost task only repeats its own shards. The benchmark is
@@ -24,6 +26,7 @@ from .common import TMP, annotate, flat_text, word_table
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20  # benchmark text that is searched in one pass
+PIECE_PAIRS = 4 << 20  # (document, item) pairs that are told apart at a time
 SPANS = "array<struct<item_id:string,item_start:int,doc_start:int,n_words:int>>"
 HITS = "array<struct<start:int,stop:int>>"
 FIELDS = f"n_words long, hits {HITS}, items array<string>, matches {SPANS}"
@@ -62,13 +65,22 @@ class ItemIndex:
                 item.append(i)
                 start.append(j)
                 width.append(w)
-        self.item, self.start, self.width = (np.array(x, np.int64) for x in (item, start, width))
+        item, start, width = (np.array(x, np.int64) for x in (item, start, width))
         p = np.array(pats, np.int64).reshape(len(pats), self.segments, self.k)
         shift = self.bits * np.arange(self.k - 1, -1, -1, dtype=np.int64)
-        self.keys = (p << shift).sum(2)
+        rows = np.column_stack([(p << shift).sum(2), width])
+        # each distinct window once; its occurrences in the items beside it
+        rows, self.window = np.unique(rows, axis=0, return_inverse=True)
+        self.window = self.window.reshape(-1)
+        self.keys, self.width = rows[:, :-1], rows[:, -1]
+        self.item, self.start = item, start  # of each window of the items, in their order
         used = np.clip(self.width[:, None] - self.k * np.arange(self.segments), 0, self.k)
         full = (1 << (self.bits * self.k)) - 1
         self.masks = full - ((np.int64(1) << (self.bits * (self.k - used))) - 1)
+        pairs = np.unique(self.window * max(len(seqs), 1) + item) if len(item) else np.zeros(0, np.int64)
+        self.holders = pairs % max(len(seqs), 1)  # items with each window
+        self.held = np.searchsorted(pairs // max(len(seqs), 1), np.arange(len(self.keys) + 1))
+        self.size = window
 
 
 def suffix_array(ids: np.ndarray, index: ItemIndex, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,25 +165,15 @@ def shard_matches(text: pa.Array, index: ItemIndex, table: bytes) -> list[pa.Arr
     found = hi - lo
     pat = np.repeat(np.arange(len(found)), found)
     at = np.arange(len(pat)) - np.repeat(np.cumsum(found) - found, found)
-    pos = sa[lo[pat] + at]
-    # occurrences on one diagonal of (item, text) that follow each other are one match
-    item, start, width = index.item[pat], index.start[pat], index.width[pat]
-    diag = pos - start
-    order = np.lexsort((pos, diag, item))
-    item, start, width, pos, diag = (x[order] for x in (item, start, width, pos, diag))
-    new = np.ones(len(pos), bool)
-    new[1:] = (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] != pos[:-1] + 1)
-    s = np.flatnonzero(new)
-    e = np.append(s[1:], len(pos))[:len(s)] - 1
-    item, i_start, d_start = item[s], start[s], pos[s]
-    length = pos[e] + width[e] - d_start
+    pos = sa[lo[pat] + at]  # at most one window of each width per place
+    order = np.argsort(pos, kind="stable")
+    pos, pat = pos[order], pat[order]
+    item, i_start, d_start, length = longest_matches(pos, pat, index)
     doc = np.searchsorted(begin, d_start, "right") - 1
-    order = np.lexsort((item, d_start, doc))
-    item, i_start, d_start, length, doc = (x[order] for x in (item, i_start, d_start, length, doc))
-    # words inside any match, as disjoint spans
+    # words inside any window, as disjoint spans
     mark = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(mark, d_start, 1)
-    np.add.at(mark, d_start + length, -1)
+    np.add.at(mark, pos, 1)
+    np.add.at(mark, pos + index.width[pat], -1)
     inside = np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]])
     h_start = np.flatnonzero(inside[1:] & ~inside[:-1])
     h_stop = np.flatnonzero(~inside[1:] & inside[:-1])
@@ -179,7 +181,7 @@ def shard_matches(text: pa.Array, index: ItemIndex, table: bytes) -> list[pa.Arr
     n = len(text)
     per_doc = np.bincount(doc, minlength=n)
     names = np.array(index.ids, object)
-    pairs = np.unique(doc * (len(names) + 1) + item) if len(names) else np.zeros(0, np.int64)
+    pairs = holders(np.searchsorted(begin, pos, "right") - 1, pat, index)
     listed = [sorted({names[x] for x in g if names[x] is not None}) for g in np.split(
         pairs % (len(names) + 1), np.cumsum(np.bincount(pairs // (len(names) + 1), minlength=n))[:-1])] \
         if n else []
@@ -196,6 +198,86 @@ def shard_matches(text: pa.Array, index: ItemIndex, table: bytes) -> list[pa.Arr
             pa.array(listed, pa.list_(pa.string())), pa.ListArray.from_arrays(offs, spans)]
 
 
+def holders(doc: np.ndarray, pat: np.ndarray, index: ItemIndex) -> np.ndarray:
+    """Distinct doc * (items + 1) + item of the items that hold a window of the
+    document, expanded in pieces of a bounded size."""
+    if not len(index.keys):
+        return np.zeros(0, np.int64)
+    seen = np.unique(doc * len(index.keys) + pat)
+    doc, pat = seen // len(index.keys), seen % len(index.keys)
+    count = index.held[pat + 1] - index.held[pat]
+    out, done, ends = np.zeros(0, np.int64), 0, np.cumsum(count)
+    while done < len(pat):
+        base = ends[done - 1] if done else 0
+        stop = max(done + 1, int(np.searchsorted(ends, base + PIECE_PAIRS, "right")))
+        n = count[done:stop]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.held[pat[done:stop]], n)
+        out = np.unique(np.concatenate([out, np.repeat(doc[done:stop], n) * (len(index.ids) + 1) + index.holders[at]]))
+        done = stop
+    return out
+
+
+def longest_matches(pos: np.ndarray, pat: np.ndarray, index: ItemIndex) -> tuple:
+    """(item, item_start, doc_start, words) of the longest verbatim match from each
+    place ``pos`` with window ``pat``, less those inside the one before; one item for
+    each. Windows of short items are matches of their own.
+
+    The windows of the found places and of the items are ranked together by prefix
+    doubling, as far as the longest item reaches; the longest match of a place
+    is with an item's neighbour in that order, and its length comes from the ranks.
+    No pair of occurrences is ever listed."""
+    full = index.width[pat] == index.size
+    p, sym = pos[full], pat[full]
+    first = np.zeros(len(index.keys), np.int64)  # an occurrence of each window
+    first[index.window[::-1]] = np.arange(len(index.window))[::-1]
+    short = first[pat[~full]]
+    parts = [(index.item[short], index.start[short], pos[~full], index.width[pat[~full]])]
+    hit = np.zeros(len(index.keys), bool)
+    hit[sym] = True
+    own = np.flatnonzero(hit[index.window])  # windows of the items that occur in the texts
+    if len(p):
+        n_doc, n = len(p), len(p) + len(own)
+        symbol = np.concatenate([sym, index.window[own]])
+        after = np.full(n + 1, n, np.int32)  # the next window of the same text; n: none
+        after[:n_doc - 1][p[1:] == p[:-1] + 1] = np.flatnonzero(p[1:] == p[:-1] + 1) + 1
+        run = (index.item[own][1:] == index.item[own][:-1]) & (own[1:] == own[:-1] + 1)
+        after[n_doc:n - 1][run] = n_doc + np.flatnonzero(run) + 1
+        left = np.arange(n) + 1  # number of windows from each to the end of its run
+        ends = np.flatnonzero(after[:n] == n)
+        left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1
+        ranks, jumps = [np.append(np.unique(symbol, return_inverse=True)[1] + 1, 0).astype(np.int32)], [after]
+        while 1 << (len(ranks) - 1) < left[n_doc:].max():
+            r, j = ranks[-1].astype(np.int64), jumps[-1]
+            ranks.append(np.append(np.unique(r[:n] * (n + 2) + r[j[:n]], return_inverse=True)[1] + 1, 0).astype(np.int32))
+            jumps.append(j[j])
+        order = np.lexsort((np.arange(n) < n_doc, ranks[-1][:n]))  # of equals, items first
+        is_item = order >= n_doc
+        seq = np.arange(n)
+        before = np.maximum.accumulate(np.where(is_item, seq, -1))
+        behind = np.minimum.accumulate(np.where(is_item, seq, n)[::-1])[::-1]
+        place = np.empty(n, np.int64)
+        place[order] = seq
+        best, with_ = np.zeros(n_doc, np.int64), np.zeros(n_doc, np.int64)
+        for near in (before[place[:n_doc]], behind[place[:n_doc]]):
+            ok = np.flatnonzero((near >= 0) & (near < n))
+            other = order[near[ok]]
+            a, b, same = ok.astype(np.int32), other.astype(np.int32), np.zeros(len(ok), np.int64)
+            for k in range(len(ranks) - 1, -1, -1):
+                equal = (ranks[k][a] == ranks[k][b]) & (a < n) & (b < n)
+                same += np.where(equal, 1 << k, 0)
+                a, b = np.where(equal, jumps[k][a], a), np.where(equal, jumps[k][b], b)
+            same = np.minimum(same, np.minimum(left[ok], left[other]))
+            longer = same > best[ok]
+            best[ok[longer]], with_[ok[longer]] = same[longer], other[longer]
+        new = np.ones(n_doc, bool)
+        new[1:] = (p[1:] != p[:-1] + 1) | (best[1:] >= best[:-1])
+        at = own[with_[new] - n_doc]
+        parts.append((index.item[at], index.start[at], p[new], best[new] + index.size - 1))
+    item, i_start, d_start, words = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((item, d_start))
+    return item[order], i_start[order], d_start[order], words[order]
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """The benchmark in driver-side blocks of about ``block_bytes``; one block
     is held at a time by the caller's loop through ``toLocalIterator``."""
@@ -220,7 +302,8 @@ def annotate_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     """``docs`` (or its ``keep`` columns) with a struct column ``out``:
     ``n_words``; ``hits``, the disjoint spans of words inside any occurrence
     of a window; ``items``, the sorted ids of items with an occurring window;
-    ``matches``, the longest verbatim matches of at least a window.
+    ``matches``, the longest verbatim match from each place (of at least a window,
+    with one item that has it), less those inside the match before.
 
     Null and empty texts have no words and no hits. Items without words have
     no window. An item with a null id marks words but is not listed. Repeated

@@ -100,6 +100,56 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.decontaminate(docs.limit(0), b).count() == 0
 
 
+def brute_longest(words_of_doc, items, size=13):
+    """(doc_start, words) of the longest match from each place, less those inside the one before."""
+    out, before = [], 0
+    for j in range(len(words_of_doc)):
+        best = 0
+        for it in items:
+            if len(it) < size:
+                if it and words_of_doc[j:j + len(it)] == it:
+                    out.append((j, len(it)))
+                continue
+            for i in range(len(it) - size + 1):
+                k = 0
+                while i + k < len(it) and j + k < len(words_of_doc) and it[i + k] == words_of_doc[j + k]:
+                    k += 1
+                best = max(best, k if k >= size else 0)
+        if best and j + best > before:
+            out.append((j, best))
+        before = j + best if best else 0
+    return sorted(set(out))
+
+
+def test_decontamination_matches_of_repetitive_texts(spark):
+    rng = np.random.default_rng(31)
+    items = [["a"] * 40, ["a", "b"] * 20, prose(rng, 60, 4).split(), ["c"] * 20 + ["d"] * 20, ["x", "y", "z"]]
+    texts = [["a"] * 70, ["a"] * 10 + ["b", "a"] * 30, items[2][5:50] + ["q"] + items[2][20:] * 2, ["c"] * 50 + ["d"] * 9,
+             ["x", "y", "z", "x", "y", "z"] * 3, ["a"] * 12, prose(rng, 300, 3).split()]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    for r in decontaminate.annotate_matches(d, b).collect():
+        t, m = texts[r.doc_id], r.contamination.matches
+        assert sorted({(x.doc_start, x.n_words) for x in m}) == brute_longest(t, items), r.doc_id
+        for x in m:
+            it = items[int(x.item_id)]
+            assert it[x.item_start:x.item_start + x.n_words] == t[x.doc_start:x.doc_start + x.n_words]
+
+
+def test_decontamination_of_a_million_equal_words():
+    import resource
+    import pyarrow as pa
+    index, table = decontaminate.ItemIndex([(1, "a " * 2000), (2, "a " * 500)], 13), decontaminate._table()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    n, hits, items, matches = decontaminate.shard_matches(pa.array(["a " * 1_000_000]), index, table)
+    assert n[0].as_py() == 1_000_000 and items[0].as_py() == ["1", "2"]
+    assert hits[0].as_py() == [{"start": 0, "stop": 1_000_000}]
+    m = matches[0].as_py()
+    assert m[0] == {"item_id": "1", "item_start": 0, "doc_start": 0, "n_words": 2000}
+    assert len(m) == 1_000_000 - 2000 + 1
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 3000  # MB
+
+
 def test_interleaving(spark, docs, rows):
     got = interleave.shard_documents(docs, 7).collect()
     assert len(got) == len(rows[0])
