@@ -39,8 +39,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights, in shuffled order."""
-    return poisson_mix.poisson_mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents repeated to the target weights, in shuffled order. Columns that bear
+    the operator's names in any case are set aside and come back as they were."""
+    aside = {c: f"{TMP}own_{c}" for c in docs.columns if c.lower() in ("copy", "mix_key")}
+    mixed = poisson_mix.poisson_mix(docs.withColumnsRenamed(aside))
+    return mixed.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
