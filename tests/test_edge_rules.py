@@ -210,7 +210,7 @@ def test_week_gap_is_dense(spark):
 
 def test_describe_stats(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "v int")
-    out = dict(rows(stats.describe(df, ["v"]), "stat", "v"))
+    out = dict(rows(stats.describe(df, ["v"], digits=6), "stat", "v"))
     assert out == {"count": 4.0, "mean": 2.5, "std": 1.290994, "min": 1.0, "25%": 1.75,
                    "50%": 2.5, "75%": 3.25, "max": 4.0}
     one = dict(rows(stats.describe(df.limit(1), ["v"]), "stat", "v"))
