@@ -16,10 +16,13 @@ and its number of successors. The batches then add up their documents.
 Model: p(w | v) = max(c(vw) - D, 0) / c(v) + D * n1+(v) / c(v) * p1(w), with
 p1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)); an unseen context gives p1.
 
-Frequent contexts (at least 1 / HEAVY of all training tokens, and the start of
-a text) are spread over all shards by their successors; each shard answers
-with its part of the counts. Words are 64-bit hashes, successors 40-bit hashes
-within their context (of n successors about n^2 / 2^41 collide).
+Frequent contexts (at least one shard's share of all training tokens, and the
+start of a text) are spread over all shards by their successors; a batch asks a
+shard only for the pairs it owns, and the shards' parts of those contexts'
+counts are added up once for all batches. They are found from the word counts
+of the batches, where a batch leaves out only what cannot matter in sum.
+Words are 64-bit hashes, successors 40-bit hashes within their context (of n
+successors about n^2 / 2^41 collide).
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from .common import WordHasher, flat_text, materialize, space_table, text_chunks
 BATCH_BYTES = 5 << 20  # text in a batch
 SHARD_BYTES = 16 << 20  # text per shard: their number follows the corpus
 DISCOUNT = 0.75
-HEAVY = 512
+HEAVY, HEAVY_MOST = 512, 1 << 20  # a context above 1 / (number of shards, within these) of the tokens is spread
 BOS, EOS = 1, 2  # hashes of the start and the end of a text
 SUCC = 40  # bits of a successor
 SCALE, LOWEST = 5000.0, -12.0  # quantisation of log10 probabilities
@@ -162,10 +165,7 @@ def pack_batch(tab: pa.Table, hasher: WordHasher) -> dict:
     idx = place[inv]
     train = tab.column(1).combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
     seen = np.bincount(idx[np.repeat(train, n)], minlength=len(uniq))
-    vocab = uniq[order]
-    often = np.flatnonzero(seen >= max(2, seen.sum() / (HEAVY / 2)))
-    return {"n": n, "train": train, "vocab": vocab, "idx": idx,
-            "often": list(zip(vocab[often].view(np.int64).tolist(), seen[often].tolist()))}
+    return {"n": n, "train": train, "vocab": uniq[order], "idx": idx, "seen": seen}
 
 
 def batch_pairs(n: np.ndarray, train: np.ndarray, idx: np.ndarray, vocab: np.ndarray,
@@ -200,21 +200,16 @@ def batch_pairs(n: np.ndarray, train: np.ndarray, idx: np.ndarray, vocab: np.nda
     return words, place[number], shard[order].astype(np.int64), v[order], w[order], count[order]
 
 
-def shard_cells(words, shard, v, heavy, shards):
-    """Per shard: (range of pairs, contexts in order, successors of each); every
-    frequent context of the batch is asked for in every shard."""
-    bounds = np.searchsorted(shard, np.arange(shards + 1))
-    hot = np.flatnonzero(np.isin(words, heavy))
-    for s in range(shards):
-        a, b = bounds[s], bounds[s + 1]
+def shard_cells(shard, v):
+    """Per shard that owns pairs of the batch: (shard, range of the pairs, contexts
+    in order, successors of each)."""
+    owners, bounds = np.unique(shard, return_index=True)
+    for s, a, b in zip(owners.tolist(), bounds, np.append(bounds[1:], len(shard))):
         part = v[a:b]
         new = np.ones(len(part), bool)
         new[1:] = part[1:] != part[:-1]
         at = np.flatnonzero(new)
-        ctx = part[at]
-        more = np.setdiff1d(hot, ctx, assume_unique=True)
-        yield s, a, b, np.concatenate([ctx, more]), np.concatenate(
-            [np.diff(np.append(at, len(part))), np.zeros(len(more), np.int64)])
+        yield s, a, b, part[at], np.diff(np.append(at, len(part)))
 
 
 def five_bytes(x: np.ndarray) -> bytes:
@@ -241,11 +236,9 @@ def batches_of(docs: DataFrame, train: Column, id_col: str, text_col: str) -> Da
                       F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([
         T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(src.schema["id"].dataType)),
-        *[T.StructField(c, T.BinaryType()) for c in ("n", "train", "low", "high", "vocab")],
+        *[T.StructField(c, T.BinaryType()) for c in ("n", "train", "low", "high", "vocab", "seen")],
         T.StructField("tokens", T.LongType()), T.StructField("train_docs", T.LongType()),
-        T.StructField("text_bytes", T.LongType()),
-        T.StructField("often", T.ArrayType(T.StructType([
-            T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])))])
+        T.StructField("text_bytes", T.LongType())])
 
     def run(batches):
         hasher = WordHasher(space_table())
@@ -258,15 +251,36 @@ def batches_of(docs: DataFrame, train: Column, id_col: str, text_col: str) -> Da
                 "batch": (part << 32) + k, "ids": ids.to_pylist(), "n": n.astype(np.int64).tobytes(),
                 "train": train.tobytes(), "low": (p["idx"] & 0xFFFF).astype(np.uint16).tobytes(),
                 "high": (p["idx"] >> 16).astype(np.uint16).tobytes(), "vocab": p["vocab"].tobytes(),
+                "seen": p["seen"].astype(np.uint32).tobytes(),
                 "tokens": int((n[train] + 1).sum()), "train_docs": int(train.sum()),
-                "text_bytes": int(len(p["idx"]) * 6),
-                "often": [{"h": h, "c": c} for h, c in p["often"]]}], schema=arrow)
+                "text_bytes": int(len(p["idx"]) * 6)}], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
     return materialize(src.mapInArrow(run, schema), "lm-batches")
 
 
+def frequent_words(table: DataFrame, n_train: int, shards: int) -> np.ndarray:
+    """Sorted hashes of the start of a text and of the words that hold at least
+    1 / parts of the training tokens, ``parts`` being the number of shards (HEAVY
+    to HEAVY_MOST). A batch sends the words that hold 1 / (2 * parts) of its own
+    training tokens: what it leaves out is at most half of such a word's count, so
+    none is missed, and at most 2 * parts words are found (16 MB of hashes)."""
+    parts = min(max(HEAVY, shards), HEAVY_MOST)
+
+    def often(batches):
+        for b in batches:
+            for vocab, seen in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h, c = np.frombuffer(vocab, np.int64), np.frombuffer(seen, np.uint32).astype(np.int64)
+                at = np.flatnonzero((c > 0) & (c * (2 * parts) >= c.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(c[at])], names=["h", "c"])
+
+    found = table.select("vocab", "seen").mapInArrow(often, "h long, c long").groupBy("h") \
+                 .agg(F.sum("c").alias("c")).where(F.col("c") * (2 * parts) >= n_train).select("h").toArrow()
+    words = found.column("h").to_numpy().view(np.uint64)
+    return np.unique(np.append(words, np.uint64(BOS)))
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
           discount: float = DISCOUNT) -> DataFrame:
     """Per document: id, ``train``, ``n_tokens`` (words and one end), ``n_known``,
@@ -280,9 +294,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                       F.sum("text_bytes").alias("b")).first()
     n_train, n_docs = int(total["n"] or 0), int(total["d"] or 0)
     shards = max(4, -(-int(total["b"] or 0) // SHARD_BYTES))
-    often = table.select(F.explode("often").alias("o")).groupBy("o.h").agg(F.sum("o.c").alias("c")) \
-        .where(F.col("c") * HEAVY >= n_train).select("h").collect()  # HEAVY rows at most
-    heavy = np.array([BOS, *[r["h"] for r in often]], np.int64).view(np.uint64)
+    heavy = frequent_words(table, n_train, shards)
 
     def ask(batches):
         for b in batches:
@@ -291,12 +303,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 words, number, shard, v, w, count = batch_pairs(*_batch_of(row), heavy, shards)
                 del number
                 succ = words[w] & np.uint64((1 << SUCC) - 1)
-                for s, a, z, ctx, ns in shard_cells(words, shard, v, heavy, shards):
-                    if len(ctx):
-                        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (
-                            row["batch"], s, words[ctx].tobytes(), ns.astype(np.uint32).tobytes(),
-                            five_bytes(succ[a:z]), count[a:z].astype(np.uint32).tobytes())],
-                            names=["batch", "shard", "ctx", "ns", "succ", "cnt"])
+                for s, a, z, ctx, ns in shard_cells(shard, v):
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (
+                        row["batch"], s, words[ctx].tobytes(), ns.astype(np.uint32).tobytes(),
+                        five_bytes(succ[a:z]), count[a:z].astype(np.uint32).tobytes())],
+                        names=["batch", "shard", "ctx", "ns", "succ", "cnt"])
 
     asked = table.select("batch", "n", "train", "low", "high", "vocab").mapInArrow(
         ask, "batch long, shard long, ctx binary, ns binary, succ binary, cnt binary")
@@ -321,21 +332,39 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         rank[seen] = np.arange(len(seen))
         key = (rank[owner] << np.uint64(SUCC)) | (key & np.uint64((1 << SUCC) - 1))
         trie = Trie(contexts[seen], first, key, count, discount)
-        kinds = int((~np.isin(contexts[seen], heavy)).sum())
+        spread = np.isin(contexts[seen], heavy)
         got = [trie.lookup(c[0], c[1], c[3]) for c in cells]
+        # the row without a batch: the shard's part of the frequent contexts
+        part = {"codes": np.searchsorted(heavy, contexts[seen][spread]).astype(np.uint32),
+                "total": trie.total[spread], "kinds": trie.kinds[spread]}
         return pa.table({
-            "batch": t.column("batch"), "shard": t.column("shard"),
-            "codes": pa.array([g[0].tobytes() for g in got], pa.binary()),
-            "total": pa.array([g[1].astype(np.uint32).tobytes() for g in got], pa.binary()),
-            "kinds": pa.array([g[2].astype(np.uint32).tobytes() for g in got], pa.binary()),
-            "words": pa.array([kinds] * len(got), pa.int64()),
-            "trie_bytes": pa.array([trie.bytes] * len(got), pa.int64())})
+            "batch": pa.array([*t.column("batch").to_pylist(), None], pa.int64()),
+            "shard": pa.array([*t.column("shard").to_pylist(), t.column("shard")[0].as_py()], pa.int64()),
+            "codes": pa.array([*[g[0].tobytes() for g in got], part["codes"].tobytes()], pa.binary()),
+            "total": pa.array([*[g[1].astype(np.int64).tobytes() for g in got],
+                               part["total"].astype(np.int64).tobytes()], pa.binary()),
+            "kinds": pa.array([*[g[2].astype(np.int64).tobytes() for g in got],
+                               part["kinds"].astype(np.int64).tobytes()], pa.binary()),
+            "words": pa.array([None] * len(got) + [int((~spread).sum())], pa.int64())})
 
     answers = materialize(asked.groupBy("shard").applyInArrow(
-        answer, "batch long, shard long, codes binary, total binary, kinds binary, words long, "
-                "trie_bytes long"), "lm-answers")
-    per_shard = answers.groupBy("shard").agg(F.max("words").alias("w"))
-    words_seen = int(per_shard.agg(F.sum("w")).first()[0] or 0) + len(heavy) - 1 + int(n_docs > 0)
+        answer, "batch long, shard long, codes binary, total binary, kinds binary, words long"), "lm-answers")
+    parts = answers.where("batch IS NULL")
+    words_seen = int(parts.agg(F.sum("words")).first()[0] or 0) + len(heavy) - 1 + int(n_docs > 0)
+
+    def frequent_parts(batches):
+        for b in batches:
+            for at, total, kinds in zip(*(b.column(i).to_pylist() for i in range(3))):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.frombuffer(at, np.uint32).astype(np.int64)), pa.array(np.frombuffer(total, np.int64)),
+                    pa.array(np.frombuffer(kinds, np.int64))], names=["i", "c", "k"])
+
+    # one row per frequent context
+    sums = parts.select("codes", "total", "kinds").mapInArrow(frequent_parts, "i long, c long, k long") \
+                .groupBy("i").agg(F.sum("c").alias("c"), F.sum("k").alias("k")).toArrow()
+    heavy_count, heavy_kinds = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
+    heavy_count[sums.column("i").to_numpy()] = sums.column("c").to_numpy()
+    heavy_kinds[sums.column("i").to_numpy()] = sums.column("k").to_numpy()
     floor = n_train + 0.5 * (words_seen + 1)
     id_type = table.schema["ids"].dataType.elementType
     out_schema = T.StructType([T.StructField("id", id_type)]).add("train", "boolean").add(
@@ -353,15 +382,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         c = np.zeros(len(words), np.int64)
         kinds = np.zeros(len(words), np.int64)
         seen = np.zeros(len(v))  # discounted count of each pair
-        for s, a, z, ctx, ns in shard_cells(words, shard, v, heavy, shards):
-            if not len(ctx):
-                continue
-            part = np.frombuffer(got[s]["total"], np.uint32).astype(np.int64)
-            np.add.at(c, ctx, part)
-            np.add.at(kinds, ctx, np.frombuffer(got[s]["kinds"], np.uint32).astype(np.int64))
+        for s, a, z, ctx, ns in shard_cells(shard, v):
+            part = np.frombuffer(got[s]["total"], np.int64)
+            c[ctx] = part
+            kinds[ctx] = np.frombuffer(got[s]["kinds"], np.int64)
             code = np.frombuffer(got[s]["codes"], np.uint16).astype(np.float64)
             prob = np.where(code > 0, 10.0 ** ((code - 1) / SCALE + LOWEST), 0.0)
             seen[a:z] = prob * np.repeat(part, ns)
+        hot = np.flatnonzero(np.isin(words, heavy))  # in several shards: their sums
+        at = np.searchsorted(heavy, words[hot])
+        c[hot], kinds[hot] = heavy_count[at], heavy_kinds[at]
         uni = c.copy()
         uni[len(vocab)], uni[len(vocab) + 1] = 0, n_docs
         p1 = (uni + 0.5) / floor
@@ -376,5 +406,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                         schema=arrow)
 
     both = table.select("batch", "ids", "n", "train", "low", "high", "vocab").unionByName(
-        answers.select("batch", "shard", "codes", "total", "kinds"), allowMissingColumns=True)
+        answers.where("batch IS NOT NULL").select("batch", "shard", "codes", "total", "kinds"),
+        allowMissingColumns=True)
     return both.groupBy("batch").applyInArrow(add_up, out_schema)
