@@ -3,11 +3,10 @@
 The features are rates per word or character: hits of two lexicons (a short
 fixed list and one learned from the training labels), hits close to a second
 person, capitals, punctuation, and spellings that hide a word (digits or
-signs inside words, stretched letters). Spark ML's trees are fitted on a
-bounded sample of labelled rows. Three quarters of that sample calibrate their
-raw scores by isotonic regression, but no row of it is unseen (one quarter
-served the lexicon, two trained the trees), so scores are overconfident on new
-documents. All documents are scored whole.
+signs inside words, stretched letters). A bounded sample of labelled rows is
+cut by hash into eighths: the first four give the lexicon, the third to seventh
+fit Spark ML's trees, and the last, which neither has seen, calibrates the raw
+scores by isotonic regression. All documents are scored whole.
 """
 
 from __future__ import annotations
@@ -126,10 +125,12 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
     ``train`` selects the documents to learn from; they need a label of 0 or 1
     (a null label or id is not used; of several labels of one id the highest
-    counts, repeated rows count once each). Without both classes among them
-    every score is their share of 1 (0.0 without any). Null and empty texts
-    are scored as texts without words. Columns called score or predicted are
-    replaced."""
+    counts, of several texts of one id the one with the smallest hash, so the
+    sample is bounded in rows). Without both classes among them every score is
+    their share of 1 (0.0 without any); a part of the sample without both is
+    replaced by the whole. Null and empty texts are scored as texts without
+    words. All rows are scored, repeated ones too. Columns called score or
+    predicted, in any case, are replaced; others stay."""
     label = F.col(f"`{label_col}`")
     marks = labels.where(label.isin(0, 1) & F.col(f"`{id_col}`").isNotNull()) \
         .groupBy(F.col(f"`{id_col}`").alias(f"{TMP}id")).agg(F.max(label).cast("double").alias("label"))
@@ -140,34 +141,40 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
         F.col(f"`{id_col}`").alias(f"{TMP}d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         F.pmod(F.xxhash64(F.lit(11), F.col(f"`{id_col}`")), F.lit(1 << 30)).alias("h")) \
         .where(F.col("h") < int(share * (1 << 30)))
+    chosen = chosen.groupBy(f"{TMP}d", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = materialize(chosen.join(marks, F.col(f"{TMP}d") == F.col(f"{TMP}id"))
                          .select("label", "text", "h"), "toxic-sample")
     size = sample.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
     rows, positive = size["n"], size["p"] or 0.0
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
     f = f"{TMP}f"
     if not 0 < positive < rows:
         out = docs.select(*[F.col(f"`{c}`") for c in names],
                           F.lit(float(positive / rows) if rows else 0.0).alias("score"))
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    # the lexicon is learned on one half, so that its rates are honest on the other
-    half = F.pmod(F.col("h"), F.lit(4))
-    lexicon = learn_lexicon(sample.where(half < 2))
+    eighth = F.pmod(F.col("h"), F.lit(8))
+    parts = {r["p"]: (r["n"], r["s"]) for r in sample.groupBy(eighth.alias("p")).agg(
+        F.count("*").alias("n"), F.sum("label").alias("s")).collect()}
+
+    def part(*which):
+        """Rows of these eighths; all rows if they lack a class."""
+        got = [parts.get(i, (0, 0.0)) for i in which]
+        both = 0 < sum(x[1] for x in got) < sum(x[0] for x in got)
+        return eighth.isin(*which) if both else F.lit(True)
+
+    lexicon = learn_lexicon(sample.where(part(0, 1, 2, 3)))
     data = with_features(sample, lexicon, "text", ["label", "h"], f) \
         .select("label", "h", array_to_vector(F.col(f"{f}.f")).alias("features"))
     data = materialize(data, "toxic-features")
-    fit = data.where(F.pmod(F.col("h"), F.lit(4)) > 0)
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH,
-                          stepSize=0.2, seed=5, minInstancesPerNode=5).fit(fit)
+                          stepSize=0.2, seed=5, minInstancesPerNode=5).fit(data.where(part(2, 3, 4, 5, 6)))
     margin = vector_to_array("rawPrediction")[1]
-    held = model.transform(data.where(F.pmod(F.col("h"), F.lit(4)) != 1)).select(
-        "label", margin.alias("m"))
-    iso = IsotonicRegression(labelCol="label", featuresCol="m").fit(held)
+    unseen = model.transform(data.where(part(7))).select("label", margin.alias("m"))
+    iso = IsotonicRegression(labelCol="label", featuresCol="m").fit(unseen)
     scored = with_features(docs, lexicon, text_col, names, f) \
-        .withColumn("features", array_to_vector(F.col(f"{f}.f")))
-    keepers = [F.col(f"`{c}`") for c in names]
-    scored = model.transform(scored.select(*[k.alias(f"{TMP}c{i}") for i, k in enumerate(keepers)],
-                                           "features")).withColumn("m", margin)
+        .select(*[F.col(f"`{c}`").alias(f"{TMP}c{i}") for i, c in enumerate(names)],
+                array_to_vector(F.col(f"{f}.f")).alias("features"))
+    scored = model.transform(scored).withColumn("m", margin)
     scored = iso.setPredictionCol("iso").transform(scored)
     # steps of the calibration are flat: the margin breaks ties inside a step
     value = F.least(F.greatest(0.998 * F.col("iso") + 0.002 / (1 + F.exp(-2 * F.col("m"))),

@@ -348,7 +348,12 @@ def test_elias_fano():
         assert ef.find(ask).tolist() == want
 
 
-def test_trie_scores(docs, rows, spark):
+@pytest.mark.parametrize("spread", [False, True])
+def test_trie_scores(docs, rows, spark, monkeypatch, spread):
+    if spread:  # many batches and shards, many contexts spread over them
+        monkeypatch.setattr(ef_trie_lm, "BATCH_BYTES", 20_000)
+        monkeypatch.setattr(ef_trie_lm, "SHARD_BYTES", 20_000)
+        monkeypatch.setattr(ef_trie_lm, "HEAVY", 200)
     data = [r for r in rows[0]]
     train = docs.withColumn("t", F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1)
     toks = [[*SPACED.findall((r[1] or "").translate(LOW)), None] for r in data]
@@ -381,6 +386,33 @@ def test_trie_scores(docs, rows, spark):
     assert {r.n_known for r in ef_trie_lm.score(train.limit(3), F.lit(False)).collect()} == {0}
 
 
+def test_trie_counts_above_32_bits():
+    keys = np.array([3, 9], np.uint64)
+    t = ef_trie_lm.Trie(np.array([5], np.uint64), np.array([0]), keys, np.array([1 << 33, 1 << 33]), 0.75)
+    codes, total, kinds = t.lookup(np.array([5, 6], np.uint64), np.array([2, 1]), np.array([9, 4, 3], np.uint64))
+    assert total.tolist() == [1 << 34, 0] and kinds.tolist() == [2, 0]
+    assert [c > 0 for c in codes] == [True, False, False]
+
+
+def test_frequent_words_of_uneven_batches(spark):
+    """A word that is frequent overall is found whatever its share in a batch."""
+    def batch(*seen):
+        return (bytearray(np.arange(10, 10 + len(seen), dtype=np.int64).tobytes()),
+                bytearray(np.array(seen, np.uint32).tobytes()))
+    rows = [batch(40, 30, 1, *[1] * 30)] * 3 + [batch(0, 0, 900, 100)]
+    table = spark.createDataFrame(rows, "vocab binary, seen binary")
+    n = 3 * 101 + 1000
+    found = ef_trie_lm.frequent_words(table, n, 4).tolist()
+    assert found[0] == ef_trie_lm.BOS and {10, 11, 12, 13} <= set(found) and len(found) <= 1 + 2 * ef_trie_lm.HEAVY
+
+
+def test_batches_ask_only_owners():
+    shard = np.array([2, 2, 2, 7])
+    v = np.array([0, 0, 1, 0])
+    cells = [(s, a, z, c.tolist(), n.tolist()) for s, a, z, c, n in ef_trie_lm.shard_cells(shard, v)]
+    assert cells == [(2, 0, 3, [0, 1], [2, 1]), (7, 3, 4, [0], [1])]
+
+
 def brute_kneser_ney(sample, texts):
     """log10 probability of each text: interpolated modified Kneser-Ney trigrams by plain counting."""
     def stream(t):
@@ -523,6 +555,26 @@ def test_toxicity(spark):
     assert {r.score for r in flat.select("score").distinct().collect()} == {0.0}
 
 
+def test_toxicity_repeats_clashes_and_empty_tables(spark):
+    texts = ["you are a stupid idiot", "what a nice day it is", None, "", "x " * 20_000]
+    data = [(i if i != 7 else None, texts[i % 5], float(i), "own", i) for i in range(60)] + [(3, "", 0.5, "hot", 1)] * 200
+    d = spark.createDataFrame(data, "doc_id long, text string, Score double, features string, m int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)] + [(1, None), (None, 1)],
+                                   "doc_id long, toxic int")
+    out = toxicity.score(d, labels, F.lit(True))
+    assert [c for c in out.columns] == ["doc_id", "text", "features", "m", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == 260 and {r.features for r in got} == {"own", "hot"}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    bad, good = ([r.score for r in got if r.text == texts[k]] for k in (0, 1))
+    assert min(bad) > max(good)
+    assert toxicity.score(d.limit(0), labels, F.lit(True)).count() == 0
+    none = toxicity.score(d, labels.limit(0), F.lit(True))
+    assert {r.score for r in none.select("score").distinct().collect()} == {0.0}
+    one = toxicity.score(d, labels.where("doc_id in (0, 1)"), F.lit(True))  # no part has both classes
+    assert one.where("score is null or score < 0 or score > 1").count() == 0
+
+
 def test_pruned_graph(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(60, 16))
