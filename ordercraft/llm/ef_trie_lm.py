@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import WordHasher, flat_text, materialize, space_table, text_chunks
 
 BATCH_BYTES = 5 << 20  # text in a batch
-SHARD_BYTES = 16 << 20  # text per shard: their number follows the corpus
+SHARD_BYTES = 8 << 20  # text per shard: their number follows the corpus
 DISCOUNT = 0.75
 HEAVY, HEAVY_MOST = 512, 1 << 20  # a context above 1 / (number of shards, within these) of the tokens is spread
 BOS, EOS = 1, 2  # hashes of the start and the end of a text
@@ -216,7 +216,7 @@ def five_bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def from_five(b: bytes) -> np.ndarray:
+def from_five(b: bytes | np.ndarray) -> np.ndarray:
     out = np.zeros((len(b) // 5, 8), np.uint8)
     out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
     return out.view("<u8")[:, 0]
@@ -313,19 +313,24 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         ask, "batch long, shard long, ctx binary, ns binary, succ binary, cnt binary")
 
     def answer(t: pa.Table) -> pa.Table:
-        cells = [tuple(np.frombuffer(r[c], k) for c, k in (("ctx", np.uint64), ("ns", np.uint32), ("cnt", np.uint32)))
-                 + (from_five(r["succ"]),) for r in t.select(["ctx", "ns", "cnt", "succ"]).to_pylist()]
-        contexts, inv = np.unique(np.concatenate([c[0] for c in cells]), return_inverse=True)
-        ns = np.concatenate([c[1] for c in cells])
-        count = np.concatenate([c[2] for c in cells]).astype(np.int64)
-        key = (np.repeat(inv, ns).astype(np.uint64) << np.uint64(SUCC)) | np.concatenate([c[3] for c in cells])
+        cell = {c: [np.frombuffer(x.as_buffer(), k) for x in t.column(c)] for c, k in (
+            ("ctx", np.uint64), ("ns", np.uint32), ("cnt", np.uint32), ("succ", np.uint8))}
+        contexts, inv = np.unique(np.concatenate(cell["ctx"]), return_inverse=True)
+        key = np.repeat(inv.astype(np.uint64), np.concatenate(cell["ns"]))
+        key <<= np.uint64(SUCC)
+        end = 0
+        for x in cell["succ"]:
+            end += len(x) // 5
+            key[end - len(x) // 5:end] |= from_five(x)
+        count = np.concatenate(cell["cnt"])
         key, count = key[count > 0], count[count > 0]
         order = np.argsort(key)
         key, count = key[order], count[order]
+        del order, inv
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
-        key, count = key[at], np.add.reduceat(count, at) if len(at) else count
+        key, count = key[at], np.add.reduceat(count, at, dtype=np.int64) if len(at) else count.astype(np.int64)
         owner = (key >> np.uint64(SUCC)).astype(np.int64)
         seen, first = np.unique(owner, return_index=True)
         rank = np.zeros(len(contexts), np.uint64)
@@ -333,7 +338,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         key = (rank[owner] << np.uint64(SUCC)) | (key & np.uint64((1 << SUCC) - 1))
         trie = Trie(contexts[seen], first, key, count, discount)
         spread = np.isin(contexts[seen], heavy)
-        got = [trie.lookup(c[0], c[1], c[3]) for c in cells]
+        del key, count, new, at, owner
+        got = [trie.lookup(ctx, ns, from_five(x)) for ctx, ns, x in zip(cell["ctx"], cell["ns"], cell["succ"])]
         # the row without a batch: the shard's part of the frequent contexts
         part = {"codes": np.searchsorted(heavy, contexts[seen][spread]).astype(np.uint32),
                 "total": trie.total[spread], "kinds": trie.kinds[spread]}
