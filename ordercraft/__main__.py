@@ -25,10 +25,12 @@ import argparse
 import datetime as dt
 import json
 
+from pyspark.sql import SparkSession
+
 from .operators import clean
 from .plans import jobs
 from .schemas import CARRIER_BILL_CSV, ORDER_LINES_CSV
-from .session import get_session
+from .session import get_session, scratch_scope
 from .sources.csv_exports import PLACE, REASON, SOURCE, scan_exports
 from .sources.tables import read_pricing, read_ship_log, read_table
 
@@ -96,6 +98,11 @@ def main(argv: list[str] | None = None) -> dict:
     args = ap.parse_args(argv)
 
     spark = get_session()
+    with scratch_scope(spark):  # a job's results are written when it returns
+        return _run(spark, args)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.job == "packaging":
         months = [dt.date.fromisoformat(m) for m in args.months.split(",")] if args.months else None
         return jobs.packaging_month_end(read_table(spark, args.inventory),

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,12 +77,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SCOPES: list[list[str]] = []  # tables written inside the open scopes
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``materialize`` wrote inside the block once it has
+    ended well; results must be written by then. After a failure they stay."""
+    _SCOPES.append([])
+    try:
+        yield
+    except BaseException:
+        _SCOPES.pop()
+        raise
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in _SCOPES.pop():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage (a lost executor recomputes from the table) and
     fixes the data for repeated use in one plan."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/ordercraft-tables/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

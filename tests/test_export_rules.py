@@ -153,3 +153,22 @@ def test_command_line_without_line_numbers(spark, tmp_path):
     assert sum(int(r.n_rows) for r in account) == len(ORDERS)
     rejected = spark.read.option("header", True).csv(str(tmp_path / "out" / "rejects" / "rows"))
     assert rejected.where("reject_reason = 'no_date'").count() == 2
+
+
+def test_scratch_tables_go_after_a_job_and_stay_after_a_failure(spark):
+    import os
+
+    from ordercraft.session import materialize, scratch_scope
+
+    def folder(df):
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+
+    kept = folder(materialize(spark.range(3), "kept"))
+    with scratch_scope(spark):
+        gone = folder(materialize(spark.range(3), "gone"))
+        assert os.path.exists(gone)
+    assert os.path.exists(kept) and not os.path.exists(gone)
+    with pytest.raises(ValueError), scratch_scope(spark):
+        left = folder(materialize(spark.range(3), "left"))
+        raise ValueError
+    assert os.path.exists(left)
