@@ -1,15 +1,21 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Centroids are fitted on a bounded sample; every vector goes to the
-``OVERLAP`` nearest ones, so neighbouring shards overlap. In each shard a flat
+Centroids are fitted on a bounded sample; every vector goes to the nearest
+ones, so neighbouring shards overlap. How many is measured before the search:
+the links of up to ``AUDITED`` vectors, found by brute force against all rows,
+tell the share of linked pairs that meet in a shard at each overlap. In each shard a flat
 graph is built (nearest candidates and a few far ones, both robust-pruned, in
 both directions). The adjacency lists of a vector from all its shards are
 united and sent back to each of them. There every vector is searched for:
 best-first from the shard's medoids, and with every vector within the range
 expanded, until none is left. Each search is audited against brute force on
 some queries and widened when it missed a link. Only pairs whose cosine in
-double precision reaches the threshold count; a pair found in several shards
-counts in the smallest one.
+double precision reaches the threshold count, in the smallest shard that both
+ends share. The searches of the shards are united by checksums, not by pairs:
+each shard reports, per vector and set of shards shared with its links, their
+number and the exclusive or of their hashes. Where the reports of a set differ,
+some shard missed a link: the vector is compared exactly with its smallest
+shared shard. At the end the audited vectors give the recall of the result.
 
 Equal vectors are one node with a multiplicity, so a hot vector costs one
 row. Shards above ``BLOCK`` vectors are cut into blocks and searched block by
@@ -25,13 +31,15 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, mix
 
 THRESHOLD = 0.95
 CELL = 1000  # aimed vectors per shard
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 16  # sampled vectors per centroid: 65,536 at most
-OVERLAP = 3
+OVERLAP, MOST_OVERLAP = 3, 8  # shards of a vector, chosen within these
+COVER = 0.99  # share of the audited links that should meet in a shard
+AUDITED = 2048  # vectors compared with all others
 BLOCK = 2048
 NEAR, FAR, ALPHA = 20, 8, 1.2  # kept neighbours per vector, and the pruning slack
 BEAM = 24
@@ -147,6 +155,90 @@ def audited_search(x, adjacent, q, threshold: float) -> np.ndarray:
     return q @ x.T >= threshold
 
 
+def shared_sets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per row the set of a's cells that b has too, as bits (bit i: a's i-th cell)."""
+    out = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), 1 << 15):
+        same = (a[lo:lo + (1 << 15), :, None] == b[lo:lo + (1 << 15), None, :]).any(2)
+        out[lo:lo + (1 << 15)] = same @ (1 << np.arange(a.shape[1]))
+    return out
+
+
+def digests(owner: np.ndarray, shared: np.ndarray, other: np.ndarray, mult: np.ndarray):
+    """Per owner and set of two cells or more: (owner, set, links, their weight,
+    exclusive or of their hashes)."""
+    at = np.flatnonzero(shared & (shared - 1))
+    at = at[np.lexsort((shared[at], owner[at]))]
+    owner, shared, other, mult = owner[at], shared[at], other[at], mult[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (shared[1:] != shared[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return (np.zeros(0, np.int64),) * 5
+    code = np.bitwise_xor.reduceat(mix(other.astype(np.uint64)), first).view(np.int64)
+    return (owner[first], shared[first], np.diff(np.append(first, len(at))),
+            np.add.reduceat(mult, first), code)
+
+
+def audit(placed: DataFrame, queries: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Brute force of the queries (k, v, near) against all nodes: links[q, t] =
+    other vectors linked with query q that share a cell with it at overlap t and
+    none below (last column: at no overlap), and the weight of all its links."""
+    width = MOST_OVERLAP
+    links, weight = np.zeros((queries.num_rows, width + 2), np.int64), np.zeros(queries.num_rows, np.int64)
+    if not queries.num_rows:
+        return links, weight
+    ask = placed.sparkSession.sparkContext.broadcast(
+        (queries.column("k").to_numpy(), [np.array(v) for v in queries.column("v").to_pylist()],
+         _padded(queries.column("near").to_pylist(), width, -1)))
+    rank = np.maximum.outer(np.arange(1, width + 1), np.arange(1, width + 1)).astype(np.int8)
+
+    def run(batches):
+        key, vec, near = ask.value
+        dims = np.array([len(v) for v in vec])
+        for b in batches:
+            size = pa.compute.list_value_length(b.column("v")).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                qs, rows = np.flatnonzero(dims == dim), np.flatnonzero(size == dim)
+                part = b.take(pa.array(rows))
+                for lo in range(0, len(rows), BLOCK):
+                    t = part.slice(lo, BLOCK)
+                    k, mult = t.column(0).to_numpy(), t.column(1).to_numpy()
+                    hit = _matrix(pa.chunked_array([t.column(2)])) @ np.array([vec[q] for q in qs]).T >= threshold
+                    hit &= k[:, None] != key[qs][None, :]
+                    cells = _padded(t.column(3).to_pylist(), width, -2)
+                    r, c = np.nonzero(hit)
+                    level = np.empty(len(r), np.int64)
+                    for i in range(0, len(r), 1 << 14):
+                        same = cells[r[i:i + (1 << 14)], :, None] == near[qs[c[i:i + (1 << 14)]], None, :]
+                        level[i:i + (1 << 14)] = np.where(same, rank, width + 1).min((1, 2))
+                    code, inv = np.unique(qs[c] * (width + 2) + level, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(code), pa.array(np.bincount(inv, minlength=len(code)).astype(np.int64)),
+                         pa.array(np.bincount(inv, mult[r], len(code)).astype(np.int64))], names=["at", "n", "w"])
+
+    got = placed.select("k", "mult", "v", "near").mapInArrow(run, "at long, n long, w long") \
+                .groupBy("at").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
+    at = got.column("at").to_numpy()
+    links[at // (width + 2), at % (width + 2)] = got.column("n").to_numpy()
+    np.add.at(weight, at // (width + 2), got.column("w").to_numpy())
+    return links, weight
+
+
+def overlap_for(links: np.ndarray) -> int:
+    """The smallest overlap at which COVER of the audited links share a cell, both
+    of all links and of each linked vector's on average (so that one large
+    group does not decide alone)."""
+    own = links.sum(1)
+    linked = links[own > 0]
+    if not len(linked):
+        return OVERLAP
+    by_link = np.cumsum(linked.sum(0)) / linked.sum()
+    by_vector = (np.cumsum(linked, 1) / own[own > 0, None]).mean(0)
+    enough = np.flatnonzero(np.minimum(by_link, by_vector)[:MOST_OVERLAP + 1] >= COVER)
+    return int(min(max(enough[0] if len(enough) else MOST_OVERLAP, OVERLAP), MOST_OVERLAP))
+
+
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, k, v): unit vectors in double precision, k a hash of the components;
     v is null for vectors that link with nothing."""
@@ -178,7 +270,9 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
           threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: id, ``n_links`` (other vectors at or above the
-    threshold), ``component_id`` (smallest id reachable by links), ``kept``.
+    threshold), ``component_id`` (smallest id reachable by links), ``kept``, and
+    on every row ``recall``: the share of the audited vectors' links that the
+    result holds (null: they have none).
 
     Null, zero and non-finite vectors, and those with a null component, have
     no links and are a component each; vectors of different length are never
@@ -190,8 +284,12 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     nodes = materialize(nodes, "graph-nodes")
     n = nodes.count()
     k = max(1, min(MAX_CELLS, n // CELL))
-    pick = nodes.where(F.pmod(F.col("k"), F.lit(1 << 20)) < F.lit(
-        int(min(1.0, k * SAMPLE_PER_CELL * 2 / max(n, 1)) * (1 << 20)))).limit(2 * k * SAMPLE_PER_CELL)
+
+    def drawn(df, key, most):  # about twice as many by hash, then no more than the bound
+        return df.where(F.pmod(key, F.lit(1 << 20)) < F.lit(int(np.ceil(min(1.0, 2 * most / max(n, 1)) * (1 << 20))))
+                        ).limit(most)
+
+    pick = drawn(nodes, F.col("k"), 2 * k * SAMPLE_PER_CELL)
     by_dim: dict[int, list] = {}
     for r in pick.select("v").collect():
         by_dim.setdefault(len(r["v"]), []).append(r["v"])
@@ -211,14 +309,17 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                 if len(v) in spread.value:
                     lo, c = spread.value[len(v)]
                     s = c @ v
-                    cells.append((np.sort(np.argsort(-s, kind="stable")[:OVERLAP]) + lo).tolist())
+                    cells.append((np.argsort(-s, kind="stable")[:MOST_OVERLAP] + lo).tolist())
                 else:  # a length that the sample does not have
-                    cells.append([-1 - len(v)])
+                    cells.append([-3 - len(v)])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
+                [*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*b.schema.names, "near"])
 
-    placed = materialize(nodes.mapInArrow(assign, "k long, mult long, v array<double>, cells array<int>"),
+    placed = materialize(nodes.mapInArrow(assign, "k long, mult long, v array<double>, near array<int>"),
                          "graph-cells")
+    asked = drawn(placed, F.xxhash64(F.lit(9), "k"), AUDITED).select("k", "v", "near").toArrow()
+    audited, weight = audit(placed, asked, threshold)
+    placed = placed.withColumn("cells", F.array_sort(F.slice("near", 1, overlap_for(audited)))).drop("near")
     spots = placed.select("k", "mult", "v", "cells", F.explode("cells").alias("cell"))
     sizes = spots.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     spots = spots.join(sizes, "cell").withColumn(
@@ -243,7 +344,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         t = t.sort_by([("blk", "ascending"), ("k", "ascending")])
         cell, i, j = (t.column(c)[0].as_py() for c in ("cell", "i", "j"))
         key, mult, blk = (t.column(c).to_numpy() for c in ("k", "mult", "blk"))
-        x, cells = _matrix(t.column("v")), t.column("cells").to_pylist()
+        x, cells = _matrix(t.column("v")), np.array(t.column("cells").to_pylist())
         near = t.column("near").to_pylist()
         at = np.flatnonzero(blk == j)
         local = key[at]
@@ -254,25 +355,70 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             adjacent.append(to[local[to] == p] if len(p) else to)
         ask = np.flatnonzero(blk == i)
         if not len(at) or not len(ask):
-            return _found([], [], [])
+            return _found()
         found = audited_search(x[at], adjacent, x[ask], threshold)
         if i == j:
             found |= found.T
             found &= ~np.eye(len(found), dtype=bool)
         r, c = np.nonzero(found)
         a, b = ask[r], at[c]
-        first = np.array([min(set(cells[p]) & set(cells[q])) == cell for p, q in zip(a, b)], bool)
-        a, b = a[first], b[first]
+        shared = shared_sets(cells[a], cells[b])
+        own = np.flatnonzero(cells[a, _lowest(shared)] == cell)
         total = np.zeros(len(key), np.int64)
-        np.add.at(total, a, mult[b])
+        np.add.at(total, a[own], mult[b[own]])
+        reports = [digests(key[a], shared, key[b], mult[b])]
         if i != j:
-            np.add.at(total, b, mult[a])
-        return _found(key, total, _forest(key, a, b))
-
-    out = materialize(tasks.groupBy("cell", "i", "j").applyInArrow(find, "a long, b long, w long"),
-                      "graph-links")
-    count = out.where("b IS NULL").groupBy(F.col("a").alias("c")).agg(F.sum("w").alias("w"))
-    comp = components(out.where("b IS NOT NULL").select("a", "b"), "graph")
+            np.add.at(total, b[own], mult[a[own]])
+            reports.append(digests(key[b], shared_sets(cells[b], cells[a]), key[a], mult[a]))
+        return pa.concat_tables([_found(key[total > 0], total[total > 0], _forest(key, a[own], b[own]))] + [
+            pa.table({"a": k, "b": pa.nulls(len(k), pa.int64()), "w": w, "cell": np.full(len(k), cell),
+                      "shared": s, "n": n, "x": h}) for k, s, n, w, h in reports])
+
+    schema = "a long, b long, w long, cell long, shared long, n long, x long"
+    out = materialize(tasks.groupBy("cell", "i", "j").applyInArrow(find, schema), "graph-links")
+    # reports per vector, set and cell; a set whose cells do not agree is compared exactly
+    reports = out.where("shared IS NOT NULL").groupBy("a", "shared", "cell").agg(
+        F.sum("w").alias("w"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
+    differ = reports.groupBy("a", "shared").agg(
+        F.count("*").alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("x").alias("x0"),
+        F.max("x").alias("x1"), F.min_by("w", "cell").alias("w0"), F.min("cell").alias("c0")) \
+        .where("m < bit_count(shared) OR n0 < n1 OR x0 < x1")
+    place = spots.select(F.col("k").alias("a"), "cell", "blk", "v", "cells")
+    lowest = F.expr("element_at(cells, cast(bit_count((shared & -shared) - 1) + 1 as int))")
+    differ = differ.join(place, "a").where(F.col("cell") == lowest).select(
+        "a", "shared", F.when(F.col("c0") == F.col("cell"), F.col("w0")).otherwise(0).alias("w0"),
+        "cell", F.col("blk").alias("i"), "v", "cells")
+    differ = materialize(differ, "graph-differ")
+    against = spots.join(differ.select("cell", F.col("i").alias("i")).distinct(), "cell") \
+                   .select("cell", "i", F.col("blk").alias("j"), "k", "mult", "v", "cells")
+    sizes = spots.groupBy("cell").agg(F.max("blocks").alias("blocks"))
+    again = differ.join(sizes, "cell").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+                  .select("cell", "i", "j", "a", "shared", "v", "cells")
+
+    def exact(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows or not t.num_rows:
+            return _found()
+        asked, key, mult = q.column("a").to_numpy(), t.column("k").to_numpy(), t.column("mult").to_numpy()
+        hit = _matrix(q.column("v")) @ _matrix(t.column("v")).T >= threshold
+        r, c = np.nonzero(hit & (asked[:, None] != key[None, :]))
+        same = shared_sets(np.array(q.column("cells").to_pylist())[r], np.array(t.column("cells").to_pylist())[c])
+        keep = same == q.column("shared").to_numpy()[r]
+        a, b = asked[r[keep]], c[keep]
+        who, inv = np.unique(a, return_inverse=True)
+        total = np.bincount(inv, mult[b], len(who)).astype(np.int64)
+        both, inv = np.unique(np.concatenate([a, key[b]]), return_inverse=True)
+        return _found(who, total, _forest(both, inv[:len(a)], inv[len(a):]))
+
+    mended = materialize(again.groupBy("cell", "i", "j").cogroup(against.groupBy("cell", "i", "j"))
+                         .applyInArrow(exact, schema), "graph-mended")
+    # what the smallest shared cell had counted for these sets gives way to the exact count
+    count = out.where("b IS NULL AND shared IS NULL").select("a", "w").unionByName(
+        mended.where("b IS NULL").select("a", "w")).unionByName(
+        differ.select("a", (-F.col("w0")).alias("w"))).groupBy(F.col("a").alias("c")).agg(F.sum("w").alias("w"))
+    out = out.where("b IS NOT NULL").select("a", "b").unionByName(mended.where("b IS NOT NULL").select("a", "b"))
+    comp = components(out, "graph")
+    count = materialize(count, "graph-counts")
+    recall = _recall(asked, weight, count)
     node = nodes.select("k", "mult").join(count, F.col("k") == F.col("c"), "left") \
         .join(comp, F.col("k") == F.col("node"), "left") \
         .select(F.col("k").alias("nk"), (F.col("mult") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"),
@@ -286,7 +432,32 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     comp_id = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("low"))
     return done.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                        comp_id.alias("component_id"),
-                       F.coalesce(F.col("id") == comp_id, F.lit(False)).alias("kept"))
+                       F.coalesce(F.col("id") == comp_id, F.lit(False)).alias("kept"),
+                       F.lit(recall).cast("double").alias("recall"))
+
+
+def _recall(asked: pa.Table, weight: np.ndarray, count: DataFrame) -> float | None:
+    """Share of the audited links that the counts hold; AUDITED rows at most."""
+    linked = np.flatnonzero(weight)
+    if not len(linked):
+        return None
+    truth = count.sparkSession.createDataFrame(
+        list(zip(asked.column("k").to_numpy()[linked].tolist(), weight[linked].tolist())), "k long, t long")
+    got = truth.join(count, F.col("k") == F.col("c"), "left").agg(
+        F.sum(F.least("t", F.coalesce("w", F.lit(0))))).first()[0]
+    return float(got / weight.sum())
+
+
+def _lowest(bits: np.ndarray) -> np.ndarray:
+    """Place of the lowest bit that is set."""
+    return np.log2((bits & -bits).astype(np.float64)).astype(int)
+
+
+def _padded(lists: list, width: int, fill: int) -> np.ndarray:
+    out = np.full((len(lists), width), fill, np.int64)
+    for row, x in zip(out, lists):
+        row[:len(x)] = x
+    return out
 
 
 def _matrix(col) -> np.ndarray:
@@ -314,13 +485,16 @@ def _forest(key, a, b) -> list[tuple]:
     return edges
 
 
-def _found(key, total, edges) -> pa.Table:
+def _found(key=(), total=(), edges=()) -> pa.Table:
+    """Counts (b is null) and forest edges of a task; no report."""
     n, e = len(key), np.array(edges, np.int64).reshape(-1, 2)
+    none = pa.nulls(n + len(e), pa.int64())
     return pa.table({
         "a": pa.array(np.concatenate([np.asarray(key, np.int64), e[:, 0]])),
         "b": pa.array(np.concatenate([np.zeros(n, np.int64), e[:, 1]]),
                       mask=np.arange(n + len(e)) < n),
-        "w": pa.array(np.concatenate([np.asarray(total, np.int64), np.zeros(len(e), np.int64)]))})
+        "w": pa.array(np.concatenate([np.asarray(total, np.int64), np.zeros(len(e), np.int64)])),
+        "cell": none, "shared": none, "n": none, "x": none})
 
 
 def audit_recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id",

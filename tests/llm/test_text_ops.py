@@ -612,6 +612,64 @@ def test_pruned_graph(spark):
     assert all(again[i].n_links == got[i].n_links and again[i].component_id == got[i].component_id for i in range(n))
 
 
+def test_pruned_graph_reunites_searches(spark, monkeypatch, tmp_path):
+    """Two searches that find nothing at all: the shards' reports differ, and the
+    exact comparison brings the links back."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(50, 16))
+    x = np.array([base[i % 50] + rng.normal(scale=0.07, size=16) for i in range(240)])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(5)],
+                              "vec_id long, embedding array<double>")
+    block = None
+
+    def forgetful(index, adjacent, q, threshold):
+        found = q @ index.T >= threshold
+        for call in range(2):
+            try:
+                (tmp_path / f"{block}-{call}").touch(exist_ok=False)
+                return np.zeros_like(found)
+            except FileExistsError:
+                pass
+        return found
+
+    x = np.concatenate([x, np.repeat(x[:1], 5, 0)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (x @ x.T >= 0.95).sum(1) - 1
+    monkeypatch.setattr(pruned_graph, "audited_search", forgetful)
+    monkeypatch.setattr(pruned_graph, "CELL", 80)  # three shards, every vector in each
+    for block in (2048, 40):
+        monkeypatch.setattr(pruned_graph, "BLOCK", block)
+        got = {r.id: r for r in pruned_graph.links(d).collect()}
+        assert [got[i].n_links for i in [*range(240), *range(1000, 1005)]] == truth.tolist()
+        assert got[0].recall == 1.0
+        assert {got[i].component_id for i in range(1000, 1005)} == {0}
+
+
+def test_pruned_graph_many_cells(spark, monkeypatch):
+    """Hundreds of shards: the overlap grows until linked vectors meet, and the
+    operator's own recall agrees with brute force."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1000, 24))
+    x = np.array([base[i % 1000] + rng.normal(scale=0.16, size=24) for i in range(3000)])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pruned_graph, "CELL", 12)
+    out = pruned_graph.links(d).persist()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (x @ x.T >= 0.95).sum(1) - 1
+    got = {r.id: r for r in out.collect()}
+    held = sum(got[i].n_links for i in range(3000)) / truth.sum()
+    assert all(got[i].n_links <= truth[i] for i in range(3000)) and truth.sum() > 1000
+    assert held >= 0.97 and abs(got[0].recall - held) < 0.02
+    assert pruned_graph.audit_recall(d, out) >= 0.95
+    out.unpersist()
+    links = np.zeros((3, pruned_graph.MOST_OVERLAP + 2), np.int64)
+    assert pruned_graph.overlap_for(links) == pruned_graph.OVERLAP
+    links[0, 1], links[1, 5] = 90, 10
+    assert pruned_graph.overlap_for(links) == 5
+    links[2, -1] = 10  # meet nowhere
+    assert pruned_graph.overlap_for(links) == pruned_graph.MOST_OVERLAP
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline as cp
     d = docs.drop("shard", "n_words")
