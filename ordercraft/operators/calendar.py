@@ -150,9 +150,11 @@ WINDOW_GRAIN_DAYS = 32
 
 
 def in_windows(lines: DataFrame, windows: DataFrame,
-               date_col: str = "transaction_date", grain_days: int = WINDOW_GRAIN_DAYS) -> DataFrame:
+               date_col: str = "transaction_date", grain_days: int = WINDOW_GRAIN_DAYS,
+               keep: Sequence[str] = ()) -> DataFrame:
     """Label lines by the named windows (``start <= d <= end``, end at
-    midnight) they fall in; a line in several windows comes once for each.
+    midnight) they fall in; a line in several windows comes once for each. The
+    columns ``keep`` of the windows come with the label.
 
     Windows are cut into bins of ``grain_days``, so lines meet them in an
     equality join on the bin instead of a range join. The binned windows are
@@ -163,7 +165,7 @@ def in_windows(lines: DataFrame, windows: DataFrame,
         return F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / F.lit(grain_days))
 
     binned = windows.filter(F.col("start_day") <= F.col("end_day")).select(
-        "window_label", "start_day", "end_day",
+        *dict.fromkeys(["window_label", "start_day", "end_day", *keep]),
         F.explode(F.sequence(bin_of(F.col("start_day")), bin_of(F.col("end_day")))).alias("__bin"))
     span = windows.agg(F.min("start_day"), F.max("end_day")).first()
     x = lines
@@ -174,7 +176,46 @@ def in_windows(lines: DataFrame, windows: DataFrame,
     j = x.join(bounded_side(binned, "windows"), "__bin")
     j = j.filter((F.col(date_col) >= F.col("start_day").cast("timestamp_ntz"))
                  & (F.col(date_col) <= F.col("end_day").cast("timestamp_ntz")))
-    return j.drop("__bin", "start_day", "end_day")
+    return j.drop("__bin", *[c for c in ("start_day", "end_day") if c not in keep])
+
+
+def order_day_cells(lines: DataFrame, id_col: str = "transaction_id",
+                    date_col: str = "transaction_date") -> DataFrame:
+    """The lines as cells (``date_col``, ``prev_at``, ``n_lines``, ``n_orders``), from
+    which lines and distinct orders of any date window are sums: ``n_lines`` lines
+    of a time (``prev_at`` null), and ``n_orders`` orders with a line then whose
+    line before lies at ``prev_at`` (null: none). An order counts once in a window
+    that holds several of its times: at the one whose ``prev_at`` lies before the
+    window. Windows begin and end at midnight, so times between two midnights are
+    one (noon): a calendar has two cells a day, however many lines there are, and
+    further ones only for orders with several times."""
+    day = F.to_date(date_col).cast("timestamp_ntz")
+    at = F.when(F.col(date_col) == day, day).otherwise(day + F.expr("INTERVAL 12 HOURS"))
+    rows = lines.select(F.col(id_col).alias("__id"), at.alias(date_col)).filter(F.col(date_col).isNotNull())
+    none = F.lit(None).cast("timestamp_ntz")
+    counted = rows.groupBy(date_col).agg(F.count(F.lit(1)).alias("n_lines")).select(
+        date_col, none.alias("prev_at"), "n_lines", F.lit(0).cast("long").alias("n_orders"))
+    times = rows.filter(F.col("__id").isNotNull()).groupBy("__id").agg(
+        F.sort_array(F.collect_set(date_col)).alias("__at"))  # at most two a day
+    steps = times.select("__at", F.posexplode("__at").alias("__i", date_col)).select(
+        date_col, F.when(F.col("__i") > 0, F.element_at("__at", F.greatest("__i", F.lit(1)))).alias("prev_at"))
+    firsts = steps.groupBy(date_col, "prev_at").agg(F.count(F.lit(1)).alias("n_orders"))
+    return counted.unionByName(firsts.withColumn("n_lines", F.lit(0).cast("long")))
+
+
+def count_in_windows(lines: DataFrame, windows: DataFrame, id_col: str = "transaction_id",
+                     date_col: str = "transaction_date") -> DataFrame:
+    """Lines (``n_lines``) and distinct orders (``n_orders``) per window label,
+    for any number of overlapping windows. Only day cells meet the windows, so the
+    work per window is bounded by the calendar, not by the lines in it. A label
+    that the table has several times (with one span) counts its lines as often
+    and its orders once."""
+    spans = windows.groupBy("window_label", "start_day", "end_day").agg(F.count(F.lit(1)).alias("__copies"))
+    cells = in_windows(order_day_cells(lines, id_col, date_col), spans, date_col, keep=("start_day", "__copies"))
+    first = F.col("prev_at").isNull() | (F.col("prev_at") < F.col("start_day").cast("timestamp_ntz"))
+    return cells.groupBy("window_label").agg(
+        F.sum(F.col("n_lines") * F.col("__copies")).alias("n_lines"),
+        F.sum(F.when(first, F.col("n_orders")).otherwise(0)).alias("n_orders"))
 
 
 FISCAL_GRAINS = {"quarter": 3, "year": 12}
@@ -228,5 +269,5 @@ def product_catalogue(lines: DataFrame, since: str,
 
 
 __all__ = ["orders_per_day", "date_range", "bucket_orders", "daily_buckets", "weekly_buckets",
-           "week_review", "weekly_by_year", "windows_table", "in_windows",
+           "week_review", "weekly_by_year", "windows_table", "in_windows", "order_day_cells", "count_in_windows",
            "holiday_comparison", "product_catalogue", "as_of", "fiscal_buckets"]
