@@ -1,34 +1,42 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-A trigram model is trained on trusted text (rows that the labels call good): for
-each language its distinct texts in hash order up to ``SAMPLE_ROWS`` texts or
-``SAMPLE_BYTES``, or all of them, so that a rare language is learned as well as
-a common one (``common.language_sample``). The raw trigram counts
-are aggregated in Spark; all further counts (continuation counts, numbers of
-followers seen once, twice and more often, totals) are groupings of the count
-tables, joined on their context hash, each shard of the tables by itself. The
-finished tables (one row per n-gram, bounded by the sample) are packed in
-``SHARDS`` by the context's last word in Spark's tasks and sent to all of them,
-where each batch of documents joins its sorted distinct n-grams against the
-shards; no row of a document is shuffled. Documents above their language's perplexity quantile are marked.
+A trigram model is trained on all trusted texts (rows that the labels call good),
+distinct ones of each language. Trigrams are counted in Spark; all further counts
+(continuation counts, numbers of followers, totals) are groupings of the count
+tables, joined on their context. The finished model is a table of 64-bit keys
+(n-gram or context, marked with its kind) and values, dealt evenly by key to
+shards whose number follows the documents. Documents are cut into batches of a
+few MB; each sends its distinct keys to their shards and gets the values back, so
+neither model nor counts pass through the driver or one task. Documents above
+their language's perplexity quantile are marked.
+
+With ``sample_rows`` the model is a small one instead, trained on a bounded sample
+(``common.language_sample``) and broadcast; no query uses it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import TMP, WordHasher, annotate, flat_text, language_sample, materialize, mix, space_table, text_hash
+from .common import (TMP, WordHasher, annotate, flat_text, language_sample, materialize, mix, space_table,
+                     text_chunks, text_hash)
+from .ef_trie_lm import pack_batch
 
-SAMPLE_ROWS = 2000  # trusted texts of a language, by hash, that the model is trained on
-SAMPLE_BYTES = 8_000_000  # and their bytes
+SAMPLE_BYTES = 8_000_000  # of a language in a sampled model
 TOTAL_BYTES = 16_000_000  # of all languages, in equal parts: bounds the broadcast table
 RUN = 16_384  # bytes of a run of a text that is longer than its share of the sample
 QUANTILE = 0.9  # documents above this share of their language's perplexities are marked
 ACCURACY = 10_000  # of the distributed quantile: relative rank error below 1 / ACCURACY
-SHARDS = 16
+SHARDS = 16  # of a sampled model
+BATCH_BYTES = 5 << 20  # text in a batch of documents
+SHARD_BYTES = 8 << 20  # document text per shard of the whole model
+MODEL_ROWS = 1 << 20  # model rows that a task packs at once
 BOS, EOS = 1, 2
 _C = np.uint64(0xD6E8FEB86659FD93)
 
@@ -61,10 +69,10 @@ def trigram_counts(sample: DataFrame) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher(space_table())
-        for batch in batches:
-            raw, off = flat_text(batch.column(0))
+        for tab in text_chunks(batches, 0, 1 << 20):
+            raw, off = flat_text(tab.column(0))
             rows, h = hasher(raw, off)
-            u, v, w, _ = trigram_stream(h, rows, batch.num_rows)
+            u, v, w, _ = trigram_stream(h, rows, tab.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v, w)],
                                              names=["u", "v", "w"])
 
@@ -208,7 +216,7 @@ def _lang(df: DataFrame, lang_col: str) -> Column:
 
 
 def trusted_sample(trusted: DataFrame, lang_col: str = "lang", text_col: str = "text",
-                   sample_rows: int = SAMPLE_ROWS, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+                   sample_rows: int | None = None, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """(lang, text): the bounded sample of each language; runs end between words.
     With ``ids`` (one column: ids of trusted rows of ``trusted``) the texts are
     chosen by hash and length alone, and only the chosen ones are read."""
@@ -233,16 +241,232 @@ def trusted_sample(trusted: DataFrame, lang_col: str = "lang", text_col: str = "
     return sample.select("lang", F.col("piece").cast("string").alias("text"))
 
 
+def trusted_texts(trusted: DataFrame, lang_col: str = "lang", text_col: str = "text",
+                  ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(lang, text): every distinct whole text of each language; with ``ids`` of the
+    rows of ``trusted`` with these ids."""
+    text = F.col(f"`{text_col}`")
+    rows = trusted.where(F.octet_length(text) > 0)
+    if ids is not None:
+        good = ids.select(F.col(ids.columns[0]).alias(f"{TMP}good"))
+        rows = rows.join(good, F.col(f"`{id_col}`") == F.col(f"{TMP}good"), "left_semi")
+    rows = rows.select(_lang(trusted, lang_col).alias("lang"), text_hash(text).alias("h"), text.alias("text"))
+    return rows.groupBy("lang", "h").agg(F.max("text").alias("text")).select("lang", "text")
+
+
+def _key(kind: int, *words: np.ndarray) -> np.ndarray:
+    """64-bit key of an n-gram or context, told apart by its part of the model."""
+    h = words[0]
+    for w in words[1:]:
+        h = pair_key(h, w)
+    return pair_key(np.full(1, kind + 1, np.uint64), h)
+
+
+def _dealt(keys: np.ndarray, shards: int):
+    """(shard, places of its keys) for every shard that has some."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    owners, first = np.unique(shard[order], return_index=True)
+    return zip(owners.tolist(), np.split(order, first[1:]))
+
+
+def _six(keys: np.ndarray) -> bytes:
+    """The upper 48 bits; with the shard (low bits) they tell keys apart."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _from_six(b) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
+def _order_rows(counts: DataFrame, cols: list[str], share: int, weight: int, d: list[float]) -> DataFrame:
+    """(part, x, y, z, value): shares of the n-grams ``cols`` and weights of their contexts."""
+    context, c = cols[:-1], F.col("c")
+    cut = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+    totals = counts.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(cut).alias("mass"))
+    none = [F.lit(0).cast("long")] * 3
+    shares = counts.join(totals, context).select(
+        F.lit(share).alias("part"), *[x.alias(n) for x, n in zip([*map(F.col, cols), *none], "xyz")],
+        ((c - cut) / F.col("total")).cast("float").alias("value"))
+    return shares.unionByName(totals.select(
+        F.lit(weight).alias("part"), *[x.alias(n) for x, n in zip([*map(F.col, context), *none], "xyz")],
+        (F.col("mass") / F.col("total")).cast("float").alias("value")))
+
+
+WIDTH = {A3: 3, G3: 2, A2: 2, G2: 1, A1: 1}  # words of a key
+
+
+def model_table(texts: DataFrame, shards: int) -> tuple[DataFrame, float, int]:
+    """((shard, keys, value) of the whole model, weight of the lowest order, distinct words)."""
+    tri = materialize(trigram_counts(texts), "kn-tri")
+    bi = materialize(tri.groupBy("v", "w").agg(F.count("*").alias("c")), "kn-bi")
+    uni = materialize(bi.groupBy("w").agg(F.count("*").alias("c")), "kn-uni")
+    total, words = uni.agg(F.sum("c"), F.count("*")).first()
+    d1, g1, c = _discounts(uni), 1.0, F.col("c")
+    cut = F.when(c == 1, d1[0]).when(c == 2, d1[1]).otherwise(d1[2])
+    if words:
+        g1 = uni.agg(F.sum(cut)).first()[0] / total
+    zero = F.lit(0).cast("long")
+    rows = _order_rows(tri, ["u", "v", "w"], A3, G3, _discounts(tri)).unionByName(
+        _order_rows(bi, ["v", "w"], A2, G2, _discounts(bi))).unionByName(uni.select(
+            F.lit(A1).alias("part"), F.col("w").alias("x"), zero.alias("y"), zero.alias("z"),
+            ((c - cut) / F.lit(float(total or 1))).cast("float").alias("value")))
+
+    def pack(batches):
+        def packed_rows(held):
+            part, value = (np.concatenate([h[i] for h in held]) for i in (0, 4))
+            xyz = [np.concatenate([h[i] for h in held]).view(np.uint64) for i in (1, 2, 3)]
+            keys = np.zeros(len(part), np.uint64)
+            for kind, n in WIDTH.items():
+                at = np.flatnonzero(part == kind)
+                if len(at):
+                    keys[at] = _key(kind, *[x[at] for x in xyz[:n]])
+            out = [(s, _six(keys[at]), value[at].astype("<f4").tobytes()) for s, at in _dealt(keys, shards)]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(
+                zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["shard", "keys", "value"])
+
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+                size += b.num_rows
+            if size >= MODEL_ROWS:
+                yield packed_rows(held)
+                held, size = [], 0
+        if held:
+            yield packed_rows(held)
+
+    return rows.mapInArrow(pack, "shard long, keys binary, value binary"), g1, words
+
+
+def _asked(n: np.ndarray, vocab: np.ndarray, idx: np.ndarray):
+    """(row per token, distinct keys of a batch, place of each part's key per token)."""
+    u, v, w, row = trigram_stream(vocab[idx], np.repeat(np.arange(len(n)), n), len(n))
+    keys = [_key(A3, u, v, w), _key(G3, u, v), _key(A2, v, w), _key(G2, v), _key(A1, w)]
+    own, at, base = [], [], 0
+    for k in keys:
+        uniq, inv = np.unique(k, return_inverse=True)
+        own.append(uniq)
+        at.append(inv + base)
+        base += len(uniq)
+    return row, np.concatenate(own), at
+
+
+def _document_batches(docs: DataFrame, names: list[str], text_col: str) -> DataFrame:
+    """Batches of documents as numbers into their own vocabulary; written once, so
+    they keep their numbers."""
+    src = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("text"))
+    own = T.StructType(src.schema.fields[:-1])
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("rows", T.ArrayType(own)),
+                           *[T.StructField(c, T.BinaryType()) for c in ("n", "vocab", "low", "high")],
+                           T.StructField("bytes", T.LongType())])
+    last = len(names)
+
+    def run(batches):
+        hasher, task = WordHasher(space_table()), TaskContext.get().partitionId()
+        kind = to_arrow_schema(schema)
+        for k, tab in enumerate(text_chunks(batches, last, BATCH_BYTES)):
+            tab = tab.combine_chunks()
+            text = tab.column(last)
+            p = pack_batch(pa.table([text, pa.array(np.zeros(len(text), bool)), text], names=["id", "train", "text"]), hasher)
+            rows = pa.StructArray.from_arrays([c.combine_chunks() for c in tab.columns[:last]],
+                                              fields=list(kind.field("rows").type.value_type)) if last else \
+                pa.array([{}] * len(text), pa.struct([]))
+            rows = pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), rows).cast(kind.field("rows").type)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([(task << 32) + k]), rows, *[pa.array([x.tobytes()], pa.binary()) for x in (
+                    p["n"].astype("<i8"), p["vocab"], (p["idx"] & 0xFFFF).astype("<u2"), (p["idx"] >> 16).astype("<u2"))],
+                pa.array([int(len(flat_text(text)[0]))])], schema=kind)
+
+    return materialize(src.mapInArrow(run, schema), "kn-batches")
+
+
+def _numbers(n: bytes, vocab: bytes, low: bytes, high: bytes):
+    idx = np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
+    return np.frombuffer(n, "<i8"), np.frombuffer(vocab, np.uint64), idx
+
+
+def whole_perplexities(docs: DataFrame, texts: DataFrame, text_col: str, names: list[str], out: str) -> DataFrame:
+    """``names`` of ``docs`` with the struct ``out`` of :func:`perplexities`, by the
+    model of all ``texts``: batches ask the shards of the model for their keys."""
+    table = _document_batches(docs, names, text_col)
+    shards = max(4, -(-int(table.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    model, g1, words = model_table(texts, shards)
+    lowest = g1 / (words + 1)
+
+    def ask(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                batch, *packed_batch = (b.column(j)[i].as_py() for j in range(5))
+                _, keys, _ = _asked(*_numbers(*packed_batch))
+                for s, at in _dealt(keys, shards):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch]), pa.array([s]), pa.array([_six(keys[at])], pa.binary())],
+                        names=["batch", "shard", "keys"])
+
+    asked = table.select("batch", "n", "vocab", "low", "high").mapInArrow(ask, "batch long, shard long, keys binary")
+
+    def answer(asks: pa.Table, own: pa.Table) -> pa.Table:
+        keys, value = (np.concatenate([f(x.as_buffer()) for x in own.column(c)] or [np.zeros(0, k)]) for c, f, k in (
+            ("keys", _from_six, np.uint64), ("value", lambda x: np.frombuffer(x, "<f4"), np.float32)))
+        order = np.argsort(keys)
+        keys, value, got = keys[order], value[order], []
+        for x in asks.column("keys"):
+            want = _from_six(x.as_buffer())
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                got.append(np.where(keys[at] == want, value[at], np.float32(0)).astype("<f4").tobytes())
+            else:
+                got.append(np.zeros(len(want), "<f4").tobytes())
+        return pa.table([asks.column("batch"), asks.column("shard"), pa.array(got, pa.binary())],
+                        names=["batch", "shard", "value"])
+
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(
+        answer, "batch long, shard long, value binary")
+    kn = "n_tokens long, log10_prob double, perplexity double"
+    schema = T.StructType([*table.schema["rows"].dataType.elementType.fields,
+                           *T.StructType.fromDDL(kn).fields])
+
+    def add_up(doc: pa.Table, parts: pa.Table) -> pa.Table:
+        kind = to_arrow_schema(schema)
+        if not doc.num_rows:
+            return kind.empty_table()
+        n, vocab, idx = _numbers(*(doc.column(c)[0].as_py() for c in ("n", "vocab", "low", "high")))
+        row, keys, at = _asked(n, vocab, idx)
+        got = {s.as_py(): x for s, x in zip(parts.column("shard"), parts.column("value"))}
+        value = np.zeros(len(keys))
+        for s, places in _dealt(keys, shards):
+            value[places] = np.frombuffer(got[s].as_buffer(), "<f4")
+        a3, g3, a2, g2, a1 = (value[i] for i in at)
+        p = a1 + lowest
+        p = np.where(g2 > 0, a2 + g2 * p, p)
+        p = np.where(g3 > 0, a3 + g3 * p, p)
+        total, n = np.bincount(row, np.log10(p), len(n)), n + 1
+        rows = doc.column("rows").combine_chunks().flatten()
+        return pa.table([*rows.flatten(), pa.array(n), pa.array(total),
+                         pa.array(10.0 ** (-total / n), mask=n < 2)], schema=kind)
+
+    found = table.drop("bytes").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add_up, schema)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
+                        F.struct("n_tokens", "log10_prob", "perplexity").alias(out))
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text",
                  keep: list[str] | None = None, out: str = "kn",
-                 sample_rows: int = SAMPLE_ROWS, lang_col: str = "lang",
+                 sample_rows: int | None = None, lang_col: str = "lang",
                  ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with a struct column ``out``: ``n_tokens`` (words and the end),
     ``log10_prob`` and ``perplexity`` (null for texts without words). ``trusted``
-    has the trusted texts in ``text_col``; null texts are not used. They are
-    sampled by ``lang_col`` (null: a language of its own), or without this column
-    as one language. ``ids``: the ids of the rows of ``trusted`` that are trusted
-    (default: all)."""
+    has the trusted texts in ``text_col``; null texts are not used. Each text counts
+    once in a language (``lang_col``; null: a language of its own), without this
+    column once. ``ids``: the ids of the rows of ``trusted`` that are trusted
+    (default: all). ``sample_rows`` (default None: the model is trained on all
+    texts): a small model of up to so many texts of a language."""
+    if sample_rows is None:
+        names = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
+        return whole_perplexities(docs, trusted_texts(trusted, lang_col, text_col, ids, id_col), text_col, names, out)
     model = train(trusted_sample(trusted, lang_col, text_col, sample_rows, ids, id_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -266,12 +490,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text",
 
 def classify(docs: DataFrame, trusted: DataFrame, lang_col: str = "lang", text_col: str = "text",
              keep: list[str] | None = None, quantile: float = QUANTILE,
-             sample_rows: int = SAMPLE_ROWS, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+             sample_rows: int | None = None, ids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """``docs`` (or ``keep``) with ``n_tokens``, ``log10_prob``, ``perplexity``,
     ``threshold`` (the quantile of the language's perplexities) and ``good``
     (at most the threshold). Null languages are a language of their own; a text
-    without words has no perplexity and is not good; without ``lang_col`` all are one language. ``trusted`` is sampled per
-    language if it has ``lang_col``. Without trusted text all words are equally likely. Columns of these names are replaced."""
+    without words has no perplexity and is not good; without ``lang_col`` all are one language. A trusted text counts
+    once per language if ``trusted`` has ``lang_col``. Without trusted text all words are equally likely. Columns of these names are replaced."""
     new = ("n_tokens", "log10_prob", "perplexity", "threshold", "good")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     named = docs.withColumn(f"{TMP}lang", F.col(f"`{lang_col}`") if lang_col in docs.columns else F.lit(None).cast("string"))
