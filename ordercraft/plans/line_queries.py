@@ -254,7 +254,7 @@ TO_UPDATE_SQL = (f"select {', '.join(shipping.LOG_UPDATE_COLUMNS)} from sales "
 
 @register("q22_ship_log_to_update", with_views(["sales", "ship_log"], TO_UPDATE_SQL))
 def q22_ship_log_to_update(spark, sf_dir):
-    t = tables(spark, sf_dir)
+    t = tables(spark, sf_dir).planned  # few lines are left: only their columns are joined
     return shipping.ship_log_update(t.sales, t.ship_log)
 
 

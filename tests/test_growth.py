@@ -69,3 +69,18 @@ def test_windows_meet_day_cells_not_lines(spark):
     cells = calendar.order_day_cells(lines)
     assert cells.filter("prev_at is null").count() == 6  # lines and orders of three days
     assert cells.agg(F.sum("n_lines")).first()[0] == 20_000
+
+
+def _without_view(spark, shop, name):
+    """The rows of a query under a path of its own, for which it writes no whole view."""
+    os.symlink(shop, path := f"{shop}-{name}")
+    got = sorted(map(repr, QUERIES[name](spark, path).collect()))
+    assert not [k for k in fixtures._VIEWS if k[1] == path and k[2] in ("sales", "production")]
+    return got
+
+
+def test_ship_log_update_reads_the_missing_orders_only(spark, shop):
+    _without_view(spark, shop, "q22_ship_log_to_update")
+    got = QUERIES["q22_ship_log_to_update"](spark, shop)
+    want = fixtures.tables(spark, shop).sales.filter("transaction_id % 7 = 0").select(*got.columns)
+    assert sorted(rows(got)) == sorted(rows(want)) and want.count() > 0
