@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import year_lower_bound
 from ..session import materialize
+from .enrich import HOT_ORDER_LINES
+from .fill import find_hot_keys
 
 # The four ways of recognising the same customer.
 REPEAT_KEY_SPECS: dict[str, tuple[tuple[str, bool], ...]] = {
@@ -37,13 +39,20 @@ def distinct_customers(lines: DataFrame) -> DataFrame:
 
 
 def multi_line_orders(lines: DataFrame, min_lines: int = 2,
-                      id_col: str = "transaction_id") -> DataFrame:
+                      id_col: str = "transaction_id", hot_orders: Sequence | None = None) -> DataFrame:
     """All lines of orders with more than ``min_lines`` lines.
 
-    Group sizes come from a partial/final aggregate and are applied with a
-    semi join, which AQE can split when one order is very large (a window
-    count would put the whole order in one task).
+    The sizes are a window count, on the partitioning by order that numbered lines
+    have already. With very large orders (``hot_orders``; None looks for them by a
+    sampled count) they come from a partial/final aggregate and are applied with
+    a semi join, which AQE can split (the window would put such an order in one task).
     """
+    if hot_orders is None:
+        hot_orders = find_hot_keys(lines, id_col, HOT_ORDER_LINES)
+    if not hot_orders:
+        size = F.count(F.lit(1)).over(Window.partitionBy(id_col))
+        return lines.withColumn("__n", size).filter((F.col("__n") > min_lines)
+                                                    & F.col(id_col).isNotNull()).drop("__n")
     big = (lines.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
                 .filter(F.col("__n") > min_lines).select(id_col))
     return lines.join(big, id_col, "left_semi")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calendar, clean, customers, enrich, positions, shipping, stats
-from ..operators.fill import forward_fill
+from ..operators.fill import find_hot_keys, forward_fill
 from .catalog import (CUTOVER, SINCE, START, decimals_to_double, register, tables)
 from .order_queries import MARGIN_CTES, Y_CTES, Y_VIEWS, _margin_table
 from .views_sql import with_views
@@ -124,7 +124,9 @@ SALES_SQL_COLS = ", ".join(f"cast({c} as double) as {c}" if c in ("product_price
 select {SALES_SQL_COLS} from sales
 where transaction_id in (select transaction_id from sales group by 1 having count(*) > 2)"""))
 def q04_multi_line_orders(spark, sf_dir):
-    return decimals_to_double(customers.multi_line_orders(tables(spark, sf_dir).sales))
+    t = tables(spark, sf_dir)
+    large = find_hot_keys(t.lineitem, "l_orderkey", enrich.HOT_ORDER_LINES)
+    return decimals_to_double(customers.multi_line_orders(t.planned.sales, hot_orders=large))
 
 
 # ------------------------------------------------------------------ Q17-Q19

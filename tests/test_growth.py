@@ -84,3 +84,13 @@ def test_ship_log_update_reads_the_missing_orders_only(spark, shop):
     got = QUERIES["q22_ship_log_to_update"](spark, shop)
     want = fixtures.tables(spark, shop).sales.filter("transaction_id % 7 = 0").select(*got.columns)
     assert sorted(rows(got)) == sorted(rows(want)) and want.count() > 0
+
+
+def test_multi_line_orders_by_their_window(spark, shop):
+    _without_view(spark, shop, "q04_multi_line_orders")
+    sales = fixtures.tables(spark, shop).sales
+    a = customers.multi_line_orders(sales, hot_orders=[])
+    b = customers.multi_line_orders(sales, hot_orders=[1])
+    assert sorted(rows(a, "transaction_id", "line_seq")) == sorted(rows(b, "transaction_id", "line_seq"))
+    odd = spark.createDataFrame([(None, 1), (None, 2), (None, 3), (1, 1), (1, 2), (1, 3), (2, 1)], "transaction_id long, x int")
+    assert sorted(rows(customers.multi_line_orders(odd))) == [(1, 1), (1, 2), (1, 3)]
