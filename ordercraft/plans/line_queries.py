@@ -522,11 +522,13 @@ def s01_clean_csv_exports(spark, sf_dir):
 FAULTS = {"amount": (5, 1), "whole": (7, 2), "word": (43, 5), "date": (47, 7), "blank": (53, 11),
           "surplus": (59, 13), "no_id": (61, 17)}
 EXPORT_PARTS = 4
+EXPORT_FILE_LINES = 250_000  # lines of an export file, some 40 MB: one task writes a file
 
 
 def _faulty_exports(spark, sf_dir) -> str:
-    """The raw lines as CSV exports without line numbers, orders whole in one file
-    and the last file with its columns reversed; some values written another way
+    """The raw lines as CSV exports without line numbers, in four parts of as many
+    files as the lines need, orders whole in one file and the files of the last
+    part with their columns reversed; some values written another way
     (``$3.00``, ``2.0``), some unusable (``two``, a date by points, no date at all,
     a field too many, no id). Returns the folder."""
     import uuid
@@ -555,16 +557,21 @@ def _faulty_exports(spark, sf_dir) -> str:
     def line(names, more):
         return F.concat(F.to_csv(F.struct(*[text[c].alias(c) for c in names])), more)
 
-    part = (oid % EXPORT_PARTS).cast("int")
+    files = max(1, -(-raw.count() // (EXPORT_PARTS * EXPORT_FILE_LINES)))  # of a part
+    part = F.pmod(oid, F.lit(EXPORT_PARTS)).cast("int")
     more = F.when(at("surplus", seq == 1), F.lit(",more")).otherwise(F.lit(""))
     value = F.when(part == EXPORT_PARTS - 1, line(cols[::-1], more)).otherwise(line(cols, more))
-    lines = raw.select(part.alias("part"), oid.alias("id"), seq.cast("long").alias("seq"), value.alias("value"))
-    head = F.when(F.col("id") == EXPORT_PARTS - 1, F.lit(",".join(cols[::-1]))).otherwise(F.lit(",".join(cols)))
-    heads = spark.range(EXPORT_PARTS).select(F.col("id").cast("int").alias("part"), F.lit(-1).cast("long").alias("seq"),
-                                             head.alias("value"), "id")
-    lines = lines.unionByName(heads.withColumn("id", F.lit(-1).cast("long")))
+    file = (part * files + F.pmod(F.xxhash64(oid), F.lit(files))).cast("int")
+    lines = raw.select(part.alias("part"), file.alias("file"), oid.alias("id"), seq.cast("long").alias("seq"),
+                       value.alias("value"))
+    of = F.floor(F.col("id") / files).cast("int")
+    head = F.when(of == EXPORT_PARTS - 1, F.lit(",".join(cols[::-1]))).otherwise(F.lit(",".join(cols)))
+    heads = spark.range(EXPORT_PARTS * files).select(of.alias("part"), F.col("id").cast("int").alias("file"),
+                                                     F.lit(-1).cast("long").alias("seq"), head.alias("value"))
+    lines = lines.unionByName(heads.withColumn("id", F.lit(None).cast("long")))  # the first line of each file
     base = f"{checkpoint_root(spark).rstrip('/')}/ordercraft-exports/{uuid.uuid4().hex[:12]}"
-    lines.repartition("part").sortWithinPartitions("part", "id", "seq").select("part", "value") \
+    lines.repartitionById(EXPORT_PARTS * files, "file") \
+         .sortWithinPartitions("part", F.col("id").asc_nulls_first(), "seq").select("part", "value") \
          .write.partitionBy("part").text(base)
     return f"{base}/*/*.txt"
 

@@ -94,3 +94,15 @@ def test_multi_line_orders_by_their_window(spark, shop):
     assert sorted(rows(a, "transaction_id", "line_seq")) == sorted(rows(b, "transaction_id", "line_seq"))
     odd = spark.createDataFrame([(None, 1), (None, 2), (None, 3), (1, 1), (1, 2), (1, 3), (2, 1)], "transaction_id long, x int")
     assert sorted(rows(customers.multi_line_orders(odd))) == [(1, 1), (1, 2), (1, 3)]
+
+
+def test_exports_are_as_many_files_as_their_lines_need(spark, shop, monkeypatch):
+    whole = {n: sorted(map(repr, QUERIES[n](spark, shop).collect()))
+             for n in ("s01_export_rejects", "s01_export_account", "q01_clean_file_order")}
+    monkeypatch.setattr(line_queries, "EXPORT_FILE_LINES", 10)
+    files = spark.read.text(line_queries._faulty_exports(spark, shop)).inputFiles()
+    assert len(files) > 2 * line_queries.EXPORT_PARTS
+    sizes = spark.read.text(files).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert sizes < 60  # of some 300 lines
+    for n, want in whole.items():
+        assert sorted(map(repr, QUERIES[n](spark, shop).collect())) == want
