@@ -54,6 +54,27 @@ def _levels(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     return g.filter(keep)
 
 
+def _distinct_levels(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The distinct count of ``value`` per level, flagged as in ``_levels``: each
+    level's distinct rows come from those of the level below, which are written
+    once, so rows are neither multiplied nor grouped together with their copies."""
+    rows, levels = df.select(*keys, value).distinct(), []
+    for i in range(len(keys), 0, -1):
+        rows = materialize(rows, "distinct_level") if i > 1 else rows
+        keep = F.lit(True)
+        for k in keys[:i]:
+            keep = keep & F.col(k).isNotNull()
+        counted = rows.filter(keep).groupBy(*keys[:i]).agg(F.count(value).alias(value))
+        levels.append(counted.select(
+            *[F.col(k) if j < i else F.lit(None).cast(df.schema[k].dataType).alias(k) for j, k in enumerate(keys)], value,
+            *[F.lit(int(j >= i)).cast("byte").alias(f"__g_{k}") for j, k in enumerate(keys) if j]))
+        rows = rows.select(*keys[:i - 1], value).distinct()
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
 def subtotals(df: DataFrame, value_cols: str | Sequence[str], keys: Sequence[str],
               total_label: str = TOTAL_LABEL,
               aggregates: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
@@ -62,8 +83,8 @@ def subtotals(df: DataFrame, value_cols: str | Sequence[str], keys: Sequence[str
     ``aggregates`` names the aggregate of a value column (``F.max``, ``F.avg``,
     ``F.count_distinct`` ...); a column without one is summed, where a sum over
     nulls only is 0. Sums, counts, averages, minima and maxima are combined from
-    the lowest level; distinct counts start from the distinct (keys, value) rows
-    and any other aggregate from the rows, each apart. Needs at least two keys
+    the lowest level; distinct counts start from the distinct (keys, value) rows,
+    level by level, and any other aggregate from the rows, each apart. Needs at least two keys
     (with one there is nothing to nest).
     """
     keys = list(keys)
@@ -79,8 +100,8 @@ def subtotals(df: DataFrame, value_cols: str | Sequence[str], keys: Sequence[str
             lowest += [a.alias(n) for a, n in zip(split[0], names)]
             combined.append(split[1](names).alias(v))
         else:
-            rows = df.select(*keys, v).distinct() if how[v] in (F.count_distinct, F.countDistinct) else df
-            frames.append(_levels(rows, keys, [how[v](v).alias(v)]))
+            frames.append(_distinct_levels(df, keys, v) if how[v] in (F.count_distinct, F.countDistinct)
+                          else _levels(df, keys, [how[v](v).alias(v)]))
     if combined:
         frames.insert(0, _levels(df.groupBy(*keys).agg(*lowest), keys, combined))
     flags = [f"__g_{k}" for k in keys[1:]]

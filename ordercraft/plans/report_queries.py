@@ -90,8 +90,8 @@ def q28_subtotals_multi_measure(spark, sf_dir):
 def q28_subtotals_any_aggregate(spark, sf_dir):
     how = {SUB_VALUE: F.max, "product_price": F.min, "customer_email": F.count_distinct,
            "product_weight": F.avg}
-    return decimals_to_double(subtotals.subtotals(tables(spark, sf_dir).sales, list(how), SUB_KEYS,
-                                                  aggregates=how))
+    return decimals_to_double(subtotals.subtotals(tables(spark, sf_dir).planned.sales, list(how),
+                                                  SUB_KEYS, aggregates=how))
 
 
 YTD_SRC = ("ytd_src", f"""select cast(year(transaction_date) as integer) as year, *

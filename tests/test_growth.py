@@ -106,3 +106,18 @@ def test_exports_are_as_many_files_as_their_lines_need(spark, shop, monkeypatch)
     assert sizes < 60  # of some 300 lines
     for n, want in whole.items():
         assert sorted(map(repr, QUERIES[n](spark, shop).collect())) == want
+
+
+def test_distinct_counts_level_by_level(spark):
+    data = [("a", "x", "p", "u1"), ("a", "x", "q", "u1"), ("a", "y", "p", "u1"), ("a", "y", None, "u2"), ("a", None, "p", "u3"),
+            ("b", "x", "p", None), (None, "x", "p", "u4"), ("a", "x", "p", "u1")]
+    df = spark.createDataFrame(data, "k1 string, k2 string, k3 string, v string")
+    out = subtotals.subtotals(df, "v", ["k1", "k2", "k3"], aggregates={"v": F.count_distinct})
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    t = "[Total]"
+    assert set(rows(out)) == {("a", t, t, 3), ("b", t, t, 0), ("a", "x", t, 1), ("a", "y", t, 2), ("b", "x", t, 0),
+                              ("a", "x", "p", 1), ("a", "x", "q", 1), ("a", "y", "p", 1), ("b", "x", "p", 0)}
+
+
+def test_subtotals_of_any_aggregate_write_no_view(spark, shop):
+    assert _without_view(spark, shop, "q28_subtotals_any_aggregate")
