@@ -51,5 +51,8 @@ def zone_label(zone, states) -> Column:
 
 
 def sorted_distinct_text(c, sep: str = ", \n") -> Column:
-    """Sorted distinct values joined by ``sep`` (an aggregate expression)."""
-    return F.array_join(F.array_sort(F.collect_set(_as_col(c))), sep)
+    """Sorted distinct values joined by ``sep`` (an aggregate expression). A
+    named column is made distinct by rows, so that a group's values are spread over
+    tasks until the last step."""
+    values = F.expr(f"collect_list(DISTINCT `{c}`)") if isinstance(c, str) else F.collect_set(c)
+    return F.array_join(F.sort_array(values), sep)

@@ -448,7 +448,7 @@ select product_options, count(distinct customer_email) as customer_abbr,
  max(transaction_date) as date
 from sales group by 1"""))
 def q34_sales_summary(spark, sf_dir):
-    return stats.sales_summary(tables(spark, sf_dir).sales, ["product_options"],
+    return stats.sales_summary(tables(spark, sf_dir).planned.sales, ["product_options"],
                                "customer_email", "customer_last_name", "product_quantity",
                                "transaction_date")
 

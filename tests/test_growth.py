@@ -121,3 +121,13 @@ def test_distinct_counts_level_by_level(spark):
 
 def test_subtotals_of_any_aggregate_write_no_view(spark, shop):
     assert _without_view(spark, shop, "q28_subtotals_any_aggregate")
+
+
+def test_customer_lists_are_made_distinct_by_rows(spark, shop):
+    _without_view(spark, shop, "q34_sales_summary")
+    data = [("g", "e1", "Zoë", 2), ("g", "e1", "adam", 1), ("g", "e2", "Zoë", None), ("g", None, None, 1), (None, "e3", "x", 1),
+            ("h", None, None, None)]
+    df = spark.createDataFrame(data, "g string, e string, n string, q int").withColumn("d", F.lit(1))
+    out = stats.sales_summary(df, ["g"], "e", "n", "q", "d")
+    assert set(rows(out)) == {("g", 2, "Zoë, \nadam", 4, 1), (None, 1, "x", 1, 1), ("h", 0, "", 0, 1)}
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
