@@ -217,7 +217,6 @@ def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str
         parts.append(cold.withColumn(out_col, F.row_number().over(w).cast("long")))
     if hot is not None:
         if range_partitions is None:
-            hot = materialize(hot, "hot_rows")  # counted and sampled for the ranges
             least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             range_partitions = max(least, -(-hot.count() // range_rows))
         ranged = materialize(

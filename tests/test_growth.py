@@ -137,3 +137,15 @@ def test_order_margins_join_recent_lines_only(spark, shop):
     got = _without_view(spark, shop, "q09_order_summary_margin")
     plan = QUERIES["q09_order_summary_margin"](spark, shop)._jdf.queryExecution().executedPlan().toString()
     assert got and not re.search(r"\bWindow\b", plan)
+
+
+def test_numbering_writes_its_input_once(spark, monkeypatch):
+    from ordercraft.operators import fill
+    names = []
+    real = fill.materialize
+    monkeypatch.setattr(fill, "materialize", lambda df, name: names.append(name) or real(df, name))
+    df = spark.createDataFrame([(1, D(2020, 1, 1), "a", 1), (1, None, None, 2), (1, None, None, 3)],
+                               "id long, date timestamp_ntz, x string, line_seq long")
+    out = forward_fill(df, "id", "date", ["line_seq"], ["date", "x"], hot_keys="all", chunk_rows=2)
+    assert sorted(rows(out, "line_seq", "x")) == [(1, "a"), (2, "a"), (3, "a")]
+    assert names.count("numbered_ranges") == 1 and "hot_rows" not in names
