@@ -174,7 +174,7 @@ def q30_packaging_used(spark, sf_dir):
 select {', '.join(PROD_COLS)}, {_used_sql('packaging_retail', True)} as packaging_used_retail
 from production"""))
 def q31_packaging_used_retail(spark, sf_dir):
-    p = tables(spark, sf_dir).production
+    p = tables(spark, sf_dir).planned.production
     return p.withColumn("packaging_used_retail",
                         packaging.packaging_used_expr("packaging_retail", True))
 

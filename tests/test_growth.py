@@ -149,3 +149,8 @@ def test_numbering_writes_its_input_once(spark, monkeypatch):
     out = forward_fill(df, "id", "date", ["line_seq"], ["date", "x"], hot_keys="all", chunk_rows=2)
     assert sorted(rows(out, "line_seq", "x")) == [(1, "a"), (2, "a"), (3, "a")]
     assert names.count("numbered_ranges") == 1 and "hot_rows" not in names
+
+
+def test_retail_packaging_writes_no_view(spark, shop):
+    got = _without_view(spark, shop, "q31_packaging_used_retail")
+    assert len(got) == fixtures.tables(spark, shop).production.count()
