@@ -19,7 +19,7 @@ from ..functions.dates import ts_ntz
 from ..functions.text import collapse_whitespace
 from ..session import bounded_side
 from ..sources.csv_exports import FIELDS, PLACE, RAW, REASON, SOURCE, Exports, read_typed
-from .fill import SPREAD, forward_fill
+from .fill import HOT_MIN_ROWS, SPREAD, find_hot_keys, forward_fill
 
 # Fixed values (parameter defaults taken from the reference's reports).
 DEFAULT_START = "2018-01-01"        # keep orders from this date on
@@ -203,6 +203,21 @@ def bad_orders(rows: DataFrame, why: Column, id_col: str) -> DataFrame:
     return bounded_side(ids, "bad_orders")
 
 
+def _key_columns(id_col: str, date_col: str) -> list[str]:
+    return [f"__id_{id_col}", f"__ts_{date_col}", f"__why_{id_col}_{date_col}"]
+
+
+def with_keys(rows: DataFrame, id_col: str = "transaction_id", date_col: str = "transaction_date") -> DataFrame:
+    """Scanned rows with their typed order id, their parsed date and the reason for
+    which they cannot be used: what :func:`clean_exports` needs in each of its
+    passes. Given to the scan (``derive``), they are computed and written once."""
+    number, date = read_typed(F.col(id_col).cast("string"), T.LongType()), parse_timestamp(date_col)
+    bad_date = F.col(date_col).isNotNull() & date.isNull()
+    why = F.when(F.col(REASON).isNotNull() | number.isNull() | bad_date, F.coalesce(
+        F.col(REASON), F.when(number.isNull(), F.lit(NO_ID)), F.lit(BAD_DATE)))
+    return rows.withColumns(dict(zip(_key_columns(id_col, date_col), (number, date, why), strict=True)))
+
+
 def clean_exports(found: Exports, *, start: str = DEFAULT_START, cutover: str = DEFAULT_CUTOVER,
                   fill_through: str = "category_code", fill_cols: Sequence[str] | None = None,
                   drop: Sequence[str] = (), hot_keys: Sequence | str | None = None,
@@ -219,11 +234,14 @@ def clean_exports(found: Exports, *, start: str = DEFAULT_START, cutover: str =
     are merged; the place of the first is kept.
     """
     rows = found.rows.drop(*drop)
-    rows = rows.withColumns({id_col: read_typed(F.col(id_col).cast("string"), T.LongType()),
-                             "__ts": parse_timestamp(date_col)})
-    why = F.coalesce(F.col(REASON), F.when(F.col(id_col).isNull(), F.lit(NO_ID)),
-                     F.when(F.col(date_col).isNotNull() & F.col("__ts").isNull(), F.lit(BAD_DATE)))
-    rows = rows.withColumn("__why", why)
+    key, at, why = _key_columns(id_col, date_col)
+    if not {key, at, why} <= set(rows.columns):
+        rows = with_keys(rows, id_col, date_col)
+    names = [c for c in found.rows.columns if c not in (*drop, *found.derived)]
+    rows = rows.select(*[F.col(key).alias(c) if c == id_col else F.col(f"`{c}`") for c in names],
+                       F.col(at).alias("__ts"), F.col(why).alias("__why"))
+    if hot_keys is None:  # looked for in all rows: without the joins and filters below
+        hot_keys = find_hot_keys(rows, id_col, HOT_MIN_ROWS)
     bad = bad_orders(rows, F.col("__why"), id_col)
     of_bad = F.col(id_col) == F.col("bad_id")
     whole = rows.where("__why is null")

@@ -40,6 +40,7 @@ from ..session import materialize
 
 
 TIE = "__tie"
+HOT_MIN_ROWS = 5_000_000  # rows from which a key is too large for one task
 
 
 def _with_tie(df: DataFrame, tiebreaks: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -136,7 +137,7 @@ def _chunked_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence
 
 def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[str],
                  fill_cols: Sequence[str], hot_keys: Sequence | None = (),
-                 hot_min_rows: int = 5_000_000, chunk_rows: int = 1_000_000,
+                 hot_min_rows: int = HOT_MIN_ROWS, chunk_rows: int = 1_000_000,
                  keep_spread: bool = False,
                  spread_cols: Sequence[str] | None = None) -> DataFrame:
     """Fill ``fill_cols`` forward within ``key`` in the order (order_first nulls
@@ -180,7 +181,7 @@ def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[
 
 
 def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str = "line_seq",
-                hot_keys: Sequence | str | None = (), hot_min_rows: int = 5_000_000,
+                hot_keys: Sequence | str | None = (), hot_min_rows: int = HOT_MIN_ROWS,
                 range_partitions: int | None = None, range_rows: int = 1_000_000,
                 nulls_last: Sequence[str] = ()) -> DataFrame:
     """Position (1, 2, ...) of each row within its ``key`` group in the order

@@ -587,7 +587,7 @@ def _faulty_schema():
 
 def _clean_faulty(spark, sf_dir):
     from ..sources.csv_exports import scan_exports
-    found = scan_exports(spark, _faulty_exports(spark, sf_dir), _faulty_schema())
+    found = scan_exports(spark, _faulty_exports(spark, sf_dir), _faulty_schema(), derive=clean.with_keys)
     return clean.clean_exports(found, start=START, cutover=CUTOVER)
 
 

@@ -96,15 +96,16 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage (a lost executor recomputes from the table) and
-    fixes the data for repeated use in one plan."""
+    fixes the data for repeated use in one plan. ``compression``: a codec for
+    wide texts, instead of the session's."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/ordercraft-tables/{name}-{uuid.uuid4().hex[:12]}"
     if _SCOPES:
         _SCOPES[-1].append(path)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.parquet(path)
 
 

@@ -28,8 +28,8 @@ folder, so places stay as they are and no file is parsed twice.
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,14 +47,16 @@ class Exports:
     """Parsed export rows. ``rows`` has the columns of the files (typed where
     declared), ``source_file``, ``export_line``, ``raw_line``, ``reject_reason``
     (null for a row that was read in full) and ``reject_fields``; ``columns``
-    are the files' columns in stacked order."""
+    are the files' columns in stacked order, ``derived`` those of ``rows`` that
+    the scan was given to write with them."""
 
     rows: DataFrame
     columns: list[str]
+    derived: list[str] = field(default_factory=list)
 
     @property
     def lines(self) -> DataFrame:
-        return self.rows.where(F.col(REASON).isNull()).drop(RAW, REASON, FIELDS)
+        return self.rows.where(F.col(REASON).isNull()).drop(RAW, REASON, FIELDS, *self.derived)
 
     @property
     def rejects(self) -> DataFrame:
@@ -111,8 +113,26 @@ def n_fields(line: Column, sep: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
+def _plain(kind: T.DataType) -> str | None:
+    """Pattern of the texts that any cast to ``kind`` reads exactly: digits that it holds."""
+    digits = {T.IntegerType: 9, T.LongType: 18}.get(type(kind))
+    if digits:
+        return f"^-?[0-9]{{1,{digits}}}$"
+    if isinstance(kind, T.DecimalType) and 0 < kind.scale < kind.precision:
+        return rf"^-?[0-9]{{1,{kind.precision - kind.scale}}}(\.[0-9]{{1,{kind.scale}}})?$"
+    return None
+
+
 def read_typed(text: Column, kind: T.DataType) -> Column:
-    """A text field as ``kind``, exactly; null if it cannot be read so."""
+    """A text field as ``kind``, exactly; null if it cannot be read so. Plain
+    numbers, the most, are cast at once."""
+    plain = _plain(kind)
+    if plain is None:
+        return _read_exact(text, kind)
+    return F.when(text.rlike(plain), text.try_cast(kind)).otherwise(_read_exact(text, kind))
+
+
+def _read_exact(text: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return text
     clean = F.regexp_replace(F.trim(text), r"^(-?)\$", "$1")
@@ -152,8 +172,12 @@ def _ddl(names: Sequence[str]) -> str:
 
 
 def scan_exports(spark: SparkSession, pattern: str | Sequence[str], schema: T.StructType | None = None,
-                 sep: str = ",") -> Exports:
-    """Every row of the CSV files under ``pattern``, typed by ``schema`` (None: text)."""
+                 sep: str = ",", derive: Callable[[DataFrame], DataFrame] | None = None) -> Exports:
+    """Every row of the CSV files under ``pattern``, typed by ``schema`` (None: text).
+
+    ``derive`` adds columns that are written with the parsed rows, so that later
+    passes over them do not compute them again (:func:`..operators.clean.with_keys`).
+    """
     groups = header_groups(spark, list_files(spark, pattern), sep)
     if not groups:
         raise ValueError(f"no CSV files under {pattern}")
@@ -184,9 +208,12 @@ def scan_exports(spark: SparkSession, pattern: str | Sequence[str], schema: T.St
             out = out.withColumn(name, F.lit(None).cast(kind))
     names = [*kinds, *[c for c in columns if c not in kinds]]
     helpers = [SOURCE, "block", "at", RAW, REASON, FIELDS]
-    rows = materialize(out.select(*[F.col(f"`{c}`") for c in names], *helpers), "export_lines")
-    return Exports(_places(rows).select(*[F.col(f"`{c}`") for c in names], SOURCE, PLACE, RAW, REASON, FIELDS),
-                   list(columns))
+    out = out.select(*[F.col(f"`{c}`") for c in names], *helpers)
+    more = derive(out) if derive else out
+    derived = [c for c in more.columns if c not in out.columns]
+    rows = materialize(more, "export_lines", compression="zstd")
+    return Exports(_places(rows).select(*[F.col(f"`{c}`") for c in names], SOURCE, PLACE, RAW, REASON, FIELDS, *derived),
+                   list(columns), derived)
 
 
 def _places(rows: DataFrame) -> DataFrame:

@@ -108,6 +108,45 @@ def test_exports_are_as_many_files_as_their_lines_need(spark, shop, monkeypatch)
         assert sorted(map(repr, QUERIES[n](spark, shop).collect())) == want
 
 
+def test_export_keys_are_read_once(spark, shop):
+    """Ids and dates are written with the scanned rows: no pass over them reads them again."""
+    for n in ("s01_export_rejects", "s01_export_account", "q01_clean_file_order"):
+        plan = QUERIES[n](spark, shop)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "gettimestamp" not in plan and "try_to_timestamp" not in plan and "decimal(38,10)" not in plan
+
+
+def test_keys_of_the_scan_and_of_the_cleaner_agree(spark, tmp_path):
+    from pyspark.sql import types as T
+    from ordercraft.operators import clean
+    from ordercraft.sources.csv_exports import scan_exports
+    (tmp_path / "a.csv").write_text("transaction_id,transaction_date,category_code,n\n" + "\n".join([
+        "1,2020-05-01,a,1", "1,,,2", "2.0,5/1/2020,a,1", "3,01.05.2020,a,1", "3,,,1", "4,2020-05-01,a,two", "4,,,1",
+        "x,2020-05-01,a,1", ",2020-05-01,a,1", "5,,a,1", "6,2001-01-01,a,1", "7,01.05.2020,a,two"]) + "\n")
+    schema = T.StructType([T.StructField("transaction_id", T.StringType()), T.StructField("n", T.IntegerType())])
+    kept = scan_exports(spark, str(tmp_path), schema, derive=clean.with_keys)
+    later = scan_exports(spark, str(tmp_path), schema)
+    assert len(kept.derived) == 3 and not later.derived and kept.lines.columns == later.lines.columns
+    for part in ("lines", "rejects", "early"):
+        a, b = (getattr(clean.clean_exports(x), part) for x in (kept, later))
+        assert a.columns == b.columns and sorted(map(str, rows(a))) == sorted(map(str, rows(b)))
+    why = dict(rows(clean.clean_exports(kept).rejects, "export_line", "reject_reason"))
+    assert why == {4: "unreadable_date", 5: "order_incomplete", 6: "unreadable_value", 7: "order_incomplete",
+                   8: "no_order_id", 9: "no_order_id", 10: "no_date", 12: "unreadable_value"}
+
+
+def test_plain_numbers_are_read_as_all_others(spark):
+    from pyspark.sql import types as T
+    from ordercraft.schemas import MONEY
+    from ordercraft.sources.csv_exports import _read_exact, read_typed
+    texts = ["7", "-7", "+7", "007", "2.0", "2.5", "$3.00", "-$3", "1,234.50", " 8 ", "8.", ".5", "1e2", "", "-", "two", None,
+             "999999999", "2147483647", "2147483648", "-2147483648", "999999999999999999", "9223372036854775807",
+             "9223372036854775808", "10.005", "10.05", "10.050", "9999999999999999.99", "99999999999999999.99", "\u0667", "7\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind in (T.IntegerType(), T.LongType(), MONEY, T.DecimalType(18, 6), T.DoubleType(), T.DateType(), T.StringType()):
+        got = df.select("t", read_typed(F.col("t"), kind).alias("a"), _read_exact(F.col("t"), kind).alias("b"))
+        assert not [r for r in got.collect() if r.a != r.b]
+
+
 def test_distinct_counts_level_by_level(spark):
     data = [("a", "x", "p", "u1"), ("a", "x", "q", "u1"), ("a", "y", "p", "u1"), ("a", "y", None, "u2"), ("a", None, "p", "u3"),
             ("b", "x", "p", None), (None, "x", "p", "u4"), ("a", "x", "p", "u1")]
