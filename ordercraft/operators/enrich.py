@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import ts_ntz
 from ..functions.text import coupon_code, units_label
 from ..schemas import PRICE_KEYS
+from ..session import materialize
 from .clean import pre_post
 from .fill import find_hot_keys
 
@@ -57,8 +58,18 @@ def _line_columns(priced: DataFrame) -> DataFrame:
     })
 
 
+def _order_rows(ship_log: DataFrame, heads: DataFrame | None) -> tuple[DataFrame, str]:
+    """What joins the lines by order id, as ``order_no``, and how: the ship log, or
+    the orders' own columns with it (J2 on orders instead of lines, written once)."""
+    log = ship_log.select("order_no", "actual_freight_expense")
+    if heads is None:
+        return log, "left"
+    side = heads.join(log, heads["transaction_id"] == log["order_no"], "left").drop("order_no")
+    return materialize(side.withColumnRenamed("transaction_id", "order_no"), "orders_with_freight"), "inner"
+
+
 def enrich_lines(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame,
-                 hot_orders: Sequence | None = None) -> DataFrame:
+                 hot_orders: Sequence | None = None, heads: DataFrame | None = None) -> DataFrame:
     """Q5 (combine): priced, freighted lines with margins and order income.
 
     The total per order (W2) is taken before the ship-log join fans lines out,
@@ -67,25 +78,31 @@ def enrich_lines(lines: DataFrame, pricing: DataFrame, ship_log: DataFrame,
     partitioning. With very large orders (``hot_orders``; None looks for them by
     a sampled count) the totals are an aggregate that is joined back, which
     combines before its shuffle and lets AQE split the order.
+
+    ``heads``: the columns of the orders (by ``transaction_id``), when ``lines``
+    has only its own. They come with the log, after the price join, so that two
+    shuffles of the lines need not carry them; lines without an order drop out.
     """
     if hot_orders is None:
         hot_orders = find_hot_keys(lines, "transaction_id", HOT_ORDER_LINES)
+    side, how = _order_rows(ship_log, heads)
+    priced = join_pricing(lines, pricing)
     if hot_orders:
-        y = _line_columns(join_ship_log(join_pricing(lines, pricing), ship_log))
+        y = _line_columns(priced.join(side, priced["transaction_id"] == side["order_no"], how).drop("order_no"))
         per_order = (y.groupBy("transaction_id")
                       .agg(F.coalesce(F.sum("margin_per_product"), F.lit(0))
                            .alias("margin_per_order")))
         y = y.join(per_order, "transaction_id", "left")
     else:
-        y = _line_columns(join_pricing(lines, pricing))
-        total = F.sum("margin_per_product").over(Window.partitionBy("transaction_id"))
-        y = y.withColumn("margin_per_order", F.when(F.col("transaction_id").isNotNull(),
-                                                    F.coalesce(total, F.lit(0))))
-        log = ship_log.select("order_no", "actual_freight_expense", F.count(F.lit(1)).over(
-            Window.partitionBy("order_no")).cast("int").alias("__n"))
-        y = y.join(log, y["transaction_id"] == log["order_no"], "left").drop("order_no")
-        y = y.withColumn("margin_per_order", F.col("margin_per_order")
-                         * F.coalesce("__n", F.lit(1))).drop("__n")
+        # of the line's columns only the margin is needed, and shuffled, for the total
+        margin = (F.col("product_price") - F.col("distributor_price")) * F.col("product_quantity")
+        total = F.sum(margin).over(Window.partitionBy("transaction_id"))
+        y = priced.withColumn("margin_per_order", F.when(F.col("transaction_id").isNotNull(),
+                                                         F.coalesce(total, F.lit(0))))
+        side = side.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("order_no")).cast("int"))
+        y = y.join(side, y["transaction_id"] == side["order_no"], how).drop("order_no")
+        y = _line_columns(y.withColumn("margin_per_order", F.col("margin_per_order")
+                                       * F.coalesce("__n", F.lit(1))).drop("__n"))
     return y.withColumn("income_order",
                         F.col("margin_per_order") + F.col("shipping_total")
                         + F.col("discount_total") - F.col("actual_freight_expense"))

@@ -46,6 +46,55 @@ LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
               "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
 
 
+SALES_COLUMNS = (
+    "transaction_id", "transaction_date", "customer_first_name", "customer_last_name", "customer_state",
+    "customer_postal_code", "customer_email", "shipping_first_name", "shipping_last_name", "shipping_postal_code",
+    "customer_phone", "shipping_address1", "shipping_city", "shipping_state", "shipping_phone", "product_code",
+    "product_name", "product_options", "item_code", "product_price", "product_weight", "product_quantity",
+    "shipping_total", "discount_total", "order_total", "coupons_used", "line_seq")
+
+
+def _line_columns() -> dict:
+    """The columns of a sale that are its line's own."""
+    return {
+        "transaction_id": F.col("l_orderkey"),
+        "product_code": F.concat(F.lit("PC"), F.col("p_partkey").cast("string")),
+        "product_name": F.col("p_name"),
+        "product_options": F.col("p_brand"),
+        "item_code": F.col("p_partkey"),
+        "product_price": F.col("p_retailprice").cast(MONEY),
+        "product_weight": F.col("p_size"),
+        "product_quantity": F.col("l_quantity").cast("int"),
+        "line_seq": F.col("line_seq"),
+    }
+
+
+def _head_columns() -> dict:
+    """The columns of a sale that are its order's."""
+    ok = F.col("o_orderkey")
+    return {
+        "transaction_date": F.col("o_orderdate"),
+        "customer_first_name": F.lit("Cust"),
+        "customer_last_name": F.col("c_name"),
+        "customer_state": F.col("n_name"),
+        "customer_postal_code": (F.lit(100) + F.col("c_nationkey")).cast("string"),
+        "customer_email": F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.com")),
+        "shipping_first_name": F.lit("Ship"),
+        "shipping_last_name": F.when(ok % 9 == 0, F.lit("Gift Desk")).otherwise(F.col("c_name")),
+        "shipping_postal_code": (F.lit(200) + F.col("c_nationkey")).cast("string"),
+        "customer_phone": F.concat(F.lit("555-"), F.col("c_custkey").cast("string")),
+        "shipping_address1": F.concat((ok % 100).cast("string"), F.lit(" Main St")),
+        "shipping_city": F.concat(F.lit("City "), F.col("c_nationkey").cast("string")),
+        "shipping_state": F.col("n_name"),
+        "shipping_phone": F.concat(F.lit("556-"), F.col("c_custkey").cast("string")),
+        "shipping_total": F.when(ok % 3 == 0, 0).when(ok % 3 == 1, 5).otherwise(10),
+        "discount_total": F.when(ok % 4 == 0, -10).otherwise(0),
+        "order_total": F.col("o_totalprice").cast(MONEY),
+        "coupons_used": F.when(ok % 5 == 0, F.concat(F.lit("SAVE10:"), F.col("o_orderpriority")))
+                         .otherwise(F.lit("-")),
+    }
+
+
 class Tables:
     """Lazy access to the base tables of one scale-factor folder and the
     views derived from them (materialized once per application unless
@@ -128,47 +177,29 @@ class Tables:
 
     def _build_sales(self) -> DataFrame:
         """Complete order lines (what cleaning must produce)."""
-        li = self.lines_with_seq()
-        p = self.part.select("p_partkey", "p_name", "p_brand", "p_retailprice", "p_size")
-        # customer and nation join the orders first (order-level rows)
         # the parts join first: of the lines only key, part, quantity and place are
         # shuffled for them, and the lines of an order end up together
-        j = (li.select("l_orderkey", "l_partkey", "l_quantity", "line_seq")
-               .join(p, F.col("l_partkey") == p.p_partkey)
-               .join(self._orders_with_customer, F.col("l_orderkey") == F.col("o_orderkey")))
-        ok = F.col("o_orderkey")
-        return j.select(
-            F.col("l_orderkey").alias("transaction_id"),
-            F.col("o_orderdate").alias("transaction_date"),
-            F.lit("Cust").alias("customer_first_name"),
-            F.col("c_name").alias("customer_last_name"),
-            F.col("n_name").alias("customer_state"),
-            (F.lit(100) + F.col("c_nationkey")).cast("string").alias("customer_postal_code"),
-            F.concat(F.lit("u"), F.col("c_custkey").cast("string"),
-                     F.lit("@example.com")).alias("customer_email"),
-            F.lit("Ship").alias("shipping_first_name"),
-            F.when(ok % 9 == 0, F.lit("Gift Desk")).otherwise(F.col("c_name"))
-             .alias("shipping_last_name"),
-            (F.lit(200) + F.col("c_nationkey")).cast("string").alias("shipping_postal_code"),
-            F.concat(F.lit("555-"), F.col("c_custkey").cast("string")).alias("customer_phone"),
-            F.concat((ok % 100).cast("string"), F.lit(" Main St")).alias("shipping_address1"),
-            F.concat(F.lit("City "), F.col("c_nationkey").cast("string")).alias("shipping_city"),
-            F.col("n_name").alias("shipping_state"),
-            F.concat(F.lit("556-"), F.col("c_custkey").cast("string")).alias("shipping_phone"),
-            F.concat(F.lit("PC"), F.col("p_partkey").cast("string")).alias("product_code"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_brand").alias("product_options"),
-            F.col("p_partkey").alias("item_code"),
-            F.col("p_retailprice").cast(MONEY).alias("product_price"),
-            F.col("p_size").alias("product_weight"),
-            F.col("l_quantity").cast("int").alias("product_quantity"),
-            F.when(ok % 3 == 0, 0).when(ok % 3 == 1, 5).otherwise(10).alias("shipping_total"),
-            F.when(ok % 4 == 0, -10).otherwise(0).alias("discount_total"),
-            F.col("o_totalprice").cast(MONEY).alias("order_total"),
-            F.when(ok % 5 == 0, F.concat(F.lit("SAVE10:"), F.col("o_orderpriority")))
-             .otherwise(F.lit("-")).alias("coupons_used"),
-            F.col("line_seq"),
-        )
+        j = self._lines_with_parts().join(self._orders_with_customer, F.col("l_orderkey") == F.col("o_orderkey"))
+        columns = {**_head_columns(), **_line_columns()}
+        return j.select(*[columns[c].alias(c) for c in SALES_COLUMNS])
+
+    def _lines_with_parts(self) -> DataFrame:
+        li = self.lines_with_seq()
+        p = self.part.select("p_partkey", "p_name", "p_brand", "p_retailprice", "p_size")
+        return li.select("l_orderkey", "l_partkey", "l_quantity", "line_seq") \
+                 .join(p, F.col("l_partkey") == p.p_partkey)
+
+    # sales in two parts, for analyses that move lines about: the lines' own columns, and
+    # those of their orders (a line belongs to each row of its order; lines without one drop out)
+    @cached_property
+    def sale_lines(self) -> DataFrame:
+        return self._view("sale_lines", lambda: self._lines_with_parts().select(
+            *[c.alias(n) for n, c in _line_columns().items()]))
+
+    @cached_property
+    def sale_heads(self) -> DataFrame:
+        return self._view("sale_heads", lambda: self._orders_with_customer.select(
+            F.col("o_orderkey").alias("transaction_id"), *[c.alias(n) for n, c in _head_columns().items()]))
 
     @cached_property
     def raw_sales(self) -> DataFrame:

@@ -178,6 +178,35 @@ def test_order_margins_join_recent_lines_only(spark, shop):
     assert got and not re.search(r"\bWindow\b", plan)
 
 
+def test_enriched_lines_move_without_their_orders_columns(spark, shop):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _without_view(spark, shop, "q05_enriched_lines")
+        plan = QUERIES["q05_enriched_lines"](spark, shop)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#.*\n\W+(?:\*\(\d+\) )?(.*)", plan.toString())
+    lines = [below for key, below in moved if key in ("product_name", "transaction_id")]
+    assert len(lines) >= 2 and not [x for x in lines if "customer_email" in x or "coupons_used" in x]
+
+
+@pytest.mark.parametrize("hot", [[], [1]])
+def test_lines_and_orders_apart_give_the_same_enriched_lines(spark, shop, hot):
+    from ordercraft.operators import enrich
+    t = fixtures.tables(spark, shop)
+    heads = t.sale_heads.unionByName(t.sale_heads.filter("transaction_id % 5 = 0"))  # an order that comes twice
+    heads = heads.filter("transaction_id % 11 > 0")  # lines without an order
+    log = t.ship_log.unionByName(t.ship_log.filter("order_no % 3 = 0"))
+    pricing = t.pricing.unionByName(t.pricing.filter("product_weight % 2 = 0"))
+    sales = t.sale_lines.join(heads, "transaction_id")
+    once = fixtures.tables(spark, shop).sales
+    assert sorted(map(str, rows(t.sale_lines.join(t.sale_heads, "transaction_id"), *once.columns))) == sorted(map(str, rows(once)))
+    want = enrich.enrich_lines(sales, pricing, log, hot_orders=[])
+    got = enrich.enrich_lines(t.sale_lines, pricing, log, hot_orders=hot, heads=heads)
+    assert set(got.columns) == set(want.columns)
+    assert sorted(map(str, rows(got, *want.columns))) == sorted(map(str, rows(want))) and want.count() > t.sale_lines.count()
+
+
 def test_numbering_writes_its_input_once(spark, monkeypatch):
     from ordercraft.operators import fill
     names = []
