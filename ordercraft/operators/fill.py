@@ -102,7 +102,7 @@ def number_chunks(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence
     ``order_first`` are ordered by a hash of the row."""
     df, ties = _with_tie(df, tiebreaks)
     numbered = number_rows(df, key, [order_first, *ties], POS, hot_keys="all",
-                           nulls_last=(order_first,)).drop(TIE)
+                           nulls_last=(order_first,), null_keys=False).drop(TIE)
     chunk = F.floor((F.col(POS) - 1) / F.lit(chunk_rows))
     return materialize(numbered.withColumn(CHUNK, chunk), "fill_chunks")
 
@@ -183,7 +183,7 @@ def forward_fill(df: DataFrame, key: str, order_first: str, tiebreaks: Sequence[
 def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str = "line_seq",
                 hot_keys: Sequence | str | None = (), hot_min_rows: int = HOT_MIN_ROWS,
                 range_partitions: int | None = None, range_rows: int = 1_000_000,
-                nulls_last: Sequence[str] = ()) -> DataFrame:
+                nulls_last: Sequence[str] = (), null_keys: bool = True) -> DataFrame:
     """Position (1, 2, ...) of each row within its ``key`` group in the order
     ``order_cols`` (ascending, nulls first -- ``row_number`` semantics -- but
     last in the ``nulls_last`` columns).
@@ -194,7 +194,9 @@ def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str
     (unless ``range_partitions`` gives their number); the ranges are written
     once to the checkpoint folder so their ids are stable, numbered locally,
     and shifted by the row counts of the earlier ranges of the same key (a
-    prefix sum over one small row per range).
+    prefix sum over one small row per range). Without ``null_keys`` (rows of a
+    null key would be lost) the shift joins on the partitioning of the local
+    numbering, so the rows are not shuffled for it.
     """
     order = [F.col(c).asc_nulls_last() if c in nulls_last else F.col(c).asc_nulls_first()
              for c in order_cols]
@@ -230,8 +232,8 @@ def number_rows(df: DataFrame, key: str, order_cols: Sequence[str], out_col: str
                   .rowsBetween(Window.unboundedPreceding, -1))
         offsets = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__r"),
                                 F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"))
-        numbered = local.join(offsets, F.col(key).eqNullSafe(F.col("__key"))
-                              & (F.col("__range") == F.col("__r"))) \
+        same_key = F.col(key).eqNullSafe(F.col("__key")) if null_keys else F.col(key) == F.col("__key")
+        numbered = local.join(offsets, same_key & (F.col("__range") == F.col("__r"))) \
             .withColumn(out_col, (F.col("__off") + F.col("__rn")).cast("long"))
         parts.append(numbered.select(*df.columns, out_col))
     out = parts[0]

@@ -48,7 +48,10 @@ def c03_forward_fill(spark, sf_dir):
 def c03_forward_fill_chunked(spark, sf_dir):
     """The segmented-scan path of the fill applied to every order, with chunks
     of two lines so that each order spans several chunks (checks the carry)."""
-    raw = tables(spark, sf_dir).raw_sales
+    from ..session import materialize
+    # ordered, numbered and filled lines move several times: with the columns of the result only
+    raw = tables(spark, sf_dir).planned.raw_sales.select("transaction_id", "line_seq", *ORDER_LEVEL_FILL)
+    raw = materialize(raw, "fill_input")
     out = forward_fill(raw, "transaction_id", "transaction_date", ["line_seq"], ORDER_LEVEL_FILL,
                        hot_keys="all", chunk_rows=2)
     return decimals_to_double(out.select("transaction_id", "line_seq", *ORDER_LEVEL_FILL))

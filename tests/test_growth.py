@@ -219,6 +219,26 @@ def test_numbering_writes_its_input_once(spark, monkeypatch):
     assert names.count("numbered_ranges") == 1 and "hot_rows" not in names
 
 
+def test_chunked_fill_moves_the_columns_of_its_result_only(spark, shop, monkeypatch):
+    from ordercraft.operators import fill
+    written = {}
+    real = fill.materialize
+    monkeypatch.setattr(fill, "materialize", lambda df, name: written.setdefault(name, df) and real(df, name))
+    os.symlink(shop, path := f"{shop}-c03")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(repr, QUERIES["c03_forward_fill_chunked"](spark, path).collect()))
+        plan = written["fill_chunks"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+    assert got == sorted(map(repr, QUERIES["c03_forward_fill"](spark, shop).collect())) and got
+    assert not [k for k in fixtures._VIEWS if k[1] == path and k[2] == "raw_sales"]
+    assert not [c for df in written.values() for c in df.columns if c.startswith("product_")]
+    # the rows go to their local numbering and stay there for the shift
+    moved = re.findall(r"Exchange hashpartitioning\((.*), \d+\), ENSURE", plan)
+    assert len(moved) == 4 and not [x for x in moved if "coalesce" in x]  # theirs, the counts twice, the shift
+
+
 def test_retail_packaging_writes_no_view(spark, shop):
     got = _without_view(spark, shop, "q31_packaging_used_retail")
     assert len(got) == fixtures.tables(spark, shop).production.count()
